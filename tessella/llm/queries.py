@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, mixing, simhash
+from tessella.llm import decontaminate, kdtree, mixing, simhash, warc
 from tessella.llm.common import table
 
 
@@ -13,6 +13,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.partition(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
 
@@ -26,5 +34,16 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), g AS (SELECT d, min(page_id) AS f FROM p WHERE n >= 100 GROUP BY d)
+SELECT p.page_id, n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN f IS NOT NULL AND p.page_id IS DISTINCT FROM f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f IS NOT NULL AND p.page_id IS DISTINCT FROM f THEN f END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 100
+"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_warc": OP4_SQL}
