@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
@@ -33,7 +36,7 @@ LEAST, MOST, BITS = 256, 8192, 10
 #: Ids under the rolling hash; no more than LEAST.
 ROLL = 32
 #: Words whose ids a task remembers, before it forgets all.
-REMEMBER = 800_000
+REMEMBER = 1_200_000
 #: The multiplier of the rolling hash, odd, and its inverse modulo 2**64.
 STEP = 0x9E3779B97F4A7C15
 STEP_BACK = pow(STEP, -1, 1 << 64)
@@ -42,10 +45,17 @@ CHUNKS = "array<struct<digest: binary, n: int>>"
 
 #: A word that can be taken apart: letters of Latin-1 that normalization leaves alone, then perhaps one mark.
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([,.]?)")
+#: The characters that stand for the bytes 128 to 255 in the vocabularies of byte-level tokenizers.
+BYTE_CHARS = {b: chr(256 + 33 + i) for i, b in enumerate(b for b in range(127, 256) if b < 161 or b == 173)}
+
+
+def worker_memory() -> dict:
+    """What this Python worker keeps from one task to the next; every task can do without it."""
+    return sys.modules.setdefault("_tessella_worker_memory", types.ModuleType("_tessella_worker_memory")).__dict__
 
 
 class WordEncoder:
-    """Encodes texts word by word and remembers what it has seen.
+    """Encodes texts word by word and remembers what it has seen, also from one task of a worker to the next.
 
     For tokenizer files that lower-case, let no token span white space, and part letters from punctuation:
     then a text's ids are its words' ids end to end.  Plain words go to the model without the
@@ -55,56 +65,65 @@ class WordEncoder:
 
     def __init__(self, path: str, remember: int = REMEMBER) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        from tokenizers import Tokenizer, pre_tokenizers
+        kept = worker_memory()
+        if path not in kept:
+            from tokenizers import Tokenizer
 
-        self.whole, self.remember, self.known, self.checked = Tokenizer.from_file(path), remember, {}, 0
-        self.bare = Tokenizer(self.whole.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        (self.gap,) = self._ids(["!"])[0]
+            kept[path] = (Tokenizer.from_file(path), {})
+        self.whole, self.known = kept[path]
+        self.remember, self.checked, self.tokenize = remember, 0, self.whole.model.tokenize
         self.marks = {m: self._ids([m])[0].astype("<u2").tobytes() for m in ("", ",", ".")}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int64) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_plain(self, stems: list[str]) -> None:
-        for at in range(0, len(stems), 20_000):
-            some = stems[at : at + 20_000]
-            ids = np.array(self.bare.encode_batch_fast([" ! ".join(some)], add_special_tokens=False)[0].ids, dtype="<u2")
-            ends = [*np.flatnonzero(ids == self.gap).tolist(), len(ids)]
-            data = ids.tobytes()
-            for stem, a, b in zip(some, [0, *(e + 1 for e in ends)], ends):
-                self.known[stem.encode()] = data[2 * a : 2 * b]
-        if self.checked < 200 and stems:
-            for stem, ids in zip(stems[:100], self._ids(stems[:100])):
-                if self.known[stem.encode()] != ids.astype("<u2").tobytes():
-                    raise ValueError(f"{stem!r} is encoded otherwise without the tokenizer's patterns: this file is not of the kind that WordEncoder takes")
-            self.checked += 100
+    def _plain(self, letters: bytes) -> bytes:
+        """The ids of a word of letters, straight from the model, whose pieces are written in one character for each byte."""
+        text = letters.decode("ascii") if letters.isascii() else letters.decode("latin-1").translate(BYTE_CHARS)
+        return array("H", [t.id for t in self.tokenize(text)]).tobytes()
 
     def _learn(self, fresh: set[bytes]) -> None:
-        plain, rest = [], []
+        known, plain, rest, sample = self.known, self._plain, [], []
         for w in fresh:
-            word = w.decode()
-            m = PLAIN.fullmatch(word)
-            if m:
-                plain.append((w, m[1], m[2]))
-            else:
-                rest.append((w, word))
-        self._learn_plain(sorted({stem for _, stem, _ in plain if stem.encode() not in self.known}))
-        for w, stem, mark in plain:
-            self.known[w] = self.known[stem.encode()] + self.marks[mark]
+            letters, mark = (w[:-1], chr(w[-1])) if w[-1] in b",." else (w, "")
+            if not (letters.isalpha() and letters.islower()):  # of ASCII alone
+                if not PLAIN.fullmatch(w.decode()):
+                    rest.append(w)
+                    continue
+            ids = known.get(letters) if mark else None
+            known[w] = (plain(letters) if ids is None else ids) + self.marks[mark]
+            if len(sample) < 100:
+                sample.append(w)
+        if self.checked < 200:
+            for w, ids in zip(sample, self._ids([w.decode() for w in sample])):
+                if known[w] != ids.astype("<u2").tobytes():
+                    raise ValueError(f"{w!r} is encoded otherwise without the tokenizer's patterns: this file is not of the kind that WordEncoder takes")
+            self.checked += len(sample)
         for at in range(0, len(rest), 10_000):
             some = rest[at : at + 10_000]
-            for (w, _), ids in zip(some, self._ids([word for _, word in some])):
-                self.known[w] = ids.astype("<u2").tobytes()
+            for w, ids in zip(some, self._ids([w.decode() for w in some])):
+                known[w] = ids.astype("<u2").tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids, 16 bits little-endian."""
         # of bytes: A-Z and ASCII white space only; the names of special tokens are told apart by case
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > self.remember:
-            self.known = {}
-        self._learn(set().union(*split).difference(self.known))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            self.known.clear()
+        get, known = self.known.get, self.known
+        found = [list(map(get, words)) for words in split]
+        fresh: set[bytes] = set()
+        holes = []
+        for words, ids in zip(split, found):
+            if None in ids:
+                at = [i for i, v in enumerate(ids) if v is None]
+                fresh.update([words[i] for i in at])
+                holes.append((words, ids, at))
+        self._learn(fresh)
+        for words, ids, at in holes:
+            for i in at:
+                ids[i] = known[words[i]]
+        return [b"".join(ids) for ids in found]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -189,27 +208,37 @@ def _field(df: DataFrame, name: str) -> str:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a part, sorted; before a document's row stands one with the chunks that others store, if there are any."""
-    part, first, elsewhere, roots = TaskContext.get().partitionId(), 0, None, []
+    part, first, elsewhere = TaskContext.get().partitionId(), 0, None
     for batch in batches:
+        ids, ties, kinds, counts, others = (batch[c].to_pylist() for c in ("doc_id", "tie", "kind", "n_tokens", "others"))
+        recipes, data = batch["recipe"], batch["data"]
+        flat, offsets = recipes.flatten(), (recipes.offsets.to_numpy() - recipes.offsets[0].as_py()).tolist()
+        digests, sizes = flat.field("digest").to_pylist(), flat.field("n").to_pylist()
         rows = []
-        for row in batch.to_pylist():
-            if row["kind"] == 0:
-                elsewhere = (row["doc_id"], row["tie"], set(row["others"]))
+        for i, kind in enumerate(kinds):
+            if kind == 0:
+                elsewhere = (ids[i], ties[i], set(others[i]))
                 continue
-            others = elsewhere[2] if elsewhere and elsewhere[:2] == (row["doc_id"], row["tie"]) else set()
-            at, kept, recipe, own = 0, [], [], set()
-            for c in row["recipe"]:
-                here = c["digest"] not in others and c["digest"] not in own
-                if here:
-                    kept.append(row["data"][2 * at : 2 * (at + c["n"])])
-                    own.add(c["digest"])
-                recipe.append({"digest": c["digest"], "n": c["n"], "here": here})
-                at += c["n"]
-            rows.append((part, row["doc_id"], row["tie"], first, row["n_tokens"], recipe, b"".join(kept), merkle_root([c["digest"] for c in recipe])))
-            first += row["n_tokens"]
+            names, ns = digests[offsets[i] : offsets[i + 1]], sizes[offsets[i] : offsets[i + 1]]
+            away = elsewhere[2] if elsewhere and elsewhere[:2] == (ids[i], ties[i]) else ()
+            stored_ids = bytes(data[i].as_buffer())
+            if away or len(set(names)) < len(names):
+                at, kept, here, own = 0, [], [], set(away)
+                for name, n in zip(names, ns):
+                    here.append(name not in own)
+                    if here[-1]:
+                        kept.append(stored_ids[2 * at : 2 * (at + n)])
+                        own.add(name)
+                    at += n
+                stored_ids = b"".join(kept)
+            else:
+                here = [True] * len(names)
+            recipe = [{"digest": d, "n": n, "here": h} for d, n, h in zip(names, ns, here)]
+            rows.append((part, ids[i], ties[i], first, counts[i], recipe, stored_ids, merkle_root(names)))
+            first += counts[i]
         columns = list(zip(*rows)) if rows else [[]] * 8
-        types = [pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("here", pa.bool_())])), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["part", "doc_id", "tie", "first", "n_tokens", "recipe", "data", "root"])
+        types_ = [pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("here", pa.bool_())])), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types_)], ["part", "doc_id", "tie", "first", "n_tokens", "recipe", "data", "root"])
 
 
 def write(documents: DataFrame, path: str, tokenizer: str, *, id_col="doc_id", text_col="text", end_id=END_ID) -> None:
@@ -235,22 +264,27 @@ def write(documents: DataFrame, path: str, tokenizer: str, *, id_col="doc_id", t
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each stored row its chunks' checksums (null where they are stored elsewhere), and whether all stored bytes are what they are named."""
     for batch in batches:
-        out, sound = [], []
-        for recipe, data, root in zip(batch["recipe"].to_pylist(), batch["data"], batch["root"].to_pylist()):
-            ids = np.frombuffer(data.as_buffer(), dtype="<u2") if len(data.as_buffer()) else np.zeros(0, dtype="<u2")
-            at, pieces, good = 0, [], merkle_root([c["digest"] for c in recipe]) == root
-            for c in recipe:
-                crc = None
-                if c["here"]:
-                    own = ids[at : at + c["n"]]
-                    good = good and sha256(own.tobytes()).digest() == c["digest"]
-                    crc = zlib.crc32(own.astype("<u4").tobytes())
-                    at += c["n"]
-                pieces.append({"digest": c["digest"], "n": c["n"], "crc": crc})
-            out.append(pieces)
-            sound.append(good and at == len(ids))
-        kind = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("crc", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("part", "doc_id", "tie", "first", "n_tokens")), pa.array(out, kind), pa.array(sound, pa.bool_())], ["part", "doc_id", "tie", "first", "n_tokens", "pieces", "sound"])
+        recipes, stored_ids = batch["recipe"], batch["data"]
+        flat, offsets = recipes.flatten(), recipes.offsets.to_numpy() - recipes.offsets[0].as_py()
+        digests, sizes, here = flat.field("digest").to_pylist(), flat.field("n").to_pylist(), flat.field("here").to_pylist()
+        crcs, sound, ends = [], [], offsets.tolist()
+        for i, root in enumerate(batch["root"].to_pylist()):
+            buffer = stored_ids[i].as_buffer()
+            data = bytes(buffer) if len(buffer) else b""
+            wide = memoryview(np.frombuffer(data, dtype="<u2").astype("<u4")).cast("B") if data else memoryview(b"")
+            names = digests[ends[i] : ends[i + 1]]
+            at, good = 0, merkle_root(names) == root
+            for name, n, own in zip(names, sizes[ends[i] : ends[i + 1]], here[ends[i] : ends[i + 1]]):
+                if own:
+                    good = good and sha256(data[2 * at : 2 * (at + n)]).digest() == name
+                    crcs.append(zlib.crc32(wide[4 * at : 4 * (at + n)]))
+                    at += n
+                else:
+                    crcs.append(None)
+            sound.append(good and 2 * at == len(data))
+        pieces = pa.StructArray.from_arrays([flat.field("digest"), flat.field("n"), pa.array(crcs, pa.int64())], ["digest", "n", "crc"])
+        pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces)
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("part", "doc_id", "tie", "first", "n_tokens")), pieces, pa.array(sound, pa.bool_())], ["part", "doc_id", "tie", "first", "n_tokens", "pieces", "sound"])
 
 
 class Crc32Join:
