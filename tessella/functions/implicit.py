@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.spatial import let
+
 #: Integers that a double holds exactly; results beyond are an error, as for readers of the format that have doubles only.
 MAX_SAFE = (1 << 53) - 1
 QUADTREE, OCTREE = "QUADTREE", "OCTREE"
@@ -176,30 +178,40 @@ def read_availability(availability: Column, views: Column, buffers: Column, inde
 
     views is an array of structs (buffer, byteOffset, byteLength), buffers an array of binaries.
     """
-    view = F.try_element_at(views, (availability["bitstream"] + 1).cast("int"))
-    buffer = F.try_element_at(buffers, (view["buffer"] + 1).cast("int"))
-    start = F.coalesce(view["byteOffset"], F.lit(0).cast("long"))
     fail = lambda text: F.raise_error(F.lit(text)).cast("boolean")
-    return (
-        F.when(availability["constant"].isNotNull(), availability["constant"] == 1)
-        .when(availability["bitstream"].isNull(), fail("availability must have a constant or a bitstream"))
-        .when(view.isNull(), fail("availability references a missing buffer view"))
-        .when(buffer.isNull(), fail("a buffer view references an unloaded buffer"))
-        .when((start < 0) | (start + view["byteLength"] > F.octet_length(buffer)), fail("a buffer view exceeds its buffer"))
-        .otherwise(get_bit(F.substring(buffer, (start + 1).cast("int"), view["byteLength"].cast("int")), index))
-    )
+    view = F.try_element_at(views, (availability["bitstream"] + 1).cast("int"))
+
+    def looked_up(g: Column) -> Column:
+        start = F.coalesce(g["view"]["byteOffset"], F.lit(0).cast("long"))
+        return (
+            F.when(g["buffer"].isNull(), fail("a buffer view references an unloaded buffer"))
+            .when((start < 0) | (start + g["view"]["byteLength"] > F.octet_length(g["buffer"])), fail("a buffer view exceeds its buffer"))
+            .otherwise(get_bit(F.substring(g["buffer"], (start + 1).cast("int"), g["view"]["byteLength"].cast("int")), g["index"]))
+        )
+
+    def found(v: Column) -> Column:
+        buffer = F.try_element_at(buffers, (v["buffer"] + 1).cast("int"))
+        return F.when(v.isNull(), fail("availability references a missing buffer view")).otherwise(let(F.struct(v.alias("view"), buffer.alias("buffer"), index.alias("index")), looked_up))
+
+    return F.when(availability["constant"].isNotNull(), availability["constant"] == 1).when(availability["bitstream"].isNull(), fail("availability must have a constant or a bitstream")).otherwise(let(view, found))
+
+
+def _at(level: Column, x: Column, y: Column, z: Column | None, index) -> Column:
+    """index(level, x, y[, z]) of coordinates that are computed once."""
+    fields = [level.cast("long").alias("level"), x.alias("x"), y.alias("y")] + ([] if z is None else [z.alias("z")])
+    return let(F.struct(*fields), lambda c: index(c["level"], c["x"], c["y"], None if z is None else c["z"]))
 
 
 def tile_available(subtree: Column, level: Column, x: Column, y: Column, z: Column | None = None) -> Column:
-    return read_availability(subtree["tileAvailability"], subtree["bufferViews"], subtree["buffers"], availability_index(level, x, y, z))
+    return read_availability(subtree["tileAvailability"], subtree["bufferViews"], subtree["buffers"], _at(level, x, y, z, availability_index))
 
 
 def content_available(subtree: Column, content: Column, level: Column, x: Column, y: Column, z: Column | None = None) -> Column:
     """False where the subtree says nothing of that content."""
     own = F.try_element_at(subtree["contentAvailability"], (content + 1).cast("int"))
-    return F.when(own.isNull(), F.lit(False)).otherwise(read_availability(own, subtree["bufferViews"], subtree["buffers"], availability_index(level, x, y, z)))
+    return let(own, lambda a: F.when(a.isNull(), F.lit(False)).otherwise(read_availability(a, subtree["bufferViews"], subtree["buffers"], _at(level, x, y, z, availability_index))))
 
 
 def child_subtree_available(subtree: Column, level: Column, x: Column, y: Column, z: Column | None = None) -> Column:
     """By the Morton index alone: this bitstream has no levels."""
-    return read_availability(subtree["childSubtreeAvailability"], subtree["bufferViews"], subtree["buffers"], morton(level, x, y, z))
+    return read_availability(subtree["childSubtreeAvailability"], subtree["bufferViews"], subtree["buffers"], _at(level, x, y, z, morton))

@@ -27,7 +27,7 @@ def next_level(tiles: DataFrame, subtrees: DataFrame, *, subtree_levels: int, av
     one below it exists, as root of a further subtree, if the child-subtree bit says so.
     """
     axes = ["x", "y"] + (["z"] if octree else [])
-    made = children_of(tiles.where(F.col("level") + 1 < available_levels), octree=octree)
+    made = children_of(tiles.where(F.col("level") + 1 < available_levels).drop("child"), octree=octree)
     keys = ["root_level", *[f"root_{a}" for a in axes]]
     own = subtrees.select(F.col("level").alias("root_level"), *[F.col(a).alias(f"root_{a}") for a in axes], "subtree")
     joined = made.join(own, keys)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geodesy import utm_from_epsg
-from tessella.sources.tilesets import UTM_EXTENSION, contents, flatten, is_number, is_object, is_text, items, member, number, parse_documents, text_of
+from tessella.sources.tilesets import UTM_EXTENSION, contents, flatten, is_number, is_object, is_text, items, member, number, parse_documents
 
 # The grid's limits in metres.
 EASTING_LIMIT, NORTHING_LIMIT = 1_000_000, 10_000_000
@@ -25,206 +25,234 @@ COLUMNS = ("doc_id", "order", "path", "code", "severity")
 
 class Rule(NamedTuple):
     code: str
-    suffix: str | Column
+    suffix: str
     breaks: Column
     severity: str = "error"
 
 
-def _findings(nodes: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """A row for each rule that a node (doc_id, order, path, ...) breaks."""
-    made = [
-        F.when(F.coalesce(r.breaks, F.lit(False)), F.struct(F.concat("path", F.lit(r.suffix) if isinstance(r.suffix, str) else r.suffix).alias("path"), F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity")))
-        for r in rules
-    ]
-    # as one array column first: the generator then reads a plain attribute
-    found = nodes.select("doc_id", "order", F.array_compact(F.array(*made)).alias("found"))
-    return found.select("doc_id", "order", F.explode("found").alias("f")).select("doc_id", "order", "f.path", "f.code", "f.severity")
-
-
-def _object_rules(v: Column, code: str, rules: list[Rule]) -> list[Rule]:
-    """The first rule is that v is an object; the others hold for objects alone."""
-    ok = is_object(v)
-    ext = member(v, "extensions")
-    own = [Rule("INVALID_EXTENSIONS", "/extensions", ext.isNotNull() & ~is_object(ext)), *rules]
-    return [Rule(code, "", ~ok), *[r._replace(breaks=ok & r.breaks) for r in own]]
-
-
-def _non_negative(v: Column) -> Column:
-    return ~(is_number(v) & (number(v) >= 0))
-
-
-def _positive_integer(v: Column) -> Column:
-    return is_number(v) & (number(v) >= 1) & (number(v) == F.floor(number(v)))
-
-
-def _tuple_broken(v: Column, size: int) -> Column:
-    return ~F.coalesce((F.size(items(v)) == size) & F.forall(items(v), is_number), F.lit(False))
-
-
-def _at(v: Column, i: int) -> Column:
-    return number(F.try_element_at(items(v), F.lit(i + 1)))
+class Members:
+    """The members of a node as columns, each read once: what it is, its number, its text, its items.
 
+    Every kind of column is a projection of its own above the one before; a rule then names columns and no rule reads
+    the VARIANT again.
+    """
 
-def tileset_rules(v: Column) -> list[Rule]:
-    asset, version, schema, schema_uri, groups = (member(v, k) for k in ("asset", "asset.version", "schema", "schemaUri", "groups"))
-    revision = member(v, "asset.tilesetVersion")
-    lists = [member(v, k) for k in ("extensionsUsed", "extensionsRequired")]
-    return _object_rules(
-        v,
+    def __init__(self, nodes: DataFrame, node: str, *names: str) -> None:
+        names = ("", "extensions", *names)
+        self.at = {n: i for i, n in enumerate(names)}
+        keep = [c for c in nodes.columns if c != node]
+        out = nodes.select(*keep, *[(F.col(node) if not n else member(F.col(node), n)).alias(f"v{i}") for n, i in self.at.items()])
+        out = out.select("*", *[F.schema_of_variant(f"v{i}").alias(f"k{i}") for i in self.at.values()])
+        value = lambda i, kind: F.try_variant_get(F.col(f"v{i}"), "$", kind)
+        numeric = "^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|DOUBLE|FLOAT)"
+        out = out.select(
+            "*",
+            *[F.when(F.col(f"k{i}").rlike(numeric), value(i, "double")).alias(f"d{i}") for i in self.at.values()],
+            *[F.when(F.col(f"k{i}") == "STRING", value(i, "string")).alias(f"t{i}") for i in self.at.values()],
+            *[F.when(F.col(f"k{i}").startswith("ARRAY"), value(i, "array<variant>")).alias(f"a{i}") for i in self.at.values()],
+        )
+        self.rows = out.select("*", *[F.when((F.abs(f"d{i}") < float("inf")) & ~F.isnan(f"d{i}"), F.col(f"d{i}")).alias(f"n{i}") for i in self.at.values()])
+
+    def has(self, name: str) -> Column:
+        return F.col(f"v{self.at[name]}").isNotNull()
+
+    def is_object(self, name: str = "") -> Column:
+        return F.coalesce(F.col(f"k{self.at[name]}").startswith("OBJECT"), F.lit(False))
+
+    def number(self, name: str) -> Column:
+        """A finite number; null for anything else."""
+        return F.col(f"n{self.at[name]}")
+
+    def text(self, name: str) -> Column:
+        return F.col(f"t{self.at[name]}")
+
+    def items(self, name: str) -> Column:
+        return F.col(f"a{self.at[name]}")
+
+    def is_text(self, name: str) -> Column:
+        return F.coalesce(self.text(name) != "", F.lit(False))
+
+    def among(self, name: str, *values: str) -> Column:
+        return F.coalesce(self.text(name).isin(*values), F.lit(False))
+
+    def no_items(self, name: str) -> Column:
+        return ~F.coalesce(F.size(self.items(name)) > 0, F.lit(False))
+
+    def whole(self, name: str, least: int) -> Column:
+        return F.coalesce((self.number(name) >= least) & (self.number(name) == F.floor(self.number(name))), F.lit(False))
+
+    def negative(self, name: str) -> Column:
+        return ~F.coalesce(self.number(name) >= 0, F.lit(False))
+
+    def no_tuple(self, name: str, size: int) -> Column:
+        return ~F.coalesce((F.size(self.items(name)) == size) & F.forall(self.items(name), lambda x: is_number(x)), F.lit(False))
+
+    def item(self, name: str, i: int) -> Column:
+        return number(F.try_element_at(self.items(name), F.lit(i + 1)))
+
+    def findings(self, code: str, rules: Iterable[Rule]) -> DataFrame:
+        """A row for each rule that a node breaks: the first is that it is an object; the others hold for objects alone."""
+        mine = [Rule(code, "", ~self.is_object()), Rule("INVALID_EXTENSIONS", "/extensions", self.is_object() & self.has("extensions") & ~self.is_object("extensions"))]
+        mine += [r._replace(breaks=self.is_object() & r.breaks) for r in rules]
+        made = [F.when(F.coalesce(r.breaks, F.lit(False)), F.struct(F.concat("path", F.lit(r.suffix)).alias("path"), F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"))) for r in mine]
+        found = self.rows.select("doc_id", "order", F.array_compact(F.array(*made)).alias("found"))
+        # outer, so that no filter with all rules in it is inferred and pushed below the projections that they share
+        rows = found.select("doc_id", "order", F.explode_outer("found").alias("f")).where("f.code IS NOT NULL")
+        return rows.select("doc_id", "order", "f.path", "f.code", "f.severity")
+
+
+def tileset_findings(docs: DataFrame) -> DataFrame:
+    m = Members(docs, "v", "asset", "asset.version", "asset.tilesetVersion", "asset.extensions", "geometricError", "schema", "schemaUri", "groups", "extensionsUsed", "extensionsRequired")
+    asset = m.is_object("asset")
+    texts = lambda n: ~m.no_items(n) & F.coalesce(F.forall(m.items(n), lambda x: is_text(x)), F.lit(False))
+    return m.findings(
         "INVALID_TILESET",
         [
-            Rule("INVALID_ASSET", "/asset", ~is_object(asset)),
-            Rule("INVALID_EXTENSIONS", "/asset/extensions", is_object(asset) & member(asset, "extensions").isNotNull() & ~is_object(member(asset, "extensions"))),
-            Rule("INVALID_ASSET_VERSION", "/asset/version", is_object(asset) & ~is_text(version)),
-            Rule("INVALID_TILESET_VERSION", "/asset/tilesetVersion", is_object(asset) & revision.isNotNull() & ~is_text(revision, empty=True)),
-            Rule("INVALID_NON_NEGATIVE_NUMBER", "/geometricError", _non_negative(member(v, "geometricError"))),
-            Rule("SCHEMA_CARDINALITY", "", schema.isNotNull() & schema_uri.isNotNull()),
-            Rule("INVALID_SCHEMA", "/schema", schema.isNotNull() & ~is_object(schema)),
-            Rule("INVALID_SCHEMA_URI", "/schemaUri", schema_uri.isNotNull() & ~is_text(schema_uri)),
-            Rule("INVALID_GROUPS", "/groups", groups.isNotNull() & ~F.coalesce(F.size(items(groups)) > 0, F.lit(False))),
-            *[Rule("INVALID_STRING_ARRAY", f"/{k}", s.isNotNull() & _strings(s).isNull()) for k, s in zip(("extensionsUsed", "extensionsRequired"), lists)],
+            Rule("INVALID_ASSET", "/asset", ~asset),
+            Rule("INVALID_EXTENSIONS", "/asset/extensions", asset & m.has("asset.extensions") & ~m.is_object("asset.extensions")),
+            Rule("INVALID_ASSET_VERSION", "/asset/version", asset & ~m.is_text("asset.version")),
+            Rule("INVALID_TILESET_VERSION", "/asset/tilesetVersion", asset & m.has("asset.tilesetVersion") & m.text("asset.tilesetVersion").isNull()),
+            Rule("INVALID_NON_NEGATIVE_NUMBER", "/geometricError", m.negative("geometricError")),
+            Rule("SCHEMA_CARDINALITY", "", m.has("schema") & m.has("schemaUri")),
+            Rule("INVALID_SCHEMA", "/schema", m.has("schema") & ~m.is_object("schema")),
+            Rule("INVALID_SCHEMA_URI", "/schemaUri", m.has("schemaUri") & ~m.is_text("schemaUri")),
+            Rule("INVALID_GROUPS", "/groups", m.has("groups") & m.no_items("groups")),
+            *[Rule("INVALID_STRING_ARRAY", f"/{n}", m.has(n) & ~texts(n)) for n in ("extensionsUsed", "extensionsRequired")],
         ],
     )
 
 
-def _strings(v: Column) -> Column:
-    """array<string> of an array of one or more texts that are not empty; null if it is none."""
-    fine = (F.size(items(v)) > 0) & F.forall(items(v), is_text)
-    return F.when(fine, F.try_variant_get(v, "$", "array<string>"))
-
-
-def tile_rules(t: Column, depth: Column) -> list[Rule]:
-    refine, transform, content, many, children = (member(t, k) for k in ("refine", "transform", "content", "contents", "children"))
-    implicit, volume, metadata = (member(t, k) for k in ("implicitTiling", "boundingVolume", "metadata"))
-    has = implicit.isNotNull()
-    return _object_rules(
-        t,
+def tile_findings(tiles: DataFrame) -> DataFrame:
+    m = Members(tiles, "tile", "refine", "transform", "content", "contents", "children", "implicitTiling", "boundingVolume", "boundingVolume.sphere", "metadata", "geometricError")
+    implicit = m.has("implicitTiling")
+    return m.findings(
         "INVALID_TILE",
         [
-            Rule("INVALID_NON_NEGATIVE_NUMBER", "/geometricError", _non_negative(member(t, "geometricError"))),
-            Rule("MISSING_ROOT_REFINEMENT", "/refine", (depth == 0) & refine.isNull()),
-            Rule("INVALID_REFINEMENT", "/refine", refine.isNotNull() & ~F.coalesce(text_of(refine).isin("ADD", "REPLACE"), F.lit(False))),
-            Rule("INVALID_NUMBER_TUPLE", "/transform", transform.isNotNull() & _tuple_broken(transform, 16)),
-            Rule("CONTENT_CARDINALITY", "", content.isNotNull() & many.isNotNull()),
-            Rule("INVALID_CONTENTS", "/contents", many.isNotNull() & ~F.coalesce(F.size(items(many)) > 0, F.lit(False))),
-            Rule("INVALID_CHILDREN", "/children", children.isNotNull() & ~F.coalesce(F.size(items(children)) > 0, F.lit(False))),
-            Rule("IMPLICIT_CHILDREN_FORBIDDEN", "/children", has & children.isNotNull()),
-            Rule("IMPLICIT_METADATA_FORBIDDEN", "/metadata", has & metadata.isNotNull()),
-            Rule("IMPLICIT_SPHERE_FORBIDDEN", "/boundingVolume/sphere", has & is_object(volume) & member(volume, "sphere").isNotNull()),
+            Rule("INVALID_NON_NEGATIVE_NUMBER", "/geometricError", m.negative("geometricError")),
+            Rule("MISSING_ROOT_REFINEMENT", "/refine", (F.col("depth") == 0) & ~m.has("refine")),
+            Rule("INVALID_REFINEMENT", "/refine", m.has("refine") & ~m.among("refine", "ADD", "REPLACE")),
+            Rule("INVALID_NUMBER_TUPLE", "/transform", m.has("transform") & m.no_tuple("transform", 16)),
+            Rule("CONTENT_CARDINALITY", "", m.has("content") & m.has("contents")),
+            Rule("INVALID_CONTENTS", "/contents", m.has("contents") & m.no_items("contents")),
+            Rule("INVALID_CHILDREN", "/children", m.has("children") & m.no_items("children")),
+            Rule("IMPLICIT_CHILDREN_FORBIDDEN", "/children", implicit & m.has("children")),
+            Rule("IMPLICIT_METADATA_FORBIDDEN", "/metadata", implicit & m.has("metadata")),
+            Rule("IMPLICIT_SPHERE_FORBIDDEN", "/boundingVolume/sphere", implicit & m.is_object("boundingVolume") & m.has("boundingVolume.sphere")),
         ],
     )
 
 
-def implicit_rules(v: Column) -> list[Rule]:
-    scheme, uri = text_of(member(v, "subdivisionScheme")), member(v, "subtrees.uri")
-    template = [Rule("INVALID_IMPLICIT_TEMPLATE", "/subtrees/uri", text_of(uri).isNotNull() & b) for b in _template_gaps(text_of(uri), scheme)]
-    return _object_rules(
-        v,
+def _template_gaps(uri: Column, octree: Column) -> list[Column]:
+    """For each variable whether a template lacks it; what is no text lacks none."""
+    gap = lambda k: F.coalesce(~uri.contains("{" + k + "}"), F.lit(False))
+    return [*[gap(k) for k in ("level", "x", "y")], octree & gap("z")]
+
+
+def implicit_findings(nodes: DataFrame) -> DataFrame:
+    m = Members(nodes, "v", "subdivisionScheme", "subtreeLevels", "availableLevels", "subtrees.uri")
+    return m.findings(
         "INVALID_IMPLICIT_TILING",
         [
-            Rule("INVALID_SUBDIVISION_SCHEME", "/subdivisionScheme", ~F.coalesce(scheme.isin("QUADTREE", "OCTREE"), F.lit(False))),
-            Rule("INVALID_POSITIVE_INTEGER", "/subtreeLevels", ~_positive_integer(member(v, "subtreeLevels"))),
-            Rule("INVALID_POSITIVE_INTEGER", "/availableLevels", ~_positive_integer(member(v, "availableLevels"))),
-            Rule("INVALID_SUBTREE_URI", "/subtrees/uri", ~is_text(uri)),
-            *template,
+            Rule("INVALID_SUBDIVISION_SCHEME", "/subdivisionScheme", ~m.among("subdivisionScheme", "QUADTREE", "OCTREE")),
+            Rule("INVALID_POSITIVE_INTEGER", "/subtreeLevels", ~m.whole("subtreeLevels", 1)),
+            Rule("INVALID_POSITIVE_INTEGER", "/availableLevels", ~m.whole("availableLevels", 1)),
+            Rule("INVALID_SUBTREE_URI", "/subtrees/uri", ~m.is_text("subtrees.uri")),
+            *[Rule("INVALID_IMPLICIT_TEMPLATE", "/subtrees/uri", b) for b in _template_gaps(m.text("subtrees.uri"), m.among("subdivisionScheme", "OCTREE"))],
         ],
     )
 
 
-def _template_gaps(uri: Column, scheme: Column) -> list[Column]:
-    """For each variable whether a template lacks it."""
-    flat = [~uri.contains("{" + k + "}") for k in ("level", "x", "y")]
-    return [*flat, F.coalesce(scheme == "OCTREE", F.lit(False)) & ~uri.contains("{z}")]
-
-
-def content_rules(c: Column, implicit: Column, scheme: Column) -> list[Rule]:
-    uri, group = member(c, "uri"), member(c, "group")
-    own = [
-        Rule("INVALID_CONTENT_URI", "/uri", ~is_text(uri)),
-        Rule("INVALID_CONTENT_GROUP", "/group", group.isNotNull() & ~(is_number(group) & (number(group) >= 0) & (number(group) == F.floor(number(group))))),
-        Rule("IMPLICIT_CONTENT_BOUNDING_VOLUME_FORBIDDEN", "/boundingVolume", implicit & member(c, "boundingVolume").isNotNull()),
-        *[Rule("INVALID_IMPLICIT_TEMPLATE", "/uri", implicit & text_of(uri).isNotNull() & b) for b in _template_gaps(text_of(uri), scheme)],
-    ]
-    return _object_rules(c, "INVALID_CONTENT", own)
+def content_findings(rows: DataFrame) -> DataFrame:
+    """rows also have implicit (whether the tile is an implicit root) and scheme."""
+    m = Members(rows, "content", "uri", "group", "boundingVolume")
+    implicit, octree = F.col("implicit"), F.coalesce(F.col("scheme") == "OCTREE", F.lit(False))
+    return m.findings(
+        "INVALID_CONTENT",
+        [
+            Rule("INVALID_CONTENT_URI", "/uri", ~m.is_text("uri")),
+            Rule("INVALID_CONTENT_GROUP", "/group", m.has("group") & ~m.whole("group", 0)),
+            Rule("IMPLICIT_CONTENT_BOUNDING_VOLUME_FORBIDDEN", "/boundingVolume", implicit & m.has("boundingVolume")),
+            *[Rule("INVALID_IMPLICIT_TEMPLATE", "/uri", implicit & b) for b in _template_gaps(m.text("uri"), octree)],
+        ],
+    )
 
 
-def entity_rules(e: Column) -> list[Rule]:
-    properties = member(e, "properties")
-    return _object_rules(
-        e,
-        "INVALID_METADATA_ENTITY",
-        [Rule("INVALID_METADATA_CLASS", "/class", ~is_text(member(e, "class"))), Rule("INVALID_METADATA_PROPERTIES", "/properties", properties.isNotNull() & ~is_object(properties))],
-    )
+def entity_findings(nodes: DataFrame) -> DataFrame:
+    m = Members(nodes, "v", "class", "properties")
+    return m.findings("INVALID_METADATA_ENTITY", [Rule("INVALID_METADATA_CLASS", "/class", ~m.is_text("class")), Rule("INVALID_METADATA_PROPERTIES", "/properties", m.has("properties") & ~m.is_object("properties"))])
 
 
-def volume_rules(v: Column, extension: Column) -> list[Rule]:
-    """extension: the volume's known extension, null if it has none."""
-    box, region, sphere = (member(v, k) for k in ("box", "region", "sphere"))
-    count = reduce(lambda a, b: a + b, (m.isNotNull().cast("int") for m in (box, region, sphere)))
-    wrong = (count > 1) | ((count == 0) & extension.isNull())
-    region_ok, sphere_ok = ~_tuple_broken(region, 6), ~_tuple_broken(sphere, 4)
+def volume_findings(nodes: DataFrame) -> DataFrame:
+    """nodes also have name: the volume's known extension, null if it has none."""
+    m = Members(nodes, "v", "box", "region", "sphere")
+    count = reduce(lambda a, b: a + b, (m.has(n).cast("int") for n in ("box", "region", "sphere")))
+    wrong = (count > 1) | ((count == 0) & F.col("name").isNull())
+    region, sphere = ~m.no_tuple("region", 6), ~m.no_tuple("sphere", 4)
     inside = [
-        Rule("INVALID_NUMBER_TUPLE", "/box", box.isNotNull() & _tuple_broken(box, 12)),
-        Rule("INVALID_NUMBER_TUPLE", "/region", region.isNotNull() & ~region_ok),
-        Rule("INVALID_REGION_LATITUDE_ORDER", "/region", region_ok & (_at(region, 1) > _at(region, 3))),
-        Rule("INVALID_REGION_HEIGHT_ORDER", "/region", region_ok & (_at(region, 4) > _at(region, 5))),
-        Rule("INVALID_NUMBER_TUPLE", "/sphere", sphere.isNotNull() & ~sphere_ok),
-        Rule("INVALID_SPHERE_RADIUS", "/sphere/3", sphere_ok & (_at(sphere, 3) < 0)),
+        Rule("INVALID_NUMBER_TUPLE", "/box", m.has("box") & m.no_tuple("box", 12)),
+        Rule("INVALID_NUMBER_TUPLE", "/region", m.has("region") & ~region),
+        Rule("INVALID_REGION_LATITUDE_ORDER", "/region", region & (m.item("region", 1) > m.item("region", 3))),
+        Rule("INVALID_REGION_HEIGHT_ORDER", "/region", region & (m.item("region", 4) > m.item("region", 5))),
+        Rule("INVALID_NUMBER_TUPLE", "/sphere", m.has("sphere") & ~sphere),
+        Rule("INVALID_SPHERE_RADIUS", "/sphere/3", sphere & (m.item("sphere", 3) < 0)),
     ]
-    return _object_rules(v, "INVALID_BOUNDING_VOLUME", [Rule("BOUNDING_VOLUME_CARDINALITY", "", wrong), *[r._replace(breaks=~wrong & r.breaks) for r in inside]])
+    return m.findings("INVALID_BOUNDING_VOLUME", [Rule("BOUNDING_VOLUME_CARDINALITY", "", wrong), *[r._replace(breaks=~wrong & r.breaks) for r in inside]])
 
 
-def utm_rules(u: Column) -> list[Rule]:
-    epsg, zone, hemisphere, vertical = (member(u, k) for k in ("epsg", "zone", "hemisphere", "vertical"))
-    has_epsg, has_zone, has_half = epsg.isNotNull(), zone.isNotNull(), hemisphere.isNotNull()
+def utm_findings(nodes: DataFrame) -> DataFrame:
+    corners = ("minEasting", "minNorthing", "maxEasting", "maxNorthing")
+    upright = [f"vertical.{n}" for n in ("extensions", "reference", "direction", "minimum", "maximum", "epsg", "groundElevation")]
+    m = Members(nodes, "v", "epsg", "zone", "hemisphere", "vertical", *corners, *upright)
+    m.rows = m.rows.withColumn("known", utm_from_epsg(m.number("epsg")))
+    has_epsg, has_zone, has_half = m.has("epsg"), m.has("zone"), m.has("hemisphere")
     some = has_epsg | has_zone | has_half
-    epsg_ok = has_epsg & _positive_integer(epsg)
-    zone_ok = has_zone & _positive_integer(zone) & (number(zone) <= 60)
-    half_ok = has_half & F.coalesce(text_of(hemisphere).isin("N", "S"), F.lit(False))
-    known = utm_from_epsg(F.when(number(epsg) < 1e9, number(epsg)))
-    other = (zone_ok & (number(zone) != known["zone"])) | (half_ok & (text_of(hemisphere) != known["hemisphere"]))
-    names = ("minEasting", "minNorthing", "maxEasting", "maxNorthing")
-    e0, n0, e1, n1 = (number(member(u, k)) for k in names)
-    placed = reduce(lambda a, b: a & b, (is_number(member(u, k)) for k in names))
-    kind, way = text_of(member(vertical, "reference")), text_of(member(vertical, "direction"))
-    low, high, code, ground = (member(vertical, k) for k in ("minimum", "maximum", "epsg", "groundElevation"))
-    on_ground = F.coalesce(kind == "GROUND", F.lit(False))
-    ext = member(vertical, "extensions")
-    upright = [
-        Rule("INVALID_EXTENSIONS", "/vertical/extensions", ext.isNotNull() & ~is_object(ext)),
-        Rule("INVALID_VERTICAL_REFERENCE", "/vertical/reference", ~F.coalesce(kind.isin("ELLIPSOID", "GEOID", "GROUND", "LOCAL"), F.lit(False))),
-        Rule("INVALID_VERTICAL_DIRECTION", "/vertical/direction", ~F.coalesce(way.isin("UP", "DOWN"), F.lit(False))),
-        Rule("INVALID_VERTICAL_BOUND", "/vertical/minimum", ~is_number(low)),
-        Rule("INVALID_VERTICAL_BOUND", "/vertical/maximum", ~is_number(high)),
-        Rule("INVALID_VERTICAL_ORDER", "/vertical", number(low) > number(high)),
-        Rule("INVALID_VERTICAL_EPSG", "/vertical/epsg", code.isNotNull() & ~_positive_integer(code)),
-        Rule("INVALID_GROUND_ELEVATION", "/vertical/groundElevation", ground.isNotNull() & ~is_number(ground)),
-        Rule("GROUND_ELEVATION_REFERENCE_MISMATCH", "/vertical/groundElevation", ground.isNotNull() & is_number(ground) & ~on_ground),
-        Rule("GROUND_ELEVATION_MISSING", "/vertical", ground.isNull() & on_ground, "warning"),
+    zone = m.whole("zone", 1) & (m.number("zone") <= 60)
+    half = m.among("hemisphere", "N", "S")
+    code, known = m.whole("epsg", 1), F.col("known.zone").isNotNull()
+    other = (zone & (m.number("zone") != F.col("known.zone"))) | (half & (m.text("hemisphere") != F.col("known.hemisphere")))
+    e0, n0, e1, n1 = (m.number(k) for k in corners)
+    placed = reduce(lambda a, b: a & b, (m.number(k).isNotNull() for k in corners))
+    ground, on_ground = "vertical.groundElevation", m.among("vertical.reference", "GROUND")
+    rules = [
+        Rule("INVALID_EXTENSIONS", "/vertical/extensions", m.has("vertical.extensions") & ~m.is_object("vertical.extensions")),
+        Rule("INVALID_VERTICAL_REFERENCE", "/vertical/reference", ~m.among("vertical.reference", "ELLIPSOID", "GEOID", "GROUND", "LOCAL")),
+        Rule("INVALID_VERTICAL_DIRECTION", "/vertical/direction", ~m.among("vertical.direction", "UP", "DOWN")),
+        Rule("INVALID_VERTICAL_BOUND", "/vertical/minimum", m.number("vertical.minimum").isNull()),
+        Rule("INVALID_VERTICAL_BOUND", "/vertical/maximum", m.number("vertical.maximum").isNull()),
+        Rule("INVALID_VERTICAL_ORDER", "/vertical", m.number("vertical.minimum") > m.number("vertical.maximum")),
+        Rule("INVALID_VERTICAL_EPSG", "/vertical/epsg", m.has("vertical.epsg") & ~m.whole("vertical.epsg", 1)),
+        Rule("INVALID_GROUND_ELEVATION", "/vertical/groundElevation", m.has(ground) & m.number(ground).isNull()),
+        Rule("GROUND_ELEVATION_REFERENCE_MISMATCH", "/vertical/groundElevation", m.number(ground).isNotNull() & ~on_ground),
+        Rule("GROUND_ELEVATION_MISSING", "/vertical", ~m.has(ground) & on_ground, "warning"),
     ]
-    return _object_rules(
-        u,
+    return m.findings(
         "INVALID_UTM_BOUNDING_VOLUME",
         [
             Rule("UTM_REFERENCE_MISSING", "", ~some),
-            Rule("INVALID_UTM_EPSG", "/epsg", has_epsg & ~epsg_ok),
-            Rule("INVALID_UTM_ZONE", "/zone", has_zone & ~F.coalesce(zone_ok, F.lit(False))),
-            Rule("INVALID_UTM_HEMISPHERE", "/hemisphere", has_half & ~half_ok),
+            Rule("INVALID_UTM_EPSG", "/epsg", has_epsg & ~code),
+            Rule("INVALID_UTM_ZONE", "/zone", has_zone & ~zone),
+            Rule("INVALID_UTM_HEMISPHERE", "/hemisphere", has_half & ~half),
             Rule("INCOMPLETE_UTM_ZONE", "", has_zone != has_half),
             Rule("UTM_EPSG_MISSING", "", some & ~has_epsg, "warning"),
-            Rule("UTM_ZONE_REQUIRED", "", epsg_ok & known.isNull() & ~has_zone & ~has_half),
-            Rule("UTM_EPSG_ZONE_MISMATCH", "", epsg_ok & known.isNotNull() & F.coalesce(other, F.lit(False))),
-            *[Rule("INVALID_UTM_COORDINATE", f"/{k}", ~is_number(member(u, k))) for k in names],
+            Rule("UTM_ZONE_REQUIRED", "", code & ~known & ~has_zone & ~has_half),
+            Rule("UTM_EPSG_ZONE_MISMATCH", "", code & known & other),
+            *[Rule("INVALID_UTM_COORDINATE", f"/{k}", m.number(k).isNull()) for k in corners],
             Rule("INVALID_UTM_EXTENT_ORDER", "/minEasting", placed & (e0 > e1)),
             Rule("INVALID_UTM_EXTENT_ORDER", "/minNorthing", placed & (n0 > n1)),
             Rule("UTM_EASTING_OUT_OF_RANGE", "", placed & ((e0 <= 0) | (e1 >= EASTING_LIMIT)), "warning"),
             Rule("UTM_NORTHING_OUT_OF_RANGE", "", placed & ((n0 < 0) | (n1 > NORTHING_LIMIT)), "warning"),
-            Rule("INVALID_VERTICAL_EXTENT", "/vertical", ~is_object(vertical)),
-            *[r._replace(breaks=is_object(vertical) & r.breaks) for r in upright],
+            Rule("INVALID_VERTICAL_EXTENT", "/vertical", ~m.is_object("vertical")),
+            *[r._replace(breaks=m.is_object("vertical") & r.breaks) for r in rules],
         ],
     )
 
 
+def _strings(v: Column) -> Column:
+    """array<string> of an array of one or more texts that are not empty; null if it is none."""
+    fine = (F.size(items(v)) > 0) & F.forall(items(v), lambda s: is_text(s))
+    return F.when(fine, F.try_variant_get(v, "$", "array<string>"))
+
+
 def volumes(tiles: DataFrame, own_contents: DataFrame, utm_extension: str) -> DataFrame:
     """(doc_id, order, path, v, name, extension): every bounding volume, with its known extension; order also tells the slots of a tile apart."""
     slot = lambda n: F.concat("order", F.array(F.lit(n - 1000)))  # noqa: E731  before any child
@@ -256,7 +284,7 @@ def validate_tilesets(documents: DataFrame, *, utm_extension: str = UTM_EXTENSIO
     both = tiles.where(member(F.col("tile"), "content").isNotNull() & member(F.col("tile"), "contents").isNotNull())
     beside = both.select("doc_id", "tile_id", "order", F.lit(-1).alias("content_index"), F.concat("path", F.lit("/content")).alias("path"), member(F.col("tile"), "content").alias("content"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("int").alias("group"))
     own_contents = own_contents.unionAll(beside)
-    rooted = own_contents.join(tiles.select("doc_id", "tile_id", tile_implicit.isNotNull().alias("implicit"), text_of(member(tile_implicit, "subdivisionScheme")).alias("scheme")), ["doc_id", "tile_id"])
+    rooted = own_contents.join(tiles.select("doc_id", "tile_id", tile_implicit.isNotNull().alias("implicit"), F.try_variant_get(tile_implicit, "$.subdivisionScheme", "string").alias("scheme")), ["doc_id", "tile_id"])
     every = volumes(tiles, own_contents, utm_extension)
     implicit = tiles.select("doc_id", "order", F.concat("path", F.lit("/implicitTiling")).alias("path"), tile_implicit.alias("v")).where("v IS NOT NULL")
     entities = (
@@ -270,13 +298,13 @@ def validate_tilesets(documents: DataFrame, *, utm_extension: str = UTM_EXTENSIO
     used = every.where("name IS NOT NULL").where(count <= 1).select("doc_id", "order", F.concat("path", F.lit("/extensions/"), F.col("name")).alias("path"), "name", (count == 0).alias("standalone"), F.col("extension").alias("v"))
     parts = [
         broken,
-        _findings(docs, tileset_rules(F.col("v"))),
-        _findings(tiles, tile_rules(F.col("tile"), F.col("depth"))),
-        _findings(rooted, content_rules(F.col("content"), F.col("implicit"), F.col("scheme"))),
-        _findings(implicit, implicit_rules(F.col("v"))),
-        _findings(entities, entity_rules(F.col("v"))),
-        _findings(every, volume_rules(F.col("v"), F.col("extension"))),
-        _findings(used, utm_rules(F.col("v"))),
+        tileset_findings(docs),
+        tile_findings(tiles),
+        content_findings(rooted),
+        implicit_findings(implicit),
+        entity_findings(entities),
+        volume_findings(every),
+        utm_findings(used),
         required_subset(docs),
         undeclared_extensions(docs, used),
     ]
@@ -304,4 +332,4 @@ def undeclared_extensions(docs: DataFrame, uses: DataFrame) -> DataFrame:
 def validate_extents(extents: DataFrame) -> DataFrame:
     """Findings of UTM extents that stand alone: rows (doc_id, raw)."""
     nodes = parse_documents(extents).select("doc_id", F.array().cast("array<int>").alias("order"), F.lit("").alias("path"), F.coalesce("v", F.parse_json(F.lit("null"))).alias("v"))
-    return _findings(nodes, utm_rules(F.col("v")))
+    return utm_findings(nodes)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessella.functions.implicit import MAX_SAFE
 from tessella.functions.uri import base_uri, resolve_uri
 from tessella.sources.tilesets import is_object, items, member, number, text_of
+from tessella.storage import settled
 
 # Fixed values of the container.
 HEADER, MAGIC, VERSION = 24, "73756274", 1
@@ -93,6 +94,7 @@ def load_subtrees(decoded: DataFrame, resources: DataFrame) -> DataFrame:
     A buffer with a URI is the row of resources (uri, content) that it resolves to; the first without one is the
     file's own chunk.  Buffers that are missing or too short are errors; longer ones are cut to what is declared.
     """
+    decoded = settled(decoded.select("uri", "v", "chunk", "error"))  # read several times, and filtered by what decoding found
     listed = decoded.where("error IS NULL").select("uri", "chunk", F.posexplode_outer(items(member(F.col("v"), "buffers"))).alias("i", "b"))
     listed = listed.where("i IS NOT NULL").select("uri", "i", "chunk", number(member(F.col("b"), "byteLength")).cast("long").alias("n"), resolve_uri(F.nullif(text_of(member(F.col("b"), "uri")), F.lit("")), base_uri(F.col("uri"))).alias("at"))
     found = listed.join(resources.select(F.col("uri").alias("at"), F.col("content").alias("external")), "at", "left")
