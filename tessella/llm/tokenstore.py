@@ -12,6 +12,7 @@ A row holds the recipe and the ids (16 bits each, little-endian) of those chunks
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
@@ -35,8 +36,8 @@ END_ID = 1
 LEAST, MOST, BITS = 256, 8192, 10
 #: Ids under the rolling hash; no more than LEAST.
 ROLL = 32
-#: Words whose ids a task remembers, before it forgets all.
-REMEMBER = 1_200_000
+#: Words whose ids a worker remembers, before it forgets those that it has not met again since the last time.
+REMEMBER = 600_000
 #: The multiplier of the rolling hash, odd, and its inverse modulo 2**64.
 STEP = 0x9E3779B97F4A7C15
 STEP_BACK = pow(STEP, -1, 1 << 64)
@@ -69,48 +70,52 @@ class WordEncoder:
         if path not in kept:
             from tokenizers import Tokenizer
 
-            kept[path] = (Tokenizer.from_file(path), {})
-        self.whole, self.known = kept[path]
+            kept[path] = {"tokenizer": Tokenizer.from_file(path), "known": {}, "old": {}}
+        self.kept, self.whole = kept[path], kept[path]["tokenizer"]
         self.remember, self.checked, self.tokenize = remember, 0, self.whole.model.tokenize
-        self.marks = {m: self._ids([m])[0].astype("<u2").tobytes() for m in ("", ",", ".")}
+        self.marks = {ord(m): self._ids([m])[0] for m in ",."}
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.int64) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _plain(self, letters: bytes) -> bytes:
         """The ids of a word of letters, straight from the model, whose pieces are written in one character for each byte."""
-        text = letters.decode("ascii") if letters.isascii() else letters.decode("latin-1").translate(BYTE_CHARS)
-        return array("H", [t.id for t in self.tokenize(text)]).tobytes()
+        text = letters.decode("latin-1")
+        return array("H", [t.id for t in self.tokenize(text if letters.isascii() else text.translate(BYTE_CHARS))]).tobytes()
 
-    def _learn(self, fresh: set[bytes]) -> None:
-        known, plain, rest, sample = self.known, self._plain, [], []
+    def _learn(self, fresh: set[bytes], known: dict[bytes, bytes]) -> None:
+        plain, marks, rest, sample = self._plain, self.marks, [], []
         for w in fresh:
-            letters, mark = (w[:-1], chr(w[-1])) if w[-1] in b",." else (w, "")
-            if not (letters.isalpha() and letters.islower()):  # of ASCII alone
-                if not PLAIN.fullmatch(w.decode()):
-                    rest.append(w)
-                    continue
-            ids = known.get(letters) if mark else None
-            known[w] = (plain(letters) if ids is None else ids) + self.marks[mark]
-            if len(sample) < 100:
-                sample.append(w)
+            if w.isalpha() and w.islower():  # of ASCII alone
+                known[w] = plain(w)
+            elif m := PLAIN.fullmatch(w.decode()):
+                if m[2]:
+                    letters = w[:-1]
+                    known[w] = (known.get(letters) or plain(letters)) + marks[w[-1]]
+                else:
+                    known[w] = plain(w)
+                if len(sample) < 200:
+                    sample.append(w)
+            else:
+                rest.append(w)
         if self.checked < 200:
+            sample += list(fresh.difference(rest))[: 200 - len(sample)]
             for w, ids in zip(sample, self._ids([w.decode() for w in sample])):
-                if known[w] != ids.astype("<u2").tobytes():
+                if known[w] != ids:
                     raise ValueError(f"{w!r} is encoded otherwise without the tokenizer's patterns: this file is not of the kind that WordEncoder takes")
             self.checked += len(sample)
         for at in range(0, len(rest), 10_000):
             some = rest[at : at + 10_000]
-            for w, ids in zip(some, self._ids([w.decode() for w in some])):
-                known[w] = ids.astype("<u2").tobytes()
+            known.update(zip(some, self._ids([w.decode() for w in some])))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids, 16 bits little-endian."""
         # of bytes: A-Z and ASCII white space only; the names of special tokens are told apart by case
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        get, known = self.known.get, self.known
+        if len(self.kept["known"]) > self.remember:  # what is not used again by the next time is forgotten
+            self.kept["old"], self.kept["known"] = self.kept["known"], {}
+        known, old = self.kept["known"], self.kept["old"]
+        get, before = known.get, old.get
         found = [list(map(get, words)) for words in split]
         fresh: set[bytes] = set()
         holes = []
@@ -119,7 +124,11 @@ class WordEncoder:
                 at = [i for i, v in enumerate(ids) if v is None]
                 fresh.update([words[i] for i in at])
                 holes.append((words, ids, at))
-        self._learn(fresh)
+        if old:
+            again = [w for w in fresh if before(w) is not None]
+            known.update(zip(again, map(before, again)))
+            fresh.difference_update(again)
+        self._learn(fresh, known)
         for words, ids, at in holes:
             for i in at:
                 ids[i] = known[words[i]]
@@ -178,6 +187,7 @@ def merkle_root(names: list[bytes]) -> bytes:
 def _encoder(path: str, end_id: int) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chunker, end = WordEncoder(path), Chunker(), np.array([end_id], dtype="<u2").tobytes()
+        gc.disable()  # a task makes no cycles, and looking for them among all its words takes long
         for batch in batches:
             for at in range(0, len(batch), 256):  # some texts at a time bound the memory
                 part = batch.slice(at, 256)
@@ -191,6 +201,7 @@ def _encoder(path: str, end_id: int) -> Callable:
                     [part["doc_id"], part["tie"], pa.array([len(d) // 2 for d in data], pa.int64()), pa.array(recipes, pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())]))), pa.array(data, pa.large_binary() if sum(map(len, data)) >> 30 else pa.binary())],
                     ["doc_id", "tie", "n_tokens", "recipe", "data"],
                 )
+        gc.enable()
 
     return encode
 
@@ -209,6 +220,7 @@ def _field(df: DataFrame, name: str) -> str:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a part, sorted; before a document's row stands one with the chunks that others store, if there are any."""
     part, first, elsewhere = TaskContext.get().partitionId(), 0, None
+    gc.disable()
     for batch in batches:
         ids, ties, kinds, counts, others = (batch[c].to_pylist() for c in ("doc_id", "tie", "kind", "n_tokens", "others"))
         recipes, data = batch["recipe"], batch["data"]
@@ -239,6 +251,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*rows)) if rows else [[]] * 8
         types_ = [pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("here", pa.bool_())])), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types_)], ["part", "doc_id", "tie", "first", "n_tokens", "recipe", "data", "root"])
+    gc.enable()
 
 
 def write(documents: DataFrame, path: str, tokenizer: str, *, id_col="doc_id", text_col="text", end_id=END_ID) -> None:
