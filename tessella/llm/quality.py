@@ -68,7 +68,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at = base[part] + inside // PASSAGE_WORDS
     n = base[-1]
     kind = KIND[data]
-    pairs = at[:-1] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:]
+    pairs = np.delete(at[:-1] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:], first[1:] - 1)  # none from one text to the next
     counts = np.bincount(pairs, minlength=n * KINDS * KINDS).reshape(n, -1).astype(np.float32)
     n_bytes = counts.sum(axis=1)
     out = np.zeros((n, WIDTH), dtype=np.float32)
