@@ -29,7 +29,8 @@ def words(text: Column) -> Column:
 
 
 def _shingle(array: str, at: Column, size: int) -> Column:
-    return F.xxhash64(*[F.element_at(array, at + i + 1) for i in range(size)])
+    # get() gives null where there is no such word: documents too short have one row without a place
+    return F.xxhash64(*[F.get(F.col(array), at + i) for i in range(size)])
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -86,12 +87,16 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_co
         prefix = stored(prefix, "prefix")
         k = prefix.count()
         start = F.col("at") - F.col("off")
-        return (
-            at.join(_small(prefix, k), "h")
-            .where((start >= 0) & (start + F.col("length") <= F.size("w")))
-            .where(F.array_join(F.slice("w", start + 1, F.col("length")), " ") == F.col("window"))
-            .select("doc", "digest", start.alias("start"), "length", "items")
-        )
+        fits = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
+        same = F.array_join(F.slice("w", F.col("start") + 1, F.col("length")), " ") == F.col("window")
+        at = at.withColumn("n_words", F.size("w"))
+        if k <= BROADCAST_ROWS:
+            near = at.join(F.broadcast(prefix), "h").where(fits).withColumn("start", start)
+        else:  # no text goes through the shuffle by shingle: candidates meet their documents again
+            near = at.select("doc", "digest", "at", "h", "n_words").join(prefix.hint("shuffle_merge"), "h").where(fits)
+            near = near.select(F.col("doc").alias("d"), F.col("digest").alias("g"), start.alias("start"), "length", "window", "items").distinct()
+            near = near.join(base, F.col("d").eqNullSafe(F.col("doc")) & (F.col("g") == F.col("digest")))
+        return near.where(same).select("doc", "digest", "start", "length", "items")
 
     if not sizes:
         return base.where(F.lit(False)).select("doc", "digest", F.lit(0).alias("start"), F.lit(0).alias("length"), F.array(F.lit("")).alias("items"))
