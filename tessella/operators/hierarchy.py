@@ -43,6 +43,7 @@ def next_level(tiles: DataFrame, subtrees: DataFrame, *, subtree_levels: int, av
 def materialize(subtrees: DataFrame, *, subtree_levels: int, available_levels: int, octree: bool = False) -> DataFrame:
     """(level, x, y[, z], root_*, child): every available tile of an implicit tileset; a pass for each level."""
     axes = ["x", "y"] + (["z"] if octree else [])
+    subtrees = settled(subtrees)  # looked up on every level
     roots = subtrees.where("level = 0")
     zero = [F.lit(0).cast("long").alias(a) for a in axes]
     level = roots.where(tile_available(F.col("subtree"), F.lit(0), *[F.lit(0).cast("long") for _ in axes])).select(F.lit(0).alias("level"), *zero, F.lit(0).alias("root_level"), *[F.lit(0).cast("long").alias(f"root_{a}") for a in axes], F.lit(0).alias("child"))
@@ -129,3 +130,12 @@ def world_transforms(tiles: DataFrame) -> DataFrame:
         level = settled(own.select("tile_id", F.array(*multiply([F.col("above")[i] for i in range(16)], [F.col("local")[i] for i in range(16)])).alias("world")))
         out.append(level)
     return reduce(DataFrame.unionAll, out)
+
+
+def vertical_objects(worlds: DataFrame) -> DataFrame:
+    """(tile_id, vertical_object): the first position from the root down to each tile, for tiles that have one; worlds: (tile_id, world)."""
+    at = F.struct(F.col("world")[12].alias("x"), F.col("world")[13].alias("y"), F.col("world")[14].alias("z"))
+    moved = worlds.select("tile_id", at.alias("p")).where("p.x <> 0 OR p.y <> 0 OR p.z <> 0")
+    own = moved.select("tile_id", F.lit(0).alias("distance"), "p")
+    above = ancestors(worlds.select("tile_id")).join(moved.select(F.col("tile_id").alias("ancestor"), "p"), "ancestor").select("tile_id", "distance", "p")
+    return own.unionAll(above).groupBy("tile_id").agg(F.max_by("p", "distance").alias("vertical_object"))
