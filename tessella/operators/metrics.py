@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Metric names and their units are the runtime's interface.
-UNITS = {"count": ("frame", "frame.selected"), "millisecond": ("frame.duration", "cache.sweep.duration"), "byte": (), "pixel": ()}
 STATES = ("idle", "queued", "preparing", "ready", "failed", "cancelled")
 
 

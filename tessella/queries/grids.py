@@ -115,9 +115,6 @@ def edge_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.neighbors(_customer_cells(spark, sf_dir)).select("lod", "x", "y", long("edge").alias("edge"), "nx", "ny")
 
 
-SEEN = "(SELECT lod, x, y FROM {c} WHERE (x * 7 + y) % 5 = 0)"
-
-
 @R.query(f"WITH c AS {CUSTOMER_CELLS}, seen AS (SELECT lod, x, y FROM c WHERE (x * 7 + y) % 5 = 0), n AS {_neighbors_sql('c', [*Q.EDGES, *Q.CORNERS])} SELECT DISTINCT n.lod, n.x, n.y FROM n JOIN seen s ON s.lod <= n.lod AND s.x = n.nx >> (n.lod - s.lod) AND s.y = n.ny >> (n.lod - s.lod)")
 def quadtree_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _customer_cells(spark, sf_dir)
