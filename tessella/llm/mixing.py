@@ -1,10 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Native: DataFrame functions only.  The mix is a row of slots, each of `block` words.  Slot i
-sits at the van der Corput point of i (its bits reversed behind the binary point) and goes to
-the source whose stretch of the cumulative weights holds that point; so every prefix of the
-schedule is close to the weights.  The k-th slot of a source takes the k-th block of that
-source's words: its documents in shuffled order, end to end, and round again once they are used up.
+Native: DataFrame functions only.  The mix is a row of slots, each of `block` words.  A source has
+as many slots as its target fills, the last of which takes only the words that are left: what is taken is the
+target to the word, however large a block is.  Slot k of a source's n stands at (k + u) / n, where u is the
+van der Corput point of the source's place (its bits reversed behind the binary point); so every prefix of the
+schedule is within one block of each source's weight, and sources of one slot are spread evenly.  The k-th slot
+of a source takes the k-th block of that source's words: its documents in shuffled order, end to end, and round
+again once they are used up.
 """
 
 from __future__ import annotations
@@ -17,13 +19,12 @@ from tessella.llm.common import ASCII_SPACE, stored
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: The schedule's resolution: slots in the whole mix, whatever its size.
+#: The schedule's resolution: full slots in the whole mix, whatever its size.
 SLOTS = 1 << 18
-#: Points are 32 bits; cells of the line [0, 1) turn the range join with the weights into an equi-join.
+#: Points are 32 bits.
 BITS = 32
-CELLS = 4096
-#: Slots that are ranked together, and parts of a source's shuffled order.
-RUN = 1024
+#: Stretches of the line [0, 1) whose slots are numbered together, and parts of a source's shuffled order.
+RUNS = 256
 PARTS = 4096
 
 
@@ -39,7 +40,7 @@ def van_der_corput(i: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
-    """(source, source_size, target, lo, hi, n_sources ...): a row per source, by code point, null last.
+    """(source, source_size, target, words, at, total): a row per source, by code point, null last; words is the target in whole words.
 
     The sources share `share` times all words by weight.  A target stops at `most` times its
     source's size; what is over goes to the others by weight until none is above.  In order of
@@ -59,33 +60,21 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) ->
     ends = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "at", "level"))).over(all_rows)["level"]
     ranked = ranked.withColumn("target", F.when(F.col("ratio") < ends, F.col("cap")).otherwise(F.least("cap", ends * F.col("weight"))))
     total = F.sum("target").over(all_rows)
-    share_of = F.when(total > 0, F.col("target") / total).otherwise(F.lit(0.0))
-    upto = F.sum("part").over(Window.orderBy("at"))
-    return (
-        ranked.withColumn("total", total)
-        .withColumn("part", share_of)
-        .withColumn("hi", upto)
-        .withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("at")), F.lit(0.0)))
-        .withColumn("hi", F.when(F.lead("at").over(Window.orderBy("at")).isNull(), F.lit(1.0)).otherwise(F.col("hi")))
-        .select("source", "source_size", "target", "at", "lo", "hi", "total")
-    )
+    return ranked.withColumn("total", total).withColumn("words", F.round("target").cast("long")).select("source", "source_size", "target", "words", "at", "total")
 
 
 def schedule(targets: DataFrame, total: float, slots=SLOTS) -> tuple[DataFrame, int]:
     """((slot, at, rank), block): which source (by its place `at`) each slot goes to, and its rank among that source's slots."""
-    spark = targets.sparkSession
     block = max(1, -(-int(total) // slots))
-    n = -(-int(total) // block)
-    points = spark.range(n).select(F.col("id").alias("slot"), van_der_corput(F.col("id")).alias("point"))
-    points = points.withColumn("cell", F.floor(F.col("point") * CELLS))
-    last = F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1))
-    cells = targets.where("hi > lo").select("at", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), last)).alias("cell"))
-    placed = points.join(cells, "cell").where("point >= lo AND point < hi").select("slot", "at", F.floor(F.col("slot") / RUN).alias("run"))
-    # a hot source's rank is summed over runs of slots: no task gets all its slots
-    runs = placed.groupBy("at", "run").agg(F.count(F.lit(1)).alias("k"))
-    runs = runs.withColumn("first", F.sum("k").over(Window.partitionBy("at").orderBy("run")) - F.col("k"))
-    in_run = Window.partitionBy("at", "run").orderBy("slot")
-    return placed.withColumn("i", F.row_number().over(in_run) - 1).join(runs, ["at", "run"]).select("slot", "at", (F.col("first") + F.col("i")).alias("rank")), block
+    filled = targets.where("words > 0").select("at", F.expr(f"(words + {block - 1}L) div {block}L").alias("n"))
+    ranks = filled.select("at", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("rank"))
+    placed = ranks.select("at", "rank", ((F.col("rank") + van_der_corput(F.col("at"))) / F.col("n")).alias("point"))
+    # slots are numbered in stretches of the line: no task gets all of them
+    placed = placed.withColumn("run", F.floor(F.col("point") * RUNS))
+    runs = placed.groupBy("run").agg(F.count(F.lit(1)).alias("k"))
+    runs = runs.withColumn("first", F.sum("k").over(Window.orderBy("run")) - F.col("k"))
+    in_run = Window.partitionBy("run").orderBy("point", "at")
+    return placed.withColumn("i", F.row_number().over(in_run) - 1).join(runs, "run").select((F.col("first") + F.col("i")).alias("slot"), "at", "rank"), block
 
 
 def mix(documents: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", seed="mix", weights=WEIGHTS, share=SHARE, most=MOST, slots=SLOTS) -> DataFrame:
@@ -113,13 +102,14 @@ def mix(documents: DataFrame, *, id_col="doc_id", text_col="text", source_col="s
     s, p = sized.withColumn("inside", inside).alias("s"), parts.alias("p")
     begun = s.join(p, F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.part") == F.col("p.part"))).select("s.doc_id", "s.source", "s.size", (F.col("first") + F.col("inside")).alias("begin"))
     b, t = begun.alias("b"), targets.alias("t")
-    known = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.doc_id", "b.size", "b.begin", "t.source_size", "t.target", "t.at")
+    known = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.doc_id", "b.size", "b.begin", "t.source_size", "t.target", "t.at", F.col("t.words").alias("due"))
     rounds = known.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(most)])))
     rounds = rounds.withColumn("a", F.col("turn") * F.col("source_size") + F.col("begin"))
     touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block)))
     pieces = rounds.withColumn("rank", F.explode_outer(touched))
-    low, high = F.greatest("a", F.col("rank") * block), F.least(F.col("a") + F.col("size"), (F.col("rank") + 1) * block)
-    joined = pieces.join(slot, ["at", "rank"], "left")
+    low, high = F.greatest("a", F.col("rank") * block), F.least(F.col("a") + F.col("size"), (F.col("rank") + 1) * block, "due")
+    # a source's last slot ends where its target does
+    joined = pieces.join(slot, ["at", "rank"], "left").withColumn("slot", F.when(low < F.col("due"), F.col("slot")))
     words = F.when(F.col("slot").isNull(), F.lit(0)).otherwise(high - low).cast("long")
     return joined.select("slot", "doc_id", "size", "source_size", "target", "at", "begin", (low - F.col("a")).alias("words_from"), words.alias("words"))
 

@@ -182,6 +182,21 @@ def test_mix(docs, none, rows):
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mixed_documents(none).count() == 0
 
 
+def test_mix_of_tiny_sources_in_large_blocks(spark):
+    small = [(None, 3), ("a", 1), ("b", 7), ("c", 40), ("d", 260)]
+    rows = [(i, "w " * 50, "hot") for i in range(2000)]
+    rows += [(10_000 + 100 * k + i, "w " * min(5, n - 5 * i), s) for k, (s, n) in enumerate(small) for i in range(-(-n // 5))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken(frame, slots=64).join(frame.select("doc_id", "source"), "doc_id").collect()
+    assert len(got) == len(rows) and sum(r["taken"] for r in got) // 64 > 1000
+    for s in (None, "a", "b", "c", "d", "hot"):
+        own = [r for r in got if r["source"] == s]
+        assert sum(r["taken"] for r in own) == pytest.approx(own[0]["target"], rel=0.01, abs=0.5)
+    slots = [r["slot"] for r in mixing.mix(frame, slots=64).where("slot IS NOT NULL").select("slot", "at").distinct().collect()]
+    assert sorted(slots) == list(range(len(slots)))
+    assert {r["source"] for r in mixing.mixed_documents(frame, slots=64).collect()} == {s for s, _ in small} | {"hot"}
+
+
 # archives --------------------------------------------------------------------------------------------------------
 
 
