@@ -56,7 +56,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [fingerprint(t.as_buffer() and bytes(t.as_buffer())) if t.is_valid and len(t.as_buffer()) else 0 for t in batch["text"]]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(prints, pa.int64())], ["doc_id", "text_hash", "fp"])
 
 
 class Golay:
@@ -129,14 +129,19 @@ def components(documents: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
     without words have fingerprint 0 and are linked like any other.  Repeated rows and ties
     get the same component.  An empty table gives no rows; other columns are not read.
     """
-    source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    prints = stored(source.mapInArrow(_fingerprints, source.select("doc_id").withColumn("fp", F.lit(0).cast("long")).schema), "fingerprints")
+    return _components(documents, id_col, text_col).select("doc_id", "fp", "root", "component_id")
+
+
+def _components(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """components() with text_hash, which tells apart the texts of rows whose id repeats or is null."""
+    source = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    prints = stored(source.mapInArrow(_fingerprints, source.select("doc_id", "text_hash").withColumn("fp", F.lit(0).cast("long")).schema), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
     roots = connected_components(links(distinct)).withColumnRenamed("node", "fp")
     rooted = stored(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     known = stored(rooted.join(named, "root").select("fp", "root", "component_id"), "components")
-    return prints.join(known, "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(known, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def hex_print(fp):
@@ -144,12 +149,14 @@ def hex_print(fp):
 
 
 def deduplicated(documents: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """The documents with all their columns, one of each component: that of least id (one row of it, if the id repeats)."""
-    found = components(documents, id_col=id_col, text_col=text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("root").alias("__root"), F.col("fp").alias("__fp"))
-    # the same id may stand on several rows of a component
-    keep = keep.groupBy("__root", "__id").agg(F.min("__fp").alias("__fp"))
-    unique = Window.partitionBy(F.col(id_col), F.col("__root")).orderBy(F.xxhash64(text_col), F.xxhash64(*documents.columns))
-    joined = documents.join(keep, documents[id_col].eqNullSafe(F.col("__id")))
+    """The documents with all their columns, one of each component: that of least id, null last, and of its texts that of least hash.
+
+    An id may repeat or be null: a row is known by its id and its text's hash.  Rows that have both in common count once.
+    """
+    found = _components(documents, id_col, text_col)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+    keep = found.groupBy(F.col("root").alias("__root")).agg(least).select("__root", F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash"))
+    unique = Window.partitionBy("__root").orderBy(F.xxhash64(*documents.columns))
+    joined = documents.join(keep, documents[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(documents[text_col]) == F.col("__hash")))
     repeated = joined.withColumn("__row", F.row_number().over(unique)).where("__row = 1")
     return repeated.select(*documents.columns)

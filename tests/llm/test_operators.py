@@ -359,6 +359,18 @@ def test_simhash(spark, docs, none, rows):
     assert simhash.components(none).count() == 0
 
 
+def test_deduplication_of_null_and_repeated_ids(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(80)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:9]] + [(8, texts[9]), (None, texts[9]), (9, texts[10]), (9, texts[10]), (3, texts[10]), (None, texts[11]), (None, texts[11]), (None, None), (None, "")]
+    got = [tuple(r) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = rows[:9] + [(8, texts[9]), (3, texts[10]), (None, texts[11])]
+    assert pairs(r for r in got if r[1]) == pairs(want)
+    assert len(got) == len(want) + 1  # and one of the two without words
+
+
 def test_golay_keys_miss_no_pair(spark):
     import random
 
