@@ -29,6 +29,10 @@ FILE_BYTES = 32 << 20
 #: Up to this many digests with copies (about 100 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 MAGIC = re.compile(rb"WARC/1\.1\r\n")
+BLANK = re.compile(rb"\r\n\r\n")
+FIELD = re.compile(rb"\r\n(Content-Length|X-Page-Id|X-Refers-To-Page-Id|WARC-Type|WARC-Payload-Digest): ([^\r\n]*)(?=\r\n)")
+#: The record type of the row that stands for a file's end.
+END = "end"
 CANDIDATE = "archive string, offset long, next long, bytes long, page_id long, record_type string, refers_to long, stated string, payload_bytes long, payload_digest string"
 
 
@@ -69,10 +73,11 @@ def records(pages: DataFrame, *, id_col="page_id", url_col="url", payload_col="h
     return joined.select(F.concat(head, block).alias("record"))
 
 
-def write(pages: DataFrame, path: str, *, payload_col="html", file_bytes=FILE_BYTES, **names) -> None:
+def write(pages: DataFrame, path: str, *, url_col="url", payload_col="html", file_bytes=FILE_BYTES, **names) -> None:
     """Write the archive files of pages below path; how many records a file gets follows from their mean size."""
-    mean = pages.agg(F.avg(F.coalesce(F.octet_length(payload_col), F.lit(0)))).first()[0] or 0.0
-    sink = records(pages, payload_col=payload_col, **names).write.option("lineSep", EOL * 2)
+    length = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    mean = pages.agg(F.avg(length(payload_col) + length(url_col))).first()[0] or 0.0
+    sink = records(pages, url_col=url_col, payload_col=payload_col, **names).write.option("lineSep", EOL * 2)
     sink.option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 600)))).text(path)
 
 
@@ -83,13 +88,16 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for archive, content in zip(batch["path"], batch["content"]):
             data = memoryview(content.as_buffer()) if len(content.as_buffer()) else memoryview(b"")
             rows = []
+            end, last = -1, {}
             for m in MAGIC.finditer(data):
                 at = m.start()
-                head = bytes(data[at : at + (1 << 16)])
-                end = head.find(b"\r\n\r\n")
-                if end < 0:
-                    continue
-                field = dict(line.split(b": ", 1) for line in head[:end].split(b"\r\n")[1:] if b": " in line)
+                if end < at:
+                    # heads that end at the same blank line are searched and read once
+                    if (blank := BLANK.search(data, at)) is None:
+                        break
+                    end = blank.start()
+                    last = {f[1]: (f.start(), f[2]) for f in FIELD.finditer(data, at, end + 2)}
+                field = {name: value for name, (place, value) in last.items() if place > at}
                 try:
                     length = int(field[b"Content-Length"])
                     page = int(field[b"X-Page-Id"]) if field.get(b"X-Page-Id") else None
@@ -98,25 +106,26 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     stated = field[b"WARC-Payload-Digest"].decode("ascii").removeprefix("sha256:")
                 except (KeyError, ValueError):
                     continue  # not the head of a record
-                start, stop = at + end + 4, at + end + 4 + length
+                start, stop = end + 4, end + 4 + length
                 if length < 0 or bytes(data[stop : stop + 4]) != b"\r\n\r\n":
                     continue
                 block = data[start:stop]
                 body = bytes(block[:4096]).find(b"\r\n\r\n") + 4
                 rows.append((archive.as_py(), at, stop + 4, len(data), page, kind, refers, stated, length - body, hashlib.sha256(block[body:]).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+            rows.append((archive.as_py(), len(data), None, len(data), None, END, None, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place of the archives below path that reads as a record, with its successor's offset."""
+    """Every place of the archives below path that reads as a record, with its successor's offset, and each file's end."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_candidates, CANDIDATE)
 
 
 def on_chain(found: DataFrame) -> DataFrame:
     """(archive, offset) of the candidates that the chain from each file's first byte reaches, by pointer jumping."""
-    jump = found.select("archive", "offset", "next")
-    reached = stored(jump.select("archive").distinct().withColumn("offset", F.lit(0).cast("long")), "reached")
+    jump = found.where(F.col("next").isNotNull()).select("archive", "offset", "next")
+    reached = stored(found.select("archive").distinct().withColumn("offset", F.lit(0).cast("long")), "reached")
     n, before = reached.count(), -1
     while n != before:
         # what 2**k steps lead to from what is reached; then pointers of twice that length
@@ -132,13 +141,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): the verified records of the archives below path.
 
     A response's length and digest come from its payload as stored, a revisit's from the response it
-    refers to.  Files without a record at their first byte, and empty folders, give no rows.
+    refers to.  Empty files and folders give no rows.  A file that is not records from its first byte to its last is
+    an error: nothing is left out unseen.
     """
     found = stored(candidates(spark, path), "candidates")
     kept = stored(found.join(on_chain(found), ["archive", "offset"]), "records")
+    broken = found.where(F.col("record_type") == END).join(kept.where(F.col("record_type") == END), "archive", "left_anti").select("archive").take(3)
+    if broken:
+        raise ValueError(f"not records from end to end: {', '.join(r[0] for r in broken)}")
     full = kept.where("record_type = 'response'")
     known = full.groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("bytes_of"))
-    again = kept.where("record_type <> 'response'").join(known, (F.col("refers_to") == F.col("of")) & (F.col("stated") == F.col("digest")), "left")
+    again = kept.where(~F.col("record_type").isin("response", END)).join(known, (F.col("refers_to") == F.col("of")) & (F.col("stated") == F.col("digest")), "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return full.select(*columns).unionAll(again.select("page_id", F.col("bytes_of"), F.col("digest"), "record_type", "refers_to"))
 

@@ -219,6 +219,21 @@ def test_archives(spark, data):
     assert warc.round_trip(frame.limit(0)).count() == 0
 
 
+def test_archives_of_long_urls(spark, tmp_path):
+    pages = [(i, "http://a/" + "u" * (200_000 if i % 3 == 1 else 9), f"{i % 7} " * 200) for i in range(20)]
+    pages += [(20, "WARC/1.1", "a WARC/1.1\r\nContent-Length: 1\r\n" * 4000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = [tuple(r) for r in warc.round_trip(frame).collect()]
+    again = lambda i: 7 <= i < 20
+    assert pairs(got) == pairs((i, len(h), sha256(utf8(h)).hexdigest(), "revisit" if again(i) else "response", i % 7 if again(i) else None) for i, _, h in pages)
+    warc.write(frame, str(tmp_path / "cut"))
+    (part,) = (tmp_path / "cut").glob("part-*")
+    (tmp_path / "short").mkdir()
+    (tmp_path / "short" / "part-0").write_bytes(part.read_bytes()[:-3000])
+    with pytest.raises(ValueError):
+        warc.read(spark, str(tmp_path / "short"))
+
+
 # shards ----------------------------------------------------------------------------------------------------------
 
 
