@@ -7,6 +7,10 @@ at least CONTAINED of the shingles then have a Jaccard similarity of at least `l
 computed from that so that the pair shares a band with probability 1 - MISS.  What shares a band is
 verified on the words themselves: how many of the template's distinct shingles stand in the window.
 
+Inserted words spread a template over more than a window.  So the words at which a template's shingles stand are also
+compared with the templates over the whole text: one of which the text as a whole holds CONTAINED is found, however far its
+shingles are apart.
+
 A window in which no shingle of any template stands cannot share a band with one, so only windows near such
 shingles are formed; that leaves out nothing.  Templates are few and travel with the tasks; the documents are read
 once, whole, and nothing is shuffled.
@@ -141,6 +145,11 @@ class Scanner:
                 for key in self._bands(self.hashes[i], seeds).tolist():
                     keys.setdefault(key, set()).add(i)
             self.classes.append((window, stride, seeds, keys))
+        #: Which templates each shingle stands in.
+        self.of: dict[tuple, list[int]] = {}
+        for i, grams in enumerate(self.grams):
+            for gram in grams:
+                self.of.setdefault(gram, []).append(i)
         self.longest = max((c[0] for c in self.classes), default=1)
         self.known = np.unique(np.concatenate(self.hashes)) if self.hashes else np.zeros(0, np.uint64)
         self.quick = np.zeros(1 << 16, dtype=bool)
@@ -152,8 +161,8 @@ class Scanner:
         with np.errstate(over="ignore"):
             return _mixed(least[:, 0] + _mixed(least[:, 1] + np.arange(len(least), dtype=np.uint64)))
 
-    def _part(self, text: bytes) -> tuple[list[tuple[int, int, int, float]], int]:
-        """Matches of one part, by word, and its number of words."""
+    def _part(self, text: bytes, before: int, held_of: dict[int, tuple[set, int, int]]) -> tuple[list[tuple[int, int, int, float]], int]:
+        """Matches of one part, by word, and its number of words; held_of gets (shingles, first, last place) by template."""
         data = np.frombuffer(text.lower(), dtype=np.uint8)
         hashes, starts, ends = shingle_hashes(data)
         if not len(hashes):
@@ -163,6 +172,12 @@ class Scanner:
         found = []
         if len(near):
             low = text.lower()
+            for k in near.tolist():
+                gram = tuple(low[a:b] for a, b in zip(starts[k : k + SHINGLE].tolist(), ends[k : k + SHINGLE].tolist()))
+                for i in self.of.get(gram, ()):
+                    grams, first, _ = held_of.get(i, (set(), before + k, 0))
+                    grams.add(gram)
+                    held_of[i] = (grams, first, before + k)
             for window, stride, seeds, keys in self.classes:
                 last = max(0, len(hashes) - window)
                 first, final = np.maximum(0, -(-(near - window + 1) // stride)), near // stride
@@ -204,11 +219,17 @@ class Scanner:
 
     def matches(self, text: bytes) -> tuple[int, list[tuple[str, int, int, float]]]:
         """(words, [(license, first word, word after the last, containment)]): overlapping finds of one license are one."""
-        n, found = 0, []
+        n, found, held_of, whole = 0, [], {}, set()
         for part, before in self._cut(text):
-            own, held = self._part(part)
+            own, held = self._part(part, before, held_of)
             n = max(n, before + held)
             found += [(self.names[i], a + before, b + before, share) for i, a, b, share in own]
+            whole |= {m[0] for m in own}
+        # what no window holds but the text as a whole
+        for i in sorted(held_of.keys() - whole):
+            grams, first, last = held_of[i]
+            if (share := len(grams) / len(self.grams[i])) >= self.contained:
+                found.append((self.names[i], first, last + SHINGLE, share))
         out: list[tuple[str, int, int, float]] = []
         for name, a, b, share in sorted(found):
             if out and out[-1][0] == name and a < out[-1][2]:

@@ -474,3 +474,26 @@ def test_license_matches_are_found_in_every_part_of_a_long_text():
         here = text.rfind(b" ", 0, at) + 1
         n, found = licenses.Scanner().matches(text[:here] + b"Released under the MIT License. " + text[here:])
         assert [m[0] for m in found] == ["MIT"] and n == 170_005 and found[0][1] == len(text[:here].split())
+
+
+def test_licenses_with_inserted_words_are_found_in_the_whole_text():
+    import random
+
+    rng = random.Random(11)
+    scanner = licenses.Scanner()
+
+    def whole(text):
+        w = licenses.words(text.encode())
+        held = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return {scanner.names[i] for i, g in enumerate(scanner.grams) if len(held & g) >= 0.8 * len(g)}
+
+    spread = 0
+    for name, text in licenses.TEMPLATES:
+        for foreign in (5, 10, 15, 20, 300, 200_000):
+            words = text.split()
+            at = rng.randrange(len(words))
+            text_of = " ".join(["before"] * 30 + words[:at] + [f"x{i}" for i in range(foreign)] + words[at:] + ["after"] * 30)
+            n, found = scanner.matches(text_of.encode())
+            assert {m[0] for m in found} == whole(text_of) and n == len(licenses.words(text_of.encode()))
+            spread += any(m[2] - m[1] > foreign for m in found)
+    assert spread > 5
