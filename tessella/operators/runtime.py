@@ -1,7 +1,6 @@
 """What happens between frames: refinement memory, delays, loads, late results, camera frames; as windows over event rows.
 
-Everything is per runtime (`key`), which is what partitions; folds over a key's frames are array aggregates on the frames of
-that tile alone.
+Everything is per runtime (`key`), which is what partitions; no key's frames are collected into a row.
 """
 
 from __future__ import annotations
@@ -28,16 +27,21 @@ def coarsening_delay(frames: DataFrame, *, key: list[str], frame: str = "frame",
     """Adds refining, delayed and wake_ms: a refined tile that nothing requires any more stays refined up to delay_ms.
 
     The delay runs over consecutive frames: one that is not seen starts it anew, one that requires the tile ends it.  Rows are
-    the frames in which the tile is seen.
+    the frames in which the tile is seen.  Frames in a row that do not require the tile share the clock of the first; the
+    first frame beyond the delay ends refining until the tile is required again, so what was decided last needs no fold.
     """
-    rows = frames.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(frame).cast("long").alias("f"), F.col(clock).cast("long").alias("c"), F.col(required).cast("boolean").alias("q")))).alias("seen"))
-    zero = "named_struct('refining', false, 'since', CAST(NULL AS bigint), 'last', CAST(NULL AS bigint), 'out', CAST(array() AS array<struct<f: bigint, refining: boolean, delayed: boolean, wake: bigint>>))"
-    begun = f"CASE WHEN s.q OR NOT a.refining OR {delay_ms} = 0 THEN NULL WHEN a.since IS NOT NULL AND a.last >= s.f - 1 THEN a.since ELSE s.c END"
-    delayed = f"coalesce(s.c < ({begun}) + {delay_ms}, false)"
-    step = f"named_struct('refining', s.q OR {delayed}, 'since', {begun}, 'last', CASE WHEN ({begun}) IS NULL THEN NULL ELSE s.f END, 'out', concat(a.out, array(named_struct('f', s.f, 'refining', s.q OR {delayed}, 'delayed', {delayed}, 'wake', CASE WHEN {delayed} THEN ({begun}) + {delay_ms} END))))"
-    folded = rows.select(*key, F.expr(f"aggregate(seen, {zero}, (a, s) -> {step}, a -> a.out)").alias("o"))
-    out = folded.select(*key, F.explode("o").alias("o")).select(*key, F.col("o.f").alias(frame), "o.refining", "o.delayed", F.col("o.wake").alias("wake_ms"))
-    return frames.join(out, [*key, frame])
+    w = Window.partitionBy(*key).orderBy(F.col(frame).cast("long"), F.col(clock).cast("long"), F.col(required).cast("boolean"))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    q, f, c = F.coalesce(F.col(required).cast("boolean"), F.lit(False)), F.col(frame).cast("long"), F.col(clock).cast("long")
+    goes_on = ~F.lag(q).over(w) & (F.lag(f).over(w) >= f - 1)
+    begins = frames.withColumn("__begins", ~q & ~F.coalesce(goes_on, F.lit(False)))
+    since = F.last(F.when(F.col("__begins"), F.struct(c.alias("c"))), ignorenulls=True).over(upto)["c"]
+    inside = begins.withColumn("__until", since + delay_ms)
+    late = ~F.coalesce(c < F.col("__until"), F.lit(False))
+    decided = F.last(F.when(q, True).when(late, False), ignorenulls=True).over(upto)
+    out = inside.withColumn("refining", F.coalesce(decided, F.lit(False))).withColumn("delayed", F.col("refining") & ~q)
+    rest = [n for n in frames.columns if n not in (*key, frame)]
+    return out.select(*key, frame, *rest, "refining", "delayed", F.when(F.col("delayed"), F.col("__until")).alias("wake_ms"))
 
 
 def coalesce_frames(cameras: DataFrame, *, key: list[str], batch: str, order: str, flags: str = "change_flags") -> DataFrame:

@@ -20,6 +20,22 @@ def test_delay_needs_frames_in_a_row(spark):
     assert got[("b", 4)] == (True, True, 650) and got[("b", 5)][0] and got[("c", 4)] == (True, True, 750)
 
 
+def test_delay_is_a_fold_without_collecting(spark):
+    rng = random.Random(4)
+    rows = [(k, i, 100 * i + rng.randrange(150), rng.random() < 0.3) for k in "abcd" for i in range(200) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "tile string, frame long, clock_ms long, required boolean")
+    out = O.coarsening_delay(df, key=["tile"])
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    want, state = set(), {}
+    for k, f, c, q in rows:
+        refining, since, last = state.get(k, (False, None, None))
+        begun = None if q or not refining else since if since is not None and last >= f - 1 else c
+        delayed = begun is not None and c < begun + 300
+        state[k] = (q or delayed, begun, f)
+        want.add((k, f, q or delayed, delayed, begun + 300 if delayed else None))
+    assert {tuple(r) for r in out.select("tile", "frame", "refining", "delayed", "wake_ms").collect()} == want
+
+
 def test_hysteresis_by_window(spark):
     rng = random.Random(2)
     rows = [(k, i, rng.uniform(0, 20)) for k in "abc" for i in range(60)]
