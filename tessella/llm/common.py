@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A key is hot if it has this share of all rows or more; so there are 1 / HOT of them at most.
+HOT = 0.001
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +51,42 @@ def split_words(text: Column, gap: str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), gap), "")
 
 
-def row_counts(df: DataFrame, limit: int) -> bool:
-    """Whether df has at most `limit` rows, reading no more than it needs."""
-    return df.limit(limit + 1).count() <= limit
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        return name
+
+    return [free(n) for n in names]
+
+
+def named(*columns: str) -> list[Column]:
+    """Columns by their exact names, which may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; what cannot be hashed as it is (maps, variants) is written as JSON first."""
+    odd = [c for c, kind in df.dtypes if "map<" in kind or "variant" in kind]
+    return F.xxhash64(*named(*[c for c in df.columns if c not in odd]), *[F.to_json(F.struct(c)) for c in named(*odd)])
+
+
+def hot_of(counts: DataFrame, *keys: str) -> DataFrame | None:
+    """The keys that hold at least HOT of all rows (so 1 / HOT of them at most), or None; counts is a stored table of keys and their rows n."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") >= max(HOT * total, 2)).select(*keys)
+    return None if hot.isEmpty() else hot
+
+
+def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, which has one row for each key; rows of hot keys meet a broadcast table of 1 / HOT rows at most and are not shuffled."""
+    if hot is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)
+    few = F.broadcast(right.join(hot, keys, "left_semi"))
+    often = left.join(hot, keys, "left_semi").join(few, keys, how)
+    return often.unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))

@@ -7,9 +7,9 @@ three bits.  The codewords around a word and its 23 one-bit neighbours are one o
 words at most two bits apart have a word within one bit of both, and so share one of them.  So
 (segment that agrees, codeword index of the next) are at most 18 keys for each fingerprint, and no linked pair is missed.
 
-Fingerprints that share a key with another are verified by the same argument on
-all 64 bits: two of them are linked exactly if some word is within one bit of both.  At most
-65 fingerprints surround a word, so no group of the verifying join can grow with the data.
+Fingerprints that share a key are paired and their bits compared.  A key that more than MOST_PAIRED fingerprints
+share is not paired: its fingerprints are spread by their one-bit neighbours, of which two of them
+have one in common exactly if they are linked, and no more than 65 fingerprints surround a word.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessella.llm.common import stored
+from tessella.llm.common import hot_of, named, row_hash, skewed_join, stored, unused
 from tessella.llm.graphs import connected_components
 
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -31,6 +31,12 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SEED = 42
 SHINGLE = 3
+#: Bits in which linked fingerprints differ at most.
+BITS = 2
+#: Fingerprints of a key that are compared pair by pair.
+MOST_PAIRED = 256
+#: Up to this many hot keys (8 bytes each) are broadcast; beyond, their rows are salted and shuffled.
+BROADCAST_ROWS, SALTS = 500_000, 64
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -106,19 +112,40 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(fp[row]), pa.array(keys)], ["fp", "key"])
 
 
-def links(prints: DataFrame) -> DataFrame:
+def _near(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= BITS
+
+
+def _by_neighbours(prints: DataFrame) -> DataFrame:
+    """Edges (a, b): around each word of 64 bits, all fingerprints within one bit are tied to the least."""
+    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(64)])
+    around = prints.select("fp", F.explode(flips).alias("u"))
+    least = around.withColumn("m", F.min("fp").over(Window.partitionBy("u")))
+    return least.where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+
+
+def links(prints: DataFrame, most_paired: int = MOST_PAIRED) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that differ in one or two bits.
 
-    Not every linked pair is an edge: around each word of 64 bits, all are tied to the least,
-    which leaves the same components with at most 65 edges for a fingerprint.
+    All such pairs are edges, but for those of keys that more than most_paired share: there, fingerprints
+    are tied to the least of those around a word, which leaves the same components.
     """
     keys = stored(prints.select("fp").distinct().mapInArrow(_keys, "fp long, key long"), "golay-keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    candidates = keys.join(shared, "key").select("fp").distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(64)])
-    around = candidates.select("fp", F.explode(flips).alias("u"))
-    least = around.withColumn("m", F.min("fp").over(Window.partitionBy("u")))
-    return least.where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct()
+    hot = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_paired).select("key"), "hot-keys")
+    n_hot = hot.count()
+    spread = None
+    if n_hot:
+        if n_hot <= BROADCAST_ROWS:
+            own = F.broadcast(hot)
+        else:  # a hot key's rows are dealt over SALTS places
+            keys = keys.withColumn("salt", F.pmod("fp", F.lit(SALTS)))
+            own = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        on = [c for c in keys.columns if c != "fp"]
+        spread = stored(keys.join(own, on, "left_semi").select("fp").distinct(), "spread-prints")
+        keys = keys.join(own, on, "left_anti")
+    a, b = keys.select("key", F.col("fp").alias("a")), keys.select("key", F.col("fp").alias("b"))
+    pairs = a.join(b, "key").where((F.col("a") > F.col("b")) & _near(F.col("a"), F.col("b"))).select("a", "b")
+    return (pairs.unionAll(_by_neighbours(spread)) if spread is not None else pairs).distinct()
 
 
 def components(documents: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -136,12 +163,12 @@ def _components(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """components() with text_hash, which tells apart the texts of rows whose id repeats or is null."""
     source = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     prints = stored(source.mapInArrow(_fingerprints, source.select("doc_id", "text_hash").withColumn("fp", F.lit(0).cast("long")).schema), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-prints")
     roots = connected_components(links(distinct)).withColumnRenamed("node", "fp")
     rooted = stored(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     known = stored(rooted.join(named, "root").select("fp", "root", "component_id"), "components")
-    return prints.join(known, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    return skewed_join(prints, known, ["fp"], hot_of(distinct, "fp")).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def hex_print(fp):
@@ -151,12 +178,17 @@ def hex_print(fp):
 def deduplicated(documents: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """The documents with all their columns, one of each component: that of least id, null last, and of its texts that of least hash.
 
-    An id may repeat or be null: a row is known by its id and its text's hash.  Rows that have both in common count once.
+    An id may repeat or be null: a row is known by its id and its text's hash, and of rows that have both in common one stays.
+    Null and empty texts, and others without words, are one component.  An empty table gives no rows; the
+    names and types of further columns do not matter.
     """
     found = _components(documents, id_col, text_col)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
-    keep = found.groupBy(F.col("root").alias("__root")).agg(least).select("__root", F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash"))
-    unique = Window.partitionBy("__root").orderBy(F.xxhash64(*documents.columns))
-    joined = documents.join(keep, documents[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(documents[text_col]) == F.col("__hash")))
-    repeated = joined.withColumn("__row", F.row_number().over(unique)).where("__row = 1")
-    return repeated.select(*documents.columns)
+    keep = stored(found.groupBy("root").agg(least).select("root", "least.doc_id", "least.text_hash"), "kept-rows")
+    hash_, root, row, kept_id, kept_hash = unused(documents, "text_hash", "root", "row", "kept_id", "kept_hash")
+    (own_id, text), columns = named(id_col, text_col), named(*documents.columns)
+    own = documents.withColumn(hash_, F.xxhash64(text))
+    kept = keep.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash), F.col("root").alias(root))
+    joined = own.join(kept, own_id.eqNullSafe(F.col(kept_id)) & (F.col(hash_) == F.col(kept_hash)))
+    unique = Window.partitionBy(root).orderBy(row_hash(documents))
+    return joined.withColumn(row, F.row_number().over(unique)).where(F.col(row) == 1).select(*columns)
