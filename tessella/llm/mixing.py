@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ASCII_SPACE, stored
+from tessella.llm.common import ASCII_SPACE, named, row_hash, stored, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -77,16 +77,22 @@ def schedule(targets: DataFrame, total: float, slots=SLOTS) -> tuple[DataFrame,
     return placed.withColumn("i", F.row_number().over(in_run) - 1).join(runs, "run").select((F.col("first") + F.col("i")).alias("slot"), "at", "rank"), block
 
 
+def row_key(id_: Column, source: Column, text: Column, seed: str) -> Column:
+    """What documents are shuffled by, and known by: equal only for rows of one id, source and text."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    return F.md5(F.concat_ws("/", F.lit(seed), part(id_), F.coalesce(F.md5(text), F.lit("-")), part(source)))
+
+
 def mix(documents: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", seed="mix", weights=WEIGHTS, share=SHARE, most=MOST, slots=SLOTS) -> DataFrame:
-    """(slot, doc_id, size, source_size, target, words_from, words): which words of which document each slot takes.
+    """(slot, key, doc_id, size, source_size, target, at, begin, words_from, words): which words of which document each slot takes.
 
     A row of slot null stands for a document of which this pass takes nothing.  Null texts and
     sources are an empty text and a source of their own, last.  Repeated ids are documents each.  An
-    empty table gives no rows.  Only the three named columns are read.
+    empty table gives no rows.  Only the three named columns are read.  The slots' order is the mix's.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), F.xxhash64(text_col).cast("string")))
+    id_, source, text = named(id_col, source_col, text_col)
     sized = stored(
-        documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
+        documents.select(id_.alias("doc_id"), source.alias("source"), word_count(text).alias("size"), row_key(id_, source, text, seed).alias("key"))
         .withColumn("part", F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % PARTS),
         "sized",
     )
@@ -97,12 +103,12 @@ def mix(documents: DataFrame, *, id_col="doc_id", text_col="text", source_col="s
     # where each document begins in its source's shuffled order: sums of parts first, then within a part
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("words_in"))
     parts = parts.withColumn("first", F.sum("words_in").over(Window.partitionBy("source").orderBy("part")) - F.col("words_in"))
-    in_part = Window.partitionBy("source", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_part = Window.partitionBy("source", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = F.sum("size").over(in_part) - F.col("size")
     s, p = sized.withColumn("inside", inside).alias("s"), parts.alias("p")
-    begun = s.join(p, F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.part") == F.col("p.part"))).select("s.doc_id", "s.source", "s.size", (F.col("first") + F.col("inside")).alias("begin"))
+    begun = s.join(p, F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.part") == F.col("p.part"))).select("s.key", "s.doc_id", "s.source", "s.size", (F.col("first") + F.col("inside")).alias("begin"))
     b, t = begun.alias("b"), targets.alias("t")
-    known = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.doc_id", "b.size", "b.begin", "t.source_size", "t.target", "t.at", F.col("t.words").alias("due"))
+    known = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.key", "b.doc_id", "b.size", "b.begin", "t.source_size", "t.target", "t.at", F.col("t.words").alias("due"))
     rounds = known.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(most)])))
     rounds = rounds.withColumn("a", F.col("turn") * F.col("source_size") + F.col("begin"))
     touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block)))
@@ -111,27 +117,40 @@ def mix(documents: DataFrame, *, id_col="doc_id", text_col="text", source_col="s
     # a source's last slot ends where its target does
     joined = pieces.join(slot, ["at", "rank"], "left").withColumn("slot", F.when(low < F.col("due"), F.col("slot")))
     words = F.when(F.col("slot").isNull(), F.lit(0)).otherwise(high - low).cast("long")
-    return joined.select("slot", "doc_id", "size", "source_size", "target", "at", "begin", (low - F.col("a")).alias("words_from"), words.alias("words"))
+    return joined.select("slot", "key", "doc_id", "size", "source_size", "target", "at", "begin", (low - F.col("a")).alias("words_from"), words.alias("words"))
 
 
 def taken(documents: DataFrame, **names) -> DataFrame:
     """(doc_id, size, source_size, target, taken): the words the mix takes of each document, repeats counted."""
-    rows = mix(documents, **names)
+    return _taken(mix(documents, **names), names.get("most", MOST)).drop("key")
+
+
+def _taken(rows: DataFrame, most: int) -> DataFrame:
     # (at, begin) names a document with words; those without are a row for each round, of which one of `most` is counted
-    most = names.get("most", MOST)
-    some = rows.where("size > 0").groupBy("at", "begin", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken")).drop("at", "begin")
-    none = rows.where("size = 0").groupBy("doc_id", "at", "size", "source_size", "target").agg(F.count(F.lit(1)).alias("n"))
-    none = none.withColumn("i", F.explode(F.sequence(F.lit(1), (F.col("n") / most).cast("int")))).select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    some = rows.where("size > 0").groupBy("at", "begin", "key", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken")).drop("at", "begin")
+    none = rows.where("size = 0").groupBy("key", "doc_id", "size", "source_size", "target").agg(F.count(F.lit(1)).alias("n"))
+    none = none.withColumn("i", F.explode(F.sequence(F.lit(1), (F.col("n") / most).cast("int")))).select("key", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return some.unionByName(none)
 
 
-def mixed_documents(documents: DataFrame, *, id_col="doc_id", text_col="text", **names) -> DataFrame:
+def mixed_documents(documents: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", seed="mix", **names) -> DataFrame:
     """The documents of the mix with all their columns: each as often as it is taken, to the nearest whole time.
 
-    Only the document at which a source's last block ends is taken in part; it counts from half of it.
+    Only the document at which a source's target ends is taken in part; it counts from half of it.  Rows that
+    agree in id, source and text share what is taken of them, the first of them (by a hash of all columns) what is left over.  Documents
+    without words are not in the mix; null sources are a source, null ids an id.  An empty table gives no rows; the names
+    of further columns do not matter.  Rows of a table have no order: mix() has that of the slots.
     """
-    some = taken(documents, id_col=id_col, text_col=text_col, **names).where("size > 0")
-    times = some.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")).where("__times > 0")
-    own = documents.withColumn("__words", word_count(F.col(text_col)))
-    joined = own.join(times, own[id_col].eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[documents[c] for c in documents.columns])
+    some = _taken(mix(documents, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **names), names.get("most", MOST)).where("size > 0")
+    times = some.groupBy("key").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("times"), F.count(F.lit(1)).alias("rows"))
+    times = stored(times.where("times > 0"), "times")
+    key, of, whole, rows, i, again = unused(documents, "key", "key_of", "times", "rows", "i", "again")
+    columns = named(*documents.columns)
+    own = documents.withColumn(key, row_key(*named(id_col, source_col, text_col), seed))
+    joined = own.join(times.select(F.col("key").alias(of), F.col("times").alias(whole), F.col("rows").alias(rows)), F.col(key) == F.col(of))
+    count = F.col(whole)
+    if not times.where("rows > 1").isEmpty():
+        joined = joined.withColumn(i, F.row_number().over(Window.partitionBy(key).orderBy(row_hash(documents))))
+        count = F.floor(F.col(whole) / F.col(rows)) + (F.col(i) <= F.col(whole) % F.col(rows)).cast("long")
+    repeats = F.when(count > 0, F.sequence(F.lit(1).cast("long"), count)).otherwise(F.array().cast("array<bigint>"))
+    return joined.withColumn(again, F.explode(repeats)).select(*columns)
