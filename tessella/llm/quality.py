@@ -11,6 +11,7 @@ all documents, each whole, without a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import named, stored
+
 #: Labelled documents that are fitted on at most: those of least hash, so at random.
 SAMPLE_ROWS = 6000
-#: Passages of one document that are fitted on at most, evenly spaced; scoring takes all.
-SAMPLE_PASSAGES = 192
-#: Words of a passage, and bytes of a text after which a passage ends early (bounds memory).
+#: Passages that the fitted documents have in all, at most; a document counts whole or not at all, and scoring takes every one.
+SAMPLE_PASSAGES = 250_000
+#: Words of a passage, and bytes of a text after which a passage ends early (bounds memory): at the next white space, at twice that at the latest.
 PASSAGE_WORDS = 40
 SEGMENT_BYTES = 1 << 20
 #: Texts that are encoded together have up to this many bytes.
@@ -45,13 +48,32 @@ KIND = _kinds()
 KINDS = 13
 WIDTH = KINDS * KINDS + 5
 _SPACE = np.isin(KIND, (3, 4))
+_GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 _VALUES = np.where(_SPACE, 0, np.arange(1, 257)).astype(np.uint64)
 
 
+def segments(text: bytes) -> list[bytes]:
+    """The text in parts of SEGMENT_BYTES and what is left of the word there."""
+    out, begin = [], 0
+    while len(text) - begin > SEGMENT_BYTES:
+        gap = _GAP.search(text, begin + SEGMENT_BYTES, begin + 2 * SEGMENT_BYTES)
+        end = gap.start() if gap else min(len(text), begin + 2 * SEGMENT_BYTES)
+        out.append(text[begin:end])
+        begin = end
+    return [*out, text[begin:]] if begin < len(text) or not out else out
+
+
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(features, counts): a row for each passage of the texts in order, and how many each text has (one at least)."""
-    parts = [t[a : a + SEGMENT_BYTES] for t in texts for a in range(0, max(1, len(t)), SEGMENT_BYTES)]
-    of_part = [max(1, -(-len(t) // SEGMENT_BYTES)) for t in texts]
+    cut = [segments(t) for t in texts]
+    of_part = [len(c) for c in cut]
+    found = [_encoded(run) for run in grouped([p for c in cut for p in c])]
+    held = np.concatenate([h for _, h in found])
+    return np.concatenate([x for x, _ in found]), np.add.reduceat(held, np.concatenate(([0], np.cumsum(of_part)[:-1])))
+
+
+def _encoded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, counts) of parts that are passages of their own."""
     sizes = np.array([len(p) + 1 for p in parts])
     data = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
     first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
@@ -94,8 +116,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out[:, -2], out[:, -1] = np.log1p(n_words) / 4, n_words == 0
     else:
         out[:, -1] = 1
-    per_text = np.add.reduceat(held, np.concatenate(([0], np.cumsum(of_part)[:-1])))
-    return out, per_text
+    return out, held
 
 
 def grouped(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -191,50 +212,59 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = []
-        for text in _bytes(batch["text"]):
-            x, _ = passages([text])
-            if len(x) > SAMPLE_PASSAGES:
-                x = x[np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).astype(int)]
-            bags.append(x.astype(np.float16).tobytes())
-        yield pa.RecordBatch.from_arrays([batch["order"], batch["y"], pa.array(bags, pa.binary())], ["order", "y", "bag"])
+        for at in range(0, len(batch), 64):
+            part = batch.slice(at, 64)
+            bags = [passages([text])[0] for text in _bytes(part["text"])]
+            yield pa.RecordBatch.from_arrays(
+                [part["order"], part["y"], pa.array([len(x) for x in bags], pa.int64()), pa.array([x.astype(np.float16).tobytes() for x in bags], pa.binary())], ["order", "y", "n", "bag"]
+            )
 
 
-def learn(documents: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_id_col="doc_id", label_col="quality", sample_rows=SAMPLE_ROWS) -> Network | Constant:
-    """Fit on at most sample_rows labelled documents that are not held out.
+def learn(documents: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_id_col="doc_id", label_col="quality", sample_rows=SAMPLE_ROWS, sample_passages=SAMPLE_PASSAGES) -> Network | Constant:
+    """Fit on at most sample_rows labelled documents that are not held out, of at most sample_passages passages in all.
 
-    Labels repeated for an id count by their mean; null ids and labels are left out.  The labels' sample has a fixed
-    bound and is broadcast, so the documents' texts are not shuffled.
+    Documents are taken whole, in the order of a hash; one that no longer fits is passed over.  Labels repeated for
+    an id count by their mean; null ids and labels are left out.  The labels' sample has a fixed
+    bound and is broadcast, so the documents' texts are not shuffled; the driver holds 2 * WIDTH bytes for each of the passages.
     """
-    known = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    label_id, label, (own_id, text) = *named(label_id_col, label_col), named(id_col, text_col)
+    known = labels.select(label_id.alias("id"), label.cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     known = known.withColumn("order", F.xxhash64("id", F.lit("sample"))).orderBy("order", "id").limit(sample_rows)
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    found = texts.join(F.broadcast(known), "id").select("order", "y", "text").mapInArrow(_bags, "order long, y double, bag binary")
-    rows = found.orderBy("order", F.xxhash64("bag")).limit(sample_rows).collect()  # ids may repeat
-    y = np.array([r["y"] for r in rows])
-    if not 0 < y.sum() < len(y):
-        return Constant(float((y.sum() + 1) / (len(y) + 2)))
-    return Network.new().fit([np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH) for r in rows], y)
+    texts = documents.select(own_id.alias("id"), text.cast("binary").alias("text"))
+    found = texts.join(F.broadcast(known), "id").select("order", "y", "text").mapInArrow(_bags, "order long, y double, n long, bag binary")
+    found = stored(found, "bags").where(F.col("n") <= sample_passages)
+    bags, y, left = [], [], sample_passages
+    for r in found.orderBy("order", F.xxhash64("bag")).limit(sample_rows).toLocalIterator():  # ids may repeat
+        if r["n"] <= left:
+            bags.append(np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH))
+            y.append(r["y"])
+            left -= r["n"]
+    if not 0 < sum(y) < len(y):
+        return Constant(float((sum(y) + 1) / (len(y) + 2)))
+    return Network.new().fit(bags, np.array(y))
 
 
 def scored(documents: DataFrame, model: Network | Constant, *, id_col="doc_id", text_col="text", threshold=THRESHOLD, keep=()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) and the columns named in keep: a row per row of documents.
+    """(doc_id, held_out, score, predicted) and, under `kept`, the columns named in keep: a row per row of documents.
 
     Null texts are empty ones, whose single passage has no words.  Repeated rows get equal scores.  An
-    empty table gives no rows; other columns are not read.
+    empty table gives no rows; other columns are not read.  Texts may be of any length; a word of more than a MiB is cut.
     """
-    source = documents.select(F.col(id_col).alias("__id"), held_out(F.col(id_col)).alias("__held"), F.col(text_col).cast("binary").alias("__text"), *keep)
+    own_id, text = named(id_col, text_col)
+    kept = [F.struct(*named(*keep)).alias("kept")] if keep else []
+    source = documents.select(own_id.alias("doc_id"), held_out(own_id).alias("held_out"), text.cast("binary").alias("text"), *kept)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                scores = model.scores(_bytes(part["__text"]))
-                yield pa.RecordBatch.from_arrays([part["__id"], part["__held"], pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), *(part[c] for c in keep)], ["doc_id", "held_out", "score", "predicted", *(f"_{c}" for c in keep)])
+                scores = model.scores(_bytes(part["text"]))
+                more = [part["kept"]] if keep else []
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), *more], ["doc_id", "held_out", "score", "predicted", *["kept"][: len(more)]])
 
-    kept = "".join(f", `_{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(score, f"doc_id {source.schema['__id'].dataType.simpleString()}, held_out boolean, score double, predicted int{kept}")
+    schema = source.drop("text").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).select("doc_id", "held_out", "score", "predicted", *["kept"][: len(kept)]).schema
+    return source.mapInArrow(score, schema)
 
 
 def quality(documents: DataFrame, labels: DataFrame, *, threshold=THRESHOLD, **names) -> DataFrame:
@@ -244,7 +274,11 @@ def quality(documents: DataFrame, labels: DataFrame, *, threshold=THRESHOLD, **n
 
 
 def good_documents(documents: DataFrame, labels: DataFrame, *, threshold=THRESHOLD, **names) -> DataFrame:
-    """The documents, with all their columns, that the classifier predicts to be good."""
+    """The documents, with all their columns, that the classifier predicts to be good.
+
+    Repeated rows stay or go together; null and empty texts are scored like any other.  An empty table gives no
+    rows; the names of further columns do not matter.
+    """
     own = {k: v for k, v in names.items() if k in ("id_col", "text_col")}
     found = scored(documents, learn(documents, labels, **names), threshold=threshold, keep=tuple(documents.columns), **own)
-    return found.where("predicted = 1").select(*[F.col(f"`_{c}`").alias(c) for c in documents.columns])
+    return found.where("predicted = 1").select(*[F.col("kept").getField(c).alias(c) for c in documents.columns])
