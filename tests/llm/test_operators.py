@@ -336,7 +336,7 @@ def test_decontamination(spark, docs, none, rows, data, monkeypatch):
     assert pairs(map(tuple, got.collect())) == pairs(want)
     assert any(w[2] for w in want)
     assert decontaminate.decontaminated(docs, bench).count() == sum(not w[5] for w in want)
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)  # as for a benchmark too large to broadcast
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)  # as for a benchmark too large to broadcast
     assert pairs(map(tuple, decontaminate.contamination(docs, bench).drop("digest").collect())) == pairs(want)
     assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
