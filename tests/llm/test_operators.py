@@ -232,6 +232,29 @@ def test_archives_of_long_urls(spark, tmp_path):
     (tmp_path / "short" / "part-0").write_bytes(part.read_bytes()[:-3000])
     with pytest.raises(ValueError):
         warc.read(spark, str(tmp_path / "short"))
+    (tmp_path / "spoilt").mkdir()
+    (tmp_path / "spoilt" / "part-0").write_bytes(part.read_bytes().replace(b"3 3 3 3", b"3 4 3 3", 1))
+    with pytest.raises(ValueError):
+        warc.read(spark, str(tmp_path / "spoilt"))
+
+
+def test_archives_of_text_ids_and_uneven_sizes(spark, tmp_path, monkeypatch):
+    big, middle = "b" * 900_000, "m" * 30_000
+    pages = [("a\r\nb", "u", big), ("", "u", "empty id " * 20), (None, "u", "no id " * 20), ("=x é/%", "u", middle), ("z", "u", middle), ("z", "u", middle), ("zz", "u", big)]
+    pages += [(f"p{i:03}", "u", f"{i} " * 60) for i in range(300)] + [(f"q{i:03}", "u", "a copied page " * 10) for i in range(100)]
+    frame = spark.createDataFrame([(*p, "x") for p in pages], "page_id string, url string, html string, copied string").coalesce(1)
+    first = {}
+    for i, _, h in pages:
+        if i is not None:
+            first[h] = min(i, first.get(h, i))
+    again = lambda i, h: h in first and i != first[h]
+    want = pairs((i, len(h), sha256(utf8(h)).hexdigest(), "revisit" if again(i, h) else "response", first[h] if again(i, h) else None) for i, _, h in pages)
+    assert pairs(map(tuple, warc.round_trip(frame, file_bytes=20_000).collect())) == want
+    warc.write(frame, str(tmp_path / "files"), file_bytes=20_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "files").glob("part-*")]
+    assert max(sizes) < 905_000 and sum(s > 400_000 for s in sizes) == 1
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)  # as for copies too many to broadcast
+    assert pairs(map(tuple, warc.round_trip(frame).collect())) == want
 
 
 # shards ----------------------------------------------------------------------------------------------------------
