@@ -274,6 +274,46 @@ def test_shards(docs, none, rows):
     assert pairs((r["doc_id"], r["shard"]) for r in same) == pairs((r["doc_id"], r["shard"]) for r in got)
 
 
+def plain_tree(rows, target=None, depth=4):
+    """Paths of the leaves, by a walk over lists; rows: (four numbers, tie, size)."""
+    root = [max(r[0][d] for r in rows) - min(r[0][d] for r in rows) or 1.0 for d in range(4)]
+    out = {}
+
+    def walk(own, path):
+        whole = sum(rows[i][2] for i in own)
+        if (len(path) == depth) if target is None else (whole <= target or len(own) == 1):
+            out.update(dict.fromkeys(own, path))
+            return
+        width = [(max(rows[i][0][d] for i in own) - min(rows[i][0][d] for i in own)) / root[d] for d in range(4)]
+        d, at, sides = width.index(max(width)), 0, ([], [])
+        for i in sorted(own, key=lambda i: (rows[i][0][d], rows[i][1])):
+            sides[2 * at + rows[i][2] > whole].append(i)
+            at += rows[i][2]
+        for side, digit in zip(sides, "01"):
+            if side:
+                walk(side, path + digit)
+
+    walk(list(range(len(rows))), "")
+    return [out[i] for i in range(len(rows))]
+
+
+def test_shards_are_cut_at_weighted_medians(docs, rows):
+    from hashlib import md5
+    from math import log2
+
+    code = lambda t: -1.0 if t is None else float(int.from_bytes(t.encode()[:6].ljust(6, b"\0"), "big"))
+    made = []
+    for r in rows:
+        size, crc = len(utf8(r[1])) + 1, zlib.crc32(utf8(r[1]))
+        made.append(((log2(size), code(r[3]), code(r[2]), float(r[0])), int(md5(f"{r[0]}:{crc}".encode()).hexdigest()[:15], 16), size))
+    got = pairs((r["doc_id"], r["shard"]) for r in kdtree.partition(docs).collect())
+    assert got == pairs((r[0], int(p, 2)) for r, p in zip(rows, plain_tree(made)))
+    paths = plain_tree(made, target=500)
+    number = {p: i for i, p in enumerate(sorted(set(paths)))}
+    got = kdtree.partition(docs, shards=None, target_bytes=500).collect()
+    assert len(number) > 150 and pairs((r["doc_id"], r["shard"]) for r in got) == pairs((r[0], number[p]) for r, p in zip(rows, paths))
+
+
 def test_shards_are_even(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     copies = d.unionAll(d.where("doc_id = 3").crossJoin(spark.range(400)).drop("id"))
@@ -281,9 +321,14 @@ def test_shards_are_even(spark):
     for r in kdtree.partition(copies).collect():
         by[r["shard"]] += r["size"]
     mean = sum(by.values()) / 16
-    assert max(by.values()) < 1.25 * mean and min(by.values()) > 0.75 * mean
-    few = kdtree.partition(copies, shards=None, target_bytes=int(sum(by.values()) / 3)).select("shard").distinct().count()
-    assert few == 4
+    longest = copies.selectExpr("max(octet_length(text))").first()[0]
+    assert len(by) == 16 and max(by.values()) < mean + longest + 1 and min(by.values()) > mean - longest - 1
+
+
+def test_shards_of_text_ids(spark):
+    rows = [(f"id {i}" if i % 5 else None, "w " * (i % 9), "s", None) for i in range(200)]
+    got = kdtree.partition(spark.createDataFrame(rows, "doc_id string, text string, source string, lang string")).collect()
+    assert pairs(r["doc_id"] for r in got) == pairs(r[0] for r in rows) and len({(r["shard"], r["slot"]) for r in got}) == 200
 
 
 # token ids -------------------------------------------------------------------------------------------------------
