@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tessella.llm.common import new_path, stored
+from tessella.llm.common import hot_of, named, new_path, skewed_join, stored
 
 END_ID = 1
 #: Chunks: ids at least, ids at most, and the bits of the hash that must be zero at a cut (so 2**BITS ids on average beyond the least).
@@ -184,10 +184,22 @@ def merkle_root(names: list[bytes]) -> bytes:
     return level[0] if level else sha256(b"").digest()
 
 
+def _without_cycles(task: Callable) -> Callable:
+    """The task without the collector of cycles: it makes none, and looking for them among all its words takes long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from task(batches)
+        finally:
+            gc.enable()
+
+    return run
+
+
 def _encoder(path: str, end_id: int) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chunker, end = WordEncoder(path), Chunker(), np.array([end_id], dtype="<u2").tobytes()
-        gc.disable()  # a task makes no cycles, and looking for them among all its words takes long
         for batch in batches:
             for at in range(0, len(batch), 256):  # some texts at a time bound the memory
                 part = batch.slice(at, 256)
@@ -201,14 +213,14 @@ def _encoder(path: str, end_id: int) -> Callable:
                     [part["doc_id"], part["tie"], pa.array([len(d) // 2 for d in data], pa.int64()), pa.array(recipes, pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())]))), pa.array(data, pa.large_binary() if sum(map(len, data)) >> 30 else pa.binary())],
                     ["doc_id", "tie", "n_tokens", "recipe", "data"],
                 )
-        gc.enable()
 
-    return encode
+    return _without_cycles(encode)
 
 
 def encoded(documents: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", end_id=END_ID) -> DataFrame:
     """(doc_id, tie, n_tokens, recipe, data): every document's ids and how they are cut; tie parts rows of one id."""
-    source = documents.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("tie"), F.col(text_col).cast("binary").alias("text"))
+    own_id, text = named(id_col, text_col)
+    source = documents.select(own_id.alias("doc_id"), F.monotonically_increasing_id().alias("tie"), text.cast("binary").alias("text"))
     schema = f"{_field(source, 'doc_id')}, tie long, n_tokens long, recipe {CHUNKS}, data binary"
     return source.mapInArrow(_encoder(tokenizer, end_id), schema)
 
@@ -220,7 +232,6 @@ def _field(df: DataFrame, name: str) -> str:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a part, sorted; before a document's row stands one with the chunks that others store, if there are any."""
     part, first, elsewhere = TaskContext.get().partitionId(), 0, None
-    gc.disable()
     for batch in batches:
         ids, ties, kinds, counts, others = (batch[c].to_pylist() for c in ("doc_id", "tie", "kind", "n_tokens", "others"))
         recipes, data = batch["recipe"], batch["data"]
@@ -251,7 +262,6 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*rows)) if rows else [[]] * 8
         types_ = [pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("here", pa.bool_())])), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types_)], ["part", "doc_id", "tie", "first", "n_tokens", "recipe", "data", "root"])
-    gc.enable()
 
 
 def write(documents: DataFrame, path: str, tokenizer: str, *, id_col="doc_id", text_col="text", end_id=END_ID) -> None:
@@ -260,14 +270,15 @@ def write(documents: DataFrame, path: str, tokenizer: str, *, id_col="doc_id", t
     staged = stored(encoded(documents, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id), "encoded")
     uses = staged.select("doc_id", "tie", F.explode("recipe.digest").alias("digest"))
     # names that more than one row has: the least row stores the chunk, the others are told so
-    owners = uses.groupBy("digest").agg(F.min(F.struct("doc_id", "tie")).alias("owner"), F.max(F.struct("doc_id", "tie")).alias("last")).where("owner <> last").select("digest", "owner")
-    others = uses.join(owners, "digest").where(~F.struct("doc_id", "tie").eqNullSafe(F.col("owner"))).groupBy("doc_id", "tie").agg(F.collect_set("digest").alias("others"))
+    owners = uses.groupBy("digest").agg(F.min(F.struct("doc_id", "tie")).alias("owner"), F.max(F.struct("doc_id", "tie")).alias("last"), F.count(F.lit(1)).alias("n")).where("owner <> last")
+    owners = stored(owners.select("digest", "owner", "n"), "owners")
+    others = skewed_join(uses, owners.select("digest", "owner"), ["digest"], hot_of(owners, "digest")).where(~F.struct("doc_id", "tie").eqNullSafe(F.col("owner"))).groupBy("doc_id", "tie").agg(F.collect_set("digest").alias("others"))
     told = others.select("doc_id", "tie", F.lit(0).alias("kind"), "others", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast(CHUNKS).alias("recipe"), F.lit(None).cast("binary").alias("data"))
     told = stored(told, "stored-elsewhere")
     rows = staged.select("doc_id", "tie", F.lit(1).alias("kind"), F.lit(None).cast("array<binary>").alias("others"), "n_tokens", "recipe", "data")
     placed = told.unionByName(rows).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie", "kind")
     schema = f"part int, {_field(staged, 'doc_id')}, tie long, first long, n_tokens long, recipe array<struct<digest: binary, n: int, here: boolean>>, data binary, root binary"
-    placed.mapInArrow(_pack, schema).write.option("compression", "zstd").parquet(f"{path}/rows")
+    placed.mapInArrow(_without_cycles(_pack), schema).write.option("compression", "zstd").parquet(f"{path}/rows")
     store = spark.read.parquet(f"{path}/rows")
     sums = store.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum(F.xxhash64("root").cast("decimal(38,0)")).alias("roots"))
     sums = sums.withColumn("start", F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens"))  # a row for each part
@@ -358,9 +369,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     whole = found.where("NOT exists(pieces, p -> p.crc IS NULL)").select("part", "doc_id", "first", "n_tokens", "pieces", "sound")
     # only documents with chunks that are stored elsewhere have to look them up
     partial = found.where("exists(pieces, p -> p.crc IS NULL)").select("part", "doc_id", "first", "n_tokens", "sound", F.posexplode("pieces").alias("i", "p"))
-    needed = partial.where("p.crc IS NULL").select("p.digest").distinct()
+    needed = stored(partial.groupBy("p.digest").agg(F.count(F.lit(1)).alias("n")), "needed")
     known = found.select(F.explode("pieces").alias("p")).where("p.crc IS NOT NULL").select("p.digest", "p.crc").join(needed, "digest", "left_semi").groupBy("digest").agg(F.max("crc").alias("crc"))
-    looked = partial.select("part", "doc_id", "first", "n_tokens", "sound", "i", F.col("p.digest").alias("digest"), F.col("p.n").alias("n"), F.col("p.crc").alias("own")).join(known, "digest", "left")
+    looked = partial.select("part", "doc_id", "first", "n_tokens", "sound", "i", F.col("p.digest").alias("digest"), F.col("p.n").alias("n"), F.col("p.crc").alias("own"))
+    looked = skewed_join(looked, known, ["digest"], hot_of(needed, "digest"), "left")
     crc = F.coalesce("own", "crc")
     gathered = looked.groupBy("part", "first", "doc_id", "n_tokens").agg(
         F.sort_array(F.collect_list(F.struct("i", "digest", "n", F.coalesce(crc, F.lit(0)).alias("crc")))).alias("sorted"), F.bool_and(F.col("sound") & crc.isNotNull()).alias("sound")
