@@ -103,19 +103,13 @@ def vertical_frame_geodetic(e: Ellipsoid):
 # regions ---------------------------------------------------------------------------------------------------------
 
 
-def _turn(angle: Column) -> Column:
-    return (angle % TAU + TAU) % TAU
-
-
 def angle_within(angle: Column, west: Column, east: Column) -> Column:
-    """Whether an angle lies in [west, east] modulo a full turn.
+    """Whether an angle lies in [west, east] modulo a full turn: it is no further east of west than east is.
 
-    A full turn from -pi to pi has both ends at pi, so only that angle lies within; readers of the format agree on this.
+    A full turn from -pi to pi has no span, so only the angle at its ends lies within; readers of the format agree on this.
     """
-    a, w, e = _turn(angle), _turn(west), _turn(east)
-    e = F.when(e < w, e + TAU).otherwise(e)
-    a = F.when(a < w, a + TAU).otherwise(a)
-    return (a >= w) & (a <= e)
+    eastward = lambda a: F.pmod(a - west, F.lit(TAU))
+    return eastward(angle) <= eastward(east)
 
 
 def bounds_of_region(region: Column, e: Ellipsoid) -> Column:
@@ -208,29 +202,29 @@ class UtmPlacement:
 
 
 def upward_interval(vertical: Column) -> tuple[Column, Column]:
-    """Lowest and highest, measured upward: depths that count downward change places and sign."""
-    down = vertical["direction"] == "DOWN"
-    return F.when(down, -vertical["maximum"]).otherwise(vertical["minimum"]), F.when(down, -vertical["minimum"]).otherwise(vertical["maximum"])
+    """Lowest and highest, measured upward: depths that count downward are negative heights."""
+    ends = [vertical[c] * F.when(vertical["direction"] == "DOWN", -1.0).otherwise(1.0) for c in ("minimum", "maximum")]
+    return F.least(*ends), F.greatest(*ends)
 
 
 def vertical_model(vertical: Column, rules: UtmPlacement) -> dict[str, Column]:
     """origin, low, high and orthometric of a vertical extent; unknown ground without an envelope is an error."""
-    low, high = upward_interval(vertical)
-    kind, ground = vertical["reference"], vertical["groundElevation"]
-    on_ground = (kind == "GROUND") & ground.isNotNull()
-    envelope = rules.unknown_ground
-    if envelope is None or not all(map(math.isfinite, envelope)) or envelope[0] > envelope[1]:
-        assumed = [F.raise_error(F.lit("a terrain height envelope must be given")).cast("double")] * 2
+    kind, ground, envelope = vertical["reference"], vertical["groundElevation"], rules.unknown_ground
+    if envelope is not None and all(map(math.isfinite, envelope)) and envelope[0] <= envelope[1]:
+        terrain = [F.lit(float(v)) for v in envelope]
     else:
-        assumed = [F.lit(float(v)) for v in envelope]
-    plain, geoid = kind == "ELLIPSOID", kind == "GEOID"
-    pick = lambda v, i: F.when(plain | geoid, v).when(on_ground, ground + v).otherwise(assumed[i] + v)
-    return {
-        "origin": F.when(plain, "ellipsoid").when(geoid, "geoid").when(on_ground, "ground-elevation").otherwise("assumed-terrain"),
-        "low": pick(low, 0),
-        "high": pick(high, 1),
-        "orthometric": geoid | on_ground,
-    }
+        terrain = [F.raise_error(F.lit("a terrain height envelope must be given")).cast("double")] * 2
+    zero = F.lit(0.0)
+    # what heights are counted from: its name, when it applies, the lowest and highest it may lie, whether it is a height over the geoid
+    origins = (
+        ("ellipsoid", kind == "ELLIPSOID", zero, zero, False),
+        ("geoid", kind == "GEOID", zero, zero, True),
+        ("ground-elevation", (kind == "GROUND") & ground.isNotNull(), ground, ground, True),
+        ("assumed-terrain", F.lit(True), *terrain, False),
+    )
+    first = lambda of: F.coalesce(*[F.when(o[1], of(o)) for o in origins])
+    low, high = upward_interval(vertical)
+    return {"origin": first(lambda o: F.lit(o[0])), "low": low + first(lambda o: o[2]), "high": high + first(lambda o: o[3]), "orthometric": first(lambda o: F.lit(o[4]))}
 
 
 def _geoid_margin(rules: UtmPlacement) -> Column:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 VIEWPORT_HEIGHT, VERTICAL_FOV = 1080.0, math.pi / 3
 IDENTITY = (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)
-DEGREES = 180 / math.pi
 
 
 def let(value: Column, use) -> Column:
@@ -157,24 +156,34 @@ def below_horizon_plane(centre: Vec, radius: Column, camera: Vec, occluder: Colu
     return (far > ball) & (centre.dot(camera) + radius * far < ball * ball)
 
 
+def _one(ratio: Column) -> Column:
+    """A sine or cosine, held to [-1, 1]."""
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))
+
+
+def horizon_arc(ball: Column, away: Column) -> Column:
+    """The angle at the centre of a ball between a point and the farthest surface that is seen from it."""
+    return F.acos(_one(F.try_divide(ball, away)))
+
+
 def beyond_horizon(centre: Vec, radius: Column, camera: Vec, body: Column | float, lowest_terrain: Column | float, low: Column | None = None, high: Column | None = None) -> Column:
-    """By the true formula: hidden where the angle to the tile's nearest edge exceeds the horizons of camera and highest point together.
+    """Whether nothing of a tile rises over the horizon of a ball that no terrain reaches below.
 
-    The occluding ball lies below the lowest terrain of the body and of the tile; low and high are the tile's heights over
-    the body's radius, those of its sphere where they are null.
+    A line of sight that grazes the ball leaves it as one horizon arc towards the camera and one towards the tile's highest point; a tile is
+    hidden if the angle to its nearest edge is more than both arcs together.  low and high are the tile's heights over the body's
+    radius, those of its sphere where they are null.  A camera inside the ball, or a tile around its centre, hides nothing.
     """
-    body = F.lit(float(body)) if isinstance(body, (int, float)) else body
-    lowest_terrain = F.lit(float(lowest_terrain)) if isinstance(lowest_terrain, (int, float)) else lowest_terrain
-    far, away = camera.length(), centre.length()
-    none = F.lit(None).cast("double")
-    bottom = F.coalesce(body + (none if low is None else low), away - radius)
-    top = F.coalesce(body + (none if high is None else high), away + radius)
-    ball = F.least(body + F.least(F.lit(0.0), lowest_terrain), bottom)
-    one = lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
-    angle = F.acos(one(F.try_divide(centre.dot(camera), away * far)))
-    extent = F.asin(one(F.try_divide(radius, away)))
-    hidden = angle - extent > F.acos(one(F.try_divide(ball, far))) + F.acos(one(F.try_divide(ball, F.greatest(ball, top))))
-    return F.coalesce((radius < away) & (ball > 0) & (far > ball) & hidden, F.lit(False))
+    number = lambda v: F.lit(float(v)) if isinstance(v, (int, float)) else v
+    away, far, ground = centre.length(), camera.length(), number(body)
+    ends = [away - radius, away + radius]
+    for i, measured in enumerate((low, high)):
+        if measured is not None:
+            ends[i] = F.coalesce(ground + measured, ends[i])
+    ball = F.least(ground, ground + number(lowest_terrain), ends[0])
+    both_arcs = horizon_arc(ball, far) + horizon_arc(ball, F.greatest(ball, ends[1]))
+    nearest_edge = F.acos(_one(F.try_divide(centre.dot(camera), far * away))) - F.asin(_one(F.try_divide(radius, away)))
+    told = ball.between(0, far) & (ball != 0) & (ball != far) & (away > radius)
+    return F.coalesce(told & (nearest_edge > both_arcs), F.lit(False))
 
 
 def inside_view(b: Column, camera: Column, planes: Column, occluder: Column | float | None = None) -> Column:
@@ -217,65 +226,61 @@ def screen_space_error(error: Column, b: Column, camera: Vec, **view) -> Column:
 
 
 def ray_sphere(origin: Vec, direction: Vec, radius: Column) -> Column:
-    """The nearest distance of zero or more at which a unit ray meets a ball about the origin; null if it does not."""
-    b, c = origin.dot(direction), origin.dot(origin) - radius * radius
-    root = F.sqrt(F.when(b * b - c >= 0, b * b - c))
-    return F.when(-b - root >= 0, -b - root).when(-b + root >= 0, -b + root)
+    """The nearest distance of zero or more at which a unit ray meets a ball about the origin; null if it does not.
 
+    The ray passes the centre at its nearest point; the ball cuts half a chord off on either side of that.
+    """
+    nearest = -origin.dot(direction)
+    half = F.sqrt(F.nullif(F.greatest(radius * radius - (origin.dot(origin) - nearest * nearest), F.lit(-1.0)), F.lit(-1.0)))
+    return F.when(nearest >= half, nearest - half).when(nearest + half >= 0, nearest + half)
 
-def _unit(v: Vec) -> Vec:
-    length = v.length()
-    return Vec(*(F.when(length > 0, F.try_divide(a, length)) for a in v))
+
+def local_frame(up: Vec) -> tuple[Vec, Vec, Vec]:
+    """(east, north, up) as unit vectors: east is square to the axis of rotation; at a pole it is that of longitude 0."""
+    across = F.sqrt(up.x * up.x + up.y * up.y)
+    east = Vec(F.coalesce(F.try_divide(-up.y, across), F.lit(0.0)), F.coalesce(F.try_divide(up.x, across), F.lit(1.0)), F.lit(0.0))
+    return east, up.cross(east), up
 
 
 def describe_view(position: Vec, up: Vec, height: Column, forward: Vec | None = None, ground: Column | None = None, target: Column | None = None, **view) -> Column:
     """Latitude, longitude, height, altitude, heading, pitch (degrees), target distance and metres per pixel of a camera.
 
-    up and height come from a vertical frame (vertical_frame_*).  Figures that cannot be told are null.
+    up and height come from a vertical frame (vertical_frame_*).  The direction of view is turned into the local frame of east, north and
+    up; its components are the heading and the pitch.  What is looked at is, unless given, where the line of sight meets the ball through the
+    ground below the camera.  Figures that cannot be told are null.
     """
-    given = {"position": position.struct(), "up": up.struct(), "height": height, "forward": forward.struct() if forward is not None else None, "ground": ground, "target": target}
-    packed = F.struct(*[c.alias(k) for k, c in given.items() if c is not None])
-
-    def described(g: Column) -> Column:
-        return _described(Vec.of(g["position"]), Vec.of(g["up"]), g["height"], Vec.of(g["forward"]) if forward is not None else None, g["ground"] if ground is not None else None, g["target"] if target is not None else None, view)
-
-    return let(packed, described)
-
-
-def _described(position: Vec, up: Vec, height: Column, forward: Vec | None, ground: Column | None, target: Column | None, view: dict) -> Column:
-    one = lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
     none = F.lit(None).cast("double")
-    altitude = none if ground is None else F.when(~F.isnan(ground) & (F.abs(ground) < float("inf")), height - ground)
-    direction = (_unit(forward) if forward is not None else Vec(none, none, none)).struct()
-    return let(direction, lambda f: _looking(position, up, height, altitude, Vec.of(f), target, view, one, none))
-
-
-def _looking(position: Vec, up: Vec, height: Column, altitude: Column, f: Vec, target: Column | None, view: dict, one, none: Column) -> Column:
-    vertical = f.dot(up)
-    pole = Vec(-F.signum(up.z), F.lit(0.0), F.lit(0.0))
-    flat = Vec(-up.z * up.x, -up.z * up.y, 1 - up.z * up.z)
-    north = Vec(*(F.coalesce(a, b) for a, b in zip(_unit(flat), pole)))
-    level = _unit(f.minus(up.times(vertical)))
-    east = north.cross(up)
-    turn = F.atan2(level.dot(east), level.dot(north)) * DEGREES
-    below = position.minus(up.times(F.coalesce(altitude, height))).length()
-    distance = F.coalesce(none if target is None else target, ray_sphere(position, f, below))
-    seen = let(distance, lambda d: F.when(f.x.isNotNull() & (d > 0) & (d < float("inf")), d))
-
-    def figures(g: Column) -> Column:
-        pixel = metres_per_pixel(g["distance"], **view)
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    look = forward if forward is not None else Vec(none, none, none)
+    given = {"position": position.struct(), "up": up.struct(), "look": look.struct(), "length": look.length(), "height": height, "altitude": height - finite(ground) if ground is not None else none, "target": target if target is not None else none}
+
+    def turned(g: Column) -> Column:
+        direction = Vec(*(F.when(g["length"] > 0, F.try_divide(a, g["length"])) for a in Vec.of(g["look"])))
+        local = Vec(*(axis.dot(direction) for axis in local_frame(Vec.of(g["up"]))))
+        return F.struct(g.alias("given"), direction.struct().alias("direction"), local.struct().alias("local"))
+
+    def sighted(t: Column) -> Column:
+        g, direction = t["given"], Vec.of(t["direction"])
+        foot = Vec.of(g["position"]).minus(Vec.of(g["up"]).times(F.coalesce(g["altitude"], g["height"])))
+        reach = finite(F.coalesce(g["target"], ray_sphere(Vec.of(g["position"]), direction, foot.length())))
+        return F.struct(t["given"].alias("given"), t["local"].alias("local"), F.when(direction.x.isNotNull() & (reach > 0), reach).alias("reach"))
+
+    def figures(s: Column) -> Column:
+        g, local, top = s["given"], Vec.of(s["local"]), Vec.of(s["given"]["up"])
+        level = F.sqrt(local.x * local.x + local.y * local.y)
+        pixel = metres_per_pixel(s["reach"], **view)
         return F.struct(
-            (F.asin(one(up.z)) * DEGREES).alias("latitude"),
-            (F.atan2(up.y, up.x) * DEGREES).alias("longitude"),
-            height.alias("height"),
-            altitude.alias("altitude"),
-            F.when(g["turn"] < 0, g["turn"] + 360).otherwise(g["turn"]).alias("heading"),
-            (F.asin(one(vertical)) * DEGREES).alias("pitch"),
-            g["distance"].alias("target_distance"),
-            F.when(pixel > 0, F.when(~F.isnan(pixel), pixel)).alias("metres_per_pixel"),
+            F.degrees(F.asin(_one(top.z))).alias("latitude"),
+            F.degrees(F.atan2(top.y, top.x)).alias("longitude"),
+            g["height"].alias("height"),
+            g["altitude"].alias("altitude"),
+            F.when(level > 0, F.pmod(F.degrees(F.atan2(local.x, local.y)), F.lit(360.0))).alias("heading"),
+            F.degrees(F.asin(_one(local.z))).alias("pitch"),
+            s["reach"].alias("target_distance"),
+            F.when((pixel > 0) & ~F.isnan(pixel), pixel).alias("metres_per_pixel"),
         )
 
-    return let(F.struct(seen.alias("distance"), turn.alias("turn")), figures)
+    return let(let(let(F.struct(*[c.alias(k) for k, c in given.items()]), turned), sighted), figures)
 
 
 # vertical scale --------------------------------------------------------------------------------------------------

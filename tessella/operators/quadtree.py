@@ -8,6 +8,7 @@ at most eight times its level many rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,32 +85,41 @@ def refine_cut(cut: DataFrame, ready: DataFrame | None = None, *, most_passes: i
     ready: (ns, lod, x, y) of tiles whose four children may be shown; null for all.  Rounds over the whole set reach
     the same cut as splitting one tile at a time.  blocked has (ns, lod, x, y) of the cut's tiles that led to a split which is
     not ready: both sides, or the tiles they were split from.  It is empty if and only if the result is balanced; a cut with blocked
-    tiles must not be shown as a whole.  The result's columns are ns, lod, x, y and origins (tiles of the cut, as structs).
+    tiles must not be shown as a whole.  Both have the columns ns, lod, x, y.
     """
-    edges_ = edges
-    own = F.struct(*[F.col(c) for c in KEY])
-    now = settled(cut.select("ns", "lod", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct().withColumn("origins", F.array(own)))
-    blocked = None
+    first = now = settled(cut.select("ns", "lod", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct())
+    can = None if ready is None else settled(_keys(ready).withColumn("can", F.lit(True)))
+    causes, stuck = [], None  # of each round, (a_*: the tile split, lod, x, y: a finer one that it stands beside)
     for _ in range(most_passes or 64):
-        fine = _climbed(neighbors(now, **edges_), 2).select(*AT, F.col("origins").alias("fine_origins"))
-        coarse = now.select("ns", F.col("lod").alias("a_lod"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), "origins")
-        wrong = fine.join(coarse, AT).groupBy(*AT).agg(F.array_distinct(F.flatten(F.collect_set(F.array_union("fine_origins", "origins")))).alias("involved"))
-        if ready is not None:
-            can = ready.select("ns", F.col("lod").alias("a_lod"), F.col("x").alias("a_x"), F.col("y").alias("a_y")).distinct().withColumn("can", F.lit(True))
-            wrong = wrong.join(can, AT, "left")
+        beside = _climbed(neighbors(now, **edges), 2).join(_keys(now), AT, "left_semi").select(*AT, "lod", "x", "y").distinct()
+        if can is None:
+            split = settled(beside.select(*AT).distinct())
         else:
-            wrong = wrong.withColumn("can", F.lit(True))
-        wrong = settled(wrong)
-        split = wrong.where("can")
-        blocked = wrong.where("can IS NULL").select(F.explode("involved").alias("t")).select("t.*").distinct()
+            pairs = settled(beside.join(can, AT, "left"))
+            stuck, causes = pairs.where("can IS NULL"), [*causes, pairs.where("can").select(*AT, "lod", "x", "y")]
+            split = pairs.where("can").select(*AT).distinct()
         if split.isEmpty():
             break
         gone = split.select("ns", F.col("a_lod").alias("lod"), F.col("a_x").alias("x"), F.col("a_y").alias("y"))
-        kept = now.join(gone, list(KEY), "left_anti")
-        child = F.array(*[F.struct((F.col("a_lod") + 1).alias("lod"), (F.col("a_x") * 2 + (i & 1)).alias("x"), (F.col("a_y") * 2 + (i >> 1)).alias("y")) for i in range(4)])
-        fresh = split.select("ns", F.explode(child).alias("c"), F.col("involved").alias("origins")).select("ns", "c.lod", "c.x", "c.y", "origins")
-        now = settled(kept.unionByName(fresh))
-    return now, settled(blocked)
+        child = F.array(*[F.struct((F.col("lod") + 1).alias("lod"), (F.col("x") * 2 + (i & 1)).alias("x"), (F.col("y") * 2 + (i >> 1)).alias("y")) for i in range(4)])
+        fresh = gone.select("ns", F.explode(child).alias("c")).select("ns", "c.*")
+        now = settled(now.join(gone, list(KEY), "left_anti").unionByName(fresh))
+    return now, first.limit(0) if stuck is None else _traced(stuck, causes, first)
+
+
+def _traced(stuck: DataFrame, causes: list[DataFrame], first: DataFrame) -> DataFrame:
+    """The tiles of the first cut from which both sides of what is stuck came: a tile that was split off came from its parent and from what the parent was split for."""
+    coarse = stuck.select("ns", F.col("a_lod").alias("lod"), F.col("a_x").alias("x"), F.col("a_y").alias("y"))
+    seen = frontier = settled(stuck.select(*KEY).unionByName(coarse).distinct())
+    every = reduce(DataFrame.unionByName, causes)
+    while True:
+        made = settled(frontier.join(first, list(KEY), "left_anti").select("ns", (F.col("lod") - 1).alias("lod"), ancestor(F.col("x"), 1).alias("x"), ancestor(F.col("y"), 1).alias("y")).distinct())
+        if made.isEmpty():
+            return settled(first.join(seen, list(KEY), "left_semi"))
+        parents = made.select("ns", F.col("lod").alias("a_lod"), F.col("x").alias("a_x"), F.col("y").alias("a_y"))
+        behind = made.unionByName(every.join(parents, AT, "left_semi").select(*KEY)).distinct()
+        frontier = settled(behind.join(seen, list(KEY), "left_anti"))
+        seen = settled(seen.unionByName(frontier))
 
 
 def held_refinements(unbalanced: DataFrame, tiles: DataFrame, refined_before: DataFrame) -> DataFrame:

@@ -186,16 +186,18 @@ def availability_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(maps, "o_custkey").select("o_orderkey", probe.alias("probe"), I.get_bit(F.col("map"), probe).alias("available"))
 
 
-@R.query("""WITH cells AS (SELECT DISTINCT o_custkey % 32 AS cx, (o_orderkey // 4) % 32 AS cy FROM orders WHERE o_orderkey % 3 = 0), t AS (
-  SELECT DISTINCT l AS level, cx >> (5 - l) AS x, cy >> (5 - l) AS y FROM cells, (SELECT unnest([0, 1, 2, 3, 4, 5])::bigint AS l))
-SELECT level, x, y, CASE WHEN level = 0 THEN 0 ELSE (x & 1) + 2 * (y & 1) END AS child, CASE WHEN level >= 4 THEN 4 WHEN level >= 2 THEN 2 ELSE 0 END AS root_level FROM t""")
+SPARSE = 8
+
+
+@R.query(f"""WITH cells AS (SELECT DISTINCT o_custkey % {1 << SPARSE} AS cx, (o_orderkey // 4) % {1 << SPARSE} AS cy FROM orders), t AS (
+  SELECT DISTINCT l AS level, cx >> ({SPARSE} - l) AS x, cy >> ({SPARSE} - l) AS y FROM cells, (SELECT unnest(range({SPARSE + 1}))::bigint AS l))
+SELECT level, x, y, CASE WHEN level = 0 THEN 0 ELSE (x & 1) + 2 * (y & 1) END AS child, level // 3 * 3 AS root_level FROM t""")
 def materialize_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tiles of a sparse implicit quadtree, from subtree bitstreams made of the occupied cells."""
     from tessella.operators.hierarchy import materialize
 
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
-    tiles = rolled_up(orders, F.col("o_custkey") % 32, F.expr("o_orderkey div 4") % 32, DEPTH).select(long("level").alias("level"), "x", "y")
-    made = materialize(subtrees_of(tiles, 2), subtree_levels=2, available_levels=DEPTH + 1)
+    tiles = rolled_up(table(spark, sf_dir, "orders"), F.col("o_custkey") % (1 << SPARSE), F.expr("o_orderkey div 4") % (1 << SPARSE), SPARSE).select(long("level").alias("level"), "x", "y")
+    made = materialize(subtrees_of(tiles, 3), subtree_levels=3, available_levels=SPARSE + 1)
     return made.select(long("level").alias("level"), "x", "y", long("child").alias("child"), long("root_level").alias("root_level"))
 
 
