@@ -87,5 +87,23 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+# the schedule decides where a source's words stand in the mix; which of them it takes follows from its target and the shuffled order
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size,
+    md5(concat_ws('/', 'mix', coalesce(concat('=', doc_id::varchar), '-'), coalesce(md5(text), '-'), coalesce(concat('=', source), '-'))) AS key FROM documents
+), s AS (SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+r AS (SELECT *, source_size * 2.0::double AS cap, CASE place % 3 WHEN 0 THEN 5.0::double WHEN 1 THEN 2.0::double ELSE 1.0::double END AS weight FROM s),
+o AS (SELECT *, cap / weight AS ratio FROM r),
+l AS (SELECT *, (1.5::double * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+e AS (SELECT level AS ends FROM l WHERE ratio >= level ORDER BY ratio, place LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN ratio < ends THEN cap ELSE least(cap, ends * weight) END AS target FROM l, e),
+b AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY key ROWS UNBOUNDED PRECEDING))::bigint - size AS a FROM d)
+SELECT doc_id, size, source_size, target, (greatest(0, least(a + size, round(target)::bigint) - a) + greatest(0, least(source_size + a + size, round(target)::bigint) - (source_size + a)))::bigint AS taken
+FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op4_warc": OP4_SQL, "op7_decontamination": OP7_SQL}
+    return {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op7_decontamination": OP7_SQL}

@@ -145,6 +145,66 @@ def test_passages_do_not_depend_on_what_stands_beside():
     assert counts.tolist() == [1, 1, 13, 1, -(-50_005 // 40)]
 
 
+def plain_passages(text):
+    """The features of each passage, a byte after another."""
+    from math import log, sqrt
+
+    spaces = b" \t\n\x0b\x0c\r"
+    words = [(m.start(), m[0]) for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", text)]
+    n = max(1, -(-len(words) // 40))
+    pairs_of, begun = [defaultdict(int) for _ in range(n)], 0
+    starts = {at for at, _ in words}
+    for i, byte in enumerate(text):
+        begun += i in starts
+        follows = text[i + 1] if i + 1 < len(text) else 10
+        pairs_of[max(begun - 1, 0) // 40][(quality.KIND[byte], quality.KIND[follows])] += 1
+    out = []
+    for k in range(n):
+        own = [w for _, w in words[40 * k : 40 * k + 40]]
+        total, row = sum(pairs_of[k].values()), [0.0] * quality.WIDTH
+        for (a, b), count in pairs_of[k].items():
+            row[a * quality.KINDS + b] = sqrt(count / total)
+        some = max(1, len(own))
+        row[-5:] = [len(set(own)) / some, sum(a == b for a, b in zip(own, own[1:])) / some, sum(map(len, own)) / some / 10, log(1 + len(own)) / 4, float(not own)]
+        out.append(row)
+    assert all(text[at - 1 : at] in (b"", *[bytes([c]) for c in spaces]) for at in starts)
+    return out
+
+
+def test_quality_against_plain_loops():
+    from math import exp, tanh
+
+    import numpy as np
+
+    texts = [b"One two  two three.\n42 | x", b"", b" \t", "É ñandú 你好, ok".encode(), b"word other " * 130 + b"end", b"a " * 40 + b"tail"]
+    net, (found, counts) = quality.Network.new(7), quality.passages(texts)
+    want = [plain_passages(t) for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and np.allclose(found, np.array([row for w in want for row in w]), atol=1e-6)
+    p = {k: v.astype(float) for k, v in net.weights.items()}
+    squash = lambda v: 1 / (1 + exp(-v))
+    for score, bag in zip(net.scores(texts), want):
+        hidden = [[max(0.0, sum(x * p["E"][i][j] for i, x in enumerate(row)) + p["e"][j]) for j in range(quality.HIDDEN)] for row in bag]
+        gate = [sum(tanh(sum(h[i] * p["V"][i][j] for i in range(quality.HIDDEN))) * squash(sum(h[i] * p["U"][i][j] for i in range(quality.HIDDEN))) * p["w"][j] for j in range(quality.GATE)) for h in hidden]
+        weights = [exp(g) / sum(map(exp, gate)) for g in gate]
+        assert score == pytest.approx(squash(sum(a * h[j] * p["o"][j] for a, h in zip(weights, hidden) for j in range(quality.HIDDEN)) + p["c"][0]), abs=1e-5)
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    monkeypatch.setattr(quality, "SEGMENT_BYTES", 50)
+    text = b"word " * 30 + b"x" * 270 + b" tail"
+    parts = quality.segments(text)
+    assert b"".join(parts) == text and all(p.lstrip().startswith((b"word", b"x", b"tail")) for p in parts) and max(map(len, parts)) <= 100
+    assert quality.segments(b"") == [b""] and quality.passages([text])[1][0] == len(parts)
+
+
+def test_fitting_takes_whole_documents_up_to_a_bound(spark):
+    rows = [(i, ("good words here " if i % 2 else "| # | ") * (15 if i else 40_000)) for i in range(120)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in quality.quality(documents, labels, sample_passages=500).collect()}
+    assert got == {i: i % 2 for i in range(120)}
+
+
 # mixing ----------------------------------------------------------------------------------------------------------
 
 
@@ -197,6 +257,25 @@ def test_mix_of_tiny_sources_in_large_blocks(spark):
     assert {r["source"] for r in mixing.mixed_documents(frame, slots=64).collect()} == {s for s, _ in small} | {"hot"}
 
 
+def test_mixed_documents_are_those_taken(spark):
+    rows = [(i % 40 if i % 7 else None, f"text {i % 25} " * (i % 6), "abc"[i % 3] if i % 11 else None, i, "k") for i in range(300)] + [(5, "one row thrice", "a", 1, "k")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, key long, again string")
+    taken = mixing._taken(mixing.mix(frame), 2).collect()
+    times = defaultdict(int)
+    for r in taken:
+        times[r["key"]] += int(r["taken"] / r["size"] + 0.5) if r["size"] else 0
+    keyed = frame.withColumn("k", mixing.row_key(frame.doc_id, frame.source, frame.text, "mix"))
+    names = {r["k"]: (r["doc_id"], r["text"], r["source"]) for r in keyed.collect()}
+    got = defaultdict(int)
+    for r in mixing.mixed_documents(frame).collect():
+        got[(r["doc_id"], r["text"], r["source"])] += 1
+    assert got == {names[k]: n for k, n in times.items() if n} and sum(got.values()) > 200
+    by_row = defaultdict(int)
+    for r in mixing.mixed_documents(frame).collect():
+        by_row[tuple(r)] += 1
+    assert set(by_row) <= set(rows)
+
+
 # archives --------------------------------------------------------------------------------------------------------
 
 
@@ -409,6 +488,16 @@ def test_decontamination(spark, docs, none, rows, data, monkeypatch):
     assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_a_window_of_many_items(spark):
+    opening = " ".join(f"w{i}" for i in range(13))
+    items = [(i, f"{opening} own{i} more{i}") for i in range(5000)]
+    documents = [(1, f"before {opening} after"), (2, f"{opening} own7 more7"), (3, "nothing of it"), (4, None)] + [(10 + i, f"{opening} {i}") for i in range(300)]
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.contamination(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    named = sha256(",".join(sorted(str(i) for i in range(5000))).encode()).hexdigest()
+    empty = (0, 0, sha256(b"").hexdigest())
+    assert got[1] == (13, 5000, named) and got[2] == (15, 5000, named) and got[3] == got[4] == empty and all(got[10 + i] == (13, 5000, named) for i in range(300))
+
+
 # near duplicates -------------------------------------------------------------------------------------------------
 
 
@@ -469,6 +558,35 @@ def test_golay_keys_miss_no_pair(spark):
         assert a == b or root[signed(a)] == root[signed(b)]
 
 
+def test_hot_keys_lose_no_link(spark, monkeypatch):
+    import random
+
+    from tessella.llm.graphs import connected_components
+
+    rng = random.Random(4)
+    centre = rng.getrandbits(64)
+    some = {centre} | {centre ^ 1 << i for i in range(0, 64, 3)} | {centre ^ 1 << i ^ 1 << (i * 7 + 3) % 64 for i in range(64)} | {centre ^ 0b11111 << i for i in range(0, 60, 5)} | {rng.getrandbits(64) for _ in range(50)}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    prints = sorted(map(signed, some))
+    root = {p: p for p in prints}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    want = {p: top(p) for p in prints if sum(top(q) == top(p) for q in prints) > 1}
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for most_paired, rows in ((256, 500_000), (2, 500_000), (2, 0)):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", rows)
+        edges = simhash.links(frame, most_paired)
+        assert {r["node"]: r["root"] for r in connected_components(edges).collect()} == want
+
+
 # token counts ----------------------------------------------------------------------------------------------------
 
 

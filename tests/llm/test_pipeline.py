@@ -1,7 +1,7 @@
 """The stages one after another, each against what it must do to its own input."""
 
 import corpus_pipeline
-from tessella.llm import decontaminate, quality, queries, simhash
+from tessella.llm import decontaminate, mixing, quality, queries, simhash
 from tessella.llm.common import stored
 
 
@@ -28,6 +28,30 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, d).count() == docs.count()
 
 
+CLASHING = "text_hash root row kept_id kept_hash bad_id bad_digest kept score predicted key key_of times rows i again doc digest fp __id own.name".split()
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeated ids, empty texts and columns named like the stages' own: a row is what it was, and the right ones stay."""
+    base = [(1, "a fine text of some words that stand here for all to read", "en", "s"), (1, "quite another text with other words in it and more of them too", "en", "s"), (None, "no id but words enough to tell it from the others around it", None, None), (None, None, None, None), (2, "", "en", "s"), (3, "a fine text of some words that stand here for all to read", "en", "t"), (3, "a fine text of some words that stand here for all to read", "en", "t")]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in CLASHING]) for r in base], schema)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    bench = spark.createDataFrame([(7, "another text with other words in it and more of them too")], "item_id long, text string")
+    text_of = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    good = quality.good_documents(docs, labels, threshold=0.1)
+    assert good.columns == docs.columns and sorted(map(tuple, good.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+    once = simhash.deduplicated(docs)
+    assert once.columns == docs.columns and [r for r in text_of(once) if r[1]] == sorted([base[0][:2], base[1][:2], base[2][:2]], key=repr) and once.count() == 4
+    clean = decontaminate.decontaminated(docs, bench)
+    assert clean.columns == docs.columns and text_of(clean) == sorted((r[:2] for r in base if r != base[1]), key=repr)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {r[:2] for r in text_of(mixed)} == {r[:2] for r in base if r[1]}
+    for stage in (lambda d: quality.good_documents(d, labels), simhash.deduplicated, lambda d: decontaminate.decontaminated(d, bench), mixing.mixed_documents):
+        nothing = stage(docs.limit(0))
+        assert nothing.columns == docs.columns and nothing.isEmpty()
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
 
