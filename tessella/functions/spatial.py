@@ -231,7 +231,8 @@ def ray_sphere(origin: Vec, direction: Vec, radius: Column) -> Column:
     The ray passes the centre at its nearest point; the ball cuts half a chord off on either side of that.
     """
     nearest = -origin.dot(direction)
-    half = F.sqrt(F.nullif(F.greatest(radius * radius - (origin.dot(origin) - nearest * nearest), F.lit(-1.0)), F.lit(-1.0)))
+    square = radius * radius - (origin.dot(origin) - nearest * nearest)
+    half = F.sqrt(F.when(square >= 0, square))
     return F.when(nearest >= half, nearest - half).when(nearest + half >= 0, nearest + half)
 
 

@@ -234,15 +234,4 @@ def find_by_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.find_by_semantic(rows.withColumn("prop_ord", F.col("value")), "PRICE").select(F.col("snapshot").alias("o_orderkey"), "value")
 
 
-def bounds_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UTM extents of suppliers placed in earth-centred metres."""
-    e, n = 400000.0 + F.col("s_suppkey") % 1000 * 100, 5000000.0 + F.col("s_nationkey") * 1000
-    vertical = F.struct(F.lit("GEOID").alias("reference"), F.lit("UP").alias("direction"), F.lit(0.0).alias("minimum"), F.lit(100.0).alias("maximum"), F.lit(None).cast("double").alias("groundElevation"))
-    extent = F.struct((32601 + F.col("s_nationkey")).cast("double").alias("epsg"), F.lit(None).cast("int").alias("zone"), F.lit(None).cast("string").alias("hemisphere"), e.alias("minEasting"), n.alias("minNorthing"), (e + 100).alias("maxEasting"), (n + 100).alias("maxNorthing"), vertical.alias("vertical"))
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", extent.alias("u"))
-    placed = G.bounds_of_utm(F.col("u"), G.WGS84, G.UtmPlacement(accuracies={"WGS 84": 0.0}, geoid_margin=110.0))
-    return rows.select("s_suppkey", placed.alias("p")).select("s_suppkey", "p.status", F.col("p.bounds.center").alias("center"), F.col("p.bounds.radius").alias("radius"))
-
-
-R.query()(bounds_utm)
 QUERIES, ORACLES = R.queries, R.oracles
