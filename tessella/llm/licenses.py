@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.license_texts import WHOLE_TEXTS
+
 SHINGLE = 5
 CONTAINED = 0.8
 #: Rows of a band, and how likely a pair may be missed.
@@ -39,8 +41,9 @@ MOST_TEMPLATES, MOST_WORDS = 4096, 20_000
 PART_BYTES, GROUP_BYTES = 1 << 20, 1 << 18
 SEED = 0x9E3779B97F4A7C15
 
-#: Notices by which public licenses are granted.
+#: Notices by which public licenses are granted, and short licenses as a whole.
 TEMPLATES = (
+    *WHOLE_TEXTS,
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
