@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +76,10 @@ class EcefMetric:
         moved = S.place_vertically(F.col("bounds"), S.Vec.of(F.col("vertical_object")), frame, self.scale)
         return rows.withColumn("bounds", F.when(F.col("bounds").isNotNull(), moved))
 
+    def at_scale(self, placed: DataFrame, scale: float) -> DataFrame:
+        """All tiles as another vertical scale places them; placed: derived at scale 1, which stays what every scale starts from."""
+        return replace(self, scale=scale).rescaled(placed)
+
     def seen(self, placed: DataFrame, cameras: DataFrame) -> DataFrame:
         """(view, tile columns, visible, periphery, sse): every tile for every camera.
 

@@ -242,4 +242,44 @@ def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.error_events(rows).select("key", "phase", "for_hooks", "name")
 
 
+@R.query("SELECT event_id, 'frame.duration' AS name, (event_id % 9)::double AS value, 'millisecond' AS unit FROM events WHERE event_id % 4 > 0 AND event_type = 'view'")
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of frames; a quarter never started."""
+    k = F.col("event_id")
+    spans = table(spark, sf_dir, "events").where("event_type = 'view'").select(F.lit("frame.duration").alias("name"), F.when(k % 4 > 0, k).alias("started_ms"), (k + k % 9).alias("ended_ms"), F.create_map(F.lit("event"), k).alias("tags"))
+    return X.durations(spans).select(F.col("tags")["event"].alias("event_id"), "name", "value", "unit")
+
+
+@R.query("""WITH m AS (SELECT event_id, ['frame', 'frame.duration', 'cache.subtree.bytes', 'no.metric', 'tile.refine', 'content.load.network-bytes'][event_id % 6 + 1] AS name, value FROM events)
+SELECT event_id, name, value, CASE event_id % 6 WHEN 1 THEN 'millisecond' WHEN 2 THEN 'byte' WHEN 5 THEN 'byte' ELSE 'count' END AS unit FROM m WHERE event_id % 6 <> 3""")
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("frame", "frame.duration", "cache.subtree.bytes", "no.metric", "tile.refine", "content.load.network-bytes")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(name.alias("name"), "value", F.create_map(F.lit("event"), F.col("event_id")).alias("tags"))
+    return X.telemetry(rows).select(F.col("tags")["event"].alias("event_id"), "name", "value", "unit")
+
+
+@R.query(f"SELECT 'v' AS view, tile_id, CASE WHEN c_custkey % 3 = 0 THEN 'publish' ELSE 'revoke' END AS action, concat('label ', c_custkey) AS label FROM {CUSTOMERS} WHERE c_custkey % 3 < 2 AND c_custkey % 5 = 0")
+def glyph_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of tiles that enter or leave a cut; some tiles have none."""
+    leaf = _customers(spark, sf_dir)
+    k = F.col("c_custkey") % 3
+    changes = leaf.select(F.lit("v").alias("view"), "tile_id", F.when(k == 0, "enter").when(k == 1, "leave").otherwise("stay").alias("change"))
+    return X.glyph_changes(changes, leaf.where("c_custkey % 5 = 0").select("tile_id", F.concat(F.lit("label "), "c_custkey").alias("label")))
+
+
+@R.query("""SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN concat('http://h/d/s', c_custkey % 4, '.json') END AS schema_uri, CASE WHEN c_custkey % 3 = 0 THEN 'own' WHEN c_custkey % 4 < 2 THEN concat('file', c_custkey % 4) END AS id,
+  CASE WHEN c_custkey % 3 > 0 AND c_custkey % 4 >= 2 THEN 'METADATA_SCHEMA_LOAD_FAILED' END AS schema_issue FROM customer""")
+def metadata_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a schema of their own or in a file; of four files one is broken and one is missing."""
+    from tessella.sources import tilesets as T
+
+    k = F.col("c_custkey")
+    raw = F.when(k % 3 > 0, F.concat(F.lit('{"schemaUri":"./s'), k % 4, F.lit('.json"}'))).otherwise(F.lit('{"schema":{"id":"own"}}'))
+    docs = T.parse_documents(table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.lit("http://h/d/").alias("base_uri"), raw.alias("raw")))
+    files = spark.range(3).select(F.concat(F.lit("http://h/d/s"), "id", F.lit(".json")).alias("uri"), F.try_parse_json(F.when(F.col("id") < 2, F.concat(F.lit('{"id":"file'), "id", F.lit('"}'))).otherwise(F.lit("{"))).alias("v"))
+    found = T.with_schemas(docs, files)
+    return found.select(F.col("doc_id").alias("c_custkey"), "schema_uri", F.try_variant_get("schema", "$.id", "string").alias("id"), "schema_issue")
+
+
 QUERIES, ORACLES = R.queries, R.oracles

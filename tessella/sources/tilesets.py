@@ -75,6 +75,24 @@ def read_tilesets(spark: SparkSession, path: str) -> DataFrame:
     return parse_documents(files.select(F.col("path").alias("doc_id"), F.col("path").alias("uri"), base_uri(F.col("path")).alias("base_uri"), raw.alias("raw")))
 
 
+def with_schemas(documents: DataFrame, schemas: DataFrame | None) -> DataFrame:
+    """Adds schema_uri, schema and schema_issue to parsed documents (doc_id, base_uri, v, ...).
+
+    schemas: (uri, v), the schema files that were read, v null where one is no JSON; None if there is nothing to read them with.  A
+    document's own schema counts unless it names a file.  schema_issue is METADATA_SCHEMA_LOAD_FAILED (an error) or METADATA_SCHEMA_LOADER_MISSING (a warning).
+    """
+    named_file = text_of(member(F.col("v"), "schemaUri"))
+    rows = documents.withColumn("schema_uri", F.when(named_file != "", resolve_uri(named_file, F.col("base_uri"))))
+    own = member(F.col("v"), "schema")
+    if schemas is None:
+        return rows.withColumns({"schema": own, "schema_issue": F.when(F.col("schema_uri").isNotNull(), "METADATA_SCHEMA_LOADER_MISSING")})
+    files = schemas.select(F.col("uri").alias("schema_uri"), F.col("v").alias("loaded"))
+    joined = rows.join(files, "schema_uri", "left")
+    schema = F.when(F.col("schema_uri").isNull(), own).otherwise(F.col("loaded"))
+    failed = F.when(F.col("schema_uri").isNotNull() & F.col("loaded").isNull(), "METADATA_SCHEMA_LOAD_FAILED")
+    return joined.select(*rows.columns, schema.alias("schema"), failed.alias("schema_issue"))
+
+
 def flatten(documents: DataFrame, *, graft_at: Column | None = None, on_level=None) -> DataFrame:
     """(doc_id, tile_id, parent_id, path, depth, ordinal, order, refine, tile): a row for each tile of parsed documents.
 
