@@ -52,6 +52,13 @@ def test_vertical_scale_moves_objects_rigidly(tiles):
     assert got["d/root"]["radius"] == pytest.approx(2 * same["d/root"]["radius"])
 
 
+def test_another_scale_starts_from_the_first(tiles):
+    at = lambda df: {r["tile_id"]: r["bounds"] for r in df.collect()}
+    metric = EcefMetric(BALL)
+    placed = metric.derive(tiles)
+    assert at(metric.at_scale(placed, 2.0)) == at(EcefMetric(BALL, scale=2.0).derive(tiles)) != at(placed) == at(metric.at_scale(placed, 1.0))
+
+
 def test_arguments():
     for wrong in ({"ellipsoid": None}, {"horizon": "x"}, {"viewport_height": 0}, {"vertical_fov": 4.0}, {"scale": -1.0}):
         with pytest.raises((TypeError, ValueError)):
