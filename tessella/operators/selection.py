@@ -16,10 +16,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.hierarchy import ancestors
 from tessella.storage import settled
 
 #: Priorities of loads: what only surrounds the view, and what balance waits for.
@@ -80,67 +79,52 @@ def _decided(tiles: DataFrame, rules: Rules, base: bool) -> DataFrame:
     return t.withColumn("wants", wants)
 
 
-def _closure(tiles: DataFrame) -> DataFrame:
-    """(view, tile_id, ancestor, distance) joined with nothing yet."""
-    ids = tiles.select("tile_id").distinct()
-    return tiles.select("view", "tile_id", "depth").join(ancestors(ids), "tile_id")
-
-
-def _above(tiles: DataFrame, closure: DataFrame, *columns: str) -> DataFrame:
-    """The closure with columns of the ancestor, named a_*."""
-    own = tiles.select("view", F.col("tile_id").alias("ancestor"), F.col("depth").alias("a_depth"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    return closure.join(own, ["view", "ancestor"])
-
-
-def _blocked_above(wrong: DataFrame, above: DataFrame, stops: Column) -> DataFrame:
-    """(view, tile_id): the ancestors of wrong tiles down to the deepest ancestor at which stops holds, that one included."""
-    found = above.join(wrong.select(*ID), ID, "left_semi")
-    deepest = found.where(stops).groupBy(*ID).agg(F.max("a_depth").alias("stop"))
-    return found.join(deepest, ID, "left").where(F.col("a_depth") >= F.coalesce("stop", F.lit(0))).select("view", F.col("ancestor").alias("tile_id")).distinct()
+def _pairs(tiles: DataFrame, own: dict[str, Column], above: dict[str, Column]) -> DataFrame:
+    """(view, tile_id, own..., ancestor, a_depth, above...): a row for each tile and each tile above it, with what is asked of either."""
+    up = F.split("tile_id", "/")
+    low = tiles.select(*ID, *[c.alias(k) for k, c in own.items()], up.alias("path")).where(F.size("path") > 1)
+    low = low.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("path") - 1))).withColumn("ancestor", F.array_join(F.slice("path", 1, F.col("n")), "/")).drop("path", "n")
+    high = tiles.select("view", F.col("tile_id").alias("ancestor"), F.col("depth").alias("a_depth"), *[c.alias(k) for k, c in above.items()])
+    return low.join(high, ["view", "ancestor"])
 
 
 def _flag(tiles: DataFrame, marked: DataFrame, name: str, marked_is: bool) -> DataFrame:
     return tiles.join(marked.withColumn("__m", F.lit(True)), ID, "left").withColumn(name, F.col("__m").isNotNull() if marked_is else F.col("__m").isNull()).drop("__m")
 
 
-def _fronts_and_cover(t: DataFrame, base: bool) -> tuple[DataFrame, DataFrame]:
-    """Adds front_ok, covered and opened; also returns the closure with the ancestors' flags."""
-    closure = settled(_closure(t))
-    above = _above(t, closure, "visible", "potential", "subtree_ready", "selected_before", "refine", "ready")
+def _surveyed(t: DataFrame, base: bool, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """Adds front_ok, covered, opened, can_retain, up and reached; also returns the pairs of tiles and tiles above them.
+
+    One join makes the pairs.  A window over those of a tile finds the deepest tiles above it that matter: that at which a missing front or
+    an uncovered leaf stops spreading, the nearest that is ready, an ADD tile.  One aggregate then tells each tile what lies below it.
+    """
     missing = ~F.col("subtree_ready") | (F.col("potential") & ~F.col("ready"))
+    bare = F.col("visible") & ~F.col("has_children") & ~F.col("selected_before")
+    structural = F.col("subtree_ready") & ~F.col("potential")
     if base:  # hidden siblings belong to the front
-        structural = F.col("a_subtree_ready") & ~F.col("a_potential")
+        bare = bare & ~structural
     else:
-        missing = F.col("visible") & missing
-        structural = F.col("a_visible") & F.col("a_subtree_ready") & ~F.col("a_potential")
-    t = _flag(t, _blocked_above(t.where(missing), above, ~structural), "front_ok", False)
-    bare = F.col("visible") & ~F.col("has_children") & ~F.col("selected_before")
-    if base:
-        bare = bare & ~(F.col("subtree_ready") & ~F.col("potential"))
-    t = _flag(t, _blocked_above(t.where(bare), above, F.col("a_selected_before") | ~F.col("a_visible")), "covered", False)
-    t = t.withColumn("covered", F.col("covered") & F.col("has_children"))
-    return t.withColumn("opened", F.col("wants") & ((F.col("refine") == "ADD") | F.col("front_ok"))), closure
-
-
-def _reached(t: DataFrame, closure: DataFrame) -> DataFrame:
-    above = _above(t, closure, "active", "opened")
-    shut = above.where(~(F.col("a_active") & F.col("a_opened"))).select(*ID).distinct()
-    return _flag(t, shut, "__open_above", False).withColumn("reached", F.col("active") & F.col("__open_above")).drop("__open_above")
-
-
-def _descendants_kept(t: DataFrame, closure: DataFrame, keep: Column) -> DataFrame:
-    """(view, of, tile_id): of each tile the displayed descendants that keep."""
-    own = t.where(F.col("selected_before") & keep).select(*ID)
-    return closure.join(own, ID).select("view", F.col("ancestor").alias("of"), "tile_id")
-
-
-def _nearest_ready(nodes: DataFrame, t: DataFrame, closure: DataFrame, stop_at_add: bool = False) -> DataFrame:
-    """(view, of, tile_id): the nearest ready proper ancestor of each node, if there is one."""
-    found = _above(t, closure, "ready", "refine").join(nodes.select(*ID), ID, "left_semi")
-    if stop_at_add:
-        barrier = found.where("a_refine = 'ADD'").groupBy(*ID).agg(F.max("a_depth").alias("stop"))
-        found = found.join(barrier, ID, "left").where(F.col("a_depth") > F.coalesce("stop", F.lit(-1)))
-    return found.where("a_ready").groupBy(*ID).agg(F.max_by("ancestor", "a_depth").alias("up")).select("view", F.col("tile_id").alias("of"), F.col("up").alias("tile_id"))
+        missing, structural = F.col("visible") & missing, F.col("visible") & structural
+    own = {"missing": missing, "bare": bare, "kept": F.col("selected_before") & keep}
+    above = {"stops_front": ~structural, "stops_cover": F.col("selected_before") | ~F.col("visible"), "a_ready": F.col("ready"), "a_add": F.col("refine") == "ADD"}
+    all_above = Window.partitionBy(*ID)
+    deepest = lambda c, none: F.coalesce(F.max(F.when(F.col(c), F.col("a_depth"))).over(all_above), F.lit(none))
+    pairs = _pairs(t, own, above).withColumns({"front_stop": deepest("stops_front", 0), "cover_stop": deepest("stops_cover", 0), "add_stop": deepest("a_add", -1)})
+    may_stand_in = F.col("a_ready") & (F.col("a_depth") > F.col("add_stop")) if base else F.col("a_ready")
+    pairs = pairs.withColumn("up", F.max_by("ancestor", F.when(may_stand_in, F.col("a_depth"))).over(all_above))
+    pairs = settled(pairs.drop("stops_front", "stops_cover", "a_ready", "a_add"))
+    below = pairs.groupBy("view", F.col("ancestor").alias("tile_id")).agg(
+        F.bool_or(F.col("missing") & (F.col("a_depth") >= F.col("front_stop"))).alias("front_waits"),
+        F.bool_or(F.col("bare") & (F.col("a_depth") >= F.col("cover_stop"))).alias("shows_through"),
+        F.bool_or("kept").alias("can_retain"),
+    )
+    t = t.join(below, ID, "left").join(pairs.groupBy(*ID).agg(F.any_value("up").alias("up")), ID, "left")
+    no = F.lit(False)
+    t = t.withColumns({"front_ok": ~F.coalesce("front_waits", no), "covered": ~F.coalesce("shows_through", no) & F.col("has_children"), "can_retain": F.coalesce("can_retain", no)}).drop("front_waits", "shows_through")
+    t = settled(t.withColumn("opened", F.col("wants") & ((F.col("refine") == "ADD") | F.col("front_ok"))))
+    shut = t.where(~(F.col("active") & F.col("opened"))).select("view", F.col("tile_id").alias("ancestor"))
+    behind = pairs.join(shut, ["view", "ancestor"], "left_semi").select(*ID).distinct()
+    return _flag(t, behind, "reached", False).withColumn("reached", F.col("active") & F.col("reached")), pairs
 
 
 def select_active(tiles: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
@@ -149,37 +133,31 @@ def select_active(tiles: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noq
     What is wanted but not ready is stood in for: by displayed descendants, by the nearest ready ancestor, or by the tile itself.
     A tile whose subtree is not loaded is selected though it has nothing to show yet.
     """
-    t, closure = _fronts_and_cover(settled(_decided(tiles, rules, base=False)), base=False)
-    t = settled(_reached(t, closure))
-    kept = settled(_descendants_kept(t, closure, F.col("active")))
-    has_kept = kept.select("view", F.col("of").alias("tile_id")).distinct()
-    t = settled(_flag(t, has_kept, "can_retain", True))
-    retain = F.lit(rules.stable) & F.col("can_retain")
+    t, pairs = _surveyed(settled(_decided(tiles, rules, base=False)), False, F.col("active"))
+    retain, has_up = F.lit(rules.stable) & F.col("can_retain"), F.col("up").isNotNull()
     waiting = F.col("reached") & F.col("subtree_ready") & ~F.col("wants") & F.col("potential") & ~F.col("ready")
-    gated = F.col("reached") & F.col("wants") & (F.col("refine") == "REPLACE") & ~F.col("front_ok")
-    up = settled(_nearest_ready(t.where(waiting | gated), t, closure))
-    t = _flag(t, up.select("view", F.col("of").alias("tile_id")).distinct(), "has_up", True)
     # of each tile: itself, its displayed descendants, the ancestor above it, or nothing
     choice = (
         F.when(~F.col("reached"), "none")
         .when(~F.col("subtree_ready"), "self")
-        .when(waiting, F.when(retain, "kept").when(~F.col("visible"), "none").when(F.col("has_up"), "up").otherwise("self"))
+        .when(waiting, F.when(retain, "kept").when(~F.col("visible"), "none").when(has_up, "up").otherwise("self"))
         .when(~F.col("wants"), "self")
         .when(F.col("refine") == "ADD", "self")
         .when(F.col("front_ok"), "none")
         .when(F.col("balance") & F.col("covered") & retain, "kept")
         .when(F.col("ready"), "self")
-        .when(F.col("has_up"), "up")
+        .when(has_up, "up")
         .when(retain, "kept")
         .otherwise("self")
     )
-    t = settled(t.withColumn("choice", choice))
-    return _with_cut(t, kept, up)
+    return _with_cut(settled(t.withColumn("choice", choice)), pairs)
 
 
-def _with_cut(t: DataFrame, kept: DataFrame, up: DataFrame) -> DataFrame:
-    chosen = lambda c: t.where(F.col("choice") == c).select("view", F.col("tile_id").alias("of"))
-    cut = t.where("choice = 'self'").select(*ID).unionAll(kept.join(chosen("kept"), ["view", "of"]).select(*ID)).unionAll(up.join(chosen("up"), ["view", "of"]).select(*ID)).distinct()
+def _with_cut(t: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds selected and refining: who is chosen by itself, by a tile above it, or by one below."""
+    keeping = t.where("choice = 'kept'").select("view", F.col("tile_id").alias("ancestor"))
+    cut = t.where("choice IN ('self', 'up')").select("view", F.expr("CASE choice WHEN 'self' THEN tile_id ELSE up END").alias("tile_id"))
+    cut = cut.unionAll(pairs.where("kept").join(keeping, ["view", "ancestor"], "left_semi").select(*ID)).distinct()
     return _flag(t, cut, "selected", True).withColumn("refining", F.col("wants") & F.col("reached"))
 
 
@@ -190,34 +168,27 @@ def select_base(tiles: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa:
     ladder: displayed descendants that cover it, the tile, its nearest ready ancestor.  A view in which a coarser tile would
     have to take the place of displayed ones keeps its cut as it was (`blocked`).
     """
-    t, closure = _fronts_and_cover(settled(_decided(tiles, rules, base=True)), base=True)
-    t = settled(_reached(t, closure))
-    kept = settled(_descendants_kept(t, closure, F.col("visible") & F.col("ready")))
-    t = settled(_flag(t, kept.select("view", F.col("of").alias("tile_id")).distinct(), "can_retain", True))
+    t, pairs = _surveyed(settled(_decided(tiles, rules, base=True)), True, F.col("visible") & F.col("ready"))
     laddered = F.col("reached") & (~F.col("subtree_ready") | (~F.col("wants") & F.col("potential")))
     gated = F.col("reached") & F.col("wants") & (F.col("refine") == "REPLACE") & ~F.col("front_ok")
-    up = settled(_nearest_ready(t.where(laddered | gated), t, closure, stop_at_add=True))
-    t = _flag(t, up.select("view", F.col("of").alias("tile_id")).distinct(), "has_up", True)
     covered = F.lit(rules.stable) & F.col("covered")
-    low = F.when(F.col("ready"), "self").when(F.col("has_up"), "up").otherwise("none")
+    low = F.when(F.col("ready"), "self").when(F.col("up").isNotNull(), "up").otherwise("none")
     choice = (
         F.when(gated, F.when(covered, "kept").when(F.col("can_retain"), "blocked").otherwise(low))
         .when(laddered, F.when(covered & ~F.col("ready"), "kept").otherwise(low))
         .when(F.col("reached") & F.col("wants") & (F.col("refine") == "ADD") & F.col("ready"), "self")
         .otherwise("none")
     )
-    t = settled(t.withColumn("choice", choice))
-    t = _with_cut(t, kept, up)
+    t = settled(_with_cut(settled(t.withColumn("choice", choice)), pairs))
     # a tile goes where a REPLACE ancestor is selected, unless an ADD tile stands between
-    above = _above(t, closure, "selected", "refine")
-    barrier = above.where("a_refine = 'ADD'").groupBy(*ID).agg(F.max("a_depth").alias("stop"))
-    hidden = above.join(barrier, ID, "left").where((F.col("a_depth") > F.coalesce("stop", F.lit(-1))) & F.col("a_selected")).select(*ID).distinct()
-    t = _flag(t, hidden, "__hidden", True).withColumn("selected", F.col("selected") & ~F.col("__hidden")).drop("__hidden")
+    shown = t.where("selected").select("view", F.col("tile_id").alias("ancestor"))
+    hidden = pairs.where("a_depth > add_stop").join(shown, ["view", "ancestor"], "left_semi").select(*ID).distinct()
     stuck = t.where("choice = 'blocked'").select("view").distinct().withColumn("blocked", F.lit(True))
-    t = t.join(stuck, "view", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
-    t = settled(t.withColumn("selected", F.when(F.col("blocked"), F.col("selected_before") & F.col("ready")).otherwise(F.col("selected"))))
+    t = _flag(t, hidden, "stays", False).join(stuck, "view", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    published = F.when(F.col("blocked"), F.col("selected_before") & F.col("ready")).otherwise(F.col("selected") & F.col("stays"))
+    t = settled(t.withColumn("selected", published).drop("stays"))
     # what counts as refined follows the published cut
-    refined = closure.join(t.where("selected").select(*ID), ID, "left_semi").select("view", F.col("ancestor").alias("tile_id")).distinct()
+    refined = pairs.join(t.where("selected").select(*ID), ID, "left_semi").select("view", F.col("ancestor").alias("tile_id")).distinct()
     return _flag(t.drop("refining"), refined, "refining", True)
 
 
@@ -244,9 +215,8 @@ def periphery_requests(tiles: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(view, tile_id, priority): loads around the view of the strategy `base`, all below those of the view, by their error."""
     deep = (F.col("sse") > rules.threshold(F.col("depth")) * max(1.0, rules.threshold_scale)) | ~F.col("potential")
     t = _prepared(tiles).withColumn("opens", ~F.col("visible") & F.col("periphery") & F.col("subtree_ready") & deep)
-    above = _above(t, _closure(t), "opens", "visible", "periphery")
     # a hidden tile is asked for if it lies around the view and all hidden tiles above it refine
-    shut = above.where(~F.col("a_visible") & ~F.col("a_opens")).select(*ID).distinct()
+    shut = _pairs(t, {}, {"shut": ~F.col("visible") & ~F.col("opens")}).where("shut").select(*ID).distinct()
     return t.where(~F.col("visible") & F.col("periphery") & F.col("potential") & ~F.col("ready")).join(shut, ID, "left_anti").select(*ID, (F.lit(-1.0) / (1 + F.col("sse"))).alias("priority"))
 
 
