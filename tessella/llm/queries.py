@@ -105,5 +105,29 @@ FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
 """
 
 
+def _op5_sql(levels: int = 4, dimensions: tuple[str, ...] = ("d_size", "d_source", "d_lang", "d_id")) -> str:
+    """The tree in SQL: at each level every node is cut at the middle byte of its widest dimension."""
+    first_six = "coalesce(('0x' || rpad(left(hex(encode({})), 12), 12, '0'))::bigint::double, -1)"
+    width = "(max({0}) OVER n - min({0}) OVER n) / w_{0} AS u_{0}"
+    widest = f"greatest({', '.join(f'u_{d}' for d in dimensions)})"
+    along = " ".join(f"WHEN u_{d} >= {widest} THEN {d}" for d in dimensions)
+    cuts = "".join(
+        f""",
+u{i} AS (SELECT l{i}.*, sum(size) OVER n AS whole, {', '.join(width.format(d) for d in dimensions)} FROM l{i}, widths WINDOW n AS (PARTITION BY node)),
+v{i} AS (SELECT *, CASE {along} END AS value FROM u{i}),
+l{i + 1} AS (SELECT * EXCLUDE (whole, value, {', '.join(f'u_{d}' for d in dimensions)}) REPLACE (2 * node + (2 * sum(size) OVER (PARTITION BY node ORDER BY value, tie ROWS UNBOUNDED PRECEDING) - size > whole)::int AS node) FROM v{i})"""
+        for i in range(levels)
+    )
+    return f"""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), n)) AS tab),
+d AS (SELECT doc_id, source, lang, octet_length(encode(coalesce(text, ''))) + 1 AS size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint),
+  lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM documents, t),
+l0 AS (SELECT doc_id, size, crc, 0 AS node, ('0x' || left(md5(concat(coalesce(doc_id::varchar, '-'), ':', crc)), 15))::bigint AS tie,
+  log2(size) AS d_size, {first_six.format('source')} AS d_source, {first_six.format('lang')} AS d_lang, coalesce(doc_id::double, -1) AS d_id FROM d),
+widths AS (SELECT {', '.join(f'coalesce(nullif(max({d}) - min({d}), 0), 1) AS w_{d}' for d in dimensions)} FROM l0){cuts}
+SELECT doc_id, size::bigint AS size, crc::bigint AS text_crc32, 'bytes' AS law, node::int AS shard, row_number() OVER (PARTITION BY node ORDER BY tie) - 1 AS slot, NULL::int AS grown_shard FROM l{levels}
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op7_decontamination": OP7_SQL}
+    return {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op5_sharding": _op5_sql(), "op7_decontamination": OP7_SQL}
