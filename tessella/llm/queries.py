@@ -129,5 +129,46 @@ SELECT doc_id, size::bigint AS size, crc::bigint AS text_crc32, 'bytes' AS law,
 """
 
 
+def _op8_sql() -> str:
+    """XXH64 of every distinct shingle step by step in 128-bit numbers, then all pairs of distinct fingerprints."""
+    # fixed values: the five primes of XXH64
+    p1, p2, p3, p4, p5 = (f"{p}::uhugeint" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    whole = 1 << 64
+    low = lambda x: f"(({x}) & {whole - 1}::uhugeint)"
+    number = lambda x: f"({x}::ubigint::uhugeint)"
+    left = lambda x, by: low(f"(({x}) << {by}) | (({x}) >> {64 - by})")
+    times = lambda x, p: low(f"({x}) * {p}")
+    turned = lambda acc, x: times(left(low(f"({acc}) + ({x}) * {p2}"), 31), p1)
+    folded = lambda acc, x: low(f"xor({acc}, {x}) * {p1} + {p4}")
+    # bytes are little-endian: they are read from the reversed text
+    read = lambda at, n: number(f"('0x' || substr(back, 2 * (len - ({at}) - {n}) + 1, {2 * n}))")
+    lane = lambda k: f"list_reduce(list_transform(range(len // 32), lambda j: {read(f'32 * j + {8 * k}', 8)}), lambda a, x: {turned('a', 'x')}, {number((42 + (11400714785074694791 + 14029467366897019727, 14029467366897019727, 0, -11400714785074694791)[k]) % whole)})"
+    merged = low(" + ".join(left(f"v{k}", by) for k, by in enumerate((1, 7, 12, 18))))
+    for k in range(4):
+        merged = folded(merged, turned("0::uhugeint", f"v{k}"))
+    eights = f"list_reduce(list_transform(range(len % 32 // 8), lambda j: {turned('0::uhugeint', read('len // 32 * 32 + 8 * j', 8))}), lambda a, x: {low(left('xor(a, x)', 27) + f' * {p1} + {p4}')}, acc)"
+    four = f"CASE WHEN len % 8 >= 4 THEN {low(left(f'xor(acc, {times(read("len // 8 * 8", 4), p1)})', 23) + f' * {p2} + {p3}')} ELSE acc END"
+    ones = f"list_reduce(list_transform(range(len % 4), lambda j: {times(read('len // 4 * 4 + j', 1), p5)}), lambda a, x: {times(left('xor(a, x)', 11), p1)}, acc)"
+    mixed = lambda by, p: times(f"xor(acc, acc >> {by})", p)
+    steps = [eights, four, ones, mixed(33, p2), mixed(29, p3), "xor(acc, acc >> 32)"]
+    chain = "".join(f", h{i + 1} AS (SELECT s, len, back, {step} AS acc FROM h{i})" for i, step in enumerate(steps))
+    sums = ", ".join(f"count(*) FILTER (acc >> {i} & 1 = 1) AS b{i}" for i in range(64))
+    bits = " + ".join(f"CASE WHEN 2 * b{i} > n THEN {1 << i}::uhugeint ELSE 0 END" for i in range(64))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w, row_number() OVER () AS r FROM documents),
+g AS (SELECT r, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+e AS (SELECT s, octet_length(encode(s)) AS len, array_to_string(list_reverse(regexp_extract_all(hex(encode(s)), '..')), '') AS back FROM (SELECT DISTINCT s FROM g)),
+v AS (SELECT *, {', '.join(f'{lane(k)} AS v{k}' for k in range(4))} FROM e),
+h0 AS (SELECT s, len, back, {low(f'CASE WHEN len >= 32 THEN {merged} ELSE 42 + {p5} END + len::uhugeint')} AS acc FROM v){chain},
+b AS (SELECT r, count(*) AS n, {sums} FROM g JOIN h{len(steps)} USING (s) GROUP BY r),
+f AS (SELECT doc_id, coalesce(fp, 0::uhugeint) AS fp FROM d LEFT JOIN (SELECT r, {bits} AS fp FROM b) USING (r)),
+u AS (SELECT fp, min(doc_id) AS first FROM f GROUP BY fp),
+near AS (SELECT x.fp AS a, y.fp AS b FROM u x JOIN u y ON x.fp <> y.fp AND bit_count(xor(x.fp, y.fp)::hugeint) <= 2),
+way(fp, other) AS (SELECT fp, fp FROM u UNION SELECT way.fp, near.b FROM way JOIN near ON near.a = way.other),
+c AS (SELECT way.fp, min(u.first) AS component_id FROM way JOIN u ON u.fp = way.other GROUP BY way.fp)
+SELECT doc_id, lower(lpad(hex(fp::ubigint), 16, '0')) AS fingerprint, component_id FROM f JOIN c USING (fp)
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op5_sharding": _op5_sql(), "op7_decontamination": OP7_SQL}
+    return {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op5_sharding": _op5_sql(), "op7_decontamination": OP7_SQL, "op8_simhash": _op8_sql()}
