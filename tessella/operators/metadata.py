@@ -85,12 +85,13 @@ def resolve_metadata(scopes: DataFrame, properties: DataFrame, definitions: Data
     Properties that are declared but absent, and absent from the schema but present, are both there (a full join).  issue is null or a code;
     values of defaults are checked and transformed as raw ones are.
     """
-    own = scopes.select("snapshot", "scope_ord", "scope", "owner", "schema_id", "class")
-    declared = own.join(definitions, ["schema_id", "class"])
-    said = own.join(properties, ["snapshot", "scope_ord"]).select("snapshot", "scope_ord", "property", "ord", "raw")
+    entity, of = ["snapshot", "scope_ord"], ["scope", "owner", "schema_id", "class"]
+    own = scopes.select(*entity, *of)
     known = [c for c in definitions.columns if c not in ("schema_id", "class", "property")]
-    left = declared.select("snapshot", "scope_ord", "property", F.lit(True).alias("declared"), *known)
-    both = left.join(said, ["snapshot", "scope_ord", "property"], "full").join(own, ["snapshot", "scope_ord"])
+    left = own.join(definitions, ["schema_id", "class"]).select(*entity, "property", *of, F.lit(True).alias("declared"), *known)
+    said = own.join(properties, entity).select(*entity, "property", *[F.col(c).alias(f"said_{c}") for c in of], "ord", "raw")
+    # either side knows its scope: nothing is looked up again
+    both = left.join(said, [*entity, "property"], "full").withColumns({c: F.coalesce(c, f"said_{c}") for c in of})
     names = enum_values.groupBy("schema_id", F.col("enum").alias("enum_type")).agg(F.collect_set("name").alias("names"))
     both = both.join(names, ["schema_id", "enum_type"], "left")
     text = lambda c: F.to_json(F.col(c))
