@@ -29,7 +29,10 @@ class TrieCounter:
 
     def __init__(self, pieces: dict[str, float], remember: int = REMEMBER) -> None:
         self.pieces, self.remember = pieces, remember
-        self.longest = max(map(len, pieces), default=1)
+        #: How long the pieces are that end in these two characters.
+        self.ends: dict[str, list[int]] = {}
+        for end, length in sorted({(piece[-2:], len(piece)) for piece in pieces if len(piece) > 1}):
+            self.ends.setdefault(end, []).append(length)
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN
         self.counts: dict[bytes, int] = {}
 
@@ -43,19 +46,22 @@ class TrieCounter:
 
     def _extend(self, scores: list[tuple[float, int]], word: str, end: int) -> None:
         """Append the forward score (total, minus pieces) of word[:end]."""
-        get, best = self.pieces.get, None
-        for begin in range(max(0, end - self.longest), end):
-            score = get(word[begin:end])
+        get = self.pieces.get
+        total, count = scores[end - 1]
+        score = get(word[end - 1])
+        if score is None:
+            best = (total + self.unknown, count - len(word[end - 1].encode()))
+        else:
+            best = (total + score, count - 1)
+        for length in self.ends.get(word[max(0, end - 2) : end], ()):
+            if length > end:
+                break
+            score = get(word[end - length : end])
             if score is not None:
-                total, count = scores[begin]
+                total, count = scores[end - length]
                 here = (total + score, count - 1)
-                if best is None or here > best:
+                if here > best:
                     best = here
-        if get(word[end - 1 : end]) is None:
-            total, count = scores[end - 1]
-            here = (total + self.unknown, count - len(word[end - 1 : end].encode()))
-            if best is None or here > best:
-                best = here
         scores.append(best)
 
     def learn(self, words: set[bytes]) -> None:
