@@ -1,5 +1,8 @@
 """The stages one after another, each against what it must do to its own input."""
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from tessella.llm import decontaminate, mixing, quality, queries, simhash
 from tessella.llm.common import stored
@@ -58,3 +61,17 @@ def test_registered_queries():
     names = set(entry.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")} and "pipeline" in names
     assert set(queries.oracle_sql()) <= names
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, data, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    df = queries.queries()[name](spark, data)
+    columns = sorted(df.columns)
+    found = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == columns
+    want = [tuple(row[names.index(c)] for c in columns) for row in found.fetchall()]
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted(want, key=repr)
