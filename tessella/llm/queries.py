@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, kdtree, licenses, media, mixing, quality, simhash, tokencount, tokenstore, warc
+from tessella.llm import decontaminate, kdtree, licenses, lm, media, mixing, quality, simhash, tokencount, tokenstore, warc
 from tessella.llm.common import table
 
 
@@ -57,6 +57,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
 
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.scored(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
