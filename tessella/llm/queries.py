@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, kdtree, licenses, lm, media, mixing, quality, simhash, tokencount, tokenstore, warc
+from tessella.llm import decontaminate, kdtree, licenses, lloyd, lm, media, mixing, quality, simhash, tokencount, tokenstore, warc
 from tessella.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.coded(table(spark, sf_dir, "embeddings"))
+
+
 def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -176,5 +180,27 @@ SELECT doc_id, lower(lpad(hex(fp::ubigint), 16, '0')) AS fingerprint, component_
 """
 
 
+def _op11_sql(rounds: int = 6) -> str:
+    """Every part against every entry in each round, without trees."""
+    steps = ""
+    for i in range(rounds + 1):
+        steps += f""",
+a{i} AS (SELECT vec_id, label, part, p, min((d, idx)) AS best FROM (SELECT x.vec_id, x.label, x.part, x.p, c.idx, list_sum(list_transform(list_zip(x.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint AS d
+  FROM parts x JOIN c{i} c ON c.part = x.part) GROUP BY ALL)"""
+        if i < rounds:
+            steps += f""",
+m{i} AS (SELECT part, idx, list(floor(s::double / n)::bigint ORDER BY pos) AS p FROM (SELECT part, best[2] AS idx, pos, sum(v) AS s, count(*) AS n FROM (SELECT part, best, unnest(p) AS v, unnest(range(len(p))) AS pos FROM a{i}) GROUP BY ALL) GROUP BY ALL),
+c{i + 1} AS (SELECT part, idx, coalesce(m.p, c.p) AS p FROM c{i} c LEFT JOIN m{i} m USING (part, idx))"""
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, part, v[part * len(v) // 8 + 1:(part + 1) * len(v) // 8] AS p FROM (SELECT *, unnest(range(8)) AS part FROM kept)),
+c0 AS (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS idx, p FROM parts QUALIFY idx < 16){steps},
+e AS (SELECT vec_id, label, string_agg(lpad(lower(hex(best[2])), 2, '0'), '' ORDER BY part) AS code, sum(best[1])::bigint AS error FROM a{rounds} GROUP BY ALL),
+h AS (SELECT sha256(string_agg(array_to_string(p, ','), ',' ORDER BY part, idx)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, codebooks_sha256 FROM e, h
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op5_sharding": _op5_sql(), "op7_decontamination": OP7_SQL, "op8_simhash": _op8_sql()}
+    return {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op5_sharding": _op5_sql(), "op7_decontamination": OP7_SQL, "op8_simhash": _op8_sql(), "op11_lloyd": _op11_sql()}
