@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, kdtree, licenses, lloyd, lm, media, mixing, quality, simhash, tokencount, tokenstore, warc
+from tessella.llm import decontaminate, kdtree, licenses, lloyd, lm, media, mixing, quality, simhash, tokencount, tokenstore, trie, warc
 from tessella.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.coded(table(spark, sf_dir, "embeddings"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -202,5 +206,25 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS la
 """
 
 
+# every prefix of every conversation, by the digests of its turns
+OP12_SQL = """
+WITH t AS (SELECT conv_id, coalesce(text, '') AS text, md5(concat(octet_length(encode(coalesce(role, '')))::varchar, ':', coalesce(role, ''), coalesce(text, ''))) AS g, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, g, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS pos FROM t),
+tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), n)) AS tab),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS family, xor(list_reduce(list_transform(regexp_extract_all(conv_id::varchar, '.'), lambda x: ascii(x)::bigint), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM o), tab),
+r AS (SELECT c.conv_id, o.g, o.w, o.pos AS k FROM c JOIN o ON o.conv_id = c.family AND o.pos <= c.h UNION ALL SELECT c.conv_id, o.g, o.w, o.pos FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h),
+q AS (SELECT conv_id, g, w, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth FROM r),
+p AS (SELECT conv_id, depth, w, string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM q UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+l AS (SELECT conv_id, max(depth) AS last FROM p GROUP BY 1),
+n AS (SELECT path, depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w, sha256(coalesce(string_agg(p.conv_id::varchar, ',' ORDER BY p.conv_id) FILTER (depth = last), '')) AS ends_sha256 FROM p JOIN l USING (conv_id) GROUP BY 1, 2),
+k AS (SELECT path[:-33] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+a AS (SELECT path, unnest(list_transform(range(depth + 1), lambda i: path[:32 * i])) AS top, (n_convs - 1) * w AS saved, (n_children IS NULL)::int AS leaf FROM n LEFT JOIN k USING (path)),
+s AS (SELECT top AS path, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves FROM a GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::bigint AS n_children, n_leaves::bigint AS n_leaves, saved_tokens::bigint AS saved_tokens, n.ends_sha256
+FROM n JOIN s USING (path) LEFT JOIN k USING (path) LEFT JOIN n u ON n.depth > 0 AND u.path = n.path[:-33]
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op5_sharding": _op5_sql(), "op7_decontamination": OP7_SQL, "op8_simhash": _op8_sql(), "op11_lloyd": _op11_sql()}
+    return {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op5_sharding": _op5_sql(), "op7_decontamination": OP7_SQL, "op8_simhash": _op8_sql(), "op11_lloyd": _op11_sql(), "op12_trie": OP12_SQL}
