@@ -186,7 +186,7 @@ def coded(embeddings: DataFrame, *, id_col="vec_id", vector_col="embedding", lab
         raise ValueError(f"vectors of {size} components cannot be cut into {parts} equal parts")
     kept = kept.where(F.size("vector") == size)
     start = np.array([r["vector"] for r in kept.select("id", "vector").orderBy(F.asc_nulls_last("id"), "vector").limit(entries).collect()], dtype=np.float64)
-    books = whole_numbers(start.reshape(-1, size)).reshape(len(start), parts, size // parts).transpose(1, 0, 2)
+    books = whole_numbers(start.reshape(len(start), size)).reshape(len(start), parts, size // parts).transpose(1, 0, 2)
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
     blocks = stored(kept.mapInArrow(_blocks(size, parts), f"n int, ids array<{kinds['id']}>, labels array<{kinds['label']}>, orders binary, points binary"), "blocks")
     if size and len(start):
