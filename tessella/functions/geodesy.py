@@ -202,9 +202,9 @@ class UtmPlacement:
 
 
 def upward_interval(vertical: Column) -> tuple[Column, Column]:
-    """Lowest and highest, measured upward: depths that count downward are negative heights."""
-    ends = [vertical[c] * F.when(vertical["direction"] == "DOWN", -1.0).otherwise(1.0) for c in ("minimum", "maximum")]
-    return F.least(*ends), F.greatest(*ends)
+    """(low, high) measured upward: depths that count downward are negative heights.  Ends are taken as they are given: a null or reversed end stays so."""
+    down = vertical["direction"] == "DOWN"
+    return F.when(down, -vertical["maximum"]).otherwise(vertical["minimum"]), F.when(down, -vertical["minimum"]).otherwise(vertical["maximum"])
 
 
 def vertical_model(vertical: Column, rules: UtmPlacement) -> dict[str, Column]:

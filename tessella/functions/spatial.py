@@ -161,29 +161,22 @@ def _one(ratio: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))
 
 
-def horizon_arc(ball: Column, away: Column) -> Column:
-    """The angle at the centre of a ball between a point and the farthest surface that is seen from it."""
-    return F.acos(_one(F.try_divide(ball, away)))
-
-
 def beyond_horizon(centre: Vec, radius: Column, camera: Vec, body: Column | float, lowest_terrain: Column | float, low: Column | None = None, high: Column | None = None) -> Column:
     """Whether nothing of a tile rises over the horizon of a ball that no terrain reaches below.
 
-    A line of sight that grazes the ball leaves it as one horizon arc towards the camera and one towards the tile's highest point; a tile is
-    hidden if the angle to its nearest edge is more than both arcs together.  low and high are the tile's heights over the body's
-    radius, those of its sphere where they are null.  A camera inside the ball, or a tile around its centre, hides nothing.
+    low and high are the tile's heights over the body's radius; where they are null, those of its sphere count.  A camera inside the
+    ball, or a tile around its centre, hides nothing.
     """
     number = lambda v: F.lit(float(v)) if isinstance(v, (int, float)) else v
-    away, far, ground = centre.length(), camera.length(), number(body)
-    ends = [away - radius, away + radius]
-    for i, measured in enumerate((low, high)):
-        if measured is not None:
-            ends[i] = F.coalesce(ground + measured, ends[i])
-    ball = F.least(ground, ground + number(lowest_terrain), ends[0])
-    both_arcs = horizon_arc(ball, far) + horizon_arc(ball, F.greatest(ball, ends[1]))
-    nearest_edge = F.acos(_one(F.try_divide(centre.dot(camera), far * away))) - F.asin(_one(F.try_divide(radius, away)))
-    told = ball.between(0, far) & (ball != 0) & (ball != far) & (away > radius)
-    return F.coalesce(told & (nearest_edge > both_arcs), F.lit(False))
+    height = lambda measured, otherwise: otherwise if measured is None else F.coalesce(number(body) + measured, otherwise)
+    to_tile, to_camera = centre.length(), camera.length()
+    foot, summit = height(low, to_tile - radius), height(high, to_tile + radius)
+    ball = F.least(number(body), number(body) + number(lowest_terrain), foot)
+    # a line of sight that touches the ball has covered one arc since the camera and covers another up to the summit
+    camera_arc, summit_arc = F.acos(ball / to_camera), F.acos(ball / F.greatest(ball, summit))
+    apart = F.atan2(centre.cross(camera).length(), centre.dot(camera))
+    has_horizon = (ball > 0) & (ball < to_camera) & (radius < to_tile)
+    return F.coalesce(has_horizon & (apart - F.asin(radius / to_tile) > camera_arc + summit_arc), F.lit(False))
 
 
 def inside_view(b: Column, camera: Column, planes: Column, occluder: Column | float | None = None) -> Column:

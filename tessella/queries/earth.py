@@ -77,14 +77,15 @@ def bounds_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", placed.alias("p")).select("s_suppkey", "p.status", *_bounds_columns("p.bounds", 3))
 
 
-@R.query("""WITH s AS (SELECT s_suppkey, ['ELLIPSOID', 'GEOID', 'GROUND', 'LOCAL'][s_suppkey % 4 + 1] AS kind, s_suppkey % 3 = 0 AS down, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey::double END AS ground FROM supplier),
-v AS (SELECT *, CASE WHEN down THEN -30.0::double ELSE 10.0::double END AS low, CASE WHEN down THEN -10.0::double ELSE 30.0::double END AS high, kind = 'GROUND' AND ground IS NOT NULL AS on_ground FROM s)
+@R.query("""WITH s AS (SELECT s_suppkey, ['ELLIPSOID', 'GEOID', 'GROUND', 'LOCAL'][s_suppkey % 4 + 1] AS kind, s_suppkey % 3 = 0 AS down, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey::double END AS ground,
+  CASE WHEN s_suppkey % 7 > 0 THEN floor(s_acctbal / 100)::double END AS minimum, CASE WHEN s_suppkey % 11 > 0 THEN 30.0::double END AS maximum FROM supplier),
+v AS (SELECT *, CASE WHEN down THEN -maximum ELSE minimum END AS low, CASE WHEN down THEN -minimum ELSE maximum END AS high, kind = 'GROUND' AND ground IS NOT NULL AS on_ground FROM s)
 SELECT s_suppkey, low + CASE WHEN kind = 'GEOID' THEN -110 WHEN on_ground THEN ground - 110 WHEN kind = 'ELLIPSOID' THEN 0 ELSE -50 END AS lowest, high + CASE WHEN kind = 'GEOID' THEN 110 WHEN on_ground THEN ground + 110 WHEN kind = 'ELLIPSOID' THEN 0 ELSE 900 END AS highest FROM v""")
 def utm_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heights over the ellipsoid of vertical extents counted from the ellipsoid, the geoid, known ground or terrain within an envelope."""
+    """Heights over the ellipsoid of vertical extents counted from the ellipsoid, the geoid, known ground or terrain within an envelope; some ends are null, some reversed."""
     key = F.col("s_suppkey")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("ELLIPSOID", "GEOID", "GROUND", "LOCAL")]), (key % 4 + 1).cast("int"))
-    vertical = F.struct(kind.alias("reference"), F.when(key % 3 == 0, "DOWN").otherwise("UP").alias("direction"), F.lit(10.0).alias("minimum"), F.lit(30.0).alias("maximum"), F.when(key % 5 > 0, key.cast("double")).alias("groundElevation"))
+    vertical = F.struct(kind.alias("reference"), F.when(key % 3 == 0, "DOWN").otherwise("UP").alias("direction"), F.when(key % 7 > 0, F.floor(F.col("s_acctbal") / 100).cast("double")).alias("minimum"), F.when(key % 11 > 0, F.lit(30.0)).alias("maximum"), F.when(key % 5 > 0, key.cast("double")).alias("groundElevation"))
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", vertical.alias("v"))
     rules = G.UtmPlacement(geoid_margin=110.0, unknown_ground=(-50.0, 900.0))
     return rows.select("s_suppkey", G.ellipsoidal_height_range(F.col("v"), rules).alias("h")).select("s_suppkey", F.col("h")[0].alias("lowest"), F.col("h")[1].alias("highest"))
