@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.geodesy import utm_from_epsg
 from tessella.sources.tilesets import UTM_EXTENSION, contents, flatten, is_number, is_object, is_text, items, member, number, parse_documents
+from tessella.storage import settled
 
 # The grid's limits in metres.
 EASTING_LIMIT, NORTHING_LIMIT = 1_000_000, 10_000_000
@@ -277,7 +278,7 @@ def validate_tilesets(documents: DataFrame, *, utm_extension: str = UTM_EXTENSIO
     broken = parsed.where("v IS NULL").select("doc_id", none.alias("order"), F.lit("").alias("path"), F.lit("INVALID_JSON").alias("code"), F.lit("error").alias("severity"))
     docs = parsed.where("v IS NOT NULL").select("doc_id", none.alias("order"), F.lit("").alias("path"), "v")
     sound = parsed.where("v IS NOT NULL").where(is_object(F.col("v")))
-    tiles = flatten(sound.withColumn("v", F.when(member(F.col("v"), "root").isNotNull(), F.col("v")).otherwise(F.parse_json(F.lit('{"root": null}')))))
+    tiles = settled(flatten(sound.withColumn("v", F.when(member(F.col("v"), "root").isNotNull(), F.col("v")).otherwise(F.parse_json(F.lit('{"root": null}'))))))  # each kind of rule reads them
     tile_implicit = member(F.col("tile"), "implicitTiling")
     own_contents = contents(tiles)
     # a singular content stands beside contents only in documents that are wrong already, and is looked at all the same

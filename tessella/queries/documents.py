@@ -55,6 +55,25 @@ def effective_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.groupBy("refine", long("depth").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_CHAIN_MODE = "CASE WHEN c_custkey % 5 = 0 THEN 'ADD' WHEN c_custkey % 7 = 0 THEN 'REPLACE' END"
+
+
+@R.query(f"""WITH c AS (SELECT c_custkey AS k, c_custkey // 31 AS g, {_CHAIN_MODE} AS mode FROM customer),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS depth, count(*) OVER (PARTITION BY g) AS n FROM c)
+SELECT concat(g, '/root', repeat('/0', depth::int)) AS tile_id, CASE WHEN depth > 0 THEN concat(g, '/root', repeat('/0', depth::int - 1)) END AS parent_id, depth,
+  coalesce(last_value(mode IGNORE NULLS) OVER (PARTITION BY g ORDER BY k), 'REPLACE') AS refine,
+  concat('{{', CASE WHEN depth + 1 < n THEN '"children":[true],' ELSE '' END, '"extras":{{"note":"a \\"[}}{{"}},"key":', k, CASE WHEN mode IS NULL THEN '' ELSE concat(',"refine":"', mode, '"') END, '}}') AS own FROM n""")
+def deep_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of up to 31 customers, each the child of the one before: tiles with their own members alone."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr("c_custkey div 31").alias("g"), F.expr(_CHAIN_MODE).alias("mode"))
+    mode = F.when(F.col("mode").isNull(), "").otherwise(F.concat(F.lit(',"refine":"'), "mode", F.lit('"')))
+    head = F.concat(F.lit('{"key":'), F.col("c_custkey").cast("string"), mode, F.lit(',"extras":{"note":"a \\"[}{"}'))
+    chains = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("c_custkey", head.alias("head")))).alias("c"))
+    raw = F.concat(F.lit('{"asset":{"version":"1.1"},"root":'), F.array_join(F.transform("c", lambda x: x["head"]), ', "children" : ['), F.lit("}"), F.expr("repeat(']}', size(c) - 1)"), F.lit("}"))
+    tiles = T.flatten(T.parse_documents(chains.select(F.col("g").cast("string").alias("doc_id"), raw.alias("raw"))))
+    return tiles.select("tile_id", "parent_id", long("depth").alias("depth"), "refine", F.to_json("tile").alias("own"))
+
+
 EXT = "ACME_bounding_volume_utm"
 _VOLUME = "/root/boundingVolume"
 _EXTENT = f"{_VOLUME}/extensions/{EXT}"

@@ -1,8 +1,7 @@
 """Tileset documents: reading, taking apart, writing.
 
 A document is a row (doc_id, uri, raw, v, error): raw is the text as it was, v its VARIANT.  Its tree is taken apart
-into a row for each tile by one pass over the widest level after another; the depth of the tree, never its size, is the
-number of passes.
+into a row for each tile by a structural index of the text: brackets and keys say where each tile begins and ends, however deep it lies.
 """
 
 from __future__ import annotations
@@ -10,12 +9,11 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.tiles import tile_id
 from tessella.functions.uri import base_uri, resolve_uri
-from tessella.storage import settled
 
 INVALID_JSON = "INVALID_JSON"
 #: A bounding volume extension by UTM extent, whatever vendor's prefix it has.
@@ -93,33 +91,108 @@ def with_schemas(documents: DataFrame, schemas: DataFrame | None) -> DataFrame:
     return joined.select(*rows.columns, schema.alias("schema"), failed.alias("schema_issue"))
 
 
-def flatten(documents: DataFrame, *, graft_at: Column | None = None, on_level=None) -> DataFrame:
-    """(doc_id, tile_id, parent_id, path, depth, ordinal, order, refine, tile): a row for each tile of parsed documents.
+#: A string (with the colon that makes it a key), a bracket, or what lies between those.
+TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:\s*+)?|[\[\]{}]|[^"\[\]{}]++'
 
-    order is the ordinals from the root down, so sorting by it is the order of reading.  refine is the tile's own mode, else
-    its parent's, else REPLACE.  Documents without an object as root give the row of that root alone.
-    """
 
-    def mode(inherited: Column) -> Column:
-        own = text_of(member(F.col("tile"), "refine"))
-        return F.when(own.isin("ADD", "REPLACE"), own).otherwise(inherited)
+def structure(documents: DataFrame) -> DataFrame:
+    """(doc_id, pos, t, level, above, tile, array, inside, free, empty): the tokens of parsed documents whose root is an object, and whose they are.
+
+    level counts the tiles around a token, a tile's own brackets included; tile is the pos of the innermost one's bracket, above the level before the
+    token.  array says that the token opens a tile's children, inside that it lies among them but in no tile of theirs, free that no bracket stands around it but those of tiles and their children, empty that an array has no items.  One scan finds the
+    tokens, running counts the depths; all windows are within a document, which is a row of text to begin with.
+    """
+    tokens = documents.where(is_object(member(F.col("v"), "root"))).select("doc_id", F.posexplode(F.regexp_extract_all("raw", F.lit(TOKEN), F.lit(0))).alias("pos", "t"))
+    doc = Window.partitionBy("doc_id").orderBy("pos")
+    up, to = Window.unboundedPreceding, Window.currentRow
+    opens, closes = F.col("t").isin("{", "["), F.col("t").isin("}", "]")
+    tokens = tokens.withColumns({"opens": opens, "closes": closes, "key": F.when(F.col("t").startswith('"'), F.regexp_extract("t", r'(?s)^(".*")\s*:\s*$', 1))})
+    # null: no key, "": a key of another name
+    told = F.when(F.col("key").contains("\\"), F.try_variant_get(F.try_parse_json("key"), "$", "string")).otherwise(F.expr("substring(key, 2, length(key) - 2)"))
+    tokens = tokens.withColumn("key", F.when(F.col("key") != "", F.when(told.isin("root", "children"), told).otherwise("")))
+    # the depth of a bracket is that of what it encloses, at both ends
+    running = F.sum(F.col("opens").cast("int") - F.col("closes").cast("int")).over(doc.rowsBetween(up, to))
+    tokens = tokens.withColumn("depth", running + F.col("closes").cast("int"))
+    # of keys that stand twice in an object the last counts
+    which = Window.partitionBy("doc_id", "depth").orderBy("pos").rowsBetween(up, to)
+    tokens = tokens.withColumn("object", F.sum(F.col("opens").cast("int")).over(which))
+    last = F.max("pos").over(Window.partitionBy("doc_id", "depth", "object", "key")) == F.col("pos")
+    tokens = tokens.withColumn("key", F.when(last, F.col("key")).when(F.col("key").isNotNull(), F.lit("")))
+    following = F.lead("t").over(doc)
+    tokens = tokens.withColumns({"named": F.lag("key").over(doc), "empty": (following == "]") | (following.rlike(r"^\s*$") & (F.lead("t", 2).over(doc) == "]"))})
+    named = F.col("named")
+    # brackets on the way to tiles; they are that only if no other bracket is open around them
+    even = F.col("depth") % 2 == 0
+    document, root = F.col("depth") == 1, (F.col("depth") == 2) & (named == "root")
+    child = (F.col("depth") > 2) & even & named.isNull() & (F.col("t") == "{")
+    children = (F.col("depth") > 2) & ~even & (named == "children") & (F.col("t") == "[")
+    tokens = tokens.withColumn("way", F.when(F.col("opens"), F.coalesce(F.when(document, "document").when(root & (F.col("t") == "{") | child, "tile").when(children, "array"), F.lit("other"))))
+    # of one depth, brackets come in pairs
+    opened = F.last("way", True).over(Window.partitionBy("doc_id", "depth").orderBy("pos").rowsBetween(up, -1))
+    tokens = tokens.withColumn("way", F.when(F.col("closes"), opened).otherwise(F.col("way")))
+    count = lambda which, frame: F.coalesce(F.sum(F.when(which, F.when(F.col("opens"), 1).otherwise(-1))).over(doc.rowsBetween(up, frame)), F.lit(0))
+    other = F.col("way") == "other"
+    tokens = tokens.withColumn("free", F.greatest(count(other, to), count(other, -1)) == 0)
+    tile, array = F.col("free") & (F.col("way") == "tile"), F.col("free") & (F.col("way") == "array")
+    tokens = tokens.withColumns({"after": count(tile, to), "above": count(tile, -1), "arrays": F.least(count(array, to), count(array, -1))})
+    tokens = tokens.withColumns({
+        "tile_opens": F.coalesce(tile & F.col("opens"), F.lit(False)), "array": F.coalesce(array & F.col("opens"), F.lit(False)), "level": F.greatest("after", "above"),
+        "inside": (F.col("above") > 0) & (F.col("after") == F.col("above")) & (F.col("arrays") == F.col("above")),
+    })
+    own = Window.partitionBy("doc_id", "level").orderBy("pos").rowsBetween(up, to)
+    return tokens.select("doc_id", "pos", "t", "level", "above", F.last(F.when(F.col("tile_opens"), F.col("pos")), True).over(own).alias("tile"), "array", "inside", "free", "empty")
+
+
+def flatten(documents: DataFrame, *, graft_at: Column | None = None) -> DataFrame:
+    """(doc_id, tile_id, parent_id, path, depth, ordinal, order, refine, tile): a row for each tile of parsed documents (doc_id, raw, v), whose ids differ.
 
+    order is the ordinals from the root down, so sorting by it is the order of reading.  refine is the tile's own mode, else
+    its parent's, else REPLACE.  tile has the tile's own members: one that has children has an array of one placeholder instead.  Items of children
+    that are no objects are rows too.  Documents without an object as root give the row of that root alone.
+    """
     start = F.coalesce(graft_at, tile_id(F.col("doc_id").cast("string"), F.lit("root"))) if graft_at is not None else tile_id(F.col("doc_id").cast("string"), F.lit("root"))
-    level = documents.where("v IS NOT NULL").select(
-        "doc_id", start.alias("tile_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("/root").alias("path"), F.lit(0).alias("depth"), F.lit(0).alias("ordinal"), F.array().cast("array<int>").alias("order"), member(F.col("v"), "root").alias("tile")
+    tokens = structure(documents)
+    up, to = Window.unboundedPreceding, Window.currentRow
+    # seen from where a child begins: its parent is the tile around the children's bracket, its ordinal the commas since then
+    outer = Window.partitionBy("doc_id", "above").orderBy("pos").rowsBetween(up, to)
+    commas = F.when(F.col("inside") & F.col("free") & ~F.col("t").startswith('"'), F.length("t") - F.length(F.replace("t", F.lit(","), F.lit("")))).otherwise(0)
+    tokens = tokens.withColumn("commas", commas).withColumn("past", F.sum("commas").over(outer))
+    tokens = tokens.withColumns({"parent": F.last(F.when(F.col("array"), F.col("tile")), True).over(outer), "base": F.last(F.when(F.col("array"), F.col("past")), True).over(outer)})
+    # a token is part of the tile around it, or of what else stands among children: between which commas, of which tile's
+    whole = F.struct(F.col("tile").alias("of"), F.lit(-1).cast("long").alias("ordinal"), F.when(F.col("array") & ~F.col("empty"), F.lit("[true")).otherwise(F.col("t")).alias("text"))
+    runs = F.when(F.col("commas") > 0, F.split("t", ",")).otherwise(F.array("t"))
+    loose = F.transform(runs, lambda x, i: F.struct(F.col("parent").alias("of"), (F.col("past") - F.col("commas") - F.col("base") + i).cast("long").alias("ordinal"), x.alias("text")))
+    among = F.col("inside") & ~F.col("array")
+    pieces = tokens.where("level > 0").withColumn("piece", F.explode(F.when(among, loose).otherwise(F.array(whole))))
+    begins = F.col("pos") == F.col("tile")
+    tiles = pieces.groupBy("doc_id", "piece.of", F.col("piece.ordinal").alias("among")).agg(
+        F.min("pos").alias("pos"), (F.min("level") + F.max(among.cast("int"))).cast("int").alias("level"), F.max(F.when(begins, F.col("past") - F.col("base"))).alias("place"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece.text"))), lambda x: x["text"]), "").alias("text"),
+    ).where(r"text RLIKE '\\S'")
+    ordinal = F.when(F.col("among") >= 0, F.col("among")).otherwise(F.coalesce("place", F.lit(0))).cast("int")
+    tiles = tiles.select("doc_id", "pos", "among", "level", ordinal.alias("ordinal"), F.try_parse_json("text").alias("tile"))
+    mode = text_of(member(F.col("tile"), "refine"))
+    tiles = tiles.withColumn("mode", F.when(mode.isin("ADD", "REPLACE"), mode))
+    # the tiles around a tile: of each level the last one that has begun
+    reach = Window.partitionBy("doc_id", "at").orderBy("pos", "among").rowsBetween(up, to)
+    around = tiles.select("*", F.explode(F.sequence(F.lit(1), "level")).alias("at"))
+    seen = F.last(F.when(F.col("at") == F.col("level"), F.struct("at", "ordinal", "mode")), True).over(reach)
+    around = around.withColumn("seen", seen).groupBy("doc_id", "pos", "among").agg(F.array_sort(F.collect_list("seen")).alias("way"), F.first(F.when(F.col("at") == F.col("level"), F.struct("level", "ordinal", "tile")), True).alias("own"))
+    order = F.transform(F.slice("way", 2, 1 << 20), lambda x: x["ordinal"])
+    inherited = F.element_at(F.filter(F.transform("way", lambda x: x["mode"]), lambda m: m.isNotNull()), -1)
+    rows = around.select("doc_id", order.alias("order"), F.when(F.size(F.filter("way", lambda x: x["mode"].isNotNull())) > 0, inherited).otherwise("REPLACE").alias("refine"), F.col("own.tile").alias("tile"), F.col("own.ordinal").alias("ordinal"), (F.col("own.level") - 1).alias("depth"))
+    starts = documents.where("v IS NOT NULL").select("doc_id", start.alias("start"))
+    rows = rows.join(starts, "doc_id") if graft_at is not None else rows.withColumn("start", start)
+    alone = documents.where("v IS NOT NULL").where(~is_object(member(F.col("v"), "root"))).select(
+        "doc_id", F.array().cast("array<int>").alias("order"), F.lit("REPLACE").alias("refine"), member(F.col("v"), "root").alias("tile"), F.lit(0).alias("ordinal"), F.lit(0).alias("depth"), start.alias("start")
     )
-    level = settled(level.withColumn("refine", mode(F.lit("REPLACE"))))
-    out = level
-    while True:
-        children = level.where(is_object(F.col("tile"))).select("doc_id", F.col("tile_id").alias("parent_id"), "path", "depth", "order", "refine", F.posexplode(items(member(F.col("tile"), "children"))).alias("ordinal", "child"))
-        level = children.select(
-            "doc_id", tile_id(F.col("parent_id"), F.col("ordinal")).alias("tile_id"), "parent_id", F.concat("path", F.lit("/children/"), F.col("ordinal").cast("string")).alias("path"),
-            (F.col("depth") + 1).alias("depth"), "ordinal", F.concat("order", F.array("ordinal")).alias("order"), F.col("child").alias("tile"), F.col("refine").alias("inherited"),
-        )
-        level = settled(level.withColumn("refine", mode(F.col("inherited"))).select(*out.columns))
-        if level.isEmpty():
-            return out
-        out = out.unionAll(level)
+    rows = rows.unionByName(alone)
+    below = lambda first, between, some: F.when(F.size(some) > 0, F.concat(first, F.lit(between), F.array_join(some, between))).otherwise(first)
+    parents = F.slice("order", F.lit(1), F.greatest(F.size("order") - 1, F.lit(0)))
+    return rows.select(
+        "doc_id", below(F.col("start"), "/", F.col("order")).alias("tile_id"), F.when(F.size("order") > 0, below(F.col("start"), "/", parents)).alias("parent_id"),
+        below(F.lit("/root"), "/children/", F.col("order")).alias("path"), "depth", "ordinal", "order", "refine", "tile",
+    )
 
 
 def contents(tiles: DataFrame, base: Column | None = None) -> DataFrame:

@@ -151,6 +151,34 @@ def test_flatten_contents_and_grafts(spark):
     assert typed["box"] == BOX and typed["geometric_error"] == 0
 
 
+def test_flattening_odd_documents(spark):
+    tile = {"geometricError": 1}
+    chain = dict(tile, refine="ADD", name='a "q" [x{ , \\', extras={"children": [{"root": 1}, [2]]})
+    for i in range(30):
+        chain = dict(tile, at=i, children=[dict(tile), chain, dict(tile, contents=[{"uri": "x, ]}"}])])
+    docs = {"deep": {"asset": {"children": [{"z": 1}], "root": {"a": 1}}, "root": chain}, "odd": {"root": {"children": [1, {"a": 2, "children": []}, "s,]", [1, {"q": 2}], None], "x": 1}}, "five": {"root": 5}, "none": {}, "list": [1]}
+    rows = [(k, json.dumps(v, indent=2 if k == "deep" else None)) for k, v in docs.items()]
+    rows += [("twice", '{"root":{"no":1},"root":{"children":[{"a":1}],"refine":"ADD","\\u0063hildren" :\n[ {"b":2} , {"c":3,"children":[ ]}]}}'), ("bad", "{"), ("null", None)]
+    got = {}
+    for r in T.flatten(T.parse_documents(spark.createDataFrame(rows, "doc_id string, raw string"))).collect():
+        assert r["tile_id"] == "/".join([r["doc_id"], "root", *map(str, r["order"])]) and r["path"] == "/root" + "".join(f"/children/{i}" for i in r["order"])
+        assert (r["depth"], r["ordinal"]) == (len(r["order"]), r["order"][-1] if r["order"] else 0) and (r["parent_id"] is None) == (not r["order"])
+        got[r["doc_id"], tuple(r["order"])] = (r["refine"], r["tile"] and r["tile"].toPython())
+    want = {}
+
+    def walk(doc, v, order, mode):
+        mode = v.get("refine", mode) if isinstance(v, dict) else mode
+        own = {k: [True] if k == "children" and x else x for k, x in v.items()} if isinstance(v, dict) else v
+        want[doc, order] = (mode, own)
+        for i, c in enumerate(v.get("children", ()) if isinstance(v, dict) else ()):
+            walk(doc, c, (*order, i), mode)
+
+    for k, v in docs.items():
+        walk(k, v.get("root") if isinstance(v, dict) else None, (), "REPLACE")
+    walk("twice", {"refine": "ADD", "children": [{"b": 2}, {"c": 3, "children": []}]}, (), "REPLACE")
+    assert len(want) == 91 + 10 + 3 - 1 and got == want
+
+
 def test_reading_and_writing_files(spark, tmp_path):
     text = json.dumps(tileset(), indent=1)
     (tmp_path / "a.json").write_bytes(b"\xef\xbb\xbf" + text.encode())
