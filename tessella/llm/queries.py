@@ -101,8 +101,8 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
-# the schedule decides where a source's words stand in the mix; which of them it takes follows from its target and the shuffled order
-OP3_SQL = """
+# points of the schedule through the cumulative targets, ranks in each source, and the blocks that documents lie in
+OP3_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size,
     md5(concat_ws('/', 'mix', coalesce(concat('=', doc_id::varchar), '-'), coalesce(md5(text), '-'), coalesce(concat('=', source), '-'))) AS key FROM documents
@@ -112,10 +112,20 @@ o AS (SELECT *, cap / weight AS ratio FROM r),
 l AS (SELECT *, (1.5::double * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
 e AS (SELECT level AS ends FROM l WHERE ratio >= level ORDER BY ratio, place LIMIT 1),
-t AS (SELECT source, source_size, CASE WHEN ratio < ends THEN cap ELSE least(cap, ends * weight) END AS target FROM l, e),
-b AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY key ROWS UNBOUNDED PRECEDING))::bigint - size AS a FROM d)
-SELECT doc_id, size, source_size, target, (greatest(0, least(a + size, round(target)::bigint) - a) + greatest(0, least(source_size + a + size, round(target)::bigint) - (source_size + a)))::bigint AS taken
-FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
+t AS (SELECT source, place, source_size, CASE WHEN ratio < ends THEN cap ELSE least(cap, ends * weight) END AS target FROM l, e),
+w AS (SELECT greatest(1, ceil(floor(sum(target)) / 262144))::bigint AS block, ceil(floor(sum(target)) / greatest(1, ceil(floor(sum(target)) / 262144)))::bigint AS points, sum(target) AS total, count(*) AS sources FROM t),
+x AS (SELECT t.*, coalesce(sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total AS starts, (round(target)::bigint + block - 1) // block AS needed FROM t, w),
+v AS (SELECT i, ({' + '.join(f'((i >> {b}) & 1) * {1 << (31 - b)}' for b in range(20))}) / 4294967296.0::double AS point FROM (SELECT unnest(range(points)) AS i FROM w)),
+g AS (SELECT i, arg_max(place, (starts, place)) AS place FROM v JOIN x ON starts <= point GROUP BY i),
+k AS (SELECT i AS slot, place, row_number() OVER (PARTITION BY place ORDER BY i) - 1 AS rank FROM g),
+h AS (SELECT x.place, needed, count(k.place) AS has FROM x LEFT JOIN k USING (place) GROUP BY ALL),
+j AS (SELECT row_number() OVER (ORDER BY slot) - 1 AS slot, place, rank FROM (SELECT slot, place, rank FROM k JOIN h USING (place) WHERE rank < needed
+  UNION ALL SELECT points + rank * sources + place, place, rank FROM (SELECT place, unnest(range(has, needed)) AS rank FROM h), w)),
+b AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY key ROWS UNBOUNDED PRECEDING))::bigint - size AS a FROM d),
+m AS (SELECT doc_id, size, key, x.source_size, x.target, x.place, turn, turn * x.source_size + a AS low, greatest(0, least(turn * x.source_size + a + size, round(x.target)::bigint) - (turn * x.source_size + a)) AS words
+  FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source, (SELECT unnest([0, 1]) AS turn)),
+n AS (SELECT m.key, min(slot) AS first_slot FROM m JOIN w ON m.words > 0 JOIN j ON m.place = j.place AND j.rank BETWEEN m.low // block AND (m.low + m.words - 1) // block GROUP BY 1)
+SELECT doc_id, size, source_size, target, sum(words)::bigint AS taken, any_value(first_slot)::bigint AS first_slot FROM m LEFT JOIN n USING (key) GROUP BY key, doc_id, size, source_size, target
 """
 
 

@@ -257,6 +257,32 @@ def test_mix_of_tiny_sources_in_large_blocks(spark):
     assert {r["source"] for r in mixing.mixed_documents(frame, slots=64).collect()} == {s for s, _ in small} | {"hot"}
 
 
+def test_mix_follows_its_schedule(spark):
+    """Every stretch of the schedule holds the sources in proportion to their targets, and another sequence gives another mix."""
+    rows = [(i, "w " * (1 + i % 90), "aaaaaaabbc"[i % 10]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = mixing.source_targets(frame.selectExpr("source", "1L + doc_id % 90 AS size"))
+    total = targets.agg({"total": "max"}).first()[0]
+    share = {r["at"]: r["target"] / total for r in targets.collect()}
+    slots, _ = mixing.schedule(targets, total, 2000)
+    order = [r["at"] for r in slots.orderBy("slot").collect()]
+    seen = dict.fromkeys(share, 0)
+    for n, at in enumerate(order, 1):
+        seen[at] += 1
+        assert all(abs(seen[s] - n * share[s]) <= 6 for s in share)  # a random order would be off by 20
+    assert [r["rank"] for r in slots.where("at = 1").orderBy("slot").collect()] == list(range(seen[1]))
+    points = [int(f"{i:032b}"[::-1], 2) / 2**32 for i in range(len(order))]
+    ends = [sum(share[a] for a in sorted(share) if a <= s) for s in sorted(share)]
+    drawn = [next(s for s, e in zip(sorted(share), ends) if p < e) for p in points]
+    assert sum(a == b for a, b in zip(order, drawn)) > 0.5 * len(order) and order[:50] == drawn[:50]
+    first = lambda **more: {r["doc_id"]: r["first_slot"] for r in mixing.taken(frame, slots=2000, **more).collect()}
+    mine, other = first(), first(point=lambda i: (i * 0.6180339887498949) % 1.0)
+    assert mine != other and sum(v is not None for v in mine.values()) == sum(v is not None for v in other.values())
+    kept = [r["doc_id"] for p in mixing.mixed_documents(frame, slots=2000).rdd.glom().collect() for r in p]
+    firsts = [mine[d] for i, d in enumerate(kept) if d not in kept[:i]]
+    assert firsts == sorted(firsts) and len(firsts) > 1000  # rows stand in the order of slots
+
+
 def test_mixed_documents_are_those_taken(spark):
     rows = [(i % 40 if i % 7 else None, f"text {i % 25} " * (i % 6), "abc"[i % 3] if i % 11 else None, i, "k") for i in range(300)] + [(5, "one row thrice", "a", 1, "k")] * 3
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, key long, again string")
