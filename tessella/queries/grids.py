@@ -137,6 +137,37 @@ def quadtree_imbalances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.imbalances(_sharp_cut(spark, sf_dir)).select("lod", "x", "y", long("coarse_lod").alias("coarse_lod"))
 
 
+EDGE_CAMERA = (0.5, 9.25)
+FACES = ("+x", "-x", "+y", "-y", "+z", "-z")
+# faces in space, in units of a 64th of a cell's side at the finest level: each tile is a flat box, each edge of it has a middle and ends
+_FACE_CUT = f"(SELECT f.ns, level::bigint AS lod, CASE WHEN f.i % 2 = 0 THEN x ELSE y END AS x, CASE WHEN f.i % 2 = 0 THEN y ELSE x END AS y, f.axis, f.wall FROM ({_cut_sql(EDGE_CAMERA, 30.0)}) t, (VALUES {', '.join(f'({n!r}, {i}, {i // 2}, {64 - i % 2 * 64})' for i, n in enumerate(FACES))}) f(ns, i, axis, wall) WHERE f.i < 3 OR t.level > 2)"
+_IN_SPACE = "[CASE k WHEN axis THEN [wall, wall] WHEN (axis + 1) % 3 THEN [x << (6 - lod), (x + 1) << (6 - lod)] ELSE [y << (6 - lod), (y + 1) << (6 - lod)] END FOR k IN [0, 1, 2]]"
+_PLACES = "SELECT *, CASE WHEN axis = 0 THEN [wall, u, v] WHEN axis = 1 THEN [v, wall, u] ELSE [u, v, wall] END AS p FROM (SELECT b.*, m.edge, (x << (6 - lod)) + m.i * (1 << (5 - lod)) AS u, (y << (6 - lod)) + m.j * (1 << (5 - lod)) AS v FROM b, m)"
+_FACE_SQL = f"c AS {_FACE_CUT}, b AS (SELECT ns, lod, x, y, axis, wall, {_IN_SPACE} AS box FROM c), m(edge, i, j) AS (VALUES (0, 1, 0), (1, 0, 1), (2, 2, 1), (3, 1, 2), (4, 0, 0), (5, 2, 0), (6, 0, 2), (7, 2, 2)), q AS ({_PLACES})"
+_HOLDS = " AND ".join(f"q.p[{k}] BETWEEN a.box[{k}][1] AND a.box[{k}][2]" for k in (1, 2, 3))
+
+
+def _face_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cut on each face of a cube, fine at one edge; every other face has it turned over, three lack its coarse tiles."""
+    cut = _cut(spark, sf_dir, EDGE_CAMERA, 30.0).withColumn("f", F.explode(F.array(*[F.struct(F.lit(n).alias("ns"), F.lit(i).alias("i")) for i, n in enumerate(FACES)])))
+    turned = F.col("f.i") % 2 == 1
+    cut = cut.where("f.i < 3 OR level > 2")
+    return cut.select("f.ns", long("level").alias("lod"), long(F.when(turned, F.col("y")).otherwise(F.col("x"))).alias("x"), long(F.when(turned, F.col("x")).otherwise(F.col("y"))).alias("y"))
+
+
+@R.query(f"WITH {_FACE_SQL}, e AS (SELECT q.ns, q.lod, q.x, q.y, q.edge, max(a.lod) AS a FROM q JOIN b a ON q.edge < 4 AND a.lod <= q.lod - 2 AND {_HOLDS} GROUP BY ALL) SELECT ns, lod, x, y, min(a) AS coarse_lod FROM e GROUP BY ALL")
+def cube_imbalances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles beside one two or more levels coarser, across the edges of a cube's faces too; the SQL looks for them in space."""
+    return Q.imbalances(_face_cut(spark, sf_dir), seams=Q.cube_seams(spark)).select("ns", "lod", "x", "y", long("coarse_lod").alias("coarse_lod"))
+
+
+@R.query(f"WITH {_FACE_SQL} SELECT DISTINCT q.ns, q.lod, q.x, q.y FROM q JOIN b a ON (a.x * 7 + a.y) % 5 = 0 AND a.lod <= q.lod AND {_HOLDS} AND (a.ns, a.lod, a.x, a.y) <> (q.ns, q.lod, q.x, q.y)")
+def cube_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of a cube's faces that touch one of some tiles at their level or coarser, by an edge or a corner; three faces meet at each corner of the cube."""
+    cut = _face_cut(spark, sf_dir)
+    return Q.touching(cut, cut.where("(x * 7 + y) % 5 = 0"), seams=Q.cube_seams(spark)).select("ns", "lod", "x", "y")
+
+
 @R.query(f"WITH c AS {SHARP_SQL}, n AS {_neighbors_sql('c', Q.EDGES)} SELECT DISTINCT n.lod - k AS lod, n.nx >> k AS x, n.ny >> k AS y FROM n, (SELECT unnest([2, 3, 4, 5])::bigint AS k) WHERE k <= n.lod")
 def balance_refinements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.balance_refinements(_sharp_cut(spark, sf_dir)).select("lod", "x", "y")

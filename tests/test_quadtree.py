@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessella.operators import quadtree as Q
 
 COLUMNS = "ns string, lod int, x long, y long"
@@ -85,3 +88,70 @@ def test_holds(spark):
     assert keys(Q.held_refinements(unbalanced, tiles, cut(spark))) == {"2/1/0"}
     assert keys(Q.held_refinements(unbalanced, tiles, cut(spark, "2/1/0"))) == set()
     assert keys(Q.held_refinements(unbalanced, tiles.where("lod <> 2"), cut(spark))) == {"1/0/0"}
+
+
+def meeting(tiles, corners_of):
+    """{tile: those that share a corner point with it}, by looking at all pairs."""
+    points = {t: set(corners_of(t)) for t in tiles}
+    return {t: {o for o in tiles if o != t and points[t] & points[o]} for t in tiles}
+
+
+def found_neighbors(spark, tiles, seams, corners=True):
+    df = spark.createDataFrame(tiles, "ns string, lod int, x long, y long")
+    got = {t: [] for t in tiles}
+    for r in Q.neighbors(df, corners=corners, seams=seams).collect():
+        got[r["ns"], r["lod"], r["x"], r["y"]].append((r["nns"], r["lod"], r["nx"], r["ny"]))
+    return got
+
+
+@pytest.mark.parametrize("lod", [0, 1, 3])
+def test_neighbours_over_the_faces_of_a_cube(spark, lod):
+    side = 1 << lod
+    faces = {s + "xyz"[a]: (a, side if s == "+" else 0) for a in range(3) for s in "+-"}
+
+    def corners_of(tile):
+        ns, _, x, y = tile
+        axis, wall = faces[ns]
+        for i in (x, x + 1):
+            for j in (y, y + 1):
+                p = {axis: wall, (axis + 1) % 3: i, (axis + 2) % 3: j}
+                yield p[0], p[1], p[2]
+
+    tiles = [(ns, lod, x, y) for ns in faces for x in range(side) for y in range(side)]
+    got = found_neighbors(spark, tiles, Q.cube_seams(spark))
+    assert {t: set(n) for t, n in got.items()} == meeting(tiles, corners_of)
+    across = found_neighbors(spark, tiles, Q.cube_seams(spark), corners=False)
+    points = {t: set(corners_of(t)) for t in tiles}
+    assert all(len(n) == 4 == len(set(n)) and all(len(points[t] & points[o]) == 2 + 2 * (side == 0) for o in n) for t, n in across.items())
+
+
+def test_neighbours_over_roots_in_a_plane(spark):
+    """Four roots around a point, one of them upside down: tiles there meet at a corner alone."""
+    roots = {"a": (0, 0), "b": (4, 0), "c": (0, 4), "d": (4, 4)}
+    seams = [("a", 2, "b", 1, False), ("a", 3, "c", 0, False), ("b", 3, "d", 3, True), ("c", 2, "d", 2, True)]
+    seams += [(o, oe, n, e, f) for n, e, o, oe, f in seams]
+    seams = spark.createDataFrame(seams, "ns string, edge int, other string, other_edge int, flipped boolean")
+
+    def corners_of(tile):
+        ns, _, x, y = tile
+        if ns == "d":
+            x, y = 3 - x, 3 - y
+        return [(roots[ns][0] + x + i, roots[ns][1] + y + j) for i in (0, 1) for j in (0, 1)]
+
+    tiles = [(ns, 2, x, y) for ns in roots for x in range(4) for y in range(4)]
+    assert {t: set(n) for t, n in found_neighbors(spark, tiles, seams).items()} == meeting(tiles, corners_of)
+
+
+def test_a_cube_is_balanced_across_its_edges(spark):
+    seams = Q.cube_seams(spark)
+    fine = [("+x", 4, x, y) for x in range(16) for y in range(16)]
+    cut = spark.createDataFrame([*fine, *[(ns, 0, 0, 0) for ns in ("-x", "+y", "-y", "+z", "-z")]], "ns string, lod int, x long, y long")
+    assert Q.imbalances(cut).isEmpty() and Q.imbalances(cut, seams=seams).count() == 60
+    balanced, blocked = Q.refine_cut(cut, seams=seams)
+    assert blocked.isEmpty() and Q.imbalances(balanced, seams=seams).isEmpty()
+    area = {r["ns"]: r["a"] for r in balanced.groupBy("ns").agg(F.sum(F.pow(F.lit(4.0), -F.col("lod"))).alias("a")).collect()}
+    assert area == dict.fromkeys(area, 1.0) and len(area) == 6
+    held = spark.createDataFrame([("+y", 0, 0, 0)], "ns string, lod int, x long, y long")
+    ready = spark.createDataFrame([(n, 0, 0, 0) for n in ("-y", "+z", "-z", "-x")], held.schema)
+    _, stuck = Q.refine_cut(cut, ready.unionByName(balanced.where("lod > 0")), seams=seams)
+    assert {r["ns"] for r in stuck.collect()} >= {"+x", "+y"}  # both sides of the seam
