@@ -1,19 +1,14 @@
-"""License scans: MinHash bands over overlapping text windows find templates, exact containment verifies them.
-
-Texts and templates are compared as five-word shingles of lower-case words.  A document is covered by overlapping windows in several
-sizes, one for each class of template lengths; windows of a class overlap so far that any run of words as long
-as a template of the class lies whole in one of them.  A window and a template of which it holds
-at least CONTAINED of the shingles then have a Jaccard similarity of at least `least_similarity`, and the number of bands is
-computed from that so that the pair shares a band with probability 1 - MISS.  What shares a band is
-verified on the words themselves: how many of the template's distinct shingles stand in the window.
-
-Inserted words spread a template over more than a window.  So the words at which a template's shingles stand are also
-compared with the templates over the whole text: one of which the text as a whole holds CONTAINED is found, however far its
-shingles are apart.
-
-A window in which no shingle of any template stands cannot share a band with one, so only windows near such
-shingles are formed; that leaves out nothing.  Templates are few and travel with the tasks; the documents are read
-once, whole, and nothing is shuffled.
+"""License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
+
+Texts and templates are compared as five-word shingles of lower-case words.  For each class of template lengths a text is read as the row of
+those of its shingles that stand in some template of the class: what is inserted into a template falls out of that row, however long it is.  The row is
+covered by overlapping windows, so far that any run as long as a template of the class lies whole in one of them.  A window
+and a template of which it holds at least CONTAINED of the shingles then have a Jaccard similarity of at least `least_similarity`, and the number
+of bands is computed from that so that the pair shares a band with probability 1 - MISS.  Bands alone say which templates are
+looked at; of those the shingles themselves are compared with the window's.
+
+A find is the shortest stretch of the window that holds what the window holds of the template.  Of finds of a template that overlap the best one
+stays, so further copies are further finds.  Templates are few and travel with the tasks; the documents are read once, whole, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -37,7 +32,7 @@ ROWS, MISS = 2, 1e-4
 CLASS_FACTOR = 1.5
 #: Templates go to every task: so many, of so many words at most.
 MOST_TEMPLATES, MOST_WORDS = 4096, 20_000
-#: Bytes of a text that are shingled together (parts of a longer text overlap by the longest window), and of short texts.
+#: Bytes of a text that are shingled together, and of short texts.
 PART_BYTES, GROUP_BYTES = 1 << 20, 1 << 18
 SEED = 0x9E3779B97F4A7C15
 
@@ -127,9 +122,9 @@ class Scanner:
             if not SHINGLE <= len(w) <= MOST_WORDS:
                 raise ValueError(f"a template of {name} has {len(w)} words; {SHINGLE} to {MOST_WORDS} are needed")
             self.names.append(name)
-            self.grams.append({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)})
+            self.grams.append({b" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)})
             self.hashes.append(np.unique(shingle_hashes(np.frombuffer(data, np.uint8))[0]))
-        # classes: (window, stride, permutations as (multiplier, shift), {band key: templates})
+        # classes: (window, stride, multipliers of the hashes, {band key: templates}, the shingles of its templates)
         self.classes = []
         left = sorted(range(len(self.names)), key=lambda i: len(self.hashes[i]))
         lengths = {i: len(words(t.encode())) - SHINGLE + 1 for i, (_, t) in enumerate(templates)}
@@ -147,13 +142,7 @@ class Scanner:
             for i in own:
                 for key in self._bands(self.hashes[i], seeds).tolist():
                     keys.setdefault(key, set()).add(i)
-            self.classes.append((window, stride, seeds, keys))
-        #: Which templates each shingle stands in.
-        self.of: dict[tuple, list[int]] = {}
-        for i, grams in enumerate(self.grams):
-            for gram in grams:
-                self.of.setdefault(gram, []).append(i)
-        self.longest = max((c[0] for c in self.classes), default=1)
+            self.classes.append((window, stride, seeds, keys, np.unique(np.concatenate([self.hashes[i] for i in own]))))
         self.known = np.unique(np.concatenate(self.hashes)) if self.hashes else np.zeros(0, np.uint64)
         self.quick = np.zeros(1 << 16, dtype=bool)
         self.quick[self.known >> np.uint64(48)] = True
@@ -164,45 +153,18 @@ class Scanner:
         with np.errstate(over="ignore"):
             return _mixed(least[:, 0] + _mixed(least[:, 1] + np.arange(len(least), dtype=np.uint64)))
 
-    def _part(self, text: bytes, before: int, held_of: dict[int, tuple[set, int, int]]) -> tuple[list[tuple[int, int, int, float]], int]:
-        """Matches of one part, by word, and its number of words; held_of gets (shingles, first, last place) by template."""
-        data = np.frombuffer(text.lower(), dtype=np.uint8)
-        hashes, starts, ends = shingle_hashes(data)
-        if not len(hashes):
-            return [], len(starts)
+    def _known(self, text: bytes, before: int) -> tuple[int, list[int], list[int], list[bytes]]:
+        """(words, places, hashes, shingles) of the shingles that stand in some template."""
+        low = text.lower()
+        hashes, starts, ends = shingle_hashes(np.frombuffer(low, dtype=np.uint8))
         maybe = np.flatnonzero(self.quick[hashes >> np.uint64(48)])
         near = maybe[np.isin(hashes[maybe], self.known)]
-        found = []
-        if len(near):
-            low = text.lower()
-            for k in near.tolist():
-                gram = tuple(low[a:b] for a, b in zip(starts[k : k + SHINGLE].tolist(), ends[k : k + SHINGLE].tolist()))
-                for i in self.of.get(gram, ()):
-                    grams, first, _ = held_of.get(i, (set(), before + k, 0))
-                    grams.add(gram)
-                    held_of[i] = (grams, first, before + k)
-            for window, stride, seeds, keys in self.classes:
-                last = max(0, len(hashes) - window)
-                first, final = np.maximum(0, -(-(near - window + 1) // stride)), near // stride
-                grid = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, final)])) * stride
-                for at in np.unique(np.minimum(grid, last)).tolist():
-                    shared: set[int] = set()
-                    for key in self._bands(hashes[at : at + window], seeds).tolist():
-                        shared |= keys.get(key, set())
-                    if not shared:
-                        continue
-                    end = min(at + window + SHINGLE - 1, len(starts))
-                    w = [low[a:b] for a, b in zip(starts[at:end].tolist(), ends[at:end].tolist())]
-                    held = {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
-                    for i in shared:
-                        share = len(held & self.grams[i]) / len(self.grams[i])
-                        if share >= self.contained:
-                            own = [k for k in range(len(w) - SHINGLE + 1) if tuple(w[k : k + SHINGLE]) in self.grams[i]]
-                            found.append((i, at + own[0], at + own[-1] + SHINGLE, share))
-        return found, len(starts)
-
-    def _cut(self, text: bytes) -> Iterator[tuple[bytes, int]]:
-        """(part, words before it): parts overlap by a window's words, and begin and end between words."""
+        shingles = [b" ".join([low[a:b] for a, b in zip(starts[k : k + SHINGLE].tolist(), ends[k : k + SHINGLE].tolist())]) for k in near.tolist()]
+        return len(starts), (near + before).tolist(), hashes[near].tolist(), shingles
+
+    @staticmethod
+    def _cut(text: bytes) -> Iterator[tuple[bytes, int]]:
+        """(part, words before it): parts begin and end between words and overlap by the words of a shingle but one."""
         begin, before = 0, 0
         while len(text) - begin > PART_BYTES:
             end = begin + PART_BYTES
@@ -213,35 +175,68 @@ class Scanner:
             if end >= len(text):
                 return
             spans = [m.start() for m in _WORDS.finditer(part.lower())]
-            back = min(len(spans) - 1, self.longest + SHINGLE)
+            back = min(len(spans) - 1, SHINGLE - 1)
             if back < 1:
                 begin, before = end, before + len(spans)
             else:
                 begin, before = begin + spans[-back], before + len(spans) - back
         yield text[begin:], before
 
+    def _held(self, places: list[int], shingles: list[bytes], i: int) -> tuple[float, int, int] | None:
+        """(containment, first, last place): how much of template i stands in a window, and the shortest stretch that holds as much."""
+        own = [(p, s) for p, s in zip(places, shingles) if s in self.grams[i]]
+        held = len({s for _, s in own})
+        share = held / len(self.grams[i])
+        if share < self.contained:
+            return None
+        counts: dict[bytes, int] = {}
+        best, low = None, 0
+        for p, s in own:
+            counts[s] = counts.get(s, 0) + 1
+            while counts[own[low][1]] > 1:
+                counts[own[low][1]] -= 1
+                low += 1
+            if len(counts) == held and (best is None or p - own[low][0] < best[1] - best[0]):
+                best = (own[low][0], p)
+        return share, *best
+
     def matches(self, text: bytes) -> tuple[int, list[tuple[str, int, int, float]]]:
         """(words, [(license, first word, word after the last, containment)]): overlapping finds of one license are one."""
-        n, found, held_of, whole = 0, [], {}, set()
+        n, places, hashes, shingles = 0, [], [], []
         for part, before in self._cut(text):
-            own, held = self._part(part, before, held_of)
+            held, p, h, s = self._known(part, before)
             n = max(n, before + held)
-            found += [(self.names[i], a + before, b + before, share) for i, a, b, share in own]
-            whole |= {m[0] for m in own}
-        # what no window holds but the text as a whole
-        for i in sorted(held_of.keys() - whole):
-            grams, first, last = held_of[i]
-            if (share := len(grams) / len(self.grams[i])) >= self.contained:
-                found.append((self.names[i], first, last + SHINGLE, share))
+            places, hashes, shingles = places + p, hashes + h, shingles + s
+        finds: dict[int, set[tuple[float, int, int]]] = {}
+        every = np.array(hashes, dtype=np.uint64)
+        for window, stride, seeds, keys, known in self.classes:
+            row = np.flatnonzero(np.isin(every, known))
+            if not len(row):
+                continue
+            last = max(0, len(row) - window)
+            for at in [*range(0, last, stride), last]:
+                here = row[at : at + window]
+                shared: set[int] = set()
+                for key in self._bands(every[here], seeds).tolist():
+                    shared |= keys.get(key, set())
+                for i in shared:
+                    if found := self._held([places[k] for k in here], [shingles[k] for k in here], i):
+                        finds.setdefault(i, set()).add(found)
         out: list[tuple[str, int, int, float]] = []
-        for name, a, b, share in sorted(found):
+        kept = []
+        for i, own in finds.items():
+            taken: list[tuple[int, int]] = []
+            for share, first, end in sorted(own, key=lambda f: (-f[0], f[2] - f[1], f[1])):
+                if not any(first <= b and a <= end for a, b in taken):
+                    taken.append((first, end))
+                    kept.append((self.names[i], first, end + SHINGLE, share))
+        for name, a, b, share in sorted(kept):
             if out and out[-1][0] == name and a < out[-1][2]:
                 out[-1] = (name, out[-1][1], max(b, out[-1][2]), max(share, out[-1][3]))
             else:
                 out.append((name, a, b, share))
         return n, out
 
-
     def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[str, int, int, float]]]]:
         """matches() of each text.  Texts are first shingled together; only those with a template's shingle are looked at alone."""
         out = []
@@ -277,7 +272,8 @@ def license_matches(documents: DataFrame, templates: Sequence[tuple[str, str]] =
 
     licenses are the names found, sorted and joined by commas (empty: none); matches say which words and how much
     of the template stands there.  Null and empty texts have no words and no license.  An empty table gives no
-    rows, no templates no matches; other columns are not read.
+    rows, no templates no matches; other columns are not read.  Texts may be of any length: a task holds a text and those of its shingles that
+    stand in some template.
     """
     templates = [(str(a), str(b)) for a, b in templates]
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))

@@ -644,15 +644,20 @@ def test_token_counts(docs, none, rows):
 # licenses --------------------------------------------------------------------------------------------------------
 
 
+def shingles(text):
+    w = licenses.words(text.encode())
+    return [b" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
 def plain_scan(scanner, text):
     """Every window of every class, without bands."""
-    w = licenses.words(text.encode())
-    n = len(w) - 4
     found = set()
-    for window, stride, _, keys in scanner.classes:
+    for window, stride, _, keys, _ in scanner.classes:
         own = set().union(*keys.values())
-        for at in sorted({min(a, max(0, n - window)) for a in range(0, max(n, 0), stride)}):
-            held = {tuple(w[i : i + 5]) for i in range(at, min(at + window, n))}
+        row = [g for g in shingles(text) if any(g in scanner.grams[i] for i in own)]
+        last = max(0, len(row) - window)
+        for at in [*range(0, last, stride), last]:
+            held = set(row[at : at + window])
             found |= {scanner.names[i] for i in own if len(held & scanner.grams[i]) >= 0.8 * len(scanner.grams[i])}
     return ",".join(sorted(found))
 
@@ -695,8 +700,7 @@ def test_licenses_with_inserted_words_are_found_in_the_whole_text():
     scanner = licenses.Scanner()
 
     def whole(text):
-        w = licenses.words(text.encode())
-        held = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        held = set(shingles(text))
         return {scanner.names[i] for i, g in enumerate(scanner.grams) if len(held & g) >= 0.8 * len(g)}
 
     spread = 0
@@ -709,3 +713,34 @@ def test_licenses_with_inserted_words_are_found_in_the_whole_text():
             assert {m[0] for m in found} == whole(text_of) and n == len(licenses.words(text_of.encode()))
             spread += any(m[2] - m[1] > foreign for m in found)
     assert spread > 5
+
+
+def test_licenses_are_found_through_their_bands_alone(docs):
+    import random
+
+    rng = random.Random(5)
+    scanner, blind = licenses.Scanner(), licenses.Scanner()
+    blind.classes = [(window, stride, seeds, {}, known) for window, stride, seeds, _, known in blind.classes]
+    want = got = 0
+    for _ in range(400):  # words changed, inserted and left out at several places
+        i = rng.randrange(len(licenses.TEMPLATES))
+        words = licenses.TEMPLATES[i][1].split()
+        for _ in range(rng.randrange(1 + len(words) // 30)):
+            words[rng.randrange(len(words)) : rng.randrange(2)] = ["other"] * rng.randrange(1, 40)
+        text = " ".join([*(f"w{rng.randrange(90)}" for _ in range(rng.randrange(200))), *words, *["end"] * 9])
+        found = {m[0] for m in scanner.matches(text.encode())[1]}
+        held = set(shingles(text))
+        due = {scanner.names[k] for k, g in enumerate(scanner.grams) if len(held & g) >= 0.8 * len(g)}
+        want, got = want + len(due), got + len(due & found)
+        assert found <= due and blind.matches(text.encode())[1] == []
+    assert want > 200 and got >= 0.99 * want
+
+
+def test_each_copy_of_a_license_is_a_match():
+    scanner = licenses.Scanner()
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 300 and t.startswith("Permission"))
+    words = mit.split()
+    spread = " ".join(w + (" x" * 200 if k in (20, 40) else "") for k, w in enumerate(words))
+    for text, copies in ((mit, 1), (f"{mit} and then {spread} z", 2), (f"{mit} {mit} {mit}", 3), ("Released under the MIT License. " * 4, 4)):
+        found = scanner.matches(text.encode())[1]
+        assert [m[0] for m in found] == ["MIT"] * copies and all(a[2] <= b[1] for a, b in zip(found, found[1:]))
