@@ -144,7 +144,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if length < 0 or bytes(data[stop : stop + 4]) != b"\r\n\r\n":
                     continue
                 block = data[start:stop]
-                body = bytes(block[:4096]).find(b"\r\n\r\n") + 4
+                body = bytes(block).find(b"\r\n\r\n") + 4
                 rows.append((archive.as_py(), at, stop + 4, len(data), page, kind, refers, stated, length - body, hashlib.sha256(block[body:]).hexdigest()))
             rows.append((archive.as_py(), len(data), None, len(data), None, END, None, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)

@@ -641,6 +641,19 @@ def test_token_counts(docs, none, rows):
     assert tokencount.token_counts(none, path).count() == 0
 
 
+def test_archives_with_long_heads():
+    """An HTTP head longer than a few kilobytes is no part of the payload."""
+    import pyarrow as pa
+
+    payload = b"<html>" + b"x" * 300
+    block = b"HTTP/1.1 200 OK\r\n" + b"".join(b"X-Field-%d: %s\r\n" % (i, b"y" * 90) for i in range(100)) + b"\r\n" + payload
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: 5\r\nX-Refers-To-Page-Id: \r\nWARC-Payload-Digest: sha256:%s\r\nContent-Length: %d\r\n\r\n" % (sha256(payload).hexdigest().encode(), len(block))
+    data = head + block + b"\r\n\r\n"
+    (found,) = warc._candidates(iter([pa.RecordBatch.from_pydict({"path": ["a"], "content": [data]})]))
+    record, end = (list(r.values()) for r in found.to_pylist())
+    assert len(payload) in record and record.count(sha256(payload).hexdigest()) == 2 and len(data) in end
+
+
 # licenses --------------------------------------------------------------------------------------------------------
 
 
