@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.queries import documents, earth, frames, grids, runtimes, trees, values
+from tessella.queries import documents, earth, frames, grids, runtimes, streams, trees, values
 
-MODULES = (grids, values, earth, trees, documents, frames, runtimes)
+MODULES = (grids, values, earth, trees, documents, frames, runtimes, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

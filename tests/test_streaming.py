@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tessella.streaming import cuts as C
 from tessella.streaming import runtime as S
 
 
@@ -52,3 +53,57 @@ def test_sinks(spark, tmp_path):
     stream.writeStream.format("memory").queryName("figures").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     r = spark.table("figures").first()
     assert (r["count"], r["sum"], r["latest"]) == (2, 4.0, 3.0)
+
+
+def test_shown_tiles_survive_a_restart(spark, tmp_path):
+    """Frames in several micro-batches, with the stream stopped in between: each change is told once, late and repeated frames not at all."""
+    from tessella.plans.lod import lod_cut
+
+    depth = 3
+    tiles = spark.createDataFrame([(level, x, y) for level in range(depth + 1) for x in range(1 << level) for y in range(1 << level)], "level int, x long, y long")
+    spot = lambda n: (n * 1.7 % 8, n * 0.9 % 8)
+    frames = [[("a", 1), ("b", 1)], [("a", 2), ("a", 3)], [("a", 3), ("a", 2), ("b", 5)], [("a", 4), ("a", 7), ("b", 6)], [("b", 40)]]
+    runs = []
+
+    def run(some):
+        for rows in some:
+            made = [(v, f, *(spot(f + (v == "b")) if f < 40 else (1e9, 1e9))) for v, f in rows]
+            spark.createDataFrame(made, "view string, frame long, cx double, cy double").coalesce(1).write.parquet(f"{tmp_path}/in/{len(runs)}")
+            runs.append(rows)
+        source = spark.readStream.schema("view string, frame long, cx double, cy double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")
+        C.cut_stream(source, tiles, depth=depth, threshold=60.0, pixels=2.0).writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+    run(frames[:2])
+    run(frames[2:])  # a new query on the same checkpoint
+    got = sorted(tuple(r) for r in spark.read.schema(C.CHANGES).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").collect())
+    cut = lambda cx, cy: {(r["level"], r["x"], r["y"]) for r in lod_cut(tiles, depth=depth, camera=(cx, cy), threshold=60.0, pixels=2.0).collect()}
+    want = []
+    for view, seen in (("a", [1, 2, 3, 4, 7]), ("b", [1, 5, 6, 40])):
+        before = set()
+        for f in seen:
+            now = cut(*(spot(f + (view == "b")) if f < 40 else (1e9, 1e9)))
+            want += [(view, f, *t, c) for c, some in (("enter", now - before), ("stay", now & before), ("leave", before - now)) for t in some]
+            before = now
+    assert got == sorted(want) and sum(r[5] == "leave" for r in got) > 10
+
+
+def test_durations_of_streams(spark, tmp_path):
+    at = lambda s: 1_700_000_000 + s
+    batches = [
+        [("load", 1, at(0), True), ("load", 1, at(0), True), ("load", 2, at(5), True), ("load", 1, at(7), False), ("show", 1, at(9), True)],
+        [("load", 1, at(8), False), ("load", 2, at(1000), False), ("load", 3, at(990), True), ("show", 1, at(20), False)],
+        [("load", 4, at(10), True), ("load", 3, at(995), False), ("load", 5, at(980), True), ("load", 5, at(970), False)],
+        [("end", 0, at(90_000), True), ("end", 9, at(90_000), False)],
+    ]
+    schema = "name string, key long, s long, starts boolean"
+    timed = lambda df: df.select("name", "key", F.timestamp_seconds("s").alias("ts"), "starts")
+    for i, rows in enumerate(batches):
+        timed(spark.createDataFrame(rows, schema)).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    source = spark.readStream.schema(timed(spark.createDataFrame([], schema)).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    found = C.duration_stream(source.where("starts"), source.where("NOT starts"), late="60 seconds", longest="30 seconds")
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")
+    found.writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["name"], r["key"], r["seconds"]) for r in spark.read.schema(found.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").collect())
+    # told twice: once; an end too long after, or before its start: none; a start 980 seconds behind the newest: lost
+    assert [g for g in got if g[0] != "end"] == sorted([("load", 1, 7.0), ("show", 1, 11.0), ("load", 2, None), ("load", 3, 5.0), ("load", 5, None)], key=lambda g: g[:2])
