@@ -61,11 +61,11 @@ def shown_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("view", "frame").agg(n("enter").alias("entered"), n("stay").alias("stayed"), n("leave").alias("left"))
 
 
-# events in pairs: the first starts something, the second ends it; of those that come late, in the last batch, only the newest third is in time
+# events in pairs: the first starts something, the second ends it; some of the oldest third come last and are lost
 @R.query("""WITH e AS (SELECT event_id, event_id // 2 AS key, event_id % 2 = 0 AS starts, ts, (SELECT max(event_id) FROM events) AS newest FROM events),
 b AS (SELECT * FROM e WHERE NOT (event_id % 97 < 8 AND event_id <= newest // 3)),
 s AS (SELECT key, ts FROM b WHERE starts), f AS (SELECT key, ts FROM b WHERE NOT starts)
-SELECT concat('load-', s.key % 3) AS name, s.key, CASE WHEN epoch_us(f.ts) - epoch_us(s.ts) BETWEEN 0 AND 300000000 THEN round((epoch_us(f.ts) - epoch_us(s.ts)) / 1e6, 3) END AS seconds FROM s LEFT JOIN f USING (key)""")
+SELECT concat('load-', s.key % 3) AS name, s.key, CASE WHEN epoch_us(f.ts) - epoch_us(s.ts) BETWEEN 0 AND 300000000 THEN (epoch_us(f.ts) - epoch_us(s.ts)) / 1e6::double END AS seconds FROM s LEFT JOIN f USING (key)""")
 def stream_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts and ends as streams: the seconds from one to the other, with some told twice, some too late and some without an end."""
     e = F.col("event_id")
@@ -76,9 +76,10 @@ def stream_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = rows.where((e <= third) & ~late), rows.where((e > third) & (e <= 2 * third))
     again = first.where(e % 10 == 3).unionAll(first.where((e % 10 == 4) & (e > third - 40)))
     closing = spark.range(2).select(F.lit(-1).cast("long").alias("event_id"), F.lit("closing").alias("name"), F.col("id").alias("key"), (F.lit(newest[1]).cast("timestamp") + F.expr("INTERVAL 400 DAYS")).alias("ts"), (F.col("id") == 0).alias("starts"))
-    batches = [first.unionAll(again), second, rows.where(e > 2 * third).unionAll(rows.where(late)), closing]
+    # a batch is held against what was the newest two batches before
+    batches = [first.unionAll(again), second, rows.where(e > 2 * third), rows.where(late), closing]
     found = _streamed(batches, lambda s: duration_stream(s.where("starts"), s.where("NOT starts"), late="2 hours", longest="5 minutes"), mode="append")
-    return found.where("name <> 'closing'").select("name", long("key").alias("key"), F.round("seconds", 3).alias("seconds"))
+    return found.where("name <> 'closing'").select("name", long("key").alias("key"), "seconds")
 
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -91,4 +91,4 @@ def duration_stream(starts: DataFrame, ends: DataFrame, *, late: str = "1 minute
     s = once(starts).select("name", "key", "ts")
     e = once(ends).select(F.col("name").alias("end_name"), F.col("key").alias("end_key"), F.col("ts").alias("end_ts"))
     met = F.expr(f"name = end_name AND key = end_key AND end_ts >= ts AND end_ts <= ts + INTERVAL {longest}")
-    return s.join(e, met, "leftOuter").select("name", "key", "ts", (F.col("end_ts").cast("double") - F.col("ts").cast("double")).alias("seconds"))
+    return s.join(e, met, "leftOuter").select("name", "key", "ts", ((F.unix_micros("end_ts") - F.unix_micros("ts")) / 1e6).alias("seconds"))

@@ -93,7 +93,8 @@ def test_durations_of_streams(spark, tmp_path):
     batches = [
         [("load", 1, at(0), True), ("load", 1, at(0), True), ("load", 2, at(5), True), ("load", 1, at(7), False), ("show", 1, at(9), True)],
         [("load", 1, at(8), False), ("load", 2, at(1000), False), ("load", 3, at(990), True), ("show", 1, at(20), False)],
-        [("load", 4, at(10), True), ("load", 3, at(995), False), ("load", 5, at(980), True), ("load", 5, at(970), False)],
+        [("load", 3, at(995), False), ("load", 5, at(980), True), ("load", 5, at(970), False)],
+        [("load", 4, at(10), True)],
         [("end", 0, at(90_000), True), ("end", 9, at(90_000), False)],
     ]
     schema = "name string, key long, s long, starts boolean"
