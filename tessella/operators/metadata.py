@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.handles import with_names
 from tessella.sources.tilesets import is_number, is_text, items, number
 
 # Fixed values of the format.
@@ -136,9 +137,10 @@ def find_by_semantic(resolved: DataFrame, semantic: str, order: tuple[str, ...]
     return rows.withColumn("__n", first).where("__n = 1").drop("__p", "__n")
 
 
-def with_handles(resolved: DataFrame) -> DataFrame:
-    """Adds handle: a number for each snapshot that depends on its name alone."""
-    return resolved.withColumn("handle", F.xxhash64("snapshot"))
+def with_handles(resolved: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with the handle of their snapshot, the table (name, handle) of all): numbers without gaps; snapshots in known keep theirs."""
+    table = with_names(known, resolved.select(F.col("snapshot").alias("name")))
+    return resolved.join(table.withColumnRenamed("name", "snapshot"), "snapshot", "left"), table
 
 
 def collect_scopes(tiles: DataFrame, entities: DataFrame) -> DataFrame:

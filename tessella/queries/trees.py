@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import cache as C
+from tessella.operators import handles as N
 from tessella.operators import hierarchy as H
 from tessella.operators import metadata as M
 from tessella.operators import metrics as X
@@ -282,4 +283,16 @@ def metadata_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").alias("c_custkey"), "schema_uri", F.try_variant_get("schema", "$.id", "string").alias("id"), "schema_issue")
 
 
+@R.query("""WITH n AS (SELECT concat('tile-', c_custkey) AS name, c_custkey AS k FROM customer), f AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS handle FROM n WHERE k % 3 > 0),
+free AS (SELECT handle, row_number() OVER (ORDER BY handle) AS i FROM f WHERE k % 7 = 0), fresh AS (SELECT name, row_number() OVER (ORDER BY name) AS i FROM n WHERE k % 21 = 0 OR (k % 3 = 0 AND k % 2 = 0))
+SELECT name, handle FROM f WHERE k % 7 > 0 UNION ALL SELECT name, coalesce(handle, (SELECT count(*) FROM f) + fresh.i - (SELECT count(*) FROM free) - 1) FROM fresh LEFT JOIN free USING (i) UNION ALL SELECT NULL, handle FROM free WHERE i > (SELECT count(*) FROM fresh)""")
+def snapshot_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handles of snapshots that come, go and come: numbers without gaps that stay with their names."""
+    k = F.col("c_custkey")
+    names = table(spark, sf_dir, "customer").select(F.concat(F.lit("tile-"), k.cast("string")).alias("name"), k)
+    first = N.with_names(None, names.where(k % 3 > 0))
+    left = N.without_names(first, names.where(k % 7 == 0))
+    return N.with_names(left, names.where((k % 21 == 0) | (k % 3 == 0) & (k % 2 == 0))).select("name", "handle")
+
+
 QUERIES, ORACLES = R.queries, R.oracles
