@@ -59,7 +59,7 @@ def test_registered_queries():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")} and "pipeline" in names
     assert set(queries.oracle_sql()) <= names
 
 
