@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tessella.functions import geodesy as G
 from tessella.functions import spatial as S
+from tessella.operators.culling import joined_at, looked_at
 from tessella.operators.hierarchy import vertical_objects, world_transforms
 from tessella.sources.tilesets import UTM_EXTENSION, member, tile_columns
 
-#: Every tile is looked at by every camera of a frame; a frame has this many cameras at most.
+#: What pairs all tiles with all cameras takes this many cameras at most; EcefMetric.looked_at takes any number.
 MOST_CAMERAS = 1000
 UTM_TYPE = "struct<epsg: double, zone: int, hemisphere: string, minEasting: double, minNorthing: double, maxEasting: double, maxNorthing: double, vertical: struct<reference: string, direction: string, minimum: double, maximum: double, groundElevation: double>>"
 
@@ -87,10 +88,26 @@ class EcefMetric:
         tan_half_fov).  Cameras are the few rows of a frame: they are counted, and broadcast to the tiles.
         """
         if cameras.limit(MOST_CAMERAS + 1).count() > MOST_CAMERAS:
-            raise ValueError(f"more than {MOST_CAMERAS} cameras in a frame: select them in several")
-        rows = placed.crossJoin(F.broadcast(cameras))
+            raise ValueError(f"more than {MOST_CAMERAS} cameras: looked_at() takes any number")
+        return self._judged(placed.crossJoin(F.broadcast(cameras)), placed)
+
+    def looked_at(self, placed: DataFrame, cameras: DataFrame) -> DataFrame:
+        """Like seen, for any number of cameras, but only with tiles whose parents have something in view or around it below them.
+
+        Every visible tile and every tile of the periphery is there.  A tile left out is neither, nor is anything below it, so the strategy
+        `active` selects the same from either.  Heights over the horizon are asked of single tiles, not on the way down.
+        """
+        found = looked_at(placed, cameras, self._occluder())
+        if found is None:
+            return self._judged(placed.crossJoin(F.broadcast(cameras.limit(0))), placed)
+        return self._judged(joined_at(found, placed, "tile_id"), placed)
+
+    def _occluder(self) -> float | None:
+        return self.ellipsoid.minimum_radius if self.horizon_culling and self.horizon == "plane" else None
+
+    def _judged(self, rows: DataFrame, placed: DataFrame) -> DataFrame:
         b, camera = F.col("bounds"), F.col("camera")
-        occluder = self.ellipsoid.minimum_radius if self.horizon_culling and self.horizon == "plane" else None
+        occluder = self._occluder()
         hidden = F.lit(False)
         if self.horizon_culling and self.horizon == "tile-heights":
             low, high = (F.col(c) if c in placed.columns else F.lit(None).cast("double") for c in ("height_min", "height_max"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tessella.functions import geodesy as G
 from tessella.functions import spatial as S
 from tessella.operators import selection as O
+from tessella.plans.metric import EcefMetric
 from tessella.queries.common import Registry, long, table
+from tessella.queries.grids import _grid
 from tessella.queries.values import PLANES, _e, _planes, _spheres, _vec
 
 R = Registry()
@@ -179,6 +181,44 @@ def in_periphery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spheres(spark, sf_dir).select("vec_id", around.alias("around"))
 
 
+_CELL = "(32.0::double / (1 << level)::double)"
+_OUT = lambda wide: " OR ".join(f"({a}::double * cx + {b}::double * cy + {w} < -radius)" for a, b, w in (
+    (0.6, 0.8, f"({wide} - (0.6::double * px + 0.8::double * py))"), (-0.6, -0.8, f"({wide} + (0.6::double * px + 0.8::double * py))"),
+    (0.8, -0.6, f"({wide} - (0.8::double * px - 0.6::double * py))"), (-0.8, 0.6, f"({wide} + (0.8::double * px - 0.6::double * py))")))
+
+
+@R.query(f"""WITH g AS (SELECT DISTINCT l AS level, (o_custkey % 32) >> (5 - l) AS x, ((o_orderkey // 4) % 32) >> (5 - l) AS y FROM orders, (SELECT unnest([0, 1, 2, 3, 4, 5])::bigint AS l)),
+t AS (SELECT level, x, y, (x + 0.5::double) * {_CELL} AS cx, (y + 0.5::double) * {_CELL} AS cy, {_CELL} * 0.75::double AS radius, x * {_CELL} AS lx, (x + 1) * {_CELL} AS hx, y * {_CELL} AS ly, (y + 1) * {_CELL} AS hy FROM g),
+c AS (SELECT o_orderkey, (o_custkey % 320)::double / 10 AS px, (o_orderkey % 331)::double / 10 - 1 AS py, 0.25::double + (o_orderkey % 7)::double / 8 AS wide, o_orderkey % 5 > 0 AS around, o_orderkey % 3 = 0 AS clip FROM orders),
+p AS (SELECT o_orderkey, level, x, y, NOT ({_OUT('wide')} OR (clip AND (hx < px - 0.25::double OR lx > px + 0.25::double OR hy < py - 0.25::double OR ly > py + 0.25::double))) AS visible,
+  around AND NOT ({_OUT('(wide + 0.75::double)')} OR (clip AND (hx < px - 0.25::double OR lx > px + 0.25::double OR hy < py - 0.25::double OR ly > py + 0.25::double))) AS periphery FROM t, c)
+SELECT o_orderkey, count(*) FILTER (visible)::bigint AS n_visible, count(*) FILTER (periphery)::bigint AS n_around, coalesce(sum(level * 10007 + x * 101 + y) FILTER (visible), 0)::bigint AS visible_sum, coalesce(sum(level * 10007 + x * 101 + y) FILTER (periphery), 0)::bigint AS around_sum FROM p WHERE visible OR periphery GROUP BY 1""")
+def many_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A camera for each order over the tree of orders: how many tiles, and which, are in its view and around it."""
+    size = 32.0 / F.pow(F.lit(2.0), F.col("level").cast("double"))
+    corner = lambda k: S.Vec((F.col("x") + k) * size, (F.col("y") + k) * size, F.lit(0.0))
+    name = lambda lod, x, y: F.concat_ws("/", lod, x, y)
+    up = F.when(F.col("level") > 0, name(F.col("level") - 1, F.shiftright("x", 1), F.shiftright("y", 1)))
+    code = F.col("level").cast("long") * 10007 + F.col("x") * 101 + F.col("y")
+    tiles = _grid(spark, sf_dir).select(name(F.col("level"), F.col("x"), F.col("y")).alias("tile_id"), up.alias("parent_id"), F.col("level").alias("depth"), code.alias("code"), F.lit(1.0).alias("error"), S.bounds(corner(0), corner(1), corner(0.5), size * 0.75).alias("bounds"))
+    px, py = (F.col("o_custkey") % 320).cast("double") / 10, (F.col("o_orderkey") % 331).cast("double") / 10 - 1
+    wide = 0.25 + (F.col("o_orderkey") % 7).cast("double") / 8
+
+    def square(reach: Column) -> Column:
+        a, b = 0.6 * px + 0.8 * py, 0.8 * px - 0.6 * py
+        sides = ((0.6, 0.8, reach - a), (-0.6, -0.8, reach + a), (0.8, -0.6, reach - b), (-0.8, 0.6, reach + b))
+        return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(0.0).alias("z"), w.alias("w")) for x, y, w in sides])
+
+    clip = lambda k: F.when(F.col("o_orderkey") % 3 == 0, S.Vec(px + k, py + k, F.lit(k)).struct())
+    none = F.lit(None).cast("double")
+    camera = F.struct(S.Vec(px, py, F.lit(1.0)).struct().alias("position"), clip(-0.25).alias("clip_min"), clip(0.25).alias("clip_max"), none.alias("viewport_height"), none.alias("vertical_fov"), none.alias("tan_half_fov"))
+    cameras = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("view"), camera.alias("camera"), square(wide).alias("planes"), F.when(F.col("o_orderkey") % 5 > 0, square(wide + 0.75)).alias("periphery_planes"))
+    seen = EcefMetric(G.WGS84, horizon_culling=False).looked_at(tiles, cameras).where("visible OR periphery")
+    told = [F.count_if("visible").alias("n_visible"), F.count_if("periphery").alias("n_around")]
+    sums = [F.coalesce(F.sum(F.when(F.col(c), F.col("code"))), F.lit(0)).alias(n) for c, n in (("visible", "visible_sum"), ("periphery", "around_sum"))]
+    return seen.groupBy(F.col("view").alias("o_orderkey")).agg(*told, *sums)
+
+
 # vertical scale --------------------------------------------------------------------------------------------------
 
 
