@@ -1,22 +1,25 @@
 """Which tiles form the best complete cut for a view: the selection as joins and aggregates over the tree.
 
 Input is a row for each (view, tile) with the state that a frame begins with.  Many views, or the same view at many times, are
-selected in one plan: every join and group has the view in its key.  The recursive descent is not walked; what it asks of a
-tile's ancestors or descendants is asked of the closure of paths, whose rows are tiles times depth:
+selected in one plan: every join and group has the view in its key.  The recursive descent is not walked: children tell their parents
+level by level what is asked of descendants, then parents hand down what is asked of ancestors.  Each fold reads a tile once, no key
+has more rows than a tile has children, and no table is larger than the tiles:
 
 * a tile is reached if it and all its ancestors are active and the ancestors are open (refined, with what replaces them ready);
 * a front is not ready if below it, through tiles without content alone, something visible is missing;
 * displayed tiles cover a tile unless a visible leaf below it has no displayed or hidden tile above it.
 
-Columns of the input: view, tile_id (its path, parted by slashes), depth, refine (ADD or REPLACE), sse, visible, periphery, potential (it
+A tile whose parent is not among the rows counts as a root.  Columns of the input: view, tile_id (its path, parted by slashes), depth, refine (ADD or REPLACE), sse, visible, periphery, potential (it
 has or may have something to show), ready, subtree_ready, was_refining, selected_before; held, delayed and balance default to false.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.storage import settled
@@ -25,6 +28,10 @@ from tessella.storage import settled
 PRELOAD_SCALE, BALANCE_PRIORITY = 0.25, float((1 << 53) - 1)
 FLAGS = ("held", "delayed", "balance", "periphery")
 ID = ["view", "tile_id"]
+#: Up to so many rows in all views, a level is folded in one task: shuffling would cost more than it spreads.
+FEW_ROWS = 100_000
+#: So many levels of a fold are one plan, whose shuffles are used again within it; then they are written.
+LEVELS_A_WRITE = 6
 
 
 @dataclass(frozen=True)
@@ -63,68 +70,108 @@ def _prepared(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("parent", F.regexp_extract("tile_id", "^(.*)/[^/]*$", 1))
 
 
-def _decided(tiles: DataFrame, rules: Rules, base: bool) -> DataFrame:
-    """Adds has_children, active and wants."""
-    t = _prepared(tiles).withColumn("active", F.col("visible") if base else F.col("visible") | F.col("periphery"))
-    if "touches" in tiles.columns and not base and rules.preload_siblings:
-        t = t.withColumn("active", F.col("active") | F.coalesce("touches", F.lit(False)))
-    below = t.groupBy("view", F.col("parent").alias("tile_id")).agg(F.lit(True).alias("has_children"), F.max("active").alias("active_child"))
-    t = t.join(below, ID, "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_children", "active_child")})
-    required = rules.required(F.col("sse"), F.col("depth"), F.col("was_refining"), F.col("potential"), F.col("balance"))
-    asked = required | F.col("delayed")
-    if base:
-        wants = F.col("visible") & F.col("subtree_ready") & asked & F.col("has_children")
-    else:
-        wants = F.col("subtree_ready") & ~(F.col("held") & F.col("potential")) & asked & F.col("has_children") & (F.col("visible") | F.col("active_child"))
-    return t.withColumn("wants", wants)
+class Levels(NamedTuple):
+    depths: range
+    few: bool
+
+
+def _by_level(tiles: DataFrame) -> tuple[DataFrame, Levels]:
+    """Tiles written so that a level is read without the others, and what levels there are."""
+    t = settled(tiles.sortWithinPartitions("depth"))
+    least, most, n = t.agg(F.min("depth"), F.max("depth"), F.count(F.lit(1))).first()
+    return t, Levels(range(0) if least is None else range(least, most + 1), n <= FEW_ROWS)
+
+
+def _walked(t: DataFrame, depths: range, few: bool, step) -> DataFrame:
+    """The levels of t in the order of depths, each made by step(level, the level before it or None); LEVELS_A_WRITE of them are one written table."""
+    level = lambda rows, depth: rows.where(F.col("depth") == depth).coalesce(1) if few else rows.where(F.col("depth") == depth)
+    done, some, last = [], [], None
+    for n, depth in enumerate(depths, 1):
+        last = step(level(t, depth), last)
+        some.append(last)
+        if len(some) == LEVELS_A_WRITE or n == len(depths):
+            done.append(settled(reduce(DataFrame.unionByName, some).sortWithinPartitions("depth")))
+            some, last = [], level(done[-1], depth)
+    return reduce(DataFrame.unionByName, done) if done else step(t, None)
+
+
+def _told_up(t: DataFrame, levels: Levels, told: dict[str, Column]) -> DataFrame:
+    """Adds for each name whether some child of the tile tells so; what a child tells may depend on what its own children told."""
+    nothing = {n: F.lit(False) for n in told}
 
+    def step(level: DataFrame, below: DataFrame | None) -> DataFrame:
+        if below is None:
+            return level.withColumns(nothing)
+        facts = below.groupBy("view", F.col("parent").alias("tile_id")).agg(*[F.bool_or(c).alias(n) for n, c in told.items()])
+        return level.join(facts, ID, "left").withColumns({n: F.coalesce(n, no) for n, no in nothing.items()})
 
-def _pairs(tiles: DataFrame, own: dict[str, Column], above: dict[str, Column]) -> DataFrame:
-    """(view, tile_id, own..., ancestor, a_depth, above...): a row for each tile and each tile above it, with what is asked of either."""
-    up = F.split("tile_id", "/")
-    low = tiles.select(*ID, *[c.alias(k) for k, c in own.items()], up.alias("path")).where(F.size("path") > 1)
-    low = low.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("path") - 1))).withColumn("ancestor", F.array_join(F.slice("path", 1, F.col("n")), "/")).drop("path", "n")
-    high = tiles.select("view", F.col("tile_id").alias("ancestor"), F.col("depth").alias("a_depth"), *[c.alias(k) for k, c in above.items()])
-    return low.join(high, ["view", "ancestor"])
+    return _walked(t, levels.depths[::-1], levels.few, step)
 
 
-def _flag(tiles: DataFrame, marked: DataFrame, name: str, marked_is: bool) -> DataFrame:
-    return tiles.join(marked.withColumn("__m", F.lit(True)), ID, "left").withColumn(name, F.col("__m").isNotNull() if marked_is else F.col("__m").isNull()).drop("__m")
+def _handed_down(t: DataFrame, levels: Levels, handed: dict[str, Column], none: dict[str, Column], own: dict[str, Column] | None = None) -> DataFrame:
+    """Adds for each name what the tile's parent hands down (none: to whom nobody does), then the columns of own, which may depend on it."""
 
+    def step(level: DataFrame, above: DataFrame | None) -> DataFrame:
+        if above is None:
+            got = level.withColumns(none)
+        else:
+            given = above.select("view", F.col("tile_id").alias("parent"), F.struct(*[c.alias(n) for n, c in handed.items()]).alias("__given"))
+            got = level.join(given, ["view", "parent"], "left").withColumns({n: F.when(F.col("__given").isNull(), c).otherwise(F.col(f"__given.{n}")) for n, c in none.items()}).drop("__given")
+        for name, value in (own or {}).items():
+            got = got.withColumn(name, value)
+        return got
 
-def _surveyed(t: DataFrame, base: bool, keep: Column) -> tuple[DataFrame, DataFrame]:
-    """Adds front_ok, covered, opened, can_retain, up and reached; also returns the pairs of tiles and tiles above them.
+    return _walked(t, levels.depths, levels.few, step)
 
-    One join makes the pairs.  A window over those of a tile finds the deepest tiles above it that matter: that at which a missing front or
-    an uncovered leaf stops spreading, the nearest that is ready, an ADD tile.  One aggregate then tells each tile what lies below it.
+
+def _flag(tiles: DataFrame, marked: DataFrame, name: str) -> DataFrame:
+    return tiles.join(marked.withColumn("__m", F.lit(True)), ID, "left").withColumn(name, F.col("__m").isNotNull()).drop("__m")
+
+
+def _chosen(tiles: DataFrame, rules: Rules, base: bool, choice: Column) -> tuple[DataFrame, Levels]:
+    """Adds wants, front_ok, covered, opened, can_retain, reached, up, choice, selected and refining; choice may use all but the last two.
+
+    Upward go a missing front, up to the tile that has something to show; a bare leaf, up to the tile that is displayed or hidden; displayed
+    tiles.  Downward go the nearest ready tile, what is shut, and that displayed tiles stand in for all above them.
     """
+    t = _prepared(tiles).withColumn("active", F.col("visible") if base else F.col("visible") | F.col("periphery"))
+    if "touches" in tiles.columns and not base and rules.preload_siblings:
+        t = t.withColumn("active", F.col("active") | F.coalesce("touches", F.lit(False)))
     missing = ~F.col("subtree_ready") | (F.col("potential") & ~F.col("ready"))
     bare = F.col("visible") & ~F.col("has_children") & ~F.col("selected_before")
     structural = F.col("subtree_ready") & ~F.col("potential")
     if base:  # hidden siblings belong to the front
         bare = bare & ~structural
+        kept = F.col("selected_before") & F.col("visible") & F.col("ready")
     else:
         missing, structural = F.col("visible") & missing, F.col("visible") & structural
-    own = {"missing": missing, "bare": bare, "kept": F.col("selected_before") & keep}
-    above = {"stops_front": ~structural, "stops_cover": F.col("selected_before") | ~F.col("visible"), "a_ready": F.col("ready"), "a_add": F.col("refine") == "ADD"}
-    all_above = Window.partitionBy(*ID)
-    deepest = lambda c, none: F.coalesce(F.max(F.when(F.col(c), F.col("a_depth"))).over(all_above), F.lit(none))
-    pairs = _pairs(t, own, above).withColumns({"front_stop": deepest("stops_front", 0), "cover_stop": deepest("stops_cover", 0), "add_stop": deepest("a_add", -1)})
-    may_stand_in = F.col("a_ready") & (F.col("a_depth") > F.col("add_stop")) if base else F.col("a_ready")
-    pairs = pairs.withColumn("up", F.max_by("ancestor", F.when(may_stand_in, F.col("a_depth"))).over(all_above))
-    pairs = settled(pairs.drop("stops_front", "stops_cover", "a_ready", "a_add"))
-    below = pairs.groupBy("view", F.col("ancestor").alias("tile_id")).agg(
-        F.bool_or(F.col("missing") & (F.col("a_depth") >= F.col("front_stop"))).alias("front_waits"),
-        F.bool_or(F.col("bare") & (F.col("a_depth") >= F.col("cover_stop"))).alias("shows_through"),
-        F.bool_or("kept").alias("can_retain"),
-    )
-    t = t.join(below, ID, "left").join(pairs.groupBy(*ID).agg(F.any_value("up").alias("up")), ID, "left")
-    no = F.lit(False)
-    t = t.withColumns({"front_ok": ~F.coalesce("front_waits", no), "covered": ~F.coalesce("shows_through", no) & F.col("has_children"), "can_retain": F.coalesce("can_retain", no)}).drop("front_waits", "shows_through")
-    t = settled(t.withColumn("opened", F.col("wants") & ((F.col("refine") == "ADD") | F.col("front_ok"))))
-    shut = t.where(~(F.col("active") & F.col("opened"))).select("view", F.col("tile_id").alias("ancestor"))
-    behind = pairs.join(shut, ["view", "ancestor"], "left_semi").select(*ID).distinct()
-    return _flag(t, behind, "reached", False).withColumn("reached", F.col("active") & F.col("reached")), pairs
+        kept = F.col("selected_before") & F.col("active")
+    t, levels = _by_level(t)
+    told = {
+        "has_children": F.lit(True),
+        "active_child": F.col("active"),
+        "front_waits": missing | (structural & F.col("front_waits")),
+        "shows_through": bare | (F.col("visible") & ~F.col("selected_before") & F.col("shows_through")),
+        "can_retain": kept | F.col("can_retain"),
+    }
+    t = _told_up(t, levels, told)
+    required = rules.required(F.col("sse"), F.col("depth"), F.col("was_refining"), F.col("potential"), F.col("balance"))
+    asked = F.col("subtree_ready") & (required | F.col("delayed")) & F.col("has_children")
+    wants = F.col("visible") & asked if base else asked & ~(F.col("held") & F.col("potential")) & (F.col("visible") | F.col("active_child"))
+    t = t.withColumns({"wants": wants, "front_ok": ~F.col("front_waits"), "covered": ~F.col("shows_through") & F.col("has_children")}).drop("front_waits", "shows_through")
+    t = t.withColumn("opened", F.col("wants") & ((F.col("refine") == "ADD") | F.col("front_ok")))
+    near = F.when(F.col("ready"), F.col("tile_id")).otherwise(F.col("up"))
+    handed = {
+        "shut": F.col("shut") | ~(F.col("active") & F.col("opened")),
+        "up": F.when(F.col("refine") != "ADD", near) if base else near,
+        "stood_for": F.col("stood_for") | (F.col("choice") == "kept"),
+    }
+    none = {"shut": F.lit(False), "up": F.lit(None).cast("string"), "stood_for": F.lit(False)}
+    t = _handed_down(t, levels, handed, none, {"reached": F.col("active") & ~F.col("shut"), "choice": choice})
+    ups = t.where("choice = 'up'").select("view", F.col("up").alias("tile_id")).distinct()
+    named = F.col("selected") | (F.col("choice") == "self") | (F.col("stood_for") & kept)
+    t = _flag(t, ups, "selected").withColumns({"selected": named, "refining": F.col("wants") & F.col("reached")})
+    return t.drop("shut", "stood_for"), levels
 
 
 def select_active(tiles: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
@@ -133,7 +180,6 @@ def select_active(tiles: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noq
     What is wanted but not ready is stood in for: by displayed descendants, by the nearest ready ancestor, or by the tile itself.
     A tile whose subtree is not loaded is selected though it has nothing to show yet.
     """
-    t, pairs = _surveyed(settled(_decided(tiles, rules, base=False)), False, F.col("active"))
     retain, has_up = F.lit(rules.stable) & F.col("can_retain"), F.col("up").isNotNull()
     waiting = F.col("reached") & F.col("subtree_ready") & ~F.col("wants") & F.col("potential") & ~F.col("ready")
     # of each tile: itself, its displayed descendants, the ancestor above it, or nothing
@@ -150,15 +196,7 @@ def select_active(tiles: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noq
         .when(retain, "kept")
         .otherwise("self")
     )
-    return _with_cut(settled(t.withColumn("choice", choice)), pairs)
-
-
-def _with_cut(t: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds selected and refining: who is chosen by itself, by a tile above it, or by one below."""
-    keeping = t.where("choice = 'kept'").select("view", F.col("tile_id").alias("ancestor"))
-    cut = t.where("choice IN ('self', 'up')").select("view", F.expr("CASE choice WHEN 'self' THEN tile_id ELSE up END").alias("tile_id"))
-    cut = cut.unionAll(pairs.where("kept").join(keeping, ["view", "ancestor"], "left_semi").select(*ID)).distinct()
-    return _flag(t, cut, "selected", True).withColumn("refining", F.col("wants") & F.col("reached"))
+    return _chosen(tiles, rules, False, choice)[0]
 
 
 def select_base(tiles: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
@@ -168,7 +206,6 @@ def select_base(tiles: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa:
     ladder: displayed descendants that cover it, the tile, its nearest ready ancestor.  A view in which a coarser tile would
     have to take the place of displayed ones keeps its cut as it was (`blocked`).
     """
-    t, pairs = _surveyed(settled(_decided(tiles, rules, base=True)), True, F.col("visible") & F.col("ready"))
     laddered = F.col("reached") & (~F.col("subtree_ready") | (~F.col("wants") & F.col("potential")))
     gated = F.col("reached") & F.col("wants") & (F.col("refine") == "REPLACE") & ~F.col("front_ok")
     covered = F.lit(rules.stable) & F.col("covered")
@@ -179,17 +216,17 @@ def select_base(tiles: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa:
         .when(F.col("reached") & F.col("wants") & (F.col("refine") == "ADD") & F.col("ready"), "self")
         .otherwise("none")
     )
-    t = settled(_with_cut(settled(t.withColumn("choice", choice)), pairs))
+    t, levels = _chosen(tiles, rules, True, choice)
+    t = settled(t.sortWithinPartitions("depth"))
     # a tile goes where a REPLACE ancestor is selected, unless an ADD tile stands between
-    shown = t.where("selected").select("view", F.col("tile_id").alias("ancestor"))
-    hidden = pairs.where("a_depth > add_stop").join(shown, ["view", "ancestor"], "left_semi").select(*ID).distinct()
+    replaced = (F.col("refine") != "ADD") & (F.col("selected") | F.col("replaced"))
+    t = _handed_down(t, levels, {"replaced": replaced}, {"replaced": F.lit(False)})
     stuck = t.where("choice = 'blocked'").select("view").distinct().withColumn("blocked", F.lit(True))
-    t = _flag(t, hidden, "stays", False).join(stuck, "view", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
-    published = F.when(F.col("blocked"), F.col("selected_before") & F.col("ready")).otherwise(F.col("selected") & F.col("stays"))
-    t = settled(t.withColumn("selected", published).drop("stays"))
+    t = t.join(stuck, "view", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    published = F.when(F.col("blocked"), F.col("selected_before") & F.col("ready")).otherwise(F.col("selected") & ~F.col("replaced"))
+    t = settled(t.withColumn("selected", published).drop("replaced", "refining").sortWithinPartitions("depth"))
     # what counts as refined follows the published cut
-    refined = pairs.join(t.where("selected").select(*ID), ID, "left_semi").select("view", F.col("ancestor").alias("tile_id")).distinct()
-    return _flag(t.drop("refining"), refined, "refining", True)
+    return _told_up(t, levels, {"refining": F.col("selected") | F.col("refining")})
 
 
 def requests(selected: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
@@ -216,8 +253,9 @@ def periphery_requests(tiles: DataFrame, rules: Rules = Rules()) -> DataFrame:
     deep = (F.col("sse") > rules.threshold(F.col("depth")) * max(1.0, rules.threshold_scale)) | ~F.col("potential")
     t = _prepared(tiles).withColumn("opens", ~F.col("visible") & F.col("periphery") & F.col("subtree_ready") & deep)
     # a hidden tile is asked for if it lies around the view and all hidden tiles above it refine
-    shut = _pairs(t, {}, {"shut": ~F.col("visible") & ~F.col("opens")}).where("shut").select(*ID).distinct()
-    return t.where(~F.col("visible") & F.col("periphery") & F.col("potential") & ~F.col("ready")).join(shut, ID, "left_anti").select(*ID, (F.lit(-1.0) / (1 + F.col("sse"))).alias("priority"))
+    shut = {"shut": F.col("shut") | (~F.col("visible") & ~F.col("opens"))}
+    t = _handed_down(*_by_level(t), shut, {"shut": F.lit(False)})
+    return t.where(~F.col("shut") & ~F.col("visible") & F.col("periphery") & F.col("potential") & ~F.col("ready")).select(*ID, (F.lit(-1.0) / (1 + F.col("sse"))).alias("priority"))
 
 
 def cut_changes(before: DataFrame, after: DataFrame) -> DataFrame:

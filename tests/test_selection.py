@@ -39,12 +39,13 @@ class Tile:
             at = at.parent
 
 
-def tree(rng, n=60):
+def tree(rng, n=60, deepest=5):
+    """A random tree; one deeper than usual grows mostly from the tile that came last."""
     root = Tile("r", 0, None, rng)
     tiles = [root]
     while len(tiles) < n:
-        parent = rng.choice(tiles)
-        if len(parent.children) < 4 and parent.depth < 5:
+        parent = tiles[-1] if deepest > 5 and rng.random() < 0.7 else rng.choice(tiles)
+        if len(parent.children) < 4 and parent.depth < deepest:
             child = Tile(f"{parent.id}/{len(parent.children)}", parent.depth + 1, parent, rng)
             parent.children.append(child)
             tiles.append(child)
@@ -200,6 +201,22 @@ def forest(spark):
     return trees, rows
 
 
+def test_deep_trees_level_by_level(spark, monkeypatch):
+    """25 levels, without the short way that few rows take."""
+    monkeypatch.setattr(S, "FEW_ROWS", 0)
+    rng, trees = random.Random(23), {}
+    while len(trees) < 12:
+        root, tiles = tree(rng, n=90, deepest=25)
+        if len(trees) > 5 or max(t.depth for t in tiles) > 20:
+            trees[f"v{len(trees)}"] = root, tiles
+    rows = spark.createDataFrame([t.row(v) for v, (_, tiles) in trees.items() for t in tiles], SCHEMA)
+    got = S.select_active(rows, RULES)
+    assert got.count() == rows.count()
+    cuts = by_view(got, "selected")
+    for view, (root, _) in trees.items():
+        assert cuts.get(view, set()) == walk_active(root)[0], view
+
+
 def by_view(rows, name):
     out = {}
     for r in rows.where(name).collect():
