@@ -165,14 +165,19 @@ def implicit_error(root_error: Column, level: Column) -> Column:
 # availability ----------------------------------------------------------------------------------------------------
 
 
-def get_bit(buffer: Column, index: Column) -> Column:
-    """Bit `index` of a binary, lowest bit of a byte first; beyond the end is an error."""
-    byte = F.conv(F.hex(F.substring(buffer, (F.call_function("div", index, F.lit(8)) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    inside = (index >= 0) & (index < F.octet_length(buffer) * 8)
+def _bit(buffer: Column, start: Column, length: Column, index: Column) -> Column:
+    """Bit `index` of the bytes of a view: the one byte it lies in is read, and nothing else is copied."""
+    byte = F.conv(F.hex(F.substring(buffer, (start + F.call_function("div", index, F.lit(8)) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    inside = (index >= 0) & (index < length * 8)
     bit = F.call_function("shiftright", byte, (index % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
     return F.when(inside, bit).otherwise(F.raise_error(F.concat(F.lit("availability bit "), index.cast("string"), F.lit(" is outside the buffer view"))).cast("boolean"))
 
 
+def get_bit(buffer: Column, index: Column) -> Column:
+    """Bit `index` of a binary, lowest bit of a byte first; beyond the end is an error."""
+    return _bit(buffer, F.lit(0), F.octet_length(buffer), index)
+
+
 def read_availability(availability: Column, views: Column, buffers: Column, index: Column) -> Column:
     """A bit of an availability struct (constant, bitstream): the constant wins; missing views or buffers are errors.
 
@@ -186,7 +191,7 @@ def read_availability(availability: Column, views: Column, buffers: Column, inde
         return (
             F.when(g["buffer"].isNull(), fail("a buffer view references an unloaded buffer"))
             .when((start < 0) | (start + g["view"]["byteLength"] > F.octet_length(g["buffer"])), fail("a buffer view exceeds its buffer"))
-            .otherwise(get_bit(F.substring(g["buffer"], (start + 1).cast("int"), g["view"]["byteLength"].cast("int")), g["index"]))
+            .otherwise(_bit(g["buffer"], start, g["view"]["byteLength"], g["index"]))
         )
 
     def found(v: Column) -> Column:

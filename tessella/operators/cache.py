@@ -1,7 +1,7 @@
 """Cache sweeps: least recently used entries go until budgets hold, as running sums.
 
 Going through the candidates from the least recently used on, totals only shrink and staleness only ends; so what goes is a prefix
-of that order, and one window of running sums finds it.  Ties keep the order in which entries came (seq).
+of that order, and running sums in two levels find it, however large a key is.  Ties keep the order in which entries came (seq).
 """
 
 from __future__ import annotations
@@ -9,9 +9,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.prefix import sums_before, with_totals
+
+#: From the least recently used on.
+USED = ["touched", "seq"]
+
 
 @dataclass(frozen=True)
 class Budgets:
@@ -46,28 +51,21 @@ def is_stale(touched_frame: Column, touched_ms: Column, now_frame: Column, now_m
     return touched_ms.isNull() | (now_ms - touched_ms > budgets.retention_ms)
 
 
-def _running(key: list[str]):
-    return Window.partitionBy(*key).orderBy("touched", "seq").rowsBetween(Window.unboundedPreceding, -1)
-
-
 def evict_contents(contents: DataFrame, *, key: list[str], budgets: Budgets = Budgets(), selected: DataFrame | None = None, force: bool = False) -> DataFrame:  # noqa: B008
     """(key, content_id, reason, released_cpu, released_gpu): what leaves the cache.
 
     contents: (key, content_id, touched, seq, stale, cpu, gpu, protected): ready ones.  Protected are those that are shown, attached, on a
     front or just loaded; they count in the totals but never go.  selected: (key, n) tiles shown, for budgets that adapt.
     """
-    everything = Window.partitionBy(*key)
     cpu, gpu = F.coalesce("cpu", F.lit(0)), F.coalesce("gpu", F.lit(0))
     rows = contents.withColumns({"cpu": cpu, "gpu": gpu})
-    rows = rows.withColumns({"n_all": F.count(F.lit(1)).over(everything), "cpu_all": F.sum("cpu").over(everything), "gpu_all": F.sum("gpu").over(everything)})
+    rows = with_totals(rows, key=key, totals={"n_all": F.count(F.lit(1)), "cpu_all": F.sum("cpu"), "gpu_all": F.sum("gpu")})
     budget = F.lit(float(budgets.max_contents))
     if selected is not None:
         rows = rows.join(selected.select(*key, F.col("n").alias("__shown")), key, "left")
         budget = adaptive_budget(budget, F.coalesce("__shown", F.lit(0)), budgets.working_set_factor)
-    rows = rows.where(~F.col("protected"))
-    w = _running(key)
-    gone = {"n_gone": F.count(F.lit(1)).over(w), "cpu_gone": F.coalesce(F.sum("cpu").over(w), F.lit(0)), "gpu_gone": F.coalesce(F.sum("gpu").over(w), F.lit(0))}
-    rows = rows.withColumns(gone)
+    gone = {"n_gone": F.lit(1), "cpu_gone": F.col("cpu"), "gpu_gone": F.col("gpu")}
+    rows = sums_before(rows.where(~F.col("protected")), key=key, order=USED, sums=gone)
     reason = (
         F.when(F.lit(force) | F.col("stale"), "stale")
         .when(F.col("n_all") - F.col("n_gone") > budget, "entry-budget")
@@ -79,10 +77,8 @@ def evict_contents(contents: DataFrame, *, key: list[str], budgets: Budgets = Bu
 
 def evict_subtrees(subtrees: DataFrame, *, key: list[str], budgets: Budgets = Budgets(), force: bool = False) -> DataFrame:  # noqa: B008
     """(key, subtree_id, reason, released_bytes): loaded subtrees that leave; subtrees: (key, subtree_id, touched, seq, stale, bytes, protected)."""
-    everything = Window.partitionBy(*key)
-    rows = subtrees.withColumns({"n_all": F.count(F.lit(1)).over(everything), "bytes_all": F.sum("bytes").over(everything)}).where(~F.col("protected"))
-    w = _running(key)
-    rows = rows.withColumns({"n_gone": F.count(F.lit(1)).over(w), "bytes_gone": F.coalesce(F.sum("bytes").over(w), F.lit(0))})
+    rows = with_totals(subtrees, key=key, totals={"n_all": F.count(F.lit(1)), "bytes_all": F.sum("bytes")}).where(~F.col("protected"))
+    rows = sums_before(rows, key=key, order=USED, sums={"n_gone": F.lit(1), "bytes_gone": F.col("bytes")})
     reason = (
         F.when(F.lit(force) | F.col("stale"), "stale")
         .when(F.col("n_all") - F.col("n_gone") > budgets.max_subtrees, "entry-budget")

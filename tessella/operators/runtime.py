@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.prefix import sums_before
 from tessella.operators.selection import PRELOAD_SCALE
 
 
@@ -74,8 +75,9 @@ def schedule(requests: DataFrame, *, key: list[str], slots: Column | int, runnin
         asked = asked.join(running.select(*key, "resource"), [*key, "resource"], "left_anti")
         asked = asked.join(running.groupBy(*key).agg(F.count(F.lit(1)).alias("__busy")), key, "left")
         free = free - F.coalesce("__busy", F.lit(0))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("priority"), "ord"))
-    return asked.withColumn("rank", rank).where(F.col("rank") <= free).select(*key, "resource", "priority", "ord", "rank")
+    ranked = sums_before(asked.withColumn("__free", free), key=key, order=[F.desc("priority"), "ord", "resource"], sums={"rank": F.lit(1)})
+    free = F.col("__free")
+    return ranked.withColumn("rank", (F.col("rank") + 1).cast("int")).where(F.col("rank") <= free).select(*key, "resource", "priority", "ord", "rank")
 
 
 def activation_generations(changes: DataFrame, *, key: list[str], order: str) -> DataFrame:
