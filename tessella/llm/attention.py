@@ -13,10 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 
-START, END, RARE = 0, 1, 2
+START, END = 0, 1
 CONTEXT, SCORED = 16, 16
-DEPTH, HIDDEN, CLASSES = 8, 32, 32
-BATCH, RATE, EPOCHS = 128, 0.025, 5
+DEPTH, HIDDEN, CLASSES = 4, 16, 16
+#: Windows of a step, how far a step goes, and the weight of what all classes give every id while they learn.
+BATCH, RATE, LEAST = 512, 0.2, 1e-4
+#: The part of each class that is spread over all ids in the end, met or not.
+FLOOR = 0.01
 #: Windows that are scored together: their scores stay in the processor's cache.
 TOGETHER = 384
 #: exp() of less than this neither overflows in 32 bits nor does a window's sum of it.
@@ -46,9 +49,14 @@ def windows(ids: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = No
     return inputs, targets.reshape(n, SCORED), place
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=-1, keepdims=True))
-    z /= z.sum(axis=-1, keepdims=True)
+def _softmax(z: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Of the last axis; where allowed is given, of those places alone."""
+    if z.size and max(z.max(), -z.min()) > SAFE:
+        z = z - z.max(axis=-1, keepdims=True)
+    z = np.exp(z)
+    if allowed is not None:
+        z *= allowed
+    z /= (z @ np.ones(z.shape[-1], z.dtype))[..., None]
     return z
 
 
@@ -77,79 +85,175 @@ class Attention:
         ago = np.arange(CONTEXT, CONTEXT + SCORED)[:, None] - np.arange(CONTEXT + SCORED)[None]
         return np.maximum(ago, 0), ago < 0
 
-    def forward(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """x: inputs (n, length), y: targets (n, scored).  p: the probability of each target."""
+    def forward(self, x: np.ndarray, y: np.ndarray, by_id: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """x: inputs (n, length), y: targets (n, scored).  p: the probability of each target; by_id (ids, classes) stands for T if given."""
         w, now, last = self.weights, x[:, CONTEXT:], x[:, CONTEXT - 1 : -1]
         ago, future = self.distances()
         q, k, v = (w["E"] @ w[n] for n in ("Wq", "Wk", "Wv"))
-        q, k, v = q[now], k[x], v[x]
-        s = q @ k.transpose(0, 2, 1) * np.float32(w["Wq"].shape[1] ** -0.5) + np.where(future, np.float32(-1e9), w["R"][ago])
-        a = _softmax(s)
+        q, k, v = q.take(now, axis=0), k.take(x, axis=0), v.take(x, axis=0)
+        s = q @ k.transpose(0, 2, 1)
+        s *= np.float32(w["Wq"].shape[1] ** -0.5)
+        s += w["R"][ago]
+        a = _softmax(s, ~future)
         o = a @ v
-        h = np.maximum(w["E"][now] + w["P"][last] + o @ w["Wo"] + w["b"], 0)
-        pi = _softmax(h @ w["O"] + w["c"])
-        phi = _softmax(w["T"])
-        e = phi.T[y]
-        return {"q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "pi": pi, "phi": phi, "e": e, "p": (pi * e).sum(axis=-1)}
+        h = np.maximum((w["E"] + w["b"]).take(now, axis=0) + w["P"].take(last, axis=0) + (o.reshape(-1, o.shape[-1]) @ w["Wo"]).reshape(*now.shape, -1), 0)
+        pi = _softmax((h.reshape(-1, h.shape[-1]) @ w["O"] + w["c"]).reshape(*now.shape, -1))
+        phi = _softmax(w["T"]) if by_id is None else by_id.T
+        e = np.ascontiguousarray(phi.T).take(y, axis=0)
+        return {"q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "pi": pi, "phi": phi, "e": e, "p": (pi * e) @ np.ones(pi.shape[-1], e.dtype)}
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """(loss, its gradient): the mean of -ln p over the targets that mask (n, scored) names."""
-        w, f, now, last = self.weights, self.forward(x, y), x[:, CONTEXT:], x[:, CONTEXT - 1 : -1]
+    def _back(self, x: np.ndarray, f: dict[str, np.ndarray], r: np.ndarray, dz: np.ndarray) -> dict[str, np.ndarray]:
+        """The gradient by all weights but T, from that by the classes' logits."""
+        w, now, last = self.weights, x[:, CONTEXT:], x[:, CONTEXT - 1 : -1]
         ago, _ = self.distances()
-        m = (mask / max(1, mask.sum())).astype(np.float32)[..., None]
-        r = f["pi"] * f["e"] / f["p"][..., None] * m
-        dz = f["pi"] * m - r
-        g = {"O": np.einsum("nsh,nsk->hk", f["h"], dz, optimize=True), "c": dz.sum(axis=(0, 1))}
-        by_id = np.zeros(w["T"].shape[::-1], np.float32)
-        np.add.at(by_id, y.ravel(), r.reshape(-1, r.shape[-1]))
-        g["T"] = r.sum(axis=(0, 1))[:, None] * f["phi"] - by_id.T
-        dh = dz @ w["O"].T * (f["h"] > 0)
+        flat_h, flat_z = f["h"].reshape(-1, f["h"].shape[-1]), dz.reshape(-1, dz.shape[-1])
+        g = {"O": flat_h.T @ flat_z, "c": flat_z.sum(axis=0)}
+        dh = (flat_z @ w["O"].T * (flat_h > 0)).reshape(f["h"].shape)
         flat = dh.reshape(-1, dh.shape[-1])
         g["b"], g["Wo"] = flat.sum(axis=0), f["o"].reshape(-1, f["o"].shape[-1]).T @ flat
-        g["E"], g["P"] = np.zeros_like(w["E"]), np.zeros_like(w["P"])
-        np.add.at(g["E"], now.ravel(), flat)
-        np.add.at(g["P"], last.ravel(), flat)
-        do = dh @ w["Wo"].T
+        do = (flat @ w["Wo"].T).reshape(f["o"].shape)
         da = do @ f["v"].transpose(0, 2, 1)
-        ds = f["a"] * (da - (f["a"] * da).sum(axis=-1, keepdims=True))
-        g["R"] = np.bincount(ago.ravel(), weights=ds.sum(axis=0).ravel(), minlength=len(w["R"])).astype(np.float32)
-        scale = np.float32(w["Wq"].shape[1] ** -0.5)
-        for name, d, at in (("Wq", ds @ f["k"] * scale, now), ("Wk", ds.transpose(0, 2, 1) @ f["q"] * scale, x), ("Wv", f["a"].transpose(0, 2, 1) @ do, x)):
-            table = np.zeros((len(w["E"]), d.shape[-1]), np.float32)
-            np.add.at(table, at.ravel(), d.reshape(-1, d.shape[-1]))
+        da -= np.einsum("nsd,nsd->ns", do, f["o"])[..., None]
+        da *= f["a"]
+        g["R"] = np.bincount(ago.ravel(), weights=da.sum(axis=0).ravel(), minlength=len(w["R"])).astype(np.float32)
+        scale, m = np.float32(w["Wq"].shape[1] ** -0.5), len(w["E"])
+        dq = da @ f["k"] * scale
+        dkv = np.concatenate((da.transpose(0, 2, 1) @ f["q"] * scale, f["a"].transpose(0, 2, 1) @ do), axis=-1)
+        by_now, by_any, depth = sums_by(now, np.concatenate((dh, dq), axis=-1), m), sums_by(x, dkv, m), dq.shape[-1]
+        g["P"], g["E"] = sums_by(last, dh, m), by_now[:, :-depth].copy()
+        for name, table in (("Wq", by_now[:, -depth:]), ("Wk", by_any[:, :depth]), ("Wv", by_any[:, depth:])):
             g[name] = w["E"].T @ table
             g["E"] += table @ w[name].T
+        return g
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """(loss, its gradient): the mean of -ln p over the targets that mask (n, scored) names."""
+        f = self.forward(x, y)
+        m = (mask / max(1, mask.sum())).astype(np.float32)[..., None]
+        r = f["pi"] * f["e"] / f["p"][..., None] * m
+        g = self._back(x, f, r, f["pi"] * m - r)
+        g["T"] = r.sum(axis=(0, 1))[:, None] * f["phi"] - sums_by(y, r, self.weights["T"].shape[1]).T
         return float(-(np.log(f["p"]) * m[..., 0]).sum()), g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> Attention:
-        """Adam over shuffled batches of windows, the rate falling to nothing."""
-        rng, m, v, step = np.random.default_rng(seed), {}, {}, 0
-        whole = epochs * -(-len(x) // BATCH)
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(order), BATCH):
-                some = order[at : at + BATCH]
-                step += 1
-                for name, g in self.gradient(x[some], y[some], mask[some])[1].items():
-                    m[name] = 0.9 * m.get(name, 0) + 0.1 * g
-                    v[name] = 0.99 * v.get(name, 0) + 0.01 * g * g
-                    change = m[name] / (1 - 0.9**step) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
-                    self.weights[name] = (self.weights[name] - np.float32(RATE * (1 - step / (whole + 1))) * change).astype(np.float32)
+
+def sums_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """(n, width): the sums of the values' rows for each index."""
+    index, values = index.ravel(), values.reshape(-1, values.shape[-1])
+    out = np.zeros((n, values.shape[-1]), values.dtype)
+    if len(index):
+        order = np.argsort(index.astype(np.uint16) if n <= 1 << 16 else index, kind="stable")
+        have = index[order]
+        starts = np.flatnonzero(np.concatenate(([True], have[1:] != have[:-1])))
+        out[have[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
+class Learner:
+    """Goes over windows once, and can be put together with others that went over other windows.
+
+    What is learned is a row for each id and a row of all that is not of one id.  An id's row has its E and P, its share in
+    each class, and the squares of E's and P's gradients so far.  Classes learn by stepwise expectation maximization: shares move toward the
+    responsibilities of the classes for the ids that were met, a step's part falling as 2 / (steps + 2).  All other
+    weights descend the gradient, each at a rate that falls with its own squares.
+    """
+
+    SMALL = ("Wq", "Wk", "Wv", "Wo", "R", "b", "O", "c")
+
+    def __init__(self, ids: int, seed: int = 1) -> None:
+        w = Attention.new(np.ones(ids), seed=seed).weights
+        self.model, self.hidden = Attention(w), w["E"].shape[1]
+        share = _softmax(w.pop("T")).T / w["c"].size
+        self.rows = np.concatenate((w.pop("E"), w.pop("P"), share, np.zeros((ids, 2), np.float32)), axis=1).astype(np.float32)
+        self.squares = {name: np.zeros_like(w[name]) for name in self.SMALL}
+        self.steps, self.seen = 0.0, 0
+        self.table = np.zeros(ids, np.int32)
+
+    def small(self) -> np.ndarray:
+        """All that is not of one id, in one row."""
+        w = self.model.weights
+        return np.concatenate([*(w[n].ravel() for n in self.SMALL), *(self.squares[n].ravel() for n in self.SMALL), [self.steps]]).astype(np.float64)
+
+    def begin(self, rows: np.ndarray, small: np.ndarray) -> Learner:
+        """Go on from these rows."""
+        w, at = self.model.weights, 0
+        for kept in (w, self.squares):
+            for n in self.SMALL:
+                kept[n] = small[at : at + w[n].size].reshape(w[n].shape).astype(np.float32)
+                at += w[n].size
+        self.rows, self.steps, self.seen, self.fade = rows.astype(np.float32), float(small[at]), 0, 1.0
+        self.total = self.rows[:, 2 * self.hidden : -2].sum(axis=0)
         return self
 
+    def learn(self, ids: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None) -> None:
+        """One step for each BATCH windows of documents laid end to end."""
+        x, y, place = windows(ids, lengths, before)
+        mask = np.zeros(y.size, dtype=bool)
+        mask[place] = True
+        mask = mask.reshape(y.shape)
+        order = np.random.default_rng(len(x)).permutation(len(x))
+        for at in range(0, len(x), BATCH):
+            some = order[at : at + BATCH]
+            self._step(x[some], y[some], mask[some])
+        self.seen += len(ids)
+
+    def _step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> None:
+        h, w, met = self.hidden, self.model.weights, np.zeros(len(self.rows), dtype=bool)
+        met[x], met[y] = True, True
+        own = np.flatnonzero(met)  # the step works on the rows of the ids that it meets
+        self.table[own] = np.arange(len(own))
+        x, y, rows = self.table[x], self.table[y], self.rows[own]
+        w["E"], w["P"] = rows[:, :h], rows[:, h : 2 * h]
+        phi = (rows[:, 2 * h : -2] * self.fade + LEAST / len(self.rows)) / (self.total + LEAST)
+        f = self.model.forward(x, y, phi.astype(np.float32))
+        part = mask[..., None].astype(np.float32)
+        r = f["pi"] * f["e"]
+        r *= part / f["p"][..., None]
+        n = mask.sum()
+        g = self.model._back(x, f, r, (f["pi"] * part - r) / n)
+        self.steps += 1
+        for name in self.SMALL:
+            self.squares[name] += g[name] ** 2
+            w[name] = w[name] - np.float32(RATE) * g[name] / (np.sqrt(self.squares[name]) + np.float32(1e-6))
+        for name, at, square in (("E", 0, -2), ("P", h, -1)):
+            rows[:, square] += (g[name] ** 2).mean(axis=1)
+            rows[:, at : at + h] -= np.float32(RATE) * g[name] / (np.sqrt(rows[:, square, None]) + np.float32(1e-6))
+        new = 2 / (self.steps + 2)
+        self.fade *= 1 - new
+        moved = sums_by(y, r, len(own))
+        rows[:, 2 * h : -2] += moved * np.float32(new / self.fade / n)
+        self.total = self.total * (1 - new) + moved.sum(axis=0) * np.float32(new / n)
+        self.rows[own] = rows
+        if self.fade < 1e-3:
+            self._settle()
+
+    def _settle(self) -> None:
+        self.rows[:, 2 * self.hidden : -2] *= np.float32(self.fade)
+        self.fade = 1.0
+
+    def learned(self) -> np.ndarray:
+        """The rows of ids as they are now."""
+        self._settle()
+        return self.rows
+
+    def finished(self) -> Attention:
+        """The model."""
+        h, rows = self.hidden, self.learned()
+        share = rows[:, 2 * h : -2]
+        share = share + np.maximum(share.sum(axis=0), 1e-30) * np.float32(FLOOR / len(rows))
+        w = self.model.weights
+        return Attention({"E": rows[:, :h].copy(), "P": rows[:, h : 2 * h].copy(), **{n: w[n] for n in self.SMALL}, "T": np.log(share).T.astype(np.float32).copy()})
+
 
 class Scorer:
     """Fast forward passes: what depends on one id alone is looked up."""
 
-    def __init__(self, model: Attention, rare: int = 1) -> None:
-        """rare: how many ids of the tokenizer share RARE, evenly."""
+    def __init__(self, model: Attention) -> None:
         w = model.weights
         scale = np.float32(w["Wq"].shape[1] ** -0.5)
         self.q, self.k, self.v = (w["E"] @ w["Wq"]) * scale, w["E"] @ w["Wk"], w["E"] @ w["Wv"]
         self.now, self.last = w["E"] + w["b"], w["P"]
         self.wo, self.o, self.c = w["Wo"], w["O"], w["c"]
         self.emission = np.ascontiguousarray(_softmax(w["T"]).T)
-        self.emission[RARE] /= max(1, rare)
         ago, future = model.distances()
         self.bias = np.where(future, np.float32(-1e9), w["R"][ago]).astype(np.float32)
         self.ones, self.all = np.ones((CONTEXT + SCORED, 1), np.float32), np.ones(len(self.c), np.float32)

@@ -1,12 +1,13 @@
 """Scores of a language model: causal self-attention over subword ids, mixed with the corpus' own word counts.
 
-A text is its words, lower-cased in A-Z, and an end.  A word's ids are those of the tokenizer for the word behind one space,
-so ids say where words begin, and the model's probabilities are of word sequences.  The attention model (see `attention`) is trained on a
-bounded sample of the documents that are not held out; how often every word occurs is counted over all of them.  A word's probability is
-OWN parts its share of the training words and the rest what attention gives its ids.
-
-Two passes read the texts.  The first counts words.  Words that make up most of all text have a bounded number; their
-counts travel with the tasks of the second pass, which scores every id once.  All other words of a document are rows that are joined with the counts.
+A text is its words, lower-cased in A-Z, and an end.  A frequent word is one id; the ids of another are those of the tokenizer for the word
+behind one space, so ids say where words begin, and the model's probabilities are of word sequences.  Words are counted and the attention model (see `attention`) is
+trained over all documents that are not held out, each whole.  A word's probability is OWN parts its share of the training words and the rest
+what attention gives its ids.
+
+Training goes over the rows in rounds, each of which takes other rows than those before it.  In a round every task goes on from the same model over its own rows;
+what the tasks change is put together by the ids that they saw, and the next round goes on from there.  Where there are few words, it goes over all rows again.
+Words that make up most of all text have a bounded number; their counts travel with the tasks that score.  All other words of a document are rows that are joined with the counts.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 import base64
 import uuid
 from collections import Counter
-from collections.abc import Iterator
-from math import log10
+from collections.abc import Callable, Iterator
+from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +24,26 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.attention import CONTEXT, END, EPOCHS, RARE, SCORED, START, Attention, Scorer, windows
+from tessella.llm.attention import CONTEXT, END, START, Attention, Learner, Scorer, sums_by
 from tessella.llm.common import named, stored
 from tessella.llm.tokenstore import worker_memory
 
 #: The share of a word's probability that comes from counts.
 OWN = 0.2
-#: Trained on: the documents of least hash, up to so many rows, ids in all, and bytes each.
-SAMPLE_ROWS, SAMPLE_IDS, SAMPLE_BYTES = 4000, 1_200_000, 1 << 20
+#: Words that are one id, at most, and how often they occur among the training words, at least.
+WHOLE, WHOLE_LEAST = 50_000, 40
+#: The hashes of texts fall into so many slots.  Rounds end at these slots; a round of fewer words than ROUND_WORDS is left to the next one.
+SLOTS, ROUND_ENDS, ROUND_WORDS = 64, (1, 5, 21), 100_000
+#: Training words of a task, about, and those that are met in all where that takes at most EPOCHS times over all rows.
+TASK_WORDS, MET_WORDS, EPOCHS = 3_000_000, 3_000_000, 5
 #: Words whose counts travel with the tasks, at most; a word of lower rank is rarer than 1 in so many.
 OFTEN = 150_000
 #: Different words that a counting task holds before it hands them on, and that a scoring worker remembers.
-HOLD, REMEMBER = 250_000, 400_000
+HOLD, REMEMBER = 250_000, 350_000
 #: Texts scored together have so many bytes; a longer one is scored in parts of about PART_BYTES that end between words.
 GROUP_BYTES, PART_BYTES = 1 << 18, 1 << 20
-#: Longer words are encoded in parts of so many characters.
-LONG_WORD = 400
+#: Longer words are encoded in parts of so many characters; shorter ones, up to so many together.
+LONG_WORD, WORDS_TOGETHER = 400, 2000
 
 
 def held_out(id_: Column) -> Column:
@@ -55,6 +60,8 @@ class WordIds:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.size = max(ranks.values()) + 1
+        self.begins = np.zeros(self.size, dtype=bool)  # ids of pieces that begin with a space
+        self.begins[[i for piece, i in ranks.items() if piece.startswith(b" ")]] = True
         self._encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, word: bytes) -> list[int]:
@@ -63,6 +70,25 @@ class WordIds:
             return self._encode(text)
         return [i for at in range(0, len(text), LONG_WORD) for i in self._encode(text[at : at + LONG_WORD])]
 
+    def many(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words end to end, how many each has).
+
+        The tokenizer's pattern lets no piece span a space, so words without white space of their own can be encoded together.
+        """
+        ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(some), WORDS_TOGETHER):
+            part = some[at : at + WORDS_TOGETHER]
+            text = (b" " + b" ".join(part)).decode()
+            if max(map(len, part)) < LONG_WORD and len(text.split()) == len(part):
+                found = np.array(self._encode(text), dtype=np.int64)
+                own = np.diff(np.append(np.flatnonzero(self.begins[found]), len(found)))
+            else:
+                each = [self(w) for w in part]
+                found, own = np.array([i for e in each for i in e], dtype=np.int64), np.array([len(e) for e in each])
+            ids.append(found)
+            sizes.append(own)
+        return np.concatenate(ids), np.concatenate(sizes)
+
 
 def words(text: bytes) -> list[bytes]:
     # of bytes: A-Z and ASCII white space only
@@ -74,79 +100,118 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def word_counts(source: DataFrame) -> DataFrame:
-    """(word, n, c): how often each word occurs in (held_out, text) rows, in all and in those not held out."""
+    """(word, c): how often each word occurs in the (held_out, text) rows that are not held out."""
 
-    def rows(every: Counter, learned: Counter) -> pa.RecordBatch:
-        keys = list(every)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(every.values()), pa.int64()), pa.array([learned[k] for k in keys], pa.int64())], ["word", "n", "c"])
+    def rows(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, learned = Counter(), Counter()
+        found = Counter()
         for batch in batches:
-            for out, text in zip(batch["held_out"].to_pylist(), batch["text"]):
-                some = words(bytes(text.as_buffer()) if text.is_valid and len(text.as_buffer()) else b"")
-                every.update(some)
-                if not out:
-                    learned.update(some)
-                if len(every) > HOLD:
-                    yield rows(every, learned)
-                    every, learned = Counter(), Counter()
-        yield rows(every, learned)
-
-    return source.select("held_out", "text").mapInArrow(count, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-
-
-def often(counts: DataFrame, most: int = OFTEN) -> dict[bytes, int]:
-    """{word: c} of the words that occur most; the bound is found on a histogram of counts in quarters of an octave."""
-    level = F.floor(F.log2("n") * 4)
-    held, least = 0, None
+            for text in _bytes(batch["text"]):
+                found.update(words(text))
+                if len(found) > HOLD:
+                    yield rows(found)
+                    found = Counter()
+        yield rows(found)
+
+    return source.where(~F.col("held_out")).select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def often(counts: DataFrame, most: int = OFTEN, least: int = 1) -> dict[bytes, int]:
+    """{word: c} of the words that occur most, at least so often; the bound is found on a histogram of counts in quarters of an octave."""
+    level = F.floor(F.log2("c") * 4)
+    counts, held, low = counts.where(F.col("c") >= least), 0, None
     for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 256 levels at most
         held += r["count"]
         if held > most:
             break
-        least = r["level"]
-    if least is None:
+        low = r["level"]
+    if low is None:
         return {}
-    return {bytes(r["word"]): r["c"] for r in counts.where(level >= least).select("word", "c").collect()}  # `most` rows at most
+    return {bytes(r["word"]): r["c"] for r in counts.where(level >= low).select("word", "c").collect()}  # `most` rows at most
+
 
+def rounds(total: int, epochs: int) -> list[tuple[int, int]]:
+    """(first slot, the slot behind the last) of each round over so many training words."""
+    ends = [e for e in ROUND_ENDS if total * e / SLOTS >= ROUND_WORDS] + [SLOTS]
+    again = max(1, min(epochs, ceil(MET_WORDS / max(1, total))))
+    return list(zip([0, *ends], ends)) + [(0, SLOTS)] * (again - 1)
 
-def train(source: DataFrame, ids_of: WordIds, *, sample_rows=SAMPLE_ROWS, sample_ids=SAMPLE_IDS, epochs=EPOCHS) -> tuple[Attention, np.ndarray]:
-    """(model, index of each of the tokenizer's ids) from (held_out, text) rows.
 
-    Trained on the first of the rows in the order of their texts' hash, whole ones of at most SAMPLE_BYTES bytes; equal
-    texts count once.  The driver holds what is trained on, so sample_ids bounds it.
+def train(source: DataFrame, known_of: Callable[[], Known], ids: int, total: int, epochs: int = EPOCHS) -> Attention:
+    """The model of all (held_out, text) rows that are not held out; ids: how many there are, total: the words of those rows.
+
+    known_of gives a task its words.  A task's changes are rows of the ids that it met; these are added up by id, so that the driver sees a row for each id.
     """
-    fit = source.where(~F.col("held_out") & (F.octet_length("text") <= SAMPLE_BYTES)).withColumn("h", F.xxhash64("text"))
-    last = fit.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    sample, left = [], sample_ids
-    if last is not None:
-        for r in stored(fit.where(F.col("h") <= last).dropDuplicates(["h"]).select("h", "text"), "sample").orderBy("h").limit(sample_rows).toLocalIterator():
-            ids = [i for w in words(bytes(r["text"])) for i in ids_of(w)]
-            if len(ids) < left:
-                sample.append(ids)
-                left -= len(ids) + 1
-            if left < 64:
-                break
-    seen = Counter(i for ids in sample for i in ids)
-    index = np.full(ids_of.size, RARE, dtype=np.int32)
-    for at, (i, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))):
-        index[i] = at + 3
-    dense = [np.append(index[np.array(ids, dtype=np.int64)], END).astype(np.int32) for ids in sample]
-    flat = np.concatenate(dense) if dense else np.zeros(0, np.int32)
-    model = Attention.new(np.bincount(flat, minlength=3 + len(seen)).astype(np.float64))
-    if dense:
-        x, y, place = windows(flat, np.array([len(d) for d in dense]))
-        mask = np.zeros(y.size, dtype=bool)
-        mask[place] = True
-        model.fit(x, y, mask.reshape(y.shape), epochs=epochs)
-    return model, index
+    spark, name = source.sparkSession, uuid.uuid4().hex
+    learner = Learner(ids)
+    rows, small = learner.rows, learner.small()
+    width = rows.shape[1]
+    fit = source.where(~F.col("held_out")).select("text", F.xxhash64("text").alias("h"))
+
+    def emitted(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        data = np.ascontiguousarray(values, dtype=np.float32)
+        offsets = np.arange(len(data) + 1, dtype=np.int32) * (4 * width)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])], ["key", "change"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = {}, np.zeros((0, width), np.float32)
+        for batch in batches:
+            own, inverse = np.unique(batch["key"].to_numpy(), return_inverse=True)
+            found = sums_by(inverse, np.frombuffer(b"".join(_bytes(batch["change"])), dtype=np.float32).reshape(-1, width), len(own))
+            fresh = [k for k in own.tolist() if k not in at]
+            at.update(zip(fresh, range(len(at), len(at) + len(fresh))))
+            sums = np.concatenate((sums, np.zeros((len(fresh), width), np.float32)))
+            sums[[at[k] for k in own.tolist()]] += found
+        for a in range(0, len(at), 10_000):
+            yield emitted(np.array(list(at)[a : a + 10_000]), sums[a : a + 10_000])
+
+    for low, high in rounds(total, epochs):
+        state = spark.sparkContext.broadcast((rows, small))
+
+        def learn(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            memory = worker_memory()
+            if memory.get("lm_learner", ("",))[0] != name:
+                memory["lm_learner"] = name, Learner(ids)
+            known, own, (before, start) = known_of(), memory["lm_learner"][1], state.value
+            own.begin(before, start)
+            for batch in batches:
+                for run in _runs(_bytes(batch["text"])):
+                    laid = Laid(known, run)
+                    own.learn(laid.ids, laid.sizes, laid.before)
+            if own.seen:
+                after = own.learned()
+                met = np.flatnonzero((after != before).any(axis=1))
+                for a in range(0, len(met), 10_000):
+                    some = met[a : a + 10_000]
+                    yield emitted(some, (after[some] - before[some]) * np.float32(own.seen))
+                rest = np.append((own.small() - start) * own.seen, own.seen)
+                rest = np.append(rest, np.zeros(-len(rest) % width)).reshape(-1, width)
+                yield emitted(-1 - np.arange(len(rest)), rest)
+
+        tasks = max(1, ceil(total * (high - low) / SLOTS / TASK_WORDS))
+        some = fit.where(F.pmod("h", F.lit(SLOTS)).between(low, high - 1)).coalesce(tasks)
+        some = some.sortWithinPartitions("h", "text") if tasks == 1 else some
+        changes = some.select("text").mapInArrow(learn, "key long, change binary")
+        found = changes.repartition("key").mapInArrow(add, "key long, change binary").toArrow()  # a row for each id at most
+        state.destroy()
+        if len(found):
+            keys, change = found["key"].to_numpy(), np.frombuffer(b"".join(_bytes(found["change"].combine_chunks())), dtype=np.float32).reshape(-1, width)
+            rest = change[np.flatnonzero(keys < 0)[np.argsort(-keys[keys < 0])]].ravel().astype(np.float64)
+            seen = rest[len(small)]
+            rows = rows.copy()
+            rows[keys[keys >= 0]] += change[keys >= 0] / np.float32(seen)
+            small = small + rest[: len(small)] / seen
+    return learner.begin(rows, small).finished()
 
 
 class Known:
-    """Words by number: their dense ids end to end, and their counts (-1: not among those that travel)."""
+    """Words by number: their ids end to end, and their counts (-1: not among those that travel)."""
 
-    def __init__(self, ids_of: WordIds, index: np.ndarray, top: dict[bytes, int]) -> None:
-        self.ids_of, self.index, self.top = ids_of, index, top
+    def __init__(self, ids_of: WordIds, whole: dict[bytes, int], top: dict[bytes, int]) -> None:
+        """whole: the words that are one id, and that id."""
+        self.ids_of, self.whole, self.top = ids_of, whole, top
         self.number: dict[bytes, int] = {}
         self.pieces, self.start, self.length, self.count = (np.zeros(1 << 16, dtype) for dtype in (np.int32, np.int64, np.int64, np.int64))
         self.used = 0
@@ -160,15 +225,21 @@ class Known:
 
     def learn(self, fresh: set[bytes]) -> None:
         new = sorted(fresh)
-        ids = [self.ids_of(w) for w in new]
-        sizes = np.array([len(i) for i in ids])
+        alone = np.array([self.whole.get(w, 0) for w in new], dtype=np.int64)
+        ids, sizes = self.ids_of.many([w for w, own in zip(new, alone.tolist()) if not own])
+        ids = ids + END + 1
+        if alone.any():
+            ids = np.insert(ids, np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(alone == 0)[alone > 0]], alone[alone > 0])
+            every = np.ones(len(new), dtype=np.int64)
+            every[alone == 0] = sizes
+            sizes = every
         have, more = len(self.number), len(new)
         while have + more > len(self.start):
             self.start, self.length, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length, self.count))
         while self.used + sizes.sum() > len(self.pieces):
             self.pieces = np.concatenate((self.pieces, np.zeros_like(self.pieces)))
         ends = self.used + np.cumsum(sizes)
-        self.pieces[self.used : ends[-1]] = self.index[np.fromiter((i for own in ids for i in own), dtype=np.int64, count=int(sizes.sum()))]
+        self.pieces[self.used : ends[-1]] = ids
         self.start[have : have + more], self.length[have : have + more] = ends - sizes, sizes
         self.count[have : have + more] = [self.top.get(w, -1) for w in new]
         self.used = int(ends[-1])
@@ -184,6 +255,27 @@ class Known:
         return np.fromiter(map(self.number.__getitem__, some), dtype=np.int64, count=len(some))
 
 
+class Laid:
+    """The parts of a run as ids end to end: of each part its words in order, then its end if it is a document's last."""
+
+    def __init__(self, known: Known, run: list[tuple[int, bytes, np.ndarray | None, bool]]) -> None:
+        self.split = [words(t) for _, t, _, _ in run]
+        self.of, self.last = np.array([k for k, *_ in run]), np.array([final for *_, final in run])
+        self.held = np.array([len(w) for w in self.split])
+        self.number = known.numbers([w for s in self.split for w in s])
+        length = known.length[self.number]
+        self.first = np.concatenate(([0], np.cumsum(length)))
+        ids = known.pieces[np.arange(self.first[-1]) + np.repeat(known.start[self.number] - self.first[:-1], length)]
+        part_ids = np.diff(self.first[np.concatenate(([0], np.cumsum(self.held)))])
+        self.ids = np.insert(ids, np.cumsum(part_ids)[self.last], END)
+        self.sizes = part_ids + self.last
+        self.ending = np.cumsum(self.sizes)[self.last] - 1
+        tail = run[0][2]
+        self.before = None if tail is None else tail[None].copy()
+        if tail is not None:
+            tail[:] = np.concatenate((tail, self.ids))[-CONTEXT - 1 :]
+
+
 def parts(text: bytes) -> Iterator[bytes]:
     """The text, or parts of a long one that end at white space."""
     begin = 0
@@ -196,7 +288,7 @@ def parts(text: bytes) -> Iterator[bytes]:
     yield text[begin:]
 
 
-def scored(documents: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_id", text_col="text", own=OWN, most=OFTEN, **sample) -> DataFrame:
+def scored(documents: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_id", text_col="text", own=OWN, most=OFTEN, epochs=EPOCHS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row per row of documents, repeated ones included.
 
     vocabulary is the path of a rank file that every executor must have, pattern how it parts texts.  Null and empty texts are an end alone.  Null
@@ -206,15 +298,14 @@ def scored(documents: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_i
     id_, text = named(id_col, text_col)
     source = documents.select(id_.alias("doc_id"), held_out(id_).alias("held_out"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
     counts = stored(word_counts(source), "words")
-    n_words, n_known = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    n_words, n_known = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     ends = source.where(~F.col("held_out")).count()
     total, different = (n_words or 0) + ends, n_known + (ends > 0)
     below = log10(total + different + 1)
-    ids_of = WordIds(vocabulary, pattern)
-    model, index = train(source, ids_of, **sample)
-    rare = int((index == RARE).sum())
     mine = own if total else 0.0
-    top = documents.sparkSession.sparkContext.broadcast(often(counts, most))
+    first = END + 1 + WordIds(vocabulary, pattern).size
+    frequent = sorted(often(counts, WHOLE, WHOLE_LEAST).items(), key=lambda x: (-x[1], x[0]))
+    travel = documents.sparkSession.sparkContext.broadcast(({w: first + i for i, (w, _) in enumerate(frequent)}, often(counts, most)))
     name = uuid.uuid4().hex
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary"
@@ -226,36 +317,28 @@ def scored(documents: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_i
         high = np.maximum(free, counted)
         return high + np.log10(10 ** (free - high) + 10 ** (counted - high))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known_of() -> Known:
         memory = worker_memory()
         if memory.get("lm") != name:
-            memory["lm"], memory["lm_known"], memory["lm_scorer"] = name, Known(WordIds(vocabulary, pattern), index, top.value), Scorer(model, rare)
-        known, scorer = memory["lm_known"], memory["lm_scorer"]
+            memory["lm"], memory["lm_known"], memory["lm_scorer"] = name, Known(WordIds(vocabulary, pattern), *travel.value), None
+        return memory["lm_known"]
+
+    model = train(source, known_of, first + len(frequent), n_words or 0, epochs)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, memory = known_of(), worker_memory()
+        memory["lm_learner"] = ("",)
+        memory["lm_scorer"] = scorer = memory["lm_scorer"] or Scorer(model)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = _bytes(batch["text"])
             sums = np.zeros((len(texts), 4))  # tokens, known ones, base score, score
             rest_rows, rest_words, rest_logp = [], [], []
             for run in _runs(texts):
-                split = [words(t) for _, t, _, _ in run]
-                of = np.array([k for k, *_ in run])
-                held = np.array([len(w) for w in split])
-                last = np.array([final for *_, final in run])
-                number = known.numbers([w for s in split for w in s])
-                # words of each part in order, then its end if it is a document's last
-                length = known.length[number]
-                first = np.concatenate(([0], np.cumsum(length)))
-                ids = known.pieces[np.arange(first[-1]) + np.repeat(known.start[number] - first[:-1], length)]
-                part_ids = np.diff(first[np.concatenate(([0], np.cumsum(held)))])
-                where = np.cumsum(part_ids)[last]
-                ids = np.insert(ids, where, END)
-                sizes = part_ids + last
-                tail = run[0][2]
-                logp = scorer.log10(ids, sizes, None if tail is None else tail[None])
-                if tail is not None:
-                    tail[:] = np.concatenate((tail, ids))[-CONTEXT - 1 :]
-                ending = np.cumsum(sizes)[last] - 1
-                word_logp = np.add.reduceat(np.delete(logp, ending), first[:-1]) if len(number) else np.zeros(0)
+                laid = Laid(known, run)
+                of, held, last, number = laid.of, laid.held, laid.last, laid.number
+                logp = scorer.log10(laid.ids, laid.sizes, laid.before)
+                word_logp = np.add.reduceat(np.delete(logp, laid.ending), laid.first[:-1]) if len(number) else np.zeros(0)
                 count, doc = known.count[number], np.repeat(of, held)
                 there = count >= 0
                 add = lambda j, at, v: sums.__setitem__((slice(None), j), sums[:, j] + np.bincount(at, weights=v, minlength=len(texts)))
@@ -266,9 +349,9 @@ def scored(documents: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_i
                 done = of[last]
                 add(1, done, np.full(len(done), float(ends > 0)))
                 add(2, done, np.full(len(done), log10(ends + 1) - below))
-                add(3, done, mixed(np.full(len(done), ends), logp[ending]))
+                add(3, done, mixed(np.full(len(done), ends), logp[laid.ending]))
                 away = np.flatnonzero(~there)
-                flat = [w for s in split for w in s] if len(away) else []
+                flat = [w for s in laid.split for w in s] if len(away) else []
                 rest_rows.append(row + doc[away])
                 rest_words += [flat[i] for i in away.tolist()]
                 rest_logp.append(word_logp[away])
@@ -283,7 +366,7 @@ def scored(documents: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_i
             row += len(texts)
 
     found = stored(source.mapInArrow(score, schema), "scored")
-    rest = found.where("word IS NOT NULL").select("row", "word", F.col("score").alias("logp")).join(counts.select("word", "c"), "word", "left")
+    rest = found.where("word IS NOT NULL").select("row", "word", F.col("score").alias("logp")).join(counts, "word", "left").fillna(0, "c")
     free = F.col("logp") + F.lit(log10(1 - mine))
     counted = F.log10(F.lit(mine) * F.col("c") / max(1, total))
     high = F.greatest(free, counted)

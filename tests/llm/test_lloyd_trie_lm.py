@@ -271,3 +271,42 @@ def test_scores_of_nothing(spark):
     assert scores(spark, []) == []
     (only,) = scores(spark, [(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "a b")])  # held out: nothing is learned
     assert (only["train_tokens"], only["n_known"], only["n_tokens"], only["base_score"]) == (0, 0, 3, 0.0) and only["score"] < 0
+
+
+def test_every_training_text_is_learned_from(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    taught, out = next(i for i in range(1000, 1100) if not held(i)), [i for i in range(2000, 2100) if held(i)]
+    rng = random.Random(6)
+    cycle = ["alpha", "beta", "gamma", "delta", "omega"]
+    rows = [(i, " ".join(rng.sample(cycle, 5))) for i in range(200) if not held(i)]
+    ordered = cycle * 20
+    rows += [(taught, " ".join(cycle * 45_000)), (out[0], " ".join(ordered)), (out[1], " ".join(rng.sample(ordered, len(ordered))))]  # order is in one text of more than 1 MB
+    got = {r["doc_id"]: r for r in scores(spark, rows)}
+    assert abs(got[out[0]]["base_score"] - got[out[1]]["base_score"]) < 1e-6
+    assert got[out[0]]["score"] > got[out[1]]["score"] + 20
+
+
+def test_rounds_take_every_row():
+    for total in (0, 5, 10**5, 10**6, 10**7, 10**10):
+        found = lm.rounds(total, 3)
+        met = Counter(slot for low, high in found for slot in range(low, high))
+        assert set(met) == set(range(lm.SLOTS)) and len(set(met.values())) == 1
+    assert len(lm.rounds(10**10, 3)) == 4
+
+
+def test_learners_are_put_together_over_many_tasks(spark, model_rows, monkeypatch):
+    monkeypatch.setattr(lm, "TASK_WORDS", 2000)
+    monkeypatch.setattr(lm, "ROUND_WORDS", 500)
+    got = scores(spark, [r for r in model_rows if r[0] != 9005])
+    out = [r for r in got if r["held_out"] and r["doc_id"] < 9000]
+    assert out and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+def test_words_together_have_the_ids_of_each_alone():
+    import public_tokenizers
+
+    ids_of = lm.WordIds(tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    some = ["don't", "x" * 900, "a\u00a0b", "\u3000", "12ab", "\x1cq", "é’äö", "你好", "<|endoftext|>", "|", "the"]
+    for part in (some, [w for w in some if len(w) < 400 and len(w.split()) == 1], []):
+        ids, sizes = ids_of.many([w.encode() for w in part])
+        assert [ids[e - n : e].tolist() for e, n in zip(np.cumsum(sizes), sizes)] == [ids_of(w.encode()) for w in part]
