@@ -2,6 +2,7 @@
 
 Inputs are the ids before each target.  A window has `context` ids that are only looked at and `scored` ids
 whose successors are scored; windows of a document overlap by the context, so each of its ids is scored once.
+Learning and scoring work on a stream of blocks, where a window is a block and the one before it: what depends on one id is looked up once for both.
 Attention is causal, with a bias for each distance.  What it gathers is added to the embeddings of the last
 two ids; from the hidden vector follow weights of `classes` latent classes, each of which is a distribution over the ids: the
 probability of an id is the weighted sum of its probabilities in the classes, so no sum over the vocabulary is needed to score it.
@@ -16,8 +17,8 @@ import numpy as np
 START, END = 0, 1
 CONTEXT, SCORED = 16, 16
 DEPTH, HIDDEN, CLASSES = 4, 16, 16
-#: Windows of a step, how far a step goes, and the weight of what all classes give every id while they learn.
-BATCH, RATE, LEAST = 512, 0.2, 1e-4
+#: Windows of a step and those of them that follow one another; how far a step goes, and the weight of what all classes give every id while they learn.
+BATCH, STRETCH, RATE, LEAST = 512, 8, 0.2, 1e-4
 #: The part of each class that is spread over all ids in the end, met or not.
 FLOOR = 0.01
 #: Windows that are scored together: their scores stay in the processor's cache.
@@ -49,6 +50,26 @@ def windows(ids: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = No
     return inputs, targets.reshape(n, SCORED), place
 
 
+def stream(ids: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, place (len(ids),)): documents laid end to end, each in whole blocks of SCORED behind a block of what stands before it.
+
+    place says where each id stands; the input before it has it as its target.  before is as in windows().
+    """
+    size = (lengths // SCORED + 1) * SCORED + CONTEXT
+    first, begins = (np.concatenate(([0], np.cumsum(x)))[:-1] for x in (lengths, size))
+    place = np.arange(len(ids)) + np.repeat(begins - first + CONTEXT + 1, lengths)
+    inputs = np.full(int(size.sum()), START, dtype=np.int32)
+    inputs[place] = ids
+    if before is not None:
+        inputs[begins[:, None] + np.arange(CONTEXT + 1)] = before
+    return inputs, place
+
+
+def _paired(blocks: np.ndarray) -> np.ndarray:
+    """Each block but the first of a stretch, behind the one before it: (stretches, n + 1, SCORED, width) to (stretches * n, 2 * SCORED, width)."""
+    return np.concatenate((blocks[:, :-1], blocks[:, 1:]), axis=2).reshape(-1, CONTEXT + SCORED, blocks.shape[-1])
+
+
 def _softmax(z: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
     """Of the last axis; where allowed is given, of those places alone."""
     if z.size and max(z.max(), -z.min()) > SAFE:
@@ -144,10 +165,20 @@ def sums_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         order = np.argsort(index.astype(np.uint16) if n <= 1 << 16 else index, kind="stable")
         have = index[order]
         starts = np.flatnonzero(np.concatenate(([True], have[1:] != have[:-1])))
-        out[have[starts]] = np.add.reduceat(values[order], starts, axis=0)
+        counts = np.diff(starts, append=len(have))
+        out[have[starts]] = values.take(order[starts], axis=0)
+        two, more = starts[counts == 2], counts > 2  # most indexes are rare, and reduceat takes its time for each
+        out[have[two]] += values.take(order[two + 1], axis=0)
+        if more.any():
+            out[have[starts[more]]] = np.add.reduceat(values.take(order[np.repeat(more, counts)], axis=0), np.cumsum(counts[more]) - counts[more], axis=0)
     return out
 
 
+def _norm(table: np.ndarray) -> float:
+    """The longest row's length."""
+    return float(np.sqrt((table * table).sum(axis=1).max()))
+
+
 class Learner:
     """Goes over windows once, and can be put together with others that went over other windows.
 
@@ -186,40 +217,100 @@ class Learner:
 
     def learn(self, ids: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None) -> None:
         """One step for each BATCH windows of documents laid end to end."""
-        x, y, place = windows(ids, lengths, before)
-        mask = np.zeros(y.size, dtype=bool)
-        mask[place] = True
-        mask = mask.reshape(y.shape)
-        order = np.random.default_rng(len(x)).permutation(len(x))
-        for at in range(0, len(x), BATCH):
-            some = order[at : at + BATCH]
-            self._step(x[some], y[some], mask[some])
+        inputs, place = stream(ids, lengths, before)
+        length = STRETCH * SCORED
+        n = -(-(len(inputs) - CONTEXT) // length)
+        x, scored = np.full(CONTEXT + n * length + 1, START, dtype=np.int32), np.zeros(CONTEXT + n * length + 1, dtype=bool)
+        x[: len(inputs)], scored[place] = inputs, True
+        x, scored = (np.lib.stride_tricks.sliding_window_view(v, CONTEXT + length + 1)[::length] for v in (x, scored))
+        order = np.random.default_rng(n).permutation(n)
+        for at in range(0, n, BATCH // STRETCH):
+            some = order[at : at + BATCH // STRETCH]
+            self._step(x[some], scored[some, CONTEXT + 1 :])
         self.seen += len(ids)
 
-    def _step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> None:
+    def gradient(self, x: np.ndarray, part: np.ndarray, phi: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """(gradient of the mean of -ln p by all weights but T, responsibilities of the classes by id).
+
+        x: stretches of the stream with the ids behind them (n, CONTEXT + STRETCH * SCORED + 1), part: which of those from CONTEXT + 1 on are scored, phi: classes of each id (ids, classes).
+        """
+        w, n, long, ago, future = self.model.weights, len(x), x.shape[1] - CONTEXT - 1, *self.model.distances()
+        depth, hidden, m, f4 = w["Wq"].shape[1], w["E"].shape[1], len(w["E"]), np.float32
+        scale = f4(depth**-0.5)
+        q, k, v = w["E"] @ w["Wq"] * scale, w["E"] @ w["Wk"], w["E"] @ w["Wv"]
+        kv = np.concatenate((k, v, np.ones((m, 1), f4)), axis=1).take(x[:, :-1], axis=0)
+        kv = _paired(kv.reshape(n, -1, SCORED, kv.shape[-1]))
+        across, ks, v1 = np.ascontiguousarray(kv.transpose(0, 2, 1)), kv[..., :depth], kv[..., depth:]
+        nq = np.concatenate((w["E"] + w["b"], q), axis=1).take(x[:, CONTEXT:-1], axis=0).reshape(-1, hidden + depth)
+        qs = np.ascontiguousarray(nq[:, hidden:]).reshape(-1, SCORED, depth)
+        a = qs @ across[:, :depth]
+        a += np.where(future, f4(-1e9), w["R"][ago]).astype(f4)
+        if _norm(q) * _norm(k) + float(np.abs(w["R"]).max()) > SAFE:
+            a -= a.max(axis=-1, keepdims=True)
+        np.exp(a, out=a)  # its rows are divided by their sums where they are narrow
+        o = a @ v1
+        total = o[..., depth:]
+        o = o[..., :depth] / total
+        h = o.reshape(-1, depth) @ w["Wo"]
+        h += nq[:, :hidden]
+        h += w["P"].take(x[:, CONTEXT - 1 : -2].ravel(), axis=0)
+        np.maximum(h, 0, out=h)
+        pi = _softmax(h @ w["O"] + w["c"])
+        r = pi * phi.take(x[:, CONTEXT + 1 :].ravel(), axis=0)
+        on = part.reshape(-1, 1).astype(f4)
+        r *= on / (r @ np.ones(r.shape[1], f4))[:, None]
+        pi *= on
+        pi -= r
+        pi /= f4(part.sum())  # now the gradient by the classes' logits
+        ones = np.ones(len(h), f4)
+        g = {"O": h.T @ pi, "c": ones @ pi}
+        dh = pi @ w["O"].T
+        dh *= h > 0
+        g["b"], g["Wo"] = ones @ dh, o.reshape(-1, depth).T @ dh
+        do = (dh @ w["Wo"].T).reshape(o.shape)
+        do /= total
+        ds = np.concatenate((do, -np.einsum("nsd,nsd->ns", do, o)[..., None]), axis=-1) @ across[:, depth:]
+        ds *= a
+        g["R"] = np.bincount(ago.ravel(), weights=ones[: len(ds)] @ ds.reshape(len(ds), -1), minlength=len(w["R"])).astype(f4)
+        back = np.concatenate((ds.transpose(0, 2, 1) @ qs, a.transpose(0, 2, 1) @ do), axis=-1).reshape(n, -1, 2, SCORED, 2 * depth)
+        # a row for each place: what goes to E, q, k, v and P of its id, and its responsibilities
+        every = np.zeros((n, x.shape[1], 2 * hidden + 3 * depth + r.shape[1]), f4)
+        at = np.cumsum([0, hidden, depth, 2 * depth, hidden, r.shape[1]])
+        every[:, CONTEXT:-1, : at[1]] = dh.reshape(n, long, -1)
+        every[:, CONTEXT:-1, at[1] : at[2]] = (ds @ ks).reshape(n, long, -1)
+        every[:, : -CONTEXT - 1, at[2] : at[3]] = back[:, :, 0].reshape(n, long, -1)
+        every[:, CONTEXT:-1, at[2] : at[3]] += back[:, :, 1].reshape(n, long, -1)
+        every[:, CONTEXT - 1 : -2, at[3] : at[4]] = dh.reshape(n, long, -1)
+        every[:, CONTEXT + 1 :, at[4] :] = r.reshape(n, long, -1)
+        sums = sums_by(x, every, m)
+        g["E"], by_q, by_k, by_v, g["P"], moved = np.split(sums, [*at[1:3], at[2] + depth, *at[3:5]], axis=1)
+        g["E"] = g["E"].copy()
+        for name, table in (("Wq", by_q * scale), ("Wk", by_k), ("Wv", by_v)):
+            g[name] = w["E"].T @ table
+            g["E"] += table @ w[name].T
+        return g, moved
+
+    def _step(self, x: np.ndarray, part: np.ndarray) -> None:
+        n = part.sum()
+        if not n:
+            return
         h, w, met = self.hidden, self.model.weights, np.zeros(len(self.rows), dtype=bool)
-        met[x], met[y] = True, True
+        met[x] = True
         own = np.flatnonzero(met)  # the step works on the rows of the ids that it meets
         self.table[own] = np.arange(len(own))
-        x, y, rows = self.table[x], self.table[y], self.rows[own]
-        w["E"], w["P"] = rows[:, :h], rows[:, h : 2 * h]
-        phi = (rows[:, 2 * h : -2] * self.fade + LEAST / len(self.rows)) / (self.total + LEAST)
-        f = self.model.forward(x, y, phi.astype(np.float32))
-        part = mask[..., None].astype(np.float32)
-        r = f["pi"] * f["e"]
-        r *= part / f["p"][..., None]
-        n = mask.sum()
-        g = self.model._back(x, f, r, (f["pi"] * part - r) / n)
+        x, rows = self.table.take(x), self.rows.take(own, axis=0)
+        w["E"], w["P"] = rows[:, :h].copy(), rows[:, h : 2 * h].copy()
+        phi = (rows[:, 2 * h : -2] * np.float32(self.fade) + np.float32(LEAST / len(self.rows))) / (self.total + LEAST).astype(np.float32)
+        g, moved = self.gradient(x, part, phi)
         self.steps += 1
         for name in self.SMALL:
             self.squares[name] += g[name] ** 2
             w[name] = w[name] - np.float32(RATE) * g[name] / (np.sqrt(self.squares[name]) + np.float32(1e-6))
         for name, at, square in (("E", 0, -2), ("P", h, -1)):
-            rows[:, square] += (g[name] ** 2).mean(axis=1)
-            rows[:, at : at + h] -= np.float32(RATE) * g[name] / (np.sqrt(rows[:, square, None]) + np.float32(1e-6))
+            rows[:, square] += np.einsum("ij,ij->i", g[name], g[name]) / np.float32(h)
+            rows[:, at : at + h] -= g[name] * (np.float32(RATE) / (np.sqrt(rows[:, square]) + np.float32(1e-6)))[:, None]
         new = 2 / (self.steps + 2)
         self.fade *= 1 - new
-        moved = sums_by(y, r, len(own))
         rows[:, 2 * h : -2] += moved * np.float32(new / self.fade / n)
         self.total = self.total * (1 - new) + moved.sum(axis=0) * np.float32(new / n)
         self.rows[own] = rows
@@ -249,40 +340,40 @@ class Scorer:
 
     def __init__(self, model: Attention) -> None:
         w = model.weights
-        scale = np.float32(w["Wq"].shape[1] ** -0.5)
-        self.q, self.k, self.v = (w["E"] @ w["Wq"]) * scale, w["E"] @ w["Wk"], w["E"] @ w["Wv"]
-        self.now, self.last = w["E"] + w["b"], w["P"]
-        self.wo, self.o, self.c = w["Wo"], w["O"], w["c"]
-        self.emission = np.ascontiguousarray(_softmax(w["T"]).T)
+        self.depth, self.hidden = w["Wo"].shape
+        q = (w["E"] @ w["Wq"]) * np.float32(self.depth**-0.5)
+        self.kv = np.concatenate((w["E"] @ w["Wk"], w["E"] @ w["Wv"], np.ones((len(q), 1))), axis=1).astype(np.float32)
+        self.now, self.last = np.concatenate((w["E"] + w["b"], q), axis=1).astype(np.float32), w["P"].astype(np.float32)
+        self.wo, self.o, self.c = (w[n].astype(np.float32) for n in ("Wo", "O", "c"))
+        self.emission = np.ascontiguousarray(_softmax(w["T"]).T, dtype=np.float32)
         ago, future = model.distances()
         self.bias = np.where(future, np.float32(-1e9), w["R"][ago]).astype(np.float32)
-        self.ones, self.all = np.ones((CONTEXT + SCORED, 1), np.float32), np.ones(len(self.c), np.float32)
-        norm = lambda t: float(np.sqrt((t * t).sum(axis=1).max()))
+        self.all = np.ones(len(self.c), np.float32)
         #: Whether no score can be so large that exp() overflows.
-        self.tame = norm(self.q) * norm(self.k) + float(np.abs(w["R"]).max()) < SAFE
+        self.tame = _norm(q) * _norm(self.kv[:, : self.depth]) + float(np.abs(w["R"]).max()) < SAFE
 
     def log10(self, ids: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """log10 p of each id of documents laid end to end, given those before it."""
-        x, y, place = windows(ids, lengths, before)
-        out = np.empty(y.shape, np.float32)
-        for at in range(0, len(x), TOGETHER):
-            out[at : at + TOGETHER] = self._some(x[at : at + TOGETHER], y[at : at + TOGETHER])
-        return np.log10(np.maximum(out.ravel()[place], np.float32(1e-37)), dtype=np.float64)
-
-    def _some(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        now, last = x[:, CONTEXT:].ravel(), x[:, CONTEXT - 1 : -1].ravel()
-        every = x.ravel()
-        look = lambda t, i, n: t.take(i, axis=0).reshape(len(x), n, -1)
-        s = look(self.q, now, SCORED) @ look(self.k, every, CONTEXT + SCORED).transpose(0, 2, 1)
+        inputs, place = stream(ids, lengths, before)
+        inputs = np.append(inputs, np.int32(START))
+        out, step = np.empty(len(inputs), np.float32), TOGETHER * SCORED
+        for at in range(0, len(inputs) - CONTEXT - 1, step):
+            out[at + CONTEXT + 1 : at + CONTEXT + 1 + step] = self._some(inputs[at : at + CONTEXT + 1 + step])
+        return np.log10(np.maximum(out[place], np.float32(1e-37)), dtype=np.float64)
+
+    def _some(self, x: np.ndarray) -> np.ndarray:
+        """p of each id of a stretch behind its first CONTEXT + 1."""
+        kv = _paired(self.kv.take(x[:-1], axis=0).reshape(1, -1, SCORED, self.kv.shape[1]))
+        now = self.now.take(x[CONTEXT:-1], axis=0)
+        s = now[:, self.hidden :].reshape(-1, SCORED, self.depth) @ np.ascontiguousarray(kv[..., : self.depth].transpose(0, 2, 1))
         s += self.bias
         if not self.tame:
             s -= s.max(axis=-1, keepdims=True)
         np.exp(s, out=s)
-        o = s @ look(self.v, every, CONTEXT + SCORED)
-        o /= s @ self.ones
-        h = o.reshape(len(now), -1) @ self.wo
-        h += self.now.take(now, axis=0)
-        h += self.last.take(last, axis=0)
+        o = s @ kv[..., self.depth :]
+        h = (o[..., : self.depth] / o[..., self.depth :]).reshape(len(now), -1) @ self.wo
+        h += now[:, : self.hidden]
+        h += self.last.take(x[CONTEXT - 1 : -2], axis=0)
         np.maximum(h, 0, out=h)
         z = h @ self.o
         z += self.c
@@ -290,5 +381,5 @@ class Scorer:
             z -= z.max(axis=-1, keepdims=True)
         np.exp(z, out=z)
         total = z @ self.all
-        z *= self.emission.take(y.ravel(), axis=0)
-        return (z @ self.all / total).reshape(y.shape)
+        z *= self.emission.take(x[CONTEXT + 1 :], axis=0)
+        return z @ self.all / total

@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +38,10 @@ SLOTS, ROUND_ENDS, ROUND_WORDS = 64, (1, 5, 21), 100_000
 TASK_WORDS, MET_WORDS, EPOCHS = 3_000_000, 3_000_000, 5
 #: Words whose counts travel with the tasks, at most; a word of lower rank is rarer than 1 in so many.
 OFTEN = 150_000
-#: Different words that a counting task holds before it hands them on, and that a scoring worker remembers.
-HOLD, REMEMBER = 250_000, 350_000
-#: Texts scored together have so many bytes; a longer one is scored in parts of about PART_BYTES that end between words.
-GROUP_BYTES, PART_BYTES = 1 << 18, 1 << 20
+#: Different words that a scoring worker remembers.
+REMEMBER = 350_000
+#: Texts counted together and texts scored together have so many bytes; a longer one is taken in parts of about PART_BYTES that end between words.
+COUNT_BYTES, GROUP_BYTES, PART_BYTES = 1 << 24, 1 << 21, 1 << 20
 #: Longer words are encoded in parts of so many characters; shorter ones, up to so many together.
 LONG_WORD, WORDS_TOGETHER = 400, 2000
 
@@ -90,9 +90,10 @@ class WordIds:
         return np.concatenate(ids), np.concatenate(sizes)
 
 
-def words(text: bytes) -> list[bytes]:
+def words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text (binary); where white space stands first or last, an empty one stands beside it."""
     # of bytes: A-Z and ASCII white space only
-    return text.lower().split()
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string())))
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -102,18 +103,22 @@ def _bytes(column: pa.Array) -> list[bytes]:
 def word_counts(source: DataFrame) -> DataFrame:
     """(word, c): how often each word occurs in the (held_out, text) rows that are not held out."""
 
-    def rows(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Counter()
+        def counted() -> pa.RecordBatch:
+            found = words(pa.array(held, pa.binary())).flatten().value_counts()
+            word, c = found.field("values").view(pa.binary()), found.field("counts")
+            return pa.RecordBatch.from_arrays([word, c], ["word", "c"]).filter(pc.not_equal(pc.binary_length(word), 0))
+
+        held, size = [], 0
         for batch in batches:
             for text in _bytes(batch["text"]):
-                found.update(words(text))
-                if len(found) > HOLD:
-                    yield rows(found)
-                    found = Counter()
-        yield rows(found)
+                for part in parts(text):
+                    held.append(part)
+                    size += len(part)
+                    if size > COUNT_BYTES:
+                        yield counted()
+                        held, size = [], 0
+        yield counted()
 
     return source.where(~F.col("held_out")).select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -207,24 +212,26 @@ def train(source: DataFrame, known_of: Callable[[], Known], ids: int, total: int
 
 
 class Known:
-    """Words by number: their ids end to end, and their counts (-1: not among those that travel)."""
+    """Words by number: their ids end to end, and their counts (-1: not among those that travel). Those that travel come first and are looked up by Arrow."""
 
     def __init__(self, ids_of: WordIds, whole: dict[bytes, int], top: dict[bytes, int]) -> None:
         """whole: the words that are one id, and that id."""
         self.ids_of, self.whole, self.top = ids_of, whole, top
-        self.number: dict[bytes, int] = {}
+        self.often = pa.array(list(top), pa.binary()).view(pa.string())
+        self.number: dict[bytes, int] = {}  # of the others
         self.pieces, self.start, self.length, self.count = (np.zeros(1 << 16, dtype) for dtype in (np.int32, np.int64, np.int64, np.int64))
-        self.used = 0
+        self.have = self.used = 0
         if top:
-            self.learn(set(top))
-        self.kept = dict(self.number), self.used
+            self.learn(list(top))
+        self.kept = self.have, self.used
 
     def clear(self) -> None:
         """Forget all words but those whose counts travel."""
-        self.number, self.used = dict(self.kept[0]), self.kept[1]
+        self.number = {}
+        self.have, self.used = self.kept
 
-    def learn(self, fresh: set[bytes]) -> None:
-        new = sorted(fresh)
+    def learn(self, new: list[bytes]) -> None:
+        """Give different new words the next numbers, in their order."""
         alone = np.array([self.whole.get(w, 0) for w in new], dtype=np.int64)
         ids, sizes = self.ids_of.many([w for w, own in zip(new, alone.tolist()) if not own])
         ids = ids + END + 1
@@ -233,7 +240,7 @@ class Known:
             every = np.ones(len(new), dtype=np.int64)
             every[alone == 0] = sizes
             sizes = every
-        have, more = len(self.number), len(new)
+        have, more = self.have, len(new)
         while have + more > len(self.start):
             self.start, self.length, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length, self.count))
         while self.used + sizes.sum() > len(self.pieces):
@@ -242,15 +249,25 @@ class Known:
         self.pieces[self.used : ends[-1]] = ids
         self.start[have : have + more], self.length[have : have + more] = ends - sizes, sizes
         self.count[have : have + more] = [self.top.get(w, -1) for w in new]
-        self.used = int(ends[-1])
-        self.number.update(zip(new, range(have, have + more)))
-
-    def numbers(self, some: list[bytes]) -> np.ndarray:
-        fresh = set(some).difference(self.number)
-        if len(fresh) + len(self.number) > REMEMBER:
+        self.have, self.used = have + more, int(ends[-1])
+
+    def numbers(self, some: pa.Array) -> np.ndarray:
+        """The numbers of words."""
+        found = pc.index_in(some, value_set=self.often)
+        numbers = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            others = some.filter(found.is_null()).dictionary_encode()
+            numbers[numbers < 0] = self._others(others.dictionary.view(pa.binary()).to_pylist())[others.indices.to_numpy()]
+        return numbers
+
+    def _others(self, some: list[bytes]) -> np.ndarray:
+        """The numbers of different words that do not travel."""
+        fresh = [w for w in some if w not in self.number]
+        if len(fresh) + self.have > REMEMBER:
             self.clear()
-            fresh = set(some).difference(self.number)
+            fresh = some
         if fresh:
+            self.number.update(zip(fresh, range(self.have, self.have + len(fresh))))
             self.learn(fresh)
         return np.fromiter(map(self.number.__getitem__, some), dtype=np.int64, count=len(some))
 
@@ -259,10 +276,14 @@ class Laid:
     """The parts of a run as ids end to end: of each part its words in order, then its end if it is a document's last."""
 
     def __init__(self, known: Known, run: list[tuple[int, bytes, np.ndarray | None, bool]]) -> None:
-        self.split = [words(t) for _, t, _, _ in run]
+        split = words(pa.array([t for _, t, _, _ in run], pa.binary()))
         self.of, self.last = np.array([k for k, *_ in run]), np.array([final for *_, final in run])
-        self.held = np.array([len(w) for w in self.split])
-        self.number = known.numbers([w for s in self.split for w in s])
+        self.words, ends = split.flatten(), split.offsets.to_numpy()
+        there = pc.binary_length(self.words).to_numpy() > 0
+        if not there.all():
+            self.words, ends = self.words.filter(pa.array(there)), np.concatenate(([0], np.cumsum(there)))[ends]
+        self.held = np.diff(ends)
+        self.number = known.numbers(self.words)
         length = known.length[self.number]
         self.first = np.concatenate(([0], np.cumsum(length)))
         ids = known.pieces[np.arange(self.first[-1]) + np.repeat(known.start[self.number] - self.first[:-1], length)]
@@ -351,17 +372,16 @@ def scored(documents: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_i
                 add(2, done, np.full(len(done), log10(ends + 1) - below))
                 add(3, done, mixed(np.full(len(done), ends), logp[laid.ending]))
                 away = np.flatnonzero(~there)
-                flat = [w for s in laid.split for w in s] if len(away) else []
                 rest_rows.append(row + doc[away])
-                rest_words += [flat[i] for i in away.tolist()]
+                rest_words.append(laid.words.take(pa.array(away)).view(pa.binary()))
                 rest_logp.append(word_logp[away])
-            n = len(rest_words)
+            n = sum(map(len, rest_words))
             blank = lambda t: pa.nulls(n, t)
             docs = [pa.array(row + np.arange(len(texts))), batch["doc_id"], batch["held_out"], *(pa.array(sums[:, j].astype(np.int64)) for j in (0, 1)), *(pa.array(sums[:, j]) for j in (2, 3)), pa.nulls(len(texts), pa.binary())]
             names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word"]
             yield pa.RecordBatch.from_arrays(docs, names)
             if n:
-                cols = [pa.array(np.concatenate(rest_rows)), blank(batch["doc_id"].type), blank(pa.bool_()), blank(pa.int64()), blank(pa.int64()), blank(pa.float64()), pa.array(np.concatenate(rest_logp)), pa.array(rest_words, pa.binary())]
+                cols = [pa.array(np.concatenate(rest_rows)), blank(batch["doc_id"].type), blank(pa.bool_()), blank(pa.int64()), blank(pa.int64()), blank(pa.float64()), pa.array(np.concatenate(rest_logp)), pa.concat_arrays(rest_words)]
                 yield pa.RecordBatch.from_arrays(cols, names)
             row += len(texts)
 

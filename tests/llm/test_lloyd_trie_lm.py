@@ -310,3 +310,36 @@ def test_words_together_have_the_ids_of_each_alone():
     for part in (some, [w for w in some if len(w) < 400 and len(w.split()) == 1], []):
         ids, sizes = ids_of.many([w.encode() for w in part])
         assert [ids[e - n : e].tolist() for e, n in zip(np.cumsum(sizes), sizes)] == [ids_of(w.encode()) for w in part]
+
+
+def test_learner_has_the_gradient_of_the_plain_windows():
+    rng, m, lengths = np.random.default_rng(3), 60, np.array([1, 16, 17, 40, 0, 300, 15])
+    ids, learner = rng.integers(3, m, lengths.sum()), attention.Learner(m)
+    learner.begin(learner.rows.copy(), learner.small())
+    h, steps, w = learner.hidden, [], learner.model.weights
+    learner._step = lambda x, part: steps.append((x, part))
+    learner.learn(ids, lengths)
+    ((stretches, part),) = steps
+    x, y, place = attention.windows(ids, lengths)
+    mask = np.isin(np.arange(y.size), place).reshape(y.shape)
+    w["E"], w["P"], shares = learner.rows[:, :h], learner.rows[:, h : 2 * h], rng.dirichlet(np.ones(m), attention.CLASSES).astype(np.float32)
+    plain = attention.Attention({**w, "T": np.log(shares)})
+    got, moved = learner.gradient(stretches, part, shares.T)
+    _, want = plain.gradient(x, y, mask)
+    assert part.sum() == len(ids) and got.keys() == want.keys() - {"T"}
+    assert all(np.allclose(got[n], want[n], rtol=1e-3, atol=1e-6) for n in got)
+    assert np.allclose((moved.sum(axis=0)[:, None] * shares - moved.T) / len(ids), want["T"], rtol=1e-3, atol=1e-6)
+    assert np.allclose(attention.Scorer(plain).log10(ids, lengths), np.log10(plain.forward(x, y)["p"].ravel()[place]), atol=1e-4)
+
+
+def test_words_are_numbered_alike_whether_they_travel_or_not():
+    import public_tokenizers
+
+    texts = [b"", b"  the  The cat\x0b", b"a\x1cb \xc2\xa0x\r\nthe", b" ", b"cat cat zzz"]
+    want = [w for t in texts for w in t.lower().split()]
+    for top in ({}, {b"the": 3, b"cat": 3}, {w: 1 for w in sorted(set(want))}):
+        known = lm.Known(lm.WordIds(tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), {b"the": 60_000}, top)
+        laid = lm.Laid(known, [(i, t, None, True) for i, t in enumerate(texts)])
+        assert [w.encode() for w in laid.words.to_pylist()] == want and laid.held.tolist() == [len(t.split()) for t in texts]
+        every = [i for t in texts for i in [*(i for w in t.lower().split() for i in ([60_000] if w == b"the" else [attention.END + 1 + i for i in known.ids_of(w)])), attention.END]]
+        assert laid.ids.tolist() == every and known.count[laid.number].tolist() == [top.get(w, -1) for w in want]
