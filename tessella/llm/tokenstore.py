@@ -21,9 +21,11 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ REMEMBER = 600_000
 STEP = 0x9E3779B97F4A7C15
 STEP_BACK = pow(STEP, -1, 1 << 64)
 CHUNKS = "array<struct<digest: binary, n: int>>"
+#: The id of one of the model's tokens.
+ID = attrgetter("id")
 
 
 #: A word that can be taken apart: letters of Latin-1 that normalization leaves alone, then perhaps one mark.
@@ -81,23 +85,26 @@ class WordEncoder:
     def _plain(self, letters: bytes) -> bytes:
         """The ids of a word of letters, straight from the model, whose pieces are written in one character for each byte."""
         text = letters.decode("latin-1")
-        return array("H", [t.id for t in self.tokenize(text if letters.isascii() else text.translate(BYTE_CHARS))]).tobytes()
+        return array("H", map(ID, self.tokenize(text if letters.isascii() else text.translate(BYTE_CHARS)))).tobytes()
 
     def _learn(self, fresh: set[bytes], known: dict[bytes, bytes]) -> None:
-        plain, marks, rest, sample = self._plain, self.marks, [], []
+        plain, tokenize, marks, rest, sample = self._plain, self.tokenize, self.marks, [], []
+        get, before = known.get, self.kept["old"].get
         for w in fresh:
             if w.isalpha() and w.islower():  # of ASCII alone
-                known[w] = plain(w)
-            elif m := PLAIN.fullmatch(w.decode()):
-                if m[2]:
-                    letters = w[:-1]
-                    known[w] = (known.get(letters) or plain(letters)) + marks[w[-1]]
-                else:
-                    known[w] = plain(w)
-                if len(sample) < 200:
-                    sample.append(w)
+                known[w] = array("H", map(ID, tokenize(w.decode()))).tobytes()
+                continue
+            mark = marks.get(w[-1])
+            letters = w[:-1] if mark else w
+            if mark and letters.isalpha() and letters.islower():
+                known[w] = (get(letters) or before(letters) or array("H", map(ID, tokenize(letters.decode()))).tobytes()) + mark
+            elif not w.isascii() and PLAIN.fullmatch(w.decode()):
+                known[w] = (get(letters) or before(letters) or plain(letters)) + mark if mark else plain(w)
             else:
                 rest.append(w)
+                continue
+            if len(sample) < 200:
+                sample.append(w)
         if self.checked < 200:
             sample += list(fresh.difference(rest))[: 200 - len(sample)]
             for w, ids in zip(sample, self._ids([w.decode() for w in sample])):
@@ -111,28 +118,32 @@ class WordEncoder:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids, 16 bits little-endian."""
         # of bytes: A-Z and ASCII white space only; the names of special tokens are told apart by case
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        lowered = [t if b"<|" in t else t.lower() for t in texts]
+        raw, kind = (pa.large_binary(), pa.large_string()) if sum(map(len, lowered)) >> 30 else (pa.binary(), pa.string())
+        split = pc.ascii_split_whitespace(pa.array(lowered, raw).view(kind))
+        told = split.flatten().dictionary_encode()
+        words, index, ends = told.dictionary.view(raw).to_numpy(zero_copy_only=False).tolist(), told.indices.to_numpy(), split.offsets.to_numpy()
         if len(self.kept["known"]) > self.remember:  # what is not used again by the next time is forgotten
             self.kept["old"], self.kept["known"] = self.kept["known"], {}
         known, old = self.kept["known"], self.kept["old"]
-        get, before = known.get, old.get
-        found = [list(map(get, words)) for words in split]
-        fresh: set[bytes] = set()
-        holes = []
-        for words, ids in zip(split, found):
-            if None in ids:
-                at = [i for i, v in enumerate(ids) if v is None]
-                fresh.update([words[i] for i in at])
-                holes.append((words, ids, at))
-        if old:
-            again = [w for w in fresh if before(w) is not None]
-            known.update(zip(again, map(before, again)))
-            fresh.difference_update(again)
-        self._learn(fresh, known)
-        for words, ids, at in holes:
-            for i in at:
-                ids[i] = known[words[i]]
-        return [b"".join(ids) for ids in found]
+        known[b""] = b""  # stands beside white space that is first or last
+        ids = list(map(known.get, words))
+        if None in ids:
+            fresh = {w for w, v in zip(words, ids) if v is None}
+            if old:
+                again = [w for w in fresh if w in old]
+                known.update(zip(again, map(old.__getitem__, again)))
+                fresh.difference_update(again)
+            self._learn(fresh, known)
+            ids = list(map(known.__getitem__, words))
+        flat, length = np.frombuffer(b"".join(ids), dtype="<u2"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 2
+        start, each = np.cumsum(length) - length, length[index]
+        found = [np.zeros(0, "<u2")]
+        for at in range(0, len(index), 1 << 20):  # some words at a time bound the memory
+            n = each[at : at + (1 << 20)]
+            found.append(flat[np.arange(n.sum()) + np.repeat(start[index[at : at + len(n)]] - np.cumsum(n) + n, n)])
+        every, bounds = np.concatenate(found), np.concatenate(([0], np.cumsum(each)))[ends].tolist()
+        return [every[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -201,8 +212,8 @@ def _encoder(path: str, end_id: int) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chunker, end = WordEncoder(path), Chunker(), np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 256):  # some texts at a time bound the memory
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), 512):  # some texts at a time bound the memory
+                part = batch.slice(at, 512)
                 texts = [bytes(t.as_buffer()) if t.is_valid and len(t.as_buffer()) else b"" for t in part["text"]]
                 data = [ids + end for ids in words(texts)]
                 recipes = []
