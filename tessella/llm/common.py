@@ -1,10 +1,13 @@
-"""Helpers shared by the training-data operators: scratch tables and word splitting."""
+"""Helpers shared by the training-data operators: scratch tables, word splitting and what workers keep."""
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_memory(operator: str) -> dict:
+    """What this Python worker keeps for an operator from one task to the next; every task can do without it.
+
+    A worker keeps nothing for two operators: what another one left here is given up first, and the pages that Arrow holds in reserve.
+    """
+    kept = sys.modules.setdefault("_tessella_worker_memory", types.ModuleType("_tessella_worker_memory")).__dict__
+    if kept.get("operator") != operator:
+        kept.update(operator=operator, memory={})
+        pa.default_memory_pool().release_unused()
+    return kept["memory"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

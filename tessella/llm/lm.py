@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.attention import CONTEXT, END, START, Attention, Learner, Scorer, sums_by
-from tessella.llm.common import named, stored
-from tessella.llm.tokenstore import worker_memory
+from tessella.llm.common import named, stored, worker_memory
 
 #: The share of a word's probability that comes from counts.
 OWN = 0.2
@@ -176,7 +175,7 @@ def train(source: DataFrame, known_of: Callable[[], Known], ids: int, total: int
         state = spark.sparkContext.broadcast((rows, small))
 
         def learn(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            memory = worker_memory()
+            memory = worker_memory("lm")
             if memory.get("lm_learner", ("",))[0] != name:
                 memory["lm_learner"] = name, Learner(ids)
             known, own, (before, start) = known_of(), memory["lm_learner"][1], state.value
@@ -339,7 +338,7 @@ def scored(documents: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_i
         return high + np.log10(10 ** (free - high) + 10 ** (counted - high))
 
     def known_of() -> Known:
-        memory = worker_memory()
+        memory = worker_memory("lm")
         if memory.get("lm") != name:
             memory["lm"], memory["lm_known"], memory["lm_scorer"] = name, Known(WordIds(vocabulary, pattern), *travel.value), None
         return memory["lm_known"]
@@ -347,7 +346,7 @@ def scored(documents: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_i
     model = train(source, known_of, first + len(frequent), n_words or 0, epochs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, memory = known_of(), worker_memory()
+        known, memory = known_of(), worker_memory("lm")
         memory["lm_learner"] = ("",)
         memory["lm_scorer"] = scorer = memory["lm_scorer"] or Scorer(model)
         row = TaskContext.get().partitionId() << 40

@@ -12,7 +12,7 @@ all documents, each whole, without a shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import named, stored
+from tessella.llm.common import named, stored, worker_memory
 
 #: Labelled documents that are fitted on at most: those of least hash, so at random.
 SAMPLE_ROWS = 6000
@@ -211,6 +211,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_memory("quality")
     for batch in batches:
         for at in range(0, len(batch), 64):
             part = batch.slice(at, 64)
@@ -245,6 +246,21 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col=
     return Network.new().fit(bags, np.array(y))
 
 
+def _scorer(model: Network | Constant, threshold: float, within: int | None) -> Callable:
+    """within: the place of the text among the kept columns, where it is no column of its own."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("quality")
+        for batch in batches:
+            more = ["kept"] if "kept" in batch.schema.names else []
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                scores = model.scores(_bytes(part["text"] if within is None else part["kept"].field(within)))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), *[part[c] for c in more]], ["doc_id", "held_out", "score", "predicted", *more])
+
+    return score
+
+
 def scored(documents: DataFrame, model: Network | Constant, *, id_col="doc_id", text_col="text", threshold=THRESHOLD, keep=()) -> DataFrame:
     """(doc_id, held_out, score, predicted) and, under `kept`, the columns named in keep: a row per row of documents.
 
@@ -253,18 +269,12 @@ def scored(documents: DataFrame, model: Network | Constant, *, id_col="doc_id",
     """
     own_id, text = named(id_col, text_col)
     kept = [F.struct(*named(*keep)).alias("kept")] if keep else []
-    source = documents.select(own_id.alias("doc_id"), held_out(own_id).alias("held_out"), text.cast("binary").alias("text"), *kept)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                scores = model.scores(_bytes(part["text"]))
-                more = [part["kept"]] if keep else []
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), *more], ["doc_id", "held_out", "score", "predicted", *["kept"][: len(more)]])
-
+    # a text that is kept goes to the workers once: batches of whole texts are most of what a task holds
+    within = keep.index(text_col) if text_col in keep and documents.schema[text_col].dataType.typeName() in ("string", "binary") else None
+    alone = [text.cast("binary").alias("text")] if within is None else []
+    source = documents.select(own_id.alias("doc_id"), held_out(own_id).alias("held_out"), *alone, *kept)
     schema = source.drop("text").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).select("doc_id", "held_out", "score", "predicted", *["kept"][: len(kept)]).schema
-    return source.mapInArrow(score, schema)
+    return source.mapInArrow(_scorer(model, threshold, within), schema)
 
 
 def quality(documents: DataFrame, labels: DataFrame, *, threshold=THRESHOLD, **names) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessella.llm.common import hot_of, named, row_hash, skewed_join, stored, unused
+from tessella.llm.common import hot_of, named, row_hash, skewed_join, stored, unused, worker_memory
 from tessella.llm.graphs import connected_components
 
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -60,6 +60,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_memory("simhash")
     for batch in batches:
         prints = [fingerprint(t.as_buffer() and bytes(t.as_buffer())) if t.is_valid and len(t.as_buffer()) else 0 for t in batch["text"]]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(prints, pa.int64())], ["doc_id", "text_hash", "fp"])
@@ -96,6 +97,7 @@ class Golay:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_memory("simhash")
     golay = Golay()
     for batch in batches:
         prints = batch["fp"].to_numpy(zero_copy_only=False)

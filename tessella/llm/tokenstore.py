@@ -15,8 +15,6 @@ from __future__ import annotations
 import gc
 import os
 import re
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -31,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tessella.llm.common import hot_of, named, new_path, skewed_join, stored
+from tessella.llm.common import hot_of, named, new_path, skewed_join, stored, worker_memory
 
 END_ID = 1
 #: Chunks: ids at least, ids at most, and the bits of the hash that must be zero at a cut (so 2**BITS ids on average beyond the least).
@@ -54,11 +52,6 @@ PLAIN = re.compile("([a-zß-öø-ÿ]+)([,.]?)")
 BYTE_CHARS = {b: chr(256 + 33 + i) for i, b in enumerate(b for b in range(127, 256) if b < 161 or b == 173)}
 
 
-def worker_memory() -> dict:
-    """What this Python worker keeps from one task to the next; every task can do without it."""
-    return sys.modules.setdefault("_tessella_worker_memory", types.ModuleType("_tessella_worker_memory")).__dict__
-
-
 class WordEncoder:
     """Encodes texts word by word and remembers what it has seen, also from one task of a worker to the next.
 
@@ -70,7 +63,7 @@ class WordEncoder:
 
     def __init__(self, path: str, remember: int = REMEMBER) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        kept = worker_memory()
+        kept = worker_memory("tokenstore")
         if path not in kept:
             from tokenizers import Tokenizer
 

@@ -1,11 +1,12 @@
 """The stages one after another, each against what it must do to its own input."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tessella.llm import decontaminate, mixing, quality, queries, simhash
-from tessella.llm.common import stored
+from tessella.llm import decontaminate, mixing, quality, queries, simhash, tokenstore
+from tessella.llm.common import stored, worker_memory
 
 
 def test_stages(spark):
@@ -55,6 +56,43 @@ def test_stages_on_odd_rows(spark):
         assert nothing.columns == docs.columns and nothing.isEmpty()
 
 
+def test_a_stage_gives_up_what_another_left_in_its_worker():
+    """Else the token store's words, some hundred MB, stand beside the next run's texts."""
+    texts = pa.record_batch({"doc_id": [1], "held_out": [False], "text": [b"a few words"], "order": [1], "y": [1.0], "text_hash": [1]})
+    prints = pa.record_batch({"fp": [5]})
+    tasks = [(quality._bags, texts), (quality._scorer(quality.Constant(0.5), 0.7, None), texts), (simhash._fingerprints, texts), (simhash._keys, prints)]
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    for task, batch in tasks:
+        words = tokenstore.WordEncoder(path)
+        words([b"a few words"])
+        assert worker_memory("tokenstore")[path]["known"] and tokenstore.WordEncoder(path).kept is words.kept
+        assert sum(map(len, task(iter([batch])))) >= 1
+        assert not worker_memory("tokenstore")
+
+
+@pytest.mark.parametrize("kind", ["string", "binary"])
+def test_kept_texts_go_to_the_workers_once(spark, monkeypatch, kind):
+    docs = spark.createDataFrame([(i, None if i % 7 == 0 else f"text {i} of some words, " * (i % 5)) for i in range(1300)], "doc_id long, body string").selectExpr("doc_id", f"CAST(body AS {kind}) AS body", "doc_id AS text").coalesce(1)
+    model, sent, scorer = quality.Network.new(3), [], quality._scorer
+
+    def seen(*args):
+        def score(batches):
+            yield from scorer(*args)(map(told, batches))
+
+        def told(batch):
+            assert sum(f.name in ("text", "body") for f in batch.schema) == 0 and [f.name for f in batch.schema.field("kept").type] == ["doc_id", "body", "text"]
+            return batch
+
+        sent.append(args)
+        return score
+
+    plain = {r["doc_id"]: r["score"] for r in quality.scored(docs, model, text_col="body").collect()}
+    monkeypatch.setattr(quality, "_scorer", seen)
+    found = quality.scored(docs, model, text_col="body", keep=tuple(docs.columns)).collect()
+    assert sent and {r["doc_id"]: r["score"] for r in found} == pytest.approx(plain) and len(found) == 1300
+    assert all(tuple(r["kept"])[::2] == (r["doc_id"], r["doc_id"]) for r in found)
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
 
