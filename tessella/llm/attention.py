@@ -23,6 +23,8 @@ BATCH, STRETCH, RATE, LEAST = 512, 8, 0.2, 1e-4
 FLOOR = 0.01
 #: Windows that are scored together: their scores stay in the processor's cache.
 TOGETHER = 384
+#: Up to so many rows of an index are added together with those of others.
+FEW = 24
 #: exp() of less than this neither overflows in 32 bits nor does a window's sum of it.
 SAFE = 60.0
 
@@ -163,20 +165,30 @@ def sums_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, values.shape[-1]), values.dtype)
     if len(index):
         order = np.argsort(index.astype(np.uint16) if n <= 1 << 16 else index, kind="stable")
-        have = index[order]
+        have = index.take(order)
         starts = np.flatnonzero(np.concatenate(([True], have[1:] != have[:-1])))
         counts = np.diff(starts, append=len(have))
-        out[have[starts]] = values.take(order[starts], axis=0)
-        two, more = starts[counts == 2], counts > 2  # most indexes are rare, and reduceat takes its time for each
-        out[have[two]] += values.take(order[two + 1], axis=0)
-        if more.any():
-            out[have[starts[more]]] = np.add.reduceat(values.take(order[np.repeat(more, counts)], axis=0), np.cumsum(counts[more]) - counts[more], axis=0)
+        # most indexes are rare: the k-th rows of all of them are added at once, the most frequent indexes first; what is left is of few indexes
+        less = np.maximum(-counts, -FEW - 1).astype(np.int16)
+        by = np.argsort(less, kind="stable")
+        starts, counts, less = starts.take(by), counts.take(by), less.take(by)
+        sums = values.take(order.take(starts), axis=0)
+        held = np.searchsorted(less, -np.arange(1, FEW + 1)).tolist()  # how many indexes have more than k rows
+        for k, m in enumerate(held[:-1], 1):
+            if not m:
+                break
+            sums[:m] += values.take(order.take(starts[:m] + k), axis=0)
+        ones = np.ones(int(counts.max()), values.dtype)
+        for i in range(held[-1]):
+            more = order[starts[i] + FEW : starts[i] + counts[i]]
+            sums[i] += ones[: len(more)] @ values.take(more, axis=0)
+        out[have.take(starts)] = sums
     return out
 
 
 def _norm(table: np.ndarray) -> float:
     """The longest row's length."""
-    return float(np.sqrt((table * table).sum(axis=1).max()))
+    return float(np.sqrt((np.square(table) @ np.ones(table.shape[1], table.dtype)).max()))
 
 
 class Learner:
@@ -234,61 +246,72 @@ class Learner:
 
         x: stretches of the stream with the ids behind them (n, CONTEXT + STRETCH * SCORED + 1), part: which of those from CONTEXT + 1 on are scored, phi: classes of each id (ids, classes).
         """
+        g, sums = self._gradient(x, part, phi)
+        return g | {"E": sums[:, : self.hidden], "P": sums[:, self.hidden : 2 * self.hidden]}, sums[:, 2 * self.hidden :]
+
+    def _gradient(self, x: np.ndarray, part: np.ndarray, phi: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """(gradient by the weights in SMALL, that by E and P and the responsibilities side by side)."""
         w, n, long, ago, future = self.model.weights, len(x), x.shape[1] - CONTEXT - 1, *self.model.distances()
         depth, hidden, m, f4 = w["Wq"].shape[1], w["E"].shape[1], len(w["E"]), np.float32
-        scale = f4(depth**-0.5)
-        q, k, v = w["E"] @ w["Wq"] * scale, w["E"] @ w["Wk"], w["E"] @ w["Wv"]
-        kv = np.concatenate((k, v, np.ones((m, 1), f4)), axis=1).take(x[:, :-1], axis=0)
-        kv = _paired(kv.reshape(n, -1, SCORED, kv.shape[-1]))
+        scale, one, scored = f4(depth**-0.5), np.ones(depth, f4), f4(part.sum())
+        by_all = np.concatenate((w["Wq"] * scale, w["Wk"], w["Wv"]), axis=1)
+        qkv = w["E"] @ by_all
+        looked = np.concatenate((w["E"] + w["b"], qkv, np.ones((m, 1), f4)), axis=1).take(x[:, :-1], axis=0)
+        kv = _paired(looked[..., hidden + depth :].reshape(n, -1, SCORED, 2 * depth + 1))
         across, ks, v1 = np.ascontiguousarray(kv.transpose(0, 2, 1)), kv[..., :depth], kv[..., depth:]
-        nq = np.concatenate((w["E"] + w["b"], q), axis=1).take(x[:, CONTEXT:-1], axis=0).reshape(-1, hidden + depth)
-        qs = np.ascontiguousarray(nq[:, hidden:]).reshape(-1, SCORED, depth)
+        qs = looked[:, CONTEXT:, hidden : hidden + depth].reshape(-1, SCORED, depth)
         a = qs @ across[:, :depth]
         a += np.where(future, f4(-1e9), w["R"][ago]).astype(f4)
-        if _norm(q) * _norm(k) + float(np.abs(w["R"]).max()) > SAFE:
+        if _norm(qkv[:, :depth]) * _norm(qkv[:, depth : 2 * depth]) + float(np.abs(w["R"]).max()) > SAFE:
             a -= a.max(axis=-1, keepdims=True)
         np.exp(a, out=a)  # its rows are divided by their sums where they are narrow
         o = a @ v1
         total = o[..., depth:]
         o = o[..., :depth] / total
         h = o.reshape(-1, depth) @ w["Wo"]
-        h += nq[:, :hidden]
+        h.reshape(n, long, hidden)[...] += looked[:, CONTEXT:, :hidden]
         h += w["P"].take(x[:, CONTEXT - 1 : -2].ravel(), axis=0)
         np.maximum(h, 0, out=h)
-        pi = _softmax(h @ w["O"] + w["c"])
-        r = pi * phi.take(x[:, CONTEXT + 1 :].ravel(), axis=0)
-        on = part.reshape(-1, 1).astype(f4)
-        r *= on / (r @ np.ones(r.shape[1], f4))[:, None]
-        pi *= on
-        pi -= r
-        pi /= f4(part.sum())  # now the gradient by the classes' logits
-        ones = np.ones(len(h), f4)
-        g = {"O": h.T @ pi, "c": ones @ pi}
-        dh = pi @ w["O"].T
+        z = h @ w["O"]
+        z += w["c"]
+        if max(z.max(), -z.min()) > SAFE:
+            z -= z.max(axis=-1, keepdims=True)
+        np.exp(z, out=z)
+        r = phi.take(x[:, CONTEXT + 1 :].ravel(), axis=0)
+        r *= z
+        on, ones = part.ravel().astype(f4), np.ones(len(h), f4)
+        r *= (on / (r @ ones[: r.shape[1]]))[:, None]
+        z *= (on / (z @ ones[: z.shape[1]]))[:, None]
+        z -= r  # now the gradient by the classes' logits, but for the number of ids that are scored
+        g = {"O": h.T @ z / scored, "c": ones @ z / scored}
+        dh = z @ (w["O"].T / scored)
         dh *= h > 0
         g["b"], g["Wo"] = ones @ dh, o.reshape(-1, depth).T @ dh
-        do = (dh @ w["Wo"].T).reshape(o.shape)
-        do /= total
-        ds = np.concatenate((do, -np.einsum("nsd,nsd->ns", do, o)[..., None]), axis=-1) @ across[:, depth:]
+        do = np.empty((*o.shape[:2], depth + 1), f4)
+        np.divide((dh @ w["Wo"].T).reshape(o.shape), total, out=do[..., :depth])
+        do[..., depth] = -((do[..., :depth] * o) @ one)
+        ds = do @ across[:, depth:]
         ds *= a
         g["R"] = np.bincount(ago.ravel(), weights=ones[: len(ds)] @ ds.reshape(len(ds), -1), minlength=len(w["R"])).astype(f4)
-        back = np.concatenate((ds.transpose(0, 2, 1) @ qs, a.transpose(0, 2, 1) @ do), axis=-1).reshape(n, -1, 2, SCORED, 2 * depth)
-        # a row for each place: what goes to E, q, k, v and P of its id, and its responsibilities
-        every = np.zeros((n, x.shape[1], 2 * hidden + 3 * depth + r.shape[1]), f4)
-        at = np.cumsum([0, hidden, depth, 2 * depth, hidden, r.shape[1]])
-        every[:, CONTEXT:-1, : at[1]] = dh.reshape(n, long, -1)
-        every[:, CONTEXT:-1, at[1] : at[2]] = (ds @ ks).reshape(n, long, -1)
-        every[:, : -CONTEXT - 1, at[2] : at[3]] = back[:, :, 0].reshape(n, long, -1)
-        every[:, CONTEXT:-1, at[2] : at[3]] += back[:, :, 1].reshape(n, long, -1)
-        every[:, CONTEXT - 1 : -2, at[3] : at[4]] = dh.reshape(n, long, -1)
-        every[:, CONTEXT + 1 :, at[4] :] = r.reshape(n, long, -1)
+        back = np.empty((len(ds), 2 * SCORED, 2 * depth), f4)
+        np.matmul(ds.transpose(0, 2, 1), qs, out=back[..., :depth])
+        np.matmul(a.transpose(0, 2, 1), do[..., :depth], out=back[..., depth:])
+        back = back.reshape(n, -1, 2, SCORED, 2 * depth)
+        # a row for each place: what goes to E and P of its id, its responsibilities, and what goes to q, k and v
+        at = np.cumsum([0, hidden, hidden, r.shape[1], depth, 2 * depth])
+        every = np.empty((n, x.shape[1], at[-1]), f4)
+        every[:, : CONTEXT + 1] = every[:, -CONTEXT - 1 :, at[4] :] = every[:, -2:] = 0
+        every[:, CONTEXT:-1, : at[1]] = every[:, CONTEXT - 1 : -2, at[1] : at[2]] = dh.reshape(n, long, -1)
+        every[:, CONTEXT + 1 :, at[2] : at[3]] = r.reshape(n, long, -1)
+        every[:, CONTEXT:-1, at[3] : at[4]] = (ds @ ks).reshape(n, long, -1)
+        every[:, : -CONTEXT - 1, at[4] :] = back[:, :, 0].reshape(n, long, -1)
+        every[:, CONTEXT:-1, at[4] :] += back[:, :, 1].reshape(n, long, -1)
         sums = sums_by(x, every, m)
-        g["E"], by_q, by_k, by_v, g["P"], moved = np.split(sums, [*at[1:3], at[2] + depth, *at[3:5]], axis=1)
-        g["E"] = g["E"].copy()
-        for name, table in (("Wq", by_q * scale), ("Wk", by_k), ("Wv", by_v)):
-            g[name] = w["E"].T @ table
-            g["E"] += table @ w[name].T
-        return g, moved
+        by_qkv = sums[:, at[3] :]
+        g["Wq"], g["Wk"], g["Wv"] = np.split(w["E"].T @ by_qkv, 3, axis=1)
+        g["Wq"] = g["Wq"] * scale
+        sums[:, : at[1]] += by_qkv @ by_all.T
+        return g, sums[:, : at[3]]
 
     def _step(self, x: np.ndarray, part: np.ndarray) -> None:
         n = part.sum()
@@ -300,19 +323,21 @@ class Learner:
         self.table[own] = np.arange(len(own))
         x, rows = self.table.take(x), self.rows.take(own, axis=0)
         w["E"], w["P"] = rows[:, :h].copy(), rows[:, h : 2 * h].copy()
-        phi = (rows[:, 2 * h : -2] * np.float32(self.fade) + np.float32(LEAST / len(self.rows))) / (self.total + LEAST).astype(np.float32)
-        g, moved = self.gradient(x, part, phi)
+        part_of = self.total + LEAST
+        phi = rows[:, 2 * h : -2] * (np.float32(self.fade) / part_of).astype(np.float32) + (LEAST / len(self.rows) / part_of).astype(np.float32)
+        g, sums = self._gradient(x, part, phi)
         self.steps += 1
         for name in self.SMALL:
             self.squares[name] += g[name] ** 2
             w[name] = w[name] - np.float32(RATE) * g[name] / (np.sqrt(self.squares[name]) + np.float32(1e-6))
-        for name, at, square in (("E", 0, -2), ("P", h, -1)):
-            rows[:, square] += np.einsum("ij,ij->i", g[name], g[name]) / np.float32(h)
-            rows[:, at : at + h] -= g[name] * (np.float32(RATE) / (np.sqrt(rows[:, square]) + np.float32(1e-6)))[:, None]
+        both, moved = sums[:, : 2 * h], sums[:, 2 * h :]
+        rows[:, -2:] += (np.square(both).reshape(-1, h) @ np.full(h, 1 / h, np.float32)).reshape(-1, 2)
+        rate = np.float32(-RATE) / (np.sqrt(rows[:, -2:]) + np.float32(1e-6))
+        rows[:, : 2 * h] += (both.reshape(-1, 2, h) * rate[..., None]).reshape(-1, 2 * h)
         new = 2 / (self.steps + 2)
         self.fade *= 1 - new
         rows[:, 2 * h : -2] += moved * np.float32(new / self.fade / n)
-        self.total = self.total * (1 - new) + moved.sum(axis=0) * np.float32(new / n)
+        self.total = self.total * (1 - new) + np.ones(len(moved), np.float32) @ moved * np.float32(new / n)
         self.rows[own] = rows
         if self.fade < 1e-3:
             self._settle()

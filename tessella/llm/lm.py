@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 from math import ceil, log10
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -37,10 +38,14 @@ SLOTS, ROUND_ENDS, ROUND_WORDS = 64, (1, 5, 21), 100_000
 TASK_WORDS, MET_WORDS, EPOCHS = 3_000_000, 3_000_000, 5
 #: Words whose counts travel with the tasks, at most; a word of lower rank is rarer than 1 in so many.
 OFTEN = 150_000
+#: Words of a partition that are joined by a hash table; where there are more, words are sorted.
+PARTITION_WORDS = 400_000
 #: Different words that a scoring worker remembers.
 REMEMBER = 350_000
 #: Texts counted together and texts scored together have so many bytes; a longer one is taken in parts of about PART_BYTES that end between words.
 COUNT_BYTES, GROUP_BYTES, PART_BYTES = 1 << 24, 1 << 21, 1 << 20
+#: Words of up to so many bytes are looked up packed in two numbers.
+PACKED = 16
 #: Longer words are encoded in parts of so many characters; shorter ones, up to so many together.
 LONG_WORD, WORDS_TOGETHER = 400, 2000
 
@@ -210,29 +215,59 @@ def train(source: DataFrame, known_of: Callable[[], Known], ids: int, total: int
     return learner.begin(rows, small).finished()
 
 
+def packed(some: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first 8 bytes, next 8 bytes, length) of each word: words of up to PACKED bytes that agree in all three are equal."""
+    wide = pa.types.is_large_string(some.type) or pa.types.is_large_binary(some.type)
+    bounds = np.frombuffer(some.buffers()[1] or b"", np.int64 if wide else np.int32)[some.offset :][: len(some) + 1]
+    if not len(some):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    low, high = int(bounds[0]), int(bounds[-1])
+    data = np.concatenate((np.frombuffer(some.buffers()[2] or b"", np.uint8)[low:high], np.zeros(PACKED, np.uint8)))
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # from each byte on
+    at, size = bounds[:-1] - low, np.diff(bounds)
+    masks, short = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64), np.minimum(size, PACKED)
+    return eights[at] & masks[np.minimum(short, 8)], eights[at + 8] & masks[np.maximum(short - 8, 0)], size.astype(np.int64)
+
+
+def _key(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    key = (first ^ second * np.uint64(0xC2B2AE3D27D4EB4F) ^ size.astype(np.uint64) << np.uint64(56)) * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ key >> np.uint64(32)
+
+
 class Known:
-    """Words by number: their ids end to end, and their counts (-1: not among those that travel). Those that travel come first and are looked up by Arrow."""
+    """Words by number: their ids end to end, and their counts (-1: not among those that travel).
+
+    Those that travel come first; all of them but long ones are found in an index over packed words that is built once. The others have a dictionary.
+    """
 
     def __init__(self, ids_of: WordIds, whole: dict[bytes, int], top: dict[bytes, int]) -> None:
         """whole: the words that are one id, and that id."""
-        self.ids_of, self.whole, self.top = ids_of, whole, top
-        self.often = pa.array(list(top), pa.binary()).view(pa.string())
-        self.number: dict[bytes, int] = {}  # of the others
+        self.ids_of, self.whole = ids_of, whole
         self.pieces, self.start, self.length, self.count = (np.zeros(1 << 16, dtype) for dtype in (np.int32, np.int64, np.int64, np.int64))
         self.have = self.used = 0
-        if top:
-            self.learn(list(top))
+        often = list(top)
+        if often:
+            self.learn(often, list(top.values()))
         self.kept = self.have, self.used
+        self.whole = {w: i for w, i in whole.items() if w not in top}  # of the words that are still to be learned
+        *columns, size = packed(pa.array(often, pa.binary()))
+        _, own = np.unique(_key(*columns, size), return_index=True)
+        own = own[size[own] <= PACKED]
+        self.index = pd.Index(_key(*columns, size)[own])
+        # the last row stands for words that are not found
+        self.first, self.second, self.size, self.place = (np.append(x[own], np.array([-1]).astype(x.dtype)) for x in (*columns, size, np.arange(len(often))))
+        self.apart = {often[i]: i for i in np.setdiff1d(np.arange(len(often)), own).tolist()}  # long words that travel
+        self.clear()
 
     def clear(self) -> None:
         """Forget all words but those whose counts travel."""
-        self.number = {}
+        self.number = dict(self.apart)
         self.have, self.used = self.kept
 
-    def learn(self, new: list[bytes]) -> None:
+    def learn(self, new: list[bytes], counts: list[int] | int = -1) -> None:
         """Give different new words the next numbers, in their order."""
-        alone = np.array([self.whole.get(w, 0) for w in new], dtype=np.int64)
-        ids, sizes = self.ids_of.many([w for w, own in zip(new, alone.tolist()) if not own])
+        alone = np.array([self.whole.get(w, 0) for w in new], dtype=np.int64) if self.whole else np.zeros(len(new), dtype=np.int64)
+        ids, sizes = self.ids_of.many([w for w, own in zip(new, alone.tolist()) if not own] if alone.any() else new)
         ids = ids + END + 1
         if alone.any():
             ids = np.insert(ids, np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(alone == 0)[alone > 0]], alone[alone > 0])
@@ -247,24 +282,26 @@ class Known:
         ends = self.used + np.cumsum(sizes)
         self.pieces[self.used : ends[-1]] = ids
         self.start[have : have + more], self.length[have : have + more] = ends - sizes, sizes
-        self.count[have : have + more] = [self.top.get(w, -1) for w in new]
+        self.count[have : have + more] = counts
         self.have, self.used = have + more, int(ends[-1])
 
     def numbers(self, some: pa.Array) -> np.ndarray:
         """The numbers of words."""
-        found = pc.index_in(some, value_set=self.often)
-        numbers = found.fill_null(-1).to_numpy().astype(np.int64)
-        if found.null_count:
-            others = some.filter(found.is_null()).dictionary_encode()
-            numbers[numbers < 0] = self._others(others.dictionary.view(pa.binary()).to_pylist())[others.indices.to_numpy()]
+        first, second, size = packed(some)
+        at = self.index.get_indexer(_key(first, second, size))
+        same = (self.first.take(at, mode="wrap") == first) & (self.second.take(at, mode="wrap") == second) & (self.size.take(at, mode="wrap") == size)
+        numbers = self.place.take(at, mode="wrap")
+        if not same.all():
+            others = some.filter(pa.array(~same)).dictionary_encode()
+            numbers[~same] = self._others(others.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist())[others.indices.to_numpy()]
         return numbers
 
     def _others(self, some: list[bytes]) -> np.ndarray:
-        """The numbers of different words that do not travel."""
+        """The numbers of different words that are not in the index."""
         fresh = [w for w in some if w not in self.number]
         if len(fresh) + self.have > REMEMBER:
             self.clear()
-            fresh = some
+            fresh = [w for w in some if w not in self.number]
         if fresh:
             self.number.update(zip(fresh, range(self.have, self.have + len(fresh))))
             self.learn(fresh)
@@ -331,11 +368,9 @@ def scored(documents: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_i
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary"
 
     def mixed(count: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        free = logp + np.log10(1 - mine)
-        with np.errstate(divide="ignore"):
-            counted = np.log10(mine * count / max(1, total))
-        high = np.maximum(free, counted)
-        return high + np.log10(10 ** (free - high) + 10 ** (counted - high))
+        counted = mine / max(1, total) * count
+        with np.errstate(divide="ignore"):  # where nothing was counted, 10 ** logp may be too small to be told from 0
+            return np.where(counted > 0, np.log10((1 - mine) * 10**logp + counted), logp + log10(1 - mine))
 
     def known_of() -> Known:
         memory = worker_memory("lm")
@@ -385,11 +420,11 @@ def scored(documents: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_i
             row += len(texts)
 
     found = stored(source.mapInArrow(score, schema), "scored")
-    rest = found.where("word IS NOT NULL").select("row", "word", F.col("score").alias("logp")).join(counts, "word", "left").fillna(0, "c")
-    free = F.col("logp") + F.lit(log10(1 - mine))
-    counted = F.log10(F.lit(mine) * F.col("c") / max(1, total))
-    high = F.greatest(free, counted)
-    both = F.when((F.col("c") > 0) & F.lit(mine > 0), high + F.log10(F.pow(10.0, free - high) + F.pow(10.0, counted - high))).otherwise(free)
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    looked_up = counts.hint("shuffle_hash") if n_known <= PARTITION_WORDS * partitions else counts
+    rest = found.where("word IS NOT NULL").select("row", "word", F.col("score").alias("logp")).join(looked_up, "word", "left").fillna(0, "c")
+    counted = F.lit(mine / max(1, total)) * F.col("c")
+    both = F.when(counted > 0, F.log10(F.lit(1 - mine) * F.pow(10.0, "logp") + counted)).otherwise(F.col("logp") + log10(1 - mine))
     own_kind = found.schema["doc_id"].dataType
     rest = rest.select("row", F.lit(None).cast(own_kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("long").alias("n_tokens"), (F.col("c") > 0).cast("long").alias("n_known"), (F.log10(F.col("c") + 1.0) - below).alias("base_score"), both.alias("score"))
     sums = found.where("word IS NULL").drop("word").unionByName(rest).groupBy("row")

@@ -3,11 +3,13 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import attention, lloyd, lm, trie
@@ -273,6 +275,14 @@ def test_scores_of_nothing(spark):
     assert (only["train_tokens"], only["n_known"], only["n_tokens"], only["base_score"]) == (0, 0, 3, 0.0) and only["score"] < 0
 
 
+def test_words_are_joined_alike_by_tables_and_by_sorting(spark, model_rows, monkeypatch):
+    some, found = [r for r in model_rows[:60] if r[0] != 9005], []
+    for most in (lm.PARTITION_WORDS, 0):
+        monkeypatch.setattr(lm, "PARTITION_WORDS", most)
+        found.append(sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in scores(spark, some, most=3, epochs=1)))
+    assert found[0] == found[1]
+
+
 def test_every_training_text_is_learned_from(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     taught, out = next(i for i in range(1000, 1100) if not held(i)), [i for i in range(2000, 2100) if held(i)]
@@ -343,3 +353,36 @@ def test_words_are_numbered_alike_whether_they_travel_or_not():
         assert [w.encode() for w in laid.words.to_pylist()] == want and laid.held.tolist() == [len(t.split()) for t in texts]
         every = [i for t in texts for i in [*(i for w in t.lower().split() for i in ([60_000] if w == b"the" else [attention.END + 1 + i for i in known.ids_of(w)])), attention.END]]
         assert laid.ids.tolist() == every and known.count[laid.number].tolist() == [top.get(w, -1) for w in want]
+
+
+def test_travelling_words_are_found_without_going_over_all_of_them():
+    class Ids:
+        def many(self, some):
+            return np.zeros(len(some), dtype=np.int64), np.ones(len(some), dtype=np.int64)
+
+    odd = [b"a", b"a\x00", b"\x00", b"\x00\x00", b"1234567", b"12345678", b"12345678\x00", b"123456781", b"x" * 15, b"x" * 16, b"x" * 17, b"x" * 18, b"x" * 16 + b"y", "é你好é你好".encode(), "你".encode()]
+    some = [*odd, *(w[:-1] + b"z" for w in odd), *(b"w%d" % i for i in range(200_000))]
+    top = {w: i for i, w in enumerate(dict.fromkeys(some[::2]))}
+    known = lm.Known(Ids(), {}, top)
+    for part in (some[: 2 * len(odd)], some[-9:], []):
+        for at in (0, 1):  # an array may begin within its buffers
+            numbers = known.numbers(pa.array([b"?", *part], pa.binary()).view(pa.string())[1 - at :])
+            assert known.count[numbers].tolist() == [-1] * at + [top.get(w, -1) for w in part]
+            assert len(set(numbers.tolist())) == at + len(set(part))
+    one, begin = pa.array(["w7"]), time.process_time()
+    for _ in range(500):
+        known.numbers(one)
+    assert time.process_time() - begin < 1  # each time over all words: several seconds
+
+
+def test_sums_by_index():
+    rng = np.random.default_rng(5)
+    index = np.concatenate((np.repeat(np.arange(60), np.arange(60)), rng.integers(60, 90_000, 500)))
+    rng.shuffle(index)
+    values = rng.standard_normal((len(index), 7))
+    for n in (90_000, 60):
+        some = index < n
+        want = np.zeros((n, 7))
+        np.add.at(want, index[some], values[some])
+        assert np.allclose(attention.sums_by(index[some], values[some], n), want)
+    assert not attention.sums_by(index[:0], values[:0], 3).any()
