@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import geodesy as G
 from tessella.functions import spatial as S
-from tessella.operators.culling import joined_at, looked_at
+from tessella.operators.culling import looked_at
 from tessella.operators.hierarchy import vertical_objects, world_transforms
 from tessella.sources.tilesets import UTM_EXTENSION, member, tile_columns
 
@@ -89,7 +89,9 @@ class EcefMetric:
         """
         if cameras.limit(MOST_CAMERAS + 1).count() > MOST_CAMERAS:
             raise ValueError(f"more than {MOST_CAMERAS} cameras: looked_at() takes any number")
-        return self._judged(placed.crossJoin(F.broadcast(cameras)), placed)
+        b, camera, occluder = F.col("bounds"), F.col("camera"), self._occluder()
+        pairs = placed.crossJoin(F.broadcast(cameras))
+        return self._judged(pairs, placed, S.inside_view(b, camera, F.col("planes"), occluder), S.in_periphery(b, camera, F.col("periphery_planes"), occluder))
 
     def looked_at(self, placed: DataFrame, cameras: DataFrame) -> DataFrame:
         """Like seen, for any number of cameras, but only with tiles whose parents have something in view or around it below them.
@@ -97,25 +99,20 @@ class EcefMetric:
         Every visible tile and every tile of the periphery is there.  A tile left out is neither, nor is anything below it, so the strategy
         `active` selects the same from either.  Heights over the horizon are asked of single tiles, not on the way down.
         """
-        found = looked_at(placed, cameras, self._occluder())
-        if found is None:
-            return self._judged(placed.crossJoin(F.broadcast(cameras.limit(0))), placed)
-        return self._judged(joined_at(found, placed, "tile_id"), placed)
+        rows, views = looked_at(placed, cameras, self._occluder())
+        return self._judged(rows, placed, views.inside("planes", self._occluder()), F.col("__around") & views.inside("periphery_planes", self._occluder()))
 
     def _occluder(self) -> float | None:
         return self.ellipsoid.minimum_radius if self.horizon_culling and self.horizon == "plane" else None
 
-    def _judged(self, rows: DataFrame, placed: DataFrame) -> DataFrame:
+    def _judged(self, rows: DataFrame, placed: DataFrame, inside: Column, around: Column) -> DataFrame:
         b, camera = F.col("bounds"), F.col("camera")
-        occluder = self._occluder()
         hidden = F.lit(False)
         if self.horizon_culling and self.horizon == "tile-heights":
             low, high = (F.col(c) if c in placed.columns else F.lit(None).cast("double") for c in ("height_min", "height_max"))
             lowest = placed.agg(F.min("height_min")).first()[0] if "height_min" in placed.columns else 0.0
             hidden = S.beyond_horizon(S.Vec.of(b["center"]), b["radius"], S.Vec.of(camera["position"]), self.ellipsoid.minimum_radius, float(min(0.0, lowest or 0.0)), low, high)
         sse = S.screen_space_error(F.col("error"), b, S.Vec.of(camera["position"]), viewport=camera["viewport_height"], fov=camera["vertical_fov"], tan_half=camera["tan_half_fov"], viewport_default=self.viewport_height, fov_default=self.vertical_fov)
-        inside = S.inside_view(b, camera, F.col("planes"), occluder)
-        around = S.in_periphery(b, camera, F.col("periphery_planes"), occluder)
         clear = F.coalesce(~hidden, F.lit(True))
         return rows.select("view", *[c for c in placed.columns], (inside & clear).alias("visible"), (around & clear).alias("periphery"), sse.alias("sse"))
 

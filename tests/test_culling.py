@@ -6,9 +6,11 @@ import random
 from pyspark.sql import functions as F
 
 from tessella.functions import geodesy as G
+from tessella.operators import culling
 from tessella.operators.culling import HOT_PART, enclosures, joined_at
 from tessella.operators.selection import Rules, select_active
 from tessella.plans.metric import EcefMetric
+from tessella.storage import settled
 from tests.test_metric import CAMERA
 
 POINT = "struct<x: double, y: double, z: double>"
@@ -101,6 +103,29 @@ def test_work_follows_what_is_seen(spark):
     assert found.where("visible").count() == sum(1 for x, y in at for r in rows if r[3][0][0] <= x + 0.5 and r[3][1][0] >= x - 0.5 and r[3][0][1] <= y + 0.5 and r[3][1][1] >= y - 0.5)
 
 
+def test_pairs_of_small_levels_are_not_written(spark, monkeypatch):
+    """What looked_at writes does not grow with what is seen; with levels that count as large it does, and finds the same."""
+    rng = random.Random(11)
+    placed = spark.createDataFrame(forest(rng, 9, deep=4), TILES)
+    many = [(v, c, None if p is None else p * 3, q) for v, c, p, q in cameras(rng, 80)]  # up to nine planes, more than have columns of their own
+    cams, metric = spark.createDataFrame(many, CAMERA), EcefMetric(BALL)
+    written = []
+
+    def counted(df):
+        found = settled(df)
+        written.append(found.count())
+        return found
+
+    monkeypatch.setattr(culling, "settled", counted)
+    want = flags(metric.seen(placed, cams))
+    assert flags(metric.looked_at(placed, cams)) == want and max(written) <= max(len(many), placed.count())
+    for few, steps in ((0, 8), (12, 8), (20_000, 1)):
+        monkeypatch.setattr(culling, "FEW_TILES", few)
+        monkeypatch.setattr(culling, "STEPS", steps)
+        found = metric.looked_at(placed, cams).cache()
+        assert flags(found) == want and found.count() == found.select("view", "tile_id").distinct().count()
+
+
 def test_empty_tables(spark):
     metric = EcefMetric(BALL)
     none, one = spark.createDataFrame([], TILES), spark.createDataFrame(forest(random.Random(1), 2), TILES)
