@@ -23,10 +23,11 @@ def rolled_up(rows: DataFrame, x: Column, y: Column, depth: int) -> DataFrame:
 
 def grid_error(level: Column, x: Column, y: Column, *, depth: int, camera: tuple[float, float], error: float, pixels: float) -> Column:
     """Pixels that a tile's error spans for a camera in the plane of the grid, in units of cells."""
-    size = float(1 << depth) / F.pow(F.lit(2.0), level.cast("double"))
+    fold = F.call_function("shiftleft", F.lit(1).cast("long"), level.cast("int")).cast("double")
+    size = float(1 << depth) / fold
     dx, dy = (x + 0.5) * size - camera[0], (y + 0.5) * size - camera[1]
     gap = F.greatest(F.sqrt(dx * dx + dy * dy) - size / 2, F.lit(0.5))
-    return error / F.pow(F.lit(2.0), level.cast("double")) * pixels / gap
+    return error / fold * pixels / gap
 
 
 def lod_cut(tiles: DataFrame, *, depth: int, camera: tuple[float, float], threshold: float = 16.0, error: float = 64.0, pixels: float = 4.0) -> DataFrame:

@@ -1,3 +1,6 @@
+from types import SimpleNamespace
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessella.streaming import cuts as C
@@ -88,6 +91,63 @@ def test_shown_tiles_survive_a_restart(spark, tmp_path):
     assert got == sorted(want) and sum(r[5] == "leave" for r in got) > 10
 
 
+class Remembered:
+    """State of one view, kept in memory."""
+
+    def __init__(self):
+        self.kept = {}
+
+    def getValueState(self, *_):  # noqa: N802
+        return SimpleNamespace(exists=lambda: "last" in self.kept, get=lambda: self.kept["last"], update=lambda v: self.kept.update(last=v))
+
+    def getMapState(self, *_):  # noqa: N802
+        own = self.kept.setdefault("shown", {})
+        return SimpleNamespace(iterator=lambda: iter(list(own.items())), removeKey=own.pop, updateValue=own.__setitem__)
+
+
+def test_state_meets_a_row_for_each_frame():
+    """Frames without their tiles come out in order, each with the camera before it; only the last one's tiles are kept."""
+    state = Remembered()
+    names = ["view", "frame", "cx", "cy", "level", "x", "y"]
+
+    def handled(*rows):
+        p = C.ShownTiles()
+        p.init(state)
+        parts = [pd.DataFrame([("v", *r)], columns=names) for r in rows]
+        return [tuple(r) for out in p.handleInputRows(("v",), iter(parts), None) for r in out.drop(columns="view").itertuples(index=False)]
+
+    mark = lambda f, at: (f, at, 0.0, -1, 0, 0)
+    got = handled(mark(3, 3.0), mark(1, 1.0), (3, 3.0, 0.0, 2, 1, 0), mark(2, 2.0), (3, 3.0, 0.0, 2, 1, 1), (2, 2.0, 0.0, 1, 0, 0))
+    assert [(r[0], r[1], r[5]) for r in got] == [(1, 1.0, []), (2, 2.0, None), (3, 3.0, None)] and [r[3] for r in got[1:]] == [1.0, 2.0]
+    assert set(state.kept["shown"]) == {(2, 1, 0), (2, 1, 1)} and state.kept["last"] == (3,)
+    got = handled(mark(3, 9.0), mark(5, 5.0), (5, 5.0, 0.0, 2, 1, 1))
+    assert [(r[0], r[1], r[5]) for r in got] == [(5, 5.0, ["2/1/0", "2/1/1"])] and set(state.kept["shown"]) == {(2, 1, 1)}
+
+
+def test_newest_frames_are_marked():
+    frames = [("a", 1), ("b", 7), ("a", 4), (None, 2), ("a", 3), ("b", 7), (None, 1)]
+    parts = [pd.DataFrame(frames[i : i + 2], columns=["view", "frame"]).assign(cx=0.0, cy=0.0) for i in range(0, len(frames), 2)]
+    got = pd.concat(C.newest_marked(iter(parts)))
+    rows = sorted(((v if isinstance(v, str) else ""), f, bool(n)) for v, f, n in zip(got["view"], got["frame"], got["newest"]))
+    assert rows == [("", 1, False), ("", 2, True), ("a", 1, False), ("a", 3, False), ("a", 4, True), ("b", 7, True), ("b", 7, True)]
+
+
+def test_tiles_that_come_and_go_between_restarts(spark, tmp_path):
+    """The state keeps what a view shows, also where the table of tiles is another one after a restart; a frame without a camera shows nothing."""
+    schema = "view string, frame long, cx double, cy double"
+    tiles = lambda *t: spark.createDataFrame(list(t), "level int, x long, y long")
+    near = [(1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)]
+    runs = [([("v", 1, 1.0, 1.0), ("v", 2, 1.0, 1.0)], near[:3]), ([("v", 3, 1.0, 1.0), ("v", 4, 1.0, 1.0), ("v", 5, None, 1.0)], near[1:])]
+    for i, (rows, some) in enumerate(runs):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")
+        C.cut_stream(source, tiles((0, 0, 0), *some), depth=1, threshold=60.0).writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r)[1:] for r in spark.read.schema(C.CHANGES).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").collect())
+    want = [(f, *t, c) for f, c, some in ((1, "enter", near[:3]), (2, "stay", near[:3]), (3, "stay", near[1:3]), (3, "leave", near[:1]), (3, "enter", near[3:]), (4, "stay", near[1:]), (5, "leave", near[1:])) for t in some]
+    assert got == sorted(want)
+
+
 def test_durations_of_streams(spark, tmp_path):
     at = lambda s: 1_700_000_000 + s
     batches = [
